@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import near, residue
+from adlattice.llm import history, near, residue
 from adlattice.sources.tables import table
 
 
@@ -12,6 +12,10 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return residue.found(table(s, d, "jobs"))
 
 
+def p6_found(s: SparkSession, d: str) -> DataFrame:
+    return history.found(table(s, d, "jobs"), table(s, d, "jobs_raw"))
+
+
 def p7_found(s: SparkSession, d: str) -> DataFrame:
     return near.found(table(s, d, "jobs"))
 
@@ -20,5 +24,5 @@ def p7_groups(s: SparkSession, d: str) -> DataFrame:
     return near.groups(table(s, d, "jobs"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_groups)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_found, p7_groups)}
 SQL: dict[str, str] = {}
