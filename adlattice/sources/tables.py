@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adlattice.sources.ship import ship
+
 POSTING_SCHEMA = T.StructType(
     [T.StructField("internal_id", T.LongType(), False)]
     + [T.StructField(n, T.StringType()) for n in ("id", "name", "description")]
@@ -20,6 +22,7 @@ FEED_SCHEMA = "id string, name string, company string, location string, salary s
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a data folder; column pruning and pushdown are left to Catalyst."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
