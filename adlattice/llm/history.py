@@ -102,16 +102,16 @@ class HistoryIndex:
         keys = self._read("keys", [run])
         if old:
             keys = keys.unionByName(self._read("keys", old).withColumn("new", F.lit(False)))
-        records_sets = keys.filter(F.col("rec").isNotNull())
+        candidates, records_sets = kr.split_links(cut(kr.links_and_records(keys, self.plan, self.ranges, only_new=True)))
+        candidates = cut(candidates)
         first = records_sets.groupBy("sh").agg(F.min("ord").alias("first"))
-        candidates = cut(kr.links(keys, self.plan, self.ranges, only_new=True))
         nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = cut(kr.exact_sets(kr.needed_texts(records_sets.select("rec", "sh"), nodes, texts), self.plan).dropDuplicates(["sh"]))
         pairs = kr.verified(candidates, sets, self.plan)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         neighbours = both.join(first.select(F.col("sh").alias("b"), "first"), "b").select(F.col("a").alias("sh"), "first").unionByName(first)
         earliest = neighbours.groupBy("sh").agg(F.min("first").alias("first"))
-        mine = self._read("keys", [run]).filter(F.col("rec").isNotNull()).select("rec", "sh", "ord")
+        mine = records_sets.filter("new").select("rec", "sh", "ord")
         by_text = mine.join(earliest, "sh").filter("first < ord").select("rec")
         return by_text.unionByName(self._by_id(records)).distinct()
 
@@ -150,7 +150,7 @@ class HistoryIndex:
                         size += n
 
         packed = keys.filter(F.col("keys").isNotNull()).repartition(self.ranges, "part").mapInPandas(merge, kr.RUN)
-        packed.unionByName(keys.filter(F.col("rec").isNotNull())).write.parquet(f"{self.path}/{name}/keys")
+        packed.unionByName(keys.filter(F.col("keys").isNull())).write.parquet(f"{self.path}/{name}/keys")
         self._read("ids", self.runs).groupBy("key").agg(F.min("ord").alias("ord")).write.parquet(f"{self.path}/{name}/ids")
         self.runs = [name]
 
@@ -174,7 +174,7 @@ def _joined(part: int, rows: list) -> tuple:
     keep = np.ones(len(order), bool)
     keep[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
     order = order[keep]
-    return part, None, None, None, five[order].tobytes(), own[order].astype(np.uint16).tobytes(), unique.tobytes(), sketch[first].tobytes(), False
+    return part, 0, 0, 0, five[order].tobytes(), own[order].astype(np.uint16).tobytes(), unique.tobytes(), sketch[first].tobytes(), False
 
 
 def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 12, plan: kr.Plan | None = None) -> DataFrame:

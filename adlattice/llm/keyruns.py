@@ -8,7 +8,7 @@ after the exchange however many there are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +56,7 @@ def pack(keys: np.ndarray, node: np.ndarray, sets: np.ndarray, sketch: np.ndarra
             continue
         used, local = np.unique(owner[lo:hi], return_inverse=True)
         low = (flat[lo:hi] & np.uint64(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5]
-        rows.append((p, None, None, None, low.tobytes(), local.astype(np.uint16).tobytes(), sets[used].tobytes(), sketch[used].tobytes(), new))
+        rows.append((p, 0, 0, 0, low.tobytes(), local.astype(np.uint16).tobytes(), sets[used].tobytes(), sketch[used].tobytes(), new))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
 
 
@@ -78,7 +78,7 @@ def texts_to_run(rows: DataFrame, model: residue.Model, plan: Plan, parts: int)
                 values, offsets = ts.shingle_sets(doc, h, len(p), plan.k)
                 sh = ts.set_hashes(values, offsets)
                 good = ~flag & (sh != 0)
-                yield pd.DataFrame({"part": None, "rec": p["rec"].to_numpy()[good], "sh": sh[good], "ord": p["ord"].to_numpy()[good], "keys": None, "at": None, "sets": None, "sketch": None, "new": p["new"].to_numpy()[good]})
+                yield pd.DataFrame({"part": np.abs(sh[good]) % parts, "rec": p["rec"].to_numpy()[good], "sh": sh[good], "ord": p["ord"].to_numpy()[good], "keys": None, "at": None, "sets": None, "sketch": None, "new": p["new"].to_numpy()[good]})
                 fresh = p["new"].to_numpy().astype(bool)
                 for new in (True, False):
                     seen = done[new]
@@ -154,19 +154,36 @@ def window_pairs(blobs: list[tuple[bytes, bytes, bytes, bytes, bool]], plan: Pla
                     yield check(begin + x[keep], begin + y[keep])
 
 
-def links(run: DataFrame, plan: Plan, parts: int, only_new: bool = False) -> DataFrame:
-    """Distinct candidate links of all key ranges."""
+LINK = "link boolean, a bigint, b bigint, ord bigint, new boolean"
+
+
+def links_and_records(run: DataFrame, plan: Plan, parts: int, only_new: bool = False) -> DataFrame:
+    """Candidate links ``(a, b)`` of all key ranges, and the record rows ``(rec, sh, ord, new)`` beside them.
+
+    Both go through one exchange by part, so the packed keys are neither computed nor stored twice. No
+    64-bit column holds NULL, as pandas would turn it into a float.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs: dict[int, list] = {}
         for b in batches:
-            for r in zip(b["part"], b["keys"], b["at"], b["sets"], b["sketch"], b["new"], strict=True):
-                blobs.setdefault(r[0], []).append(r[1:])
+            plain = b["keys"].isna()
+            if plain.any():
+                yield b.loc[plain, ["rec", "sh", "ord", "new"]].rename(columns={"rec": "a", "sh": "b"}).assign(link=False)
+            for r in b.loc[~plain, ["part", "keys", "at", "sets", "sketch", "new"]].itertuples(index=False):
+                blobs.setdefault(r[0], []).append(tuple(r[1:]))
         for part in sorted(blobs):
-            yield from window_pairs(blobs[part], plan, only_new)
+            for found in window_pairs(blobs.pop(part), plan, only_new):
+                if len(found):
+                    yield found.assign(link=True, ord=0, new=False)
+
+    return run.repartition(parts, "part").mapInPandas(work, LINK)
+
 
-    packed = run.filter(F.col("keys").isNotNull()).select("part", "keys", "at", "sets", "sketch", "new").repartition(parts, "part")
-    return packed.mapInPandas(work, "a bigint, b bigint").distinct()
+def split_links(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(links, records)`` of the cut result of :func:`links_and_records`."""
+    records = both.filter(~F.col("link")).select(F.col("a").alias("rec"), F.col("b").alias("sh"), "ord", "new")
+    return both.filter("link").select("a", "b").distinct(), records.distinct()
 
 
 def parts_for(df: DataFrame) -> int:
@@ -175,7 +192,8 @@ def parts_for(df: DataFrame) -> int:
 
 
 def jaccard_sorted(a: np.ndarray, b: np.ndarray) -> float:
-    both = np.intersect1d(a, b, assume_unique=True).size
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
     return both / max(1, len(a) + len(b) - both)
 
 
@@ -183,7 +201,8 @@ SETS = "sh bigint, grams binary"
 
 
 def exact_sets(texts: DataFrame, plan: Plan) -> DataFrame:
-    """``(sh, grams)`` of rows ``(sh, description)``: the sorted shingle hashes for exact comparison."""
+    """``(sh, grams)`` of rows ``(sh, description)``: the sorted shingle hashes (32 bits: two sets of
+    some hundred runs meet by chance in less than one of 10 000 comparisons, and then in one run)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = ts.Vocabulary()
@@ -193,7 +212,7 @@ def exact_sets(texts: DataFrame, plan: Plan) -> DataFrame:
                 seg = residue.segments([residue.prepare(t) for t in p["description"]], [None] * len(p), vocabulary)
                 doc, h, _ = seg.tokens
                 values, offsets = ts.shingle_sets(doc, h, len(p), plan.k)
-                yield pd.DataFrame({"sh": p["sh"].to_numpy(), "grams": [values[offsets[x] : offsets[x + 1]].tobytes() for x in range(len(p))]})
+                yield pd.DataFrame({"sh": p["sh"].to_numpy(), "grams": [np.sort(values[offsets[x] : offsets[x + 1]].astype(np.uint32)).tobytes() for x in range(len(p))]})
 
     return texts.select("sh", "description").mapInPandas(work, SETS)
 
@@ -205,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [jaccard_sorted(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= plan.threshold for x, y in zip(b["ga"], b["gb"], strict=True)]
+            ok = [jaccard_sorted(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= plan.threshold for x, y in zip(b["ga"], b["gb"], strict=True)]
             yield b.loc[ok, ["a", "b"]]
 
     return both.select("a", "b", "ga", "gb").mapInPandas(work, "a bigint, b bigint")
@@ -223,4 +242,3 @@ def needed_texts(records: DataFrame, nodes: DataFrame, texts: DataFrame) -> Data
 
 
 BROADCAST_ROWS = 500_000
-Links = Callable[[DataFrame], DataFrame]

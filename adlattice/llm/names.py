@@ -75,7 +75,9 @@ def _trade_word(t: str, repair: bool) -> str | None:
     word = t if t in TRADE_WORDS else SHORT.get(t)
     if not word and repair and len(t) > 2 and t not in _GIVEN:
         hit = near(t, _TRADE_NEAR)
-        word = hit[0][0] if hit and len(hit[0][0]) > 3 else None
+        # of words equally near, one of the same letters (a swap) comes first
+        hit = sorted((n, sorted(w) != sorted(t), w) for w, n in hit)
+        word = hit[0][2] if hit and len(hit[0][2]) > 3 else None
     return re.sub("s$", "", word) if word else None
 
 

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import history, near, residue
+from adlattice.llm import canonical, history, names, near, residue
 from adlattice.sources.tables import table
 
 
+def p1_found(s: SparkSession, d: str) -> DataFrame:
+    return canonical.found(table(s, d, "jobs"), table(s, d, "location_ref"), table(s, d, "job_class"))
+
+
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return names.found(table(s, d, "jobs"))
+
+
 def p4_found(s: SparkSession, d: str) -> DataFrame:
     return residue.found(table(s, d, "jobs"))
 
@@ -24,5 +32,5 @@ def p7_groups(s: SparkSession, d: str) -> DataFrame:
     return near.groups(table(s, d, "jobs"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_found, p7_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p7_found, p7_groups)}
 SQL: dict[str, str] = {}
