@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adlattice.llm import canonical, history, names, near, residue
+from adlattice.llm import canonical, history, mixing, names, near, packing, quality, residue
 from adlattice.sources.tables import table
 
 
@@ -32,5 +32,37 @@ def p7_groups(s: SparkSession, d: str) -> DataFrame:
     return near.groups(table(s, d, "jobs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_found, p7_found, p7_groups)}
+def p8_containers(s: SparkSession, d: str) -> DataFrame:
+    limits = table(s, d, "pack_limit")
+    return packing.containers(packing.pack(table(s, d, "documents"), limits), limits)
+
+
+def p8_members(s: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(s, d, "documents"), table(s, d, "pack_limit"))
+
+
+def p8_summary(s: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p8_containers(s, d))
+
+
+def p9_mix(s: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[0]
+
+
+def p9_shares(s: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[1]
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return quality.found(table(s, d, "documents"))
+
+
+def p10_statistics(s: SparkSession, d: str) -> DataFrame:
+    return quality.measure(table(s, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p2_found, p4_found, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p9_mix, p9_shares, p10_found, p10_statistics)
+}
 SQL: dict[str, str] = {}
