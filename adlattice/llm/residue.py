@@ -217,7 +217,8 @@ def training_rows(jobs: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     total = jobs.count()
     keep = max(1, -(-total // sample))
     picked = rows.filter(F.pmod(F.xxhash64("internal_id"), F.lit(keep)) == 0)
-    return picked.select("internal_id", "name", "description", F.regexp_replace(F.lower("source"), "[^a-z]", "").alias("host")).orderBy("internal_id").limit(2 * sample).toPandas()
+    host = F.regexp_replace(F.lower("source"), "[^a-z]", "") if "source" in jobs.columns else F.lit(None).cast("string")
+    return picked.select("internal_id", "name", "description", host.alias("host")).orderBy("internal_id").limit(2 * sample).toPandas()
 
 
 def fit(jobs: DataFrame, sample: int = SAMPLE) -> Model:
