@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlattice.functions import dates, html
-from adlattice.operators import ingest, matching, search, terms, worklist
+from adlattice.operators import api, crawl, ingest, matching, search, terms, worklist
 from adlattice.sources.tables import feed_columns, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,3 +534,107 @@ def multi_facet_search(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, name, max(internal_id) AS internal_id FROM (SELECT id, internal_id, arg_max(name, internal_id) OVER (PARTITION BY id) AS name FROM jobs) GROUP BY 1, 2")
 def bulk_import_latest(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).groupBy("id").agg(F.max_by("name", "internal_id").alias("name"), F.max("internal_id").alias("internal_id"))
+
+
+# --- crawl runs, export shapes and remaining request pieces -------------------------------------------
+
+
+@query("SELECT internal_id AS \"internalId\", company_name AS \"companyName\", date_posted AS \"datePosted\", job_class AS \"jobClass\" FROM jobs")
+def camel_case_rows(s: SparkSession, d: str) -> DataFrame:
+    return api.camel_case(jobs(s, d).select("internal_id", "company_name", "date_posted", "job_class"))
+
+
+@query("SELECT internal_id FROM jobs WHERE id <> '' AND name <> '' AND company_name <> ''")
+def essential_fields(s: SparkSession, d: str) -> DataFrame:
+    return crawl.essential(jobs(s, d)).select("internal_id")
+
+
+@query("SELECT internal_id, id FROM jobs WHERE internal_id BETWEEN 50 AND 150")
+def id_range(s: SparkSession, d: str) -> DataFrame:
+    return jobs(s, d).filter(F.col("internal_id").between(50, 150)).select("internal_id", "id")
+
+
+@query("SELECT id, crawled_at FROM jobs_raw WHERE crawled_at >= TIMESTAMP '2025-12-12 00:00:00' - INTERVAL 72 HOUR ORDER BY crawled_at DESC, id DESC LIMIT 20")
+def hours_old(s: SparkSession, d: str) -> DataFrame:
+    until = F.to_timestamp_ntz(F.lit("2025-12-12 00:00:00"))
+    return crawl.recent(table(s, d, "jobs_raw").select("id", F.col("crawled_at").cast("timestamp_ntz").alias("crawled_at")), "crawled_at", until, 72, 20)
+
+
+@query("SELECT id, coalesce(CASE lower(trim(name)) WHEN 'jobsdb' THEN 'ListedDate' WHEN 'indeed' THEN 'KeywordRelevance' END, 'ListedDate') AS sort_mode FROM source_platform")
+def search_parameter(s: SparkSession, d: str) -> DataFrame:
+    modes = {"jobsdb": crawl.SORT_MODES["date"], "indeed": crawl.SORT_MODES["relevance"]}
+    return table(s, d, "source_platform").select("id", crawl.lookup(F.col("name"), modes, "ListedDate").alias("sort_mode"))
+
+
+@query(f"SELECT internal_id % 8 AS worker, array_to_string(list_sort(list(id)), ',') AS failed_ids FROM jobs WHERE NOT coalesce({OK_SQL}, false) GROUP BY 1")
+def failed_ids(s: SparkSession, d: str) -> DataFrame:
+    return crawl.failed_ids(jobs(s, d).withColumn("worker", F.col("internal_id") % 8)).select("worker", F.array_join("failed_ids", ",").alias("failed_ids"))
+
+
+@query("SELECT job_class, max(p) - min(p) + 1 AS pages_scraped FROM (SELECT name AS job_class, p FROM job_class, range(3, 8) t(p)) GROUP BY 1")
+def pages_scraped(s: SparkSession, d: str) -> DataFrame:
+    units = worklist.crawl_units(table(s, d, "job_class"), 3, 7)
+    return units.groupBy("job_class").agg((F.max("page") - F.min("page") + 1).alias("pages_scraped"))
+
+
+@query("SELECT count(*) AS listed, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = r.external_id)) AS new FROM jobs_raw r")
+def found_and_new(s: SparkSession, d: str) -> DataFrame:
+    raw = table(s, d, "jobs_raw").select("external_id")
+    stored = jobs(s, d).select(F.col("id").alias("external_id"))
+    fresh = ingest.unseen(raw, stored, "external_id").agg(F.count(F.lit(1)).alias("new"))
+    return raw.agg(F.count(F.lit(1)).alias("listed")).join(fresh)
+
+
+@query("SELECT internal_id, id FROM (SELECT internal_id, id FROM jobs WHERE description <> 'N/A' ORDER BY internal_id DESC LIMIT 60)")
+def union_of_pages(s: SparkSession, d: str) -> DataFrame:
+    rows = search.listing(jobs(s, d)).select("internal_id", "id")
+    return reduce(DataFrame.unionByName, [search.page(rows, n, 20) for n in (1, 2, 3)])
+
+
+@query("SELECT internal_id, r AS rank FROM (SELECT internal_id, row_number() OVER (ORDER BY internal_id DESC) AS r, count(*) OVER () AS n FROM jobs) WHERE r % 50 = 0 OR r = 1 OR r = n")
+def progress_marks(s: SparkSession, d: str) -> DataFrame:
+    ids = jobs(s, d).select("internal_id")
+    total = ids.agg(F.count(F.lit(1)).alias("n"))
+    return worklist.global_rank(ids, "internal_id").join(F.broadcast(total)).filter("rank % 50 = 0 OR rank = 1 OR rank = n").select("internal_id", "rank")
+
+
+@query("SELECT id, company_name FROM (SELECT coalesce(id, '') AS id, coalesce(nullif(trim(regexp_replace(coalesce(company_name, ''), '\\s+', ' ', 'g')), ''), 'Unknown Company') AS company_name FROM jobs WHERE internal_id % 2 = 0) x WHERE id <> '' AND id NOT IN (SELECT id FROM jobs WHERE internal_id % 2 = 1 AND id IS NOT NULL)")
+def listing_crawl(s: SparkSession, d: str) -> DataFrame:
+    listed = pages(s, d).filter("internal_id % 2 = 0")
+    stored = jobs(s, d).filter("internal_id % 2 = 1").select("id")
+    # the first card of these pages is the posting, the second one a place without id of the board
+    return crawl.listing_run(listed, stored).filter(~F.col("id").startswith("x")).select("id", "company_name")
+
+
+@query(f"SELECT id, round({JACCARD} * CAST(0.6 AS DOUBLE) + CASE WHEN len(wanted) > 0 THEN round(len(list_intersect(wanted, have)) * CAST(100.0 AS DOUBLE) / len(wanted), 4) ELSE CAST(0 AS DOUBLE) END * CAST(0.25 AS DOUBLE) + CAST(50 AS DOUBLE) * CAST(0.15 AS DOUBLE), 2) AS score FROM ({SCORED})")
+def match_composite(s: SparkSession, d: str) -> DataFrame:
+    skill, cover = matching.jaccard(F.col("wanted"), F.col("have")), matching.coverage(F.col("have"), F.col("wanted"))
+    return scored(s, d).select("id", F.round(matching.composite(skill, cover, F.lit(50.0)), 2).alias("score"))
+
+
+@query(f"SELECT resume_id, max(score) AS best FROM (SELECT resume_id, {JACCARD} AS score FROM ({SCORED})) GROUP BY 1 HAVING max(score) < 30")
+def low_match_resumes(s: SparkSession, d: str) -> DataFrame:
+    rows = scored(s, d).select("resume_id", matching.jaccard(F.col("wanted"), F.col("have")).alias("score"))
+    return rows.groupBy("resume_id").agg(F.max("score").alias("best")).filter("best < 30")
+
+
+@query("SELECT DISTINCT a.user_id, k.job_id FROM (SELECT DISTINCT user_id, job_class FROM applications x JOIN jobs j ON j.internal_id = x.job_id WHERE status = 'offer' AND job_class IS NOT NULL) a JOIN (SELECT job_class, arg_max(internal_id, internal_id) AS job_id FROM jobs WHERE job_class IS NOT NULL GROUP BY 1) k ON k.job_class = a.job_class WHERE NOT EXISTS (SELECT 1 FROM applications b WHERE b.user_id = a.user_id AND b.job_id = k.job_id)")
+def recommended_not_applied(s: SparkSession, d: str) -> DataFrame:
+    applied = table(s, d, "applications").select("user_id", "job_id", "status")
+    classes = jobs(s, d).select(F.col("internal_id").alias("job_id"), "job_class").filter("job_class IS NOT NULL")
+    liked = applied.filter("status = 'offer'").join(classes, "job_id").select("user_id", "job_class").distinct()
+    newest = classes.groupBy("job_class").agg(F.max("job_id").alias("job_id"))
+    return liked.join(newest, "job_class").select("user_id", "job_id").distinct().join(applied.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
+
+
+TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in matching.STOPWORDS) + "))"
+
+
+@query(
+    f"WITH t AS (SELECT internal_id, unnest({TOKENS_SQL}) AS token FROM jobs), n AS (SELECT count(*) AS n FROM jobs), df AS (SELECT token, count(DISTINCT internal_id) AS df FROM t GROUP BY 1), "
+    "w AS (SELECT internal_id, t.token, count(*) * ln((1 + n.n) / CAST(1 + df.df AS DOUBLE)) AS w FROM t JOIN df USING (token), n GROUP BY internal_id, t.token, n.n, df.df), "
+    "l AS (SELECT internal_id, sqrt(sum(w * w)) AS len FROM w GROUP BY 1), q AS (SELECT token, ln((1 + n.n) / CAST(1 + df AS DOUBLE)) AS w FROM df, n WHERE token IN ('clerk', 'officer')) "
+    "SELECT internal_id, round(sum(w.w * q.w) / (max(l.len) * (SELECT sqrt(sum(w * w)) FROM q)), 6) AS score FROM w JOIN q USING (token) JOIN l USING (internal_id) WHERE l.len > 0 GROUP BY 1"
+)
+def tfidf_match(s: SparkSession, d: str) -> DataFrame:
+    return matching.tfidf_scores(jobs(s, d).select("internal_id", matching.tokens(F.col("name")).alias("tokens")), "internal_id", ["clerk", "officer"])

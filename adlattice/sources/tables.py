@@ -36,7 +36,8 @@ def feed_columns(raw: Column) -> dict[str, Column]:
     """Fields of one JSON record. ``company`` may be text or an object with a name; broken JSON gives NULLs."""
     item = F.from_json(raw, FEED_SCHEMA, {"mode": "PERMISSIVE"})
     whole = F.get_json_object(raw, "$").isNotNull()
-    company = F.coalesce(F.get_json_object(raw, "$.company.name"), F.when(~item["company"].startswith("{"), item["company"]))
+    told = F.get_json_object(raw, "$.company")
+    company = F.when(told.startswith("{"), F.get_json_object(told, "$.name")).otherwise(told)
     fields = {n: item[n] for n in ("id", "name", "location", "salary", "description", "date_posted", "job_class")}
     return {n: F.when(whole, c) for n, c in (fields | {"company": company}).items()}
 
