@@ -184,7 +184,7 @@ def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 12, plan: kr.
     hold several batches, as arrival order decides among its own records).
     """
     spark = jobs.sparkSession
-    index = HistoryIndex(spark, model=residue.fit(jobs), plan=plan)
+    index = HistoryIndex(spark, model=residue.fit(jobs), plan=plan, ranges=kr.parts_for(jobs))
     history = job_records(jobs)
     index.load(history)
     records = raw_records(raw)

@@ -186,9 +186,13 @@ def split_links(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("link").select("a", "b").distinct(), records.distinct()
 
 
-def parts_for(df: DataFrame) -> int:
-    """Key ranges: as many as shuffle partitions, which a cluster sizes with its data."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+ROWS_PER_PART = 40_000
+
+
+def parts_for(df: DataFrame, rows: int | None = None) -> int:
+    """Key ranges: as many as shuffle partitions, and enough that a range holds the keys of about 40 000 texts."""
+    rows = df.count() if rows is None else rows
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // ROWS_PER_PART))
 
 
 def jaccard_sorted(a: np.ndarray, b: np.ndarray) -> float:

@@ -31,7 +31,8 @@ WORDS = frozenset(w for v in COMMON.values() for w in v.split())
 # Characters that carry the grammar of Chinese sentences.
 HAN_COMMON = frozenset("的了在是我你他她它們们這这那與与和不也但就都會会有要可以及並并已經经其中為为對对於于如果因此所從从到沒没很更最再能被把讓让將将個个請请由而或雖虽然還还只時时後后前先使說说")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
-_WORD = re.compile(r"[^\W\d_㐀-鿿豈-﫿]+(?:['’][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_㐀-鿿豈-﫿]+")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 _END = re.compile(r"(?:[.!?…]|\.\.\.)[\"'”’»)\]]*(?=\s|$)|[。！？]")
 _BETWEEN = re.compile(r"\s[>|/·•»›]\s")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
@@ -40,20 +41,24 @@ _GRID = re.compile(r"\|.*\||\t.*\t|;[^; ]+;|,[^, ]+,[^, ]+,|\.{5,}|\s{4,}\S+\s{4
 PUNCT_END = re.compile(r"[.!?…。！？;:\"”»)]\s*$")
 
 
-def _features(line: str) -> tuple[int, int, int, int, int]:
-    """Words, common words, Han characters, common Han characters, solid characters of a line."""
-    words = _WORD.findall(line)
-    han = _HAN.findall(line)
-    common = sum(1 for w in words if w.casefold() in WORDS or w.split("'")[0].split("’")[0].casefold() in WORDS)
-    return len(words), common, len(han), sum(h in HAN_COMMON for h in han), len(line) - line.count(" ") - line.count("\t")
+Line = tuple[int, int, int, int, int, int]
+_common, _han_common = WORDS.__contains__, HAN_COMMON.__contains__
 
 
-def _is_sentence(f: tuple[int, int, int, int, int], line: str, ends: bool) -> bool:
-    words, common, han, han_common, solid = f
+def _features(low: str) -> tuple[Line, list[str], list[str]]:
+    """Words, common words, Han characters, common Han characters, solid characters and letters of a
+    case-folded line; and its words and Han characters."""
+    words = _WORD.findall(low)
+    han = [] if low.isascii() else _HAN.findall(low)
+    solid = len("".join(low.split()))
+    return (len(words), sum(map(_common, words)), len(han), sum(map(_han_common, han)), solid, sum(map(len, words)) + len(han)), words, han
+
+
+def _is_sentence(f: Line, line: str, ends: bool) -> bool:
+    words, common, han, han_common, solid, letters = f
     if solid == 0:
         return False
-    letters = sum(c.isalpha() for c in line)
-    if letters < 0.7 * solid or _GRID.search(line) and letters < 0.9 * solid:
+    if letters < 0.7 * solid or letters < 0.9 * solid and _GRID.search(line):
         return False
     if 6 * len(_BETWEEN.findall(line)) >= words + han:
         return False  # a path or menu
@@ -64,44 +69,47 @@ def _is_sentence(f: tuple[int, int, int, int, int], line: str, ends: bool) -> bo
     return words >= 7 and common >= 0.24 * words
 
 
-def prose_share(text: str) -> float:
-    """Share of the solid characters of a text that lie in running sentences."""
-    total = prose = 0
-    held: list[str] = []
-    chars = 0
+def prose_share(text: str) -> tuple[float, list[str], list[str], int]:
+    """Share of the solid characters of a text that lie in running sentences; its words, Han characters and common ones."""
+    total = prose = common = 0
+    all_words: list[str] = []
+    all_han: list[str] = []
+    held: list[tuple[str, Line]] = []
 
     def close() -> int:
         """Short lines together: prose if they make whole sentences of common words."""
         if not held:
             return 0
-        whole = " ".join(held)
-        f = _features(whole)
+        whole = " ".join(x for x, _ in held)
+        f = tuple(map(sum, zip(*(y for _, y in held), strict=True)))
         n_ends = len(_END.findall(whole))
-        marked = sum(bool(_MARK.match(x)) for x in held) > 0.5 * len(held)
-        units = f[0] + f[2]
-        ok = n_ends > 0 and units <= 60 * n_ends and not marked and _is_sentence(f, whole, True) and not (n_ends < len(held) / 12)
-        return chars if ok else 0
+        marked = sum(bool(_MARK.match(x)) for x, _ in held) > 0.5 * len(held)
+        ok = n_ends > 0 and f[0] + f[2] <= 60 * n_ends and not marked and n_ends >= len(held) / 12 and _is_sentence(f, whole, True)
+        return f[4] if ok else 0
 
-    for raw in _TAG.sub(" ", text).split("\n"):
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    for raw in text.casefold().split("\n"):
         line = raw.strip()
-        f = _features(line)
-        total += f[4]
         if not line:
             # an empty line between broken words does not end their paragraph
             continue
+        f, words, han = _features(line)
+        total += f[4]
+        common += f[1] + f[3]
+        all_words += words
+        all_han += han
         body = _MARK.sub("", line)
         ends = bool(_END.search(body))
-        long = f[0] + f[2] >= (7 if f[0] >= f[2] else 12)
-        if long or ends and f[0] >= 4:
+        if f[0] + f[2] >= (7 if f[0] >= f[2] else 12) or ends and f[0] >= 4:
             prose += close()
-            held, chars = [], 0
+            held = []
             if _is_sentence(f, body, ends):
                 prose += f[4]
         else:
-            held.append(line)
-            chars += f[4]
+            held.append((line, f))
     prose += close()
-    return prose / total if total else 0.0
+    return prose / total if total else 0.0, all_words, all_han, common
 
 
 def _top_ngram(words: list[str], n: int) -> float:
@@ -125,18 +133,14 @@ def statistics(text: str | None) -> tuple:
     """All statistics of one text, in the order of ``STATS`` without the key."""
     if text is None or not text.strip():
         return 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None
-    words = _WORD.findall(text)
-    han = _HAN.findall(text)
+    share, words, han, common = prose_share(text)
     n = len(words) + len(han)
-    solid = sum(not c.isspace() for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
+    solid = len("".join(text.split()))
+    symbols = len(_SYMBOL.findall(text))
     lines = [x for x in text.split("\n") if x.strip()]
-    low = [w.casefold() for w in words]
-    common = sum(w in WORDS for w in low) + sum(h in HAN_COMMON for h in han)
     mean = (sum(map(len, words)) + len(han)) / n if n else 0.0
-    tokens = low or han
+    tokens = words or han
     top2, top4 = _top_ngram(tokens, 2), _top_ngram(tokens, 4)
-    share = prose_share(text)
     # heaped keywords repeat few words without grammar, which the common words show
     heaped = top2 > 0.25 and common < 0.12 * max(1, n)
     return n, mean, symbols / max(1, solid), sum(bool(PUNCT_END.search(x)) for x in lines) / len(lines), common / max(1, n), _repeated(lines), _repeated(re.split(r"\n\s*\n", text)), top2, top4, share, share >= 0.5 and not heaped
