@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from adlattice.llm import textsets as ts
 
-SAMPLE = 6_000
-MARGIN = (-1.2, 1.5)
+SAMPLE = 8_000
+MARGIN = (-2.0, 1.5)
+SHORT_TEXT = 400
 BITS = 18
 _U = np.uint64
 
@@ -45,9 +46,16 @@ PHRASE = re.compile("|".join(PHRASES))
 # Sentences that talk about such things are labelled as text.
 TALK = re.compile(r"such as|called|in a \x01?\w* ?\S* ?\x01? ?style|explains?|you will (?:bring|replace|write|configure)|handled by|together with|hours: |kept? (?:them )?documented|is required for this post|before each catalogue")
 FILLER_WORDS = frozenset("lorem ipsum dolor amet ipsera dolorem fugiat commodis amentor laborus proidenta magnum sintus noscera mollitus duisera volupta irural estium aliquor cillumen ullamar nullar tempusa vidicum".split())
+# Usual names of the fields of a template, beside those the sample shows.
+FIELDS = frozenset(
+    "company|company name|employer|employer name|firm|team|manager|line manager|branch|department|city|location|address|office address|salary|benefit|benefits|duties|task|tasks|industry|product|count|headcount|years|start_date|start date|title|job title|jobtitle|position|role|name|"
+    "first name|firstname|last name|date|phone|email|contact.email|ref_no|reference|skill|skill_1|nombre|empresa|puesto|abteilung|firma|stadt|gehalt|poste|entreprise|ville|salaire|職位|公司|部門|地點|薪金".split("|")
+)
+# A notation that a sentence speaks of is not a placeholder.
+_BEFORE, _AFTER = re.compile(r"(?:such as|called|named|like)\s*$"), re.compile(r"\s*(?:style|syntax|format|language|notation)")
 _FIELD = re.compile(r"insert|here|your|name|company|employer|title|manager|address|salary|city|date|skill|_|^[a-z]{0,3}\d|職位")
 # Notations that are never used for anything else; what stands inside them tells field names.
-_SURE = frozenset("bdefgilmnopq")
+_SURE = frozenset("bdefghilmnopqrstuvwx")
 
 
 @dataclass
@@ -136,22 +144,23 @@ def field_names(texts: list[str]) -> frozenset[str]:
     return frozenset(k for k, n in seen.items() if n >= 2)
 
 
-_MARK = re.compile(r"\x01([a-q])([^\x01]*)\x01")
+_MARK = re.compile(r"\x01([a-x])([^\x01]*)\x01")
 _SPLIT = re.compile(r"\n|[.!?。！？](?=\s|$)")
 
 
 def weak_label(segment: str, fields: frozenset[str]) -> int:
     """1 notice, filler or placeholder; 0 advert text; -1 no opinion."""
-    marks = _MARK.findall(segment)
     words = re.findall(r"[^\W\d_]+", segment)
-    if TALK.search(segment) and not any(g in "bdefgo" for g, _ in marks):
-        return 0
-    for g, inner in marks:
-        inner = inner.strip()
-        if g in _SURE or g in "ach" or inner in fields or re.sub(r"^insert ", "", inner) in fields or _FIELD.search(inner):
+    marks = list(_MARK.finditer(segment))
+    for m in marks:
+        g, inner = m[1], m[2].strip()
+        known = inner in FIELDS or inner in fields or re.sub(r"^insert ", "", inner) in fields | FIELDS
+        if g in _SURE or known or (g in "ac" and not (_BEFORE.search(segment[: m.start()]) or _AFTER.match(segment[m.end() :]))) or (g not in "ac" and _FIELD.search(inner)):
             return 1
     if marks:
-        return -1 if any(i.strip().isdigit() for _, i in marks) else 0
+        return -1 if any(m[2].strip().isdigit() for m in marks) else 0
+    if TALK.search(segment):
+        return 0
     if PHRASE.search(segment):
         return 1
     if len(words) >= 4 and sum(w in FILLER_WORDS for w in words) >= 0.4 * len(words):
@@ -228,14 +237,16 @@ def fit(jobs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def flags(model: Model, texts: list[str], titles: list[str | None], vocabulary: ts.Vocabulary) -> tuple[np.ndarray, np.ndarray, Segments]:
     """``(flag, score, segments)`` per text. The classifier decides; scores within ``MARGIN`` of its
-    boundary are settled by the labelling rules as an exact check."""
+    boundary, and short texts and texts with a placeholder notation that score low, are settled by the labelling rules
+    as an exact check."""
     ready = [prepare(t) for t in texts]
     s = segments(ready, titles, vocabulary)
     score = np.full(len(texts), -np.inf)
     if len(s.doc):
         np.maximum.at(score, s.doc, model.scores(s))
     flag = score > 0
-    for i in np.flatnonzero((score > MARGIN[0]) & (score < MARGIN[1])):
+    marked = np.array([ts.MASK in t or len(t) < SHORT_TEXT for t in ready], bool)
+    for i in np.flatnonzero((score < MARGIN[1]) & ((score > MARGIN[0]) | marked)):
         flag[i] = any(weak_label(x, model.fields) == 1 for x in _SPLIT.split(ready[i]))
     return flag, score, s
 

@@ -28,8 +28,9 @@ PLACEHOLDER = re.compile(
     r"\{%(?P<b>[^{}%]{1,60})%\}|\{\{(?P<a>[^{}]{1,60})\}\}|\$\{(?P<c>[^{}]{1,60})\}|%%(?P<d>[^%\n]{1,60})%%|\[\[(?P<e>[^\[\]]{1,60})\]\]|<<(?P<f>[^<>]{1,60})>>"
     r"|@@(?P<g>[^@\n]{1,60})@@|(?<!\w)#(?P<h>[^\W\d][\w ]{0,40})#(?!\w)|(?<![^\W_])__(?P<i>[^\W_][\w ]{0,40}?)__(?![^\W_])|\[(?P<j>[^\[\]\n]{1,60})\]|(?<![{$])\{(?P<k>[^{}\n\"':;]{1,40})\}(?!\})"
     r"|&lt;(?P<l>[^&<>\n]{1,40})&gt;|【(?P<m>[^【】\n]{1,40})】|\((?P<n>[^()\n]{1,60}) to be [a-z]+\)|(?P<o>_{5,})|<%=?(?P<p>[^%<>\n]{1,60})%>|\*\|(?P<q>[^*|\n]{1,40})\|\*"
+    r"|<\?=?(?P<r>[^<>?\n]{1,60}(?:->[^<>?\n]{1,40})?)\?>|«(?P<s>[^«»\n]{1,40})»|<(?P<t>[A-Za-z]+_\w+|[A-Z]{3,}(?: [A-Z]+)*)>|\*\*(?P<u>(?:add|insert|enter|write|describe|fill in)\b[^*\n]{2,80})\*\*|\((?P<v>(?:enter|insert|add|fill in|your)\b[^()\n]{2,60})\)|\$(?P<x>[A-Za-z_]{2,40})\$|\b(?P<w>X{2,4})(?= (?:years|months|people|hours|days|staff))"
 )
-_MAY_HOLD = re.compile(r"[{\[%#@【_]|&lt;|<<|\*\||to be ")
+_MAY_HOLD = re.compile(r"[{\[%#@【_«]|&lt;|<<|<\?|<[A-Z]|\*\*?\b|\$[A-Za-z_]+\$|\*\||to be |\((?:enter|insert|add|fill|your)|XX")
 
 
 def is_advert(text: str | None) -> bool:
