@@ -158,6 +158,8 @@ def weak_label(segment: str, fields: frozenset[str]) -> int:
         if g in _SURE or known or (g in "ac" and not (_BEFORE.search(segment[: m.start()]) or _AFTER.match(segment[m.end() :]))) or (g not in "ac" and _FIELD.search(inner)):
             return 1
     if marks:
+        if PHRASE.search(re.sub(r"\x01[a-x]?", " ", segment)):
+            return 1
         return -1 if any(m[2].strip().isdigit() for m in marks) else 0
     if TALK.search(segment):
         return 0
