@@ -20,6 +20,11 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return residue.found(table(s, d, "jobs"))
 
 
+def p4_validation(s: SparkSession, d: str) -> DataFrame:
+    """Precision and recall on each board of a model that has not seen the board."""
+    return s.createDataFrame(residue.validation(table(s, d, "jobs")), "host string, rows bigint, cases bigint, precision double, recall double")
+
+
 def p6_found(s: SparkSession, d: str) -> DataFrame:
     return history.found(table(s, d, "jobs"), table(s, d, "jobs_raw"))
 
@@ -63,6 +68,6 @@ def p10_statistics(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p4_found, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p9_mix, p9_shares, p10_found, p10_statistics)
+    for f in (p1_found, p2_found, p4_found, p4_validation, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p9_mix, p9_shares, p10_found, p10_statistics)
 }
 SQL: dict[str, str] = {}

@@ -239,8 +239,8 @@ def fit(jobs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def flags(model: Model, texts: list[str], titles: list[str | None], vocabulary: ts.Vocabulary) -> tuple[np.ndarray, np.ndarray, Segments]:
     """``(flag, score, segments)`` per text. The classifier decides; scores within ``MARGIN`` of its
-    boundary, and short texts and texts with a placeholder notation that score low, are settled by the labelling rules
-    as an exact check."""
+    boundary, short texts and texts with a bracket notation are settled by the labelling rules as an
+    exact check."""
     ready = [prepare(t) for t in texts]
     s = segments(ready, titles, vocabulary)
     score = np.full(len(texts), -np.inf)
@@ -248,7 +248,7 @@ def flags(model: Model, texts: list[str], titles: list[str | None], vocabulary:
         np.maximum.at(score, s.doc, model.scores(s))
     flag = score > 0
     marked = np.array([ts.MASK in t or len(t) < SHORT_TEXT for t in ready], bool)
-    for i in np.flatnonzero((score < MARGIN[1]) & ((score > MARGIN[0]) | marked)):
+    for i in np.flatnonzero(marked | ((score > MARGIN[0]) & (score < MARGIN[1]))):
         flag[i] = any(weak_label(x, model.fields) == 1 for x in _SPLIT.split(ready[i]))
     return flag, score, s
 
