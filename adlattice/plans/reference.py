@@ -100,10 +100,10 @@ term_query("exact_null_text", [T("null", exact=True)], exact_sql("null"))
 term_query("term_like_metacharacters", [T("100_remote%")], like("100_remote%"))
 
 
-@query(f"SELECT {PAGE} FROM jobs WHERE description <> 'N/A' AND source = 'LinkedIn' AND ({like('nurse')} OR {like('clerk')}) AND {exact_sql('Senior')} AND NOT {like('warehouse')} AND NOT {exact_sql('Ltd.')} ORDER BY internal_id DESC LIMIT 20")
+@query(f"SELECT {PAGE} FROM jobs WHERE description <> 'N/A' AND source = 'JobsDB' AND ({like('officer')} OR {like('clerk')}) AND {exact_sql('You')} AND NOT {like('warehouse')} AND NOT {exact_sql('Ltd.')} ORDER BY internal_id DESC LIMIT 20")
 def term_search_page(s: SparkSession, d: str) -> DataFrame:
-    given = [terms.parse_term("nurse/clerk"), terms.parse_term("=Senior"), terms.parse_term("warehouse", True), terms.parse_term("=Ltd.", True)]
-    return paged(search.term_search(jobs(s, d), [t for t in given if t], source="LinkedIn"))
+    given = [terms.parse_term("officer/clerk"), terms.parse_term("=You"), terms.parse_term("warehouse", True), terms.parse_term("=Ltd.", True)]
+    return paged(search.term_search(jobs(s, d), [t for t in given if t], source="JobsDB"))
 
 
 @query(f"SELECT internal_id, id FROM jobs WHERE NOT {like('urgent')}")
