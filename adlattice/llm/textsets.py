@@ -138,6 +138,9 @@ def set_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (mix(total + np.diff(offsets).astype(np.uint64)) >> _U(1)).astype(np.int64) * full
 
 
+ELEMENTS = 400_000
+
+
 def superminhash(values: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
     """SuperMinHash signatures, one row of m 64-bit values per set; an empty set gets equal values.
 
@@ -149,23 +152,26 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
         raise ValueError("at most 128 places")
     n = len(offsets) - 1
     out = np.full(n * m, np.inf)
-    doc, v = np.repeat(np.arange(n), np.diff(offsets)), values
-    perm = np.empty((len(v), m), np.int8)
-    perm[:] = np.arange(m, dtype=np.int8)
-    for j in range(m):
-        if not len(v):
-            break
-        bits = mix(v + _STEPS[j])
-        r = (bits >> _U(11)).astype(np.float64) * (1.0 / (1 << 53))
-        k = j + (((bits & _U(0xFFFFFFFF)) * _U(m - j)) >> _U(32)).astype(np.int64)
-        rows = np.arange(len(v))
-        place = perm[rows, k]
-        perm[rows, k] = perm[:, j]
-        np.minimum.at(out, doc * m + place, r + j)
-        if j + 1 < m:
-            live = (out.reshape(n, m).max(axis=1) >= j + 1)[doc]
-            if not live.all():
-                v, doc, perm = v[live], doc[live], perm[live]
+    all_docs = np.repeat(np.arange(n), np.diff(offsets))
+    # blocks bound the memory of long texts; minima of blocks combine
+    for lo in range(0, len(values), ELEMENTS):
+        doc, v = all_docs[lo : lo + ELEMENTS], values[lo : lo + ELEMENTS]
+        perm = np.empty((len(v), m), np.int8)
+        perm[:] = np.arange(m, dtype=np.int8)
+        for j in range(m):
+            if not len(v):
+                break
+            bits = mix(v + _STEPS[j])
+            r = (bits >> _U(11)).astype(np.float64) * (1.0 / (1 << 53))
+            k = j + (((bits & _U(0xFFFFFFFF)) * _U(m - j)) >> _U(32)).astype(np.int64)
+            rows = np.arange(len(v))
+            place = perm[rows, k]
+            perm[rows, k] = perm[:, j]
+            np.minimum.at(out, doc * m + place, r + j)
+            if j + 1 < m:
+                live = (out.reshape(n, m).max(axis=1) >= j + 1)[doc]
+                if not live.all():
+                    v, doc, perm = v[live], doc[live], perm[live]
     return mix(np.where(np.isinf(out), 0.0, out).view(np.uint64)).reshape(n, m)
 
 

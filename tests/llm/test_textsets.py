@@ -70,6 +70,14 @@ def test_small_and_empty_sets_have_signatures():
     assert sig.shape == (2, 64) and len(set(sig[0].tolist())) == 64 and len(set(sig[1].tolist())) == 1
 
 
+def test_blocks_of_elements_give_the_same_signature(monkeypatch):
+    v = np.sort(ts.mix(np.arange(1, 900, dtype=np.uint64)))
+    offsets = np.array([0, 10, 10, 500, 899])
+    whole = ts.superminhash(v, offsets, 64)
+    monkeypatch.setattr(ts, "ELEMENTS", 37)
+    assert (ts.superminhash(v, offsets, 64) == whole).all()
+
+
 def window_rows(frames):
     cols = ["keys", "at", "sets", "sketch", "new"]
     by_part = defaultdict(list)
