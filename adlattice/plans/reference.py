@@ -638,3 +638,29 @@ TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce(name, '')),
 )
 def tfidf_match(s: SparkSession, d: str) -> DataFrame:
     return matching.tfidf_scores(jobs(s, d).select("internal_id", matching.tokens(F.col("name")).alias("tokens")), "internal_id", ["clerk", "officer"])
+
+
+@query("SELECT id, user_id FROM applications WHERE status IS NOT NULL AND status <> 'rejected'")
+def approved_rows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "applications").filter(F.col("status").isNotNull() & (F.col("status") != "rejected")).select("id", "user_id")
+
+
+@query("SELECT id, user_id FROM applications WHERE status IS NULL")
+def pending_rows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "applications").filter(F.col("status").isNull()).select("id", "user_id")
+
+
+@query("SELECT 'ok' AS status, true AS connected")
+def health_probe(s: SparkSession, d: str) -> DataFrame:
+    return api.health(s).select("status", "connected")
+
+
+@query("SELECT internal_id, concat_ws(' | ', CASE WHEN location <> '' THEN 'Location: ' || location END, CASE WHEN work_type <> '' THEN 'Type: ' || work_type END, CASE WHEN salary_description <> '' THEN 'Pay: ' || salary_description END) AS lines FROM jobs")
+def card_lines(s: SparkSession, d: str) -> DataFrame:
+    shown = [F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), F.col(c))) for c, label in (("location", "Location"), ("work_type", "Type"), ("salary_description", "Pay"))]
+    return jobs(s, d).select("internal_id", F.concat_ws(" | ", *shown).alias("lines"))
+
+
+@query("SELECT id, name FROM jobs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY internal_id) = 1")
+def first_by_external_id(s: SparkSession, d: str) -> DataFrame:
+    return jobs(s, d).filter("id IS NOT NULL").groupBy("id").agg(F.min_by("name", "internal_id").alias("name"))
