@@ -118,6 +118,13 @@ def test_groups_count_links(spark):
     assert all(got[a][0] == got[b][0] for a, b in pairs)
 
 
+def test_a_group_of_copies_may_hold_a_third_of_all_rows(spark):
+    rows = [(i, "t", advert(3), "c") for i in range(50)] + [(100 + i, "t", advert(20 + i), "c") for i in range(100)] + [(300, "t", edited(3, 9), "c")]
+    frame = spark.createDataFrame(rows, "internal_id bigint, name string, description string, a string")
+    got = {r.internal_id: (r.class_id, r.links) for r in near.groups(frame).collect()}
+    assert len(got) == 151 and all(got[i] == (0, 50) for i in [*range(50), 300]) and all(got[100 + i][1] == 0 for i in range(100))
+
+
 RAW = "id bigint, batch_no int, external_id string, source string, raw_data string, rec string"
 
 
