@@ -43,6 +43,11 @@ PHRASES = [
     r"enter a description of at least", r"asdf asdf", r"x{4,} x{4,}", r"test test test", r"^\W*(?:to be confirmed|tbc|tba|description to follow|coming soon)\W*$",
 ]
 PHRASE = re.compile("|".join(PHRASES))
+# One word of every phrase, to skip the pattern on most segments.
+_HINTS = frozenset(
+    "page gateway found forbidden internal unavailable moved upstream timed reload fehler erreur error service maintenance again requests wait denied permission human seconds session log wrong engineers establishing traceback keyerror advert seite página "
+    "vuelva revenir javascript scripts cookies loading browser sign join forgot new sample publishing folgt follow dummy form description characters asdf test confirmed tbc tba soon".split()
+)
 # Sentences that talk about such things are labelled as text.
 TALK = re.compile(r"such as|called|in a \x01?\w* ?\S* ?\x01? ?style|explains?|you will (?:bring|replace|write|configure)|handled by|together with|hours: |kept? (?:them )?documented|is required for this post|before each catalogue")
 FILLER_WORDS = frozenset("lorem ipsum dolor amet ipsera dolorem fugiat commodis amentor laborus proidenta magnum sintus noscera mollitus duisera volupta irural estium aliquor cillumen ullamar nullar tempusa vidicum".split())
@@ -157,15 +162,12 @@ def weak_label(segment: str, fields: frozenset[str]) -> int:
         known = inner in FIELDS or inner in fields or re.sub(r"^insert ", "", inner) in fields | FIELDS
         if g in _SURE or known or (g in "ac" and not (_BEFORE.search(segment[: m.start()]) or _AFTER.match(segment[m.end() :]))) or (g not in "ac" and _FIELD.search(inner)):
             return 1
+    told = re.sub(r"\x01[a-x]?", " ", segment) if marks else segment
+    if (_HINTS.intersection(words) or "xxxx" in told or not told.isascii()) and PHRASE.search(told):
+        return 0 if TALK.search(told) else 1
     if marks:
-        if PHRASE.search(re.sub(r"\x01[a-x]?", " ", segment)):
-            return 1
         return -1 if any(m[2].strip().isdigit() for m in marks) else 0
-    if TALK.search(segment):
-        return 0
-    if PHRASE.search(segment):
-        return 1
-    if len(words) >= 4 and sum(w in FILLER_WORDS for w in words) >= 0.4 * len(words):
+    if len(words) >= 4 and sum(map(FILLER_WORDS.__contains__, words)) >= 0.4 * len(words):
         return 1
     return 0
 
@@ -188,17 +190,15 @@ def train(texts: list[str], titles: list[str | None], epochs: int = 12, l2: floa
     rng = np.random.default_rng(seed)
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     neg = rng.permutation(neg)[: max(60 * len(pos), 4000)]
-    ends = np.append(s.starts[1:], s.cells.shape[1])
-    rows, cells, vals = [], [], []
+    size = np.diff(np.append(s.starts, s.cells.shape[1]))
     chosen = np.concatenate([pos, neg])
-    for i, seg in enumerate(chosen):
-        c = s.cells[:, s.starts[seg] : ends[seg]].ravel()
-        c = c[c >= 0]
-        rows.append(np.full(len(c), i))
-        cells.append(c)
-        vals.append(np.full(len(c), 1 / np.sqrt(len(c)), np.float32))
-    row, cell, val = np.concatenate(rows), np.concatenate(cells), np.concatenate(vals)
-    starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(chosen)))))
+    at = np.repeat(s.starts[chosen] - np.concatenate(([0], np.cumsum(size[chosen])[:-1])), size[chosen]) + np.arange(size[chosen].sum())
+    cell = s.cells[:, at].T.ravel()
+    row = np.repeat(np.repeat(np.arange(len(chosen)), size[chosen]), 4)
+    row, cell = row[cell >= 0], cell[cell >= 0]
+    counts = np.bincount(row, minlength=len(chosen))
+    val = (1 / np.sqrt(counts))[row]
+    starts = np.concatenate(([0], np.cumsum(counts)))
     target = (y[chosen] == 1).astype(np.float64)
     weight = np.where(target == 1, max(1.0, 0.25 * len(neg) / max(1, len(pos))), 1.0)
     w, g2, b = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), -1.0
