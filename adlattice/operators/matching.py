@@ -69,13 +69,13 @@ def tfidf_scores(docs: DataFrame, key: str, query: list[str]) -> DataFrame:
 
     Document counts and lengths are grouped aggregates; only rows that share a token with the query are scored.
     """
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     terms = docs.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(total)).select("token", F.ln((F.col("n") + 1) / (F.col("df") + 1).cast("double")).alias("idf"))
+    idf = df.select("token", F.ln((total + 1) / (F.col("df") + 1).cast("double")).alias("idf"))
     weighted = terms.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
     length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len")).filter("len > 0")
     q = idf.filter(F.col("token").isin(query))
-    norm = q.agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qlen"))
+    norm = q.agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("qlen")).scalar()
     hits = weighted.join(F.broadcast(q), "token").groupBy(key).agg(F.sum(F.col("w") * F.col("idf")).alias("dot"))
-    return hits.join(length, key).join(F.broadcast(norm)).select(key, F.round(F.col("dot") / (F.col("len") * F.col("qlen")), 6).alias("score"))
+    return hits.join(length, key).select(key, F.round(F.col("dot") / (F.col("len") * norm), 6).alias("score"))

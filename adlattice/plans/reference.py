@@ -582,7 +582,7 @@ def found_and_new(s: SparkSession, d: str) -> DataFrame:
     raw = table(s, d, "jobs_raw").select("external_id")
     stored = jobs(s, d).select(F.col("id").alias("external_id"))
     fresh = ingest.unseen(raw, stored, "external_id").agg(F.count(F.lit(1)).alias("new"))
-    return raw.agg(F.count(F.lit(1)).alias("listed")).join(fresh)
+    return raw.agg(F.count(F.lit(1)).alias("listed")).select("listed", fresh.scalar().alias("new"))
 
 
 @query("SELECT internal_id, id FROM (SELECT internal_id, id FROM jobs WHERE description <> 'N/A' ORDER BY internal_id DESC LIMIT 60)")
@@ -594,8 +594,9 @@ def union_of_pages(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT internal_id, r AS rank FROM (SELECT internal_id, row_number() OVER (ORDER BY internal_id DESC) AS r, count(*) OVER () AS n FROM jobs) WHERE r % 50 = 0 OR r = 1 OR r = n")
 def progress_marks(s: SparkSession, d: str) -> DataFrame:
     ids = jobs(s, d).select("internal_id")
-    total = ids.agg(F.count(F.lit(1)).alias("n"))
-    return worklist.global_rank(ids, "internal_id").join(F.broadcast(total)).filter("rank % 50 = 0 OR rank = 1 OR rank = n").select("internal_id", "rank")
+    total = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rank = F.col("rank")
+    return worklist.global_rank(ids, "internal_id").filter((rank % 50 == 0) | (rank == 1) | (rank == total)).select("internal_id", "rank")
 
 
 @query("SELECT id, company_name FROM (SELECT coalesce(id, '') AS id, coalesce(nullif(trim(regexp_replace(coalesce(company_name, ''), '\\s+', ' ', 'g')), ''), 'Unknown Company') AS company_name FROM jobs WHERE internal_id % 2 = 0) x WHERE id <> '' AND id NOT IN (SELECT id FROM jobs WHERE internal_id % 2 = 1 AND id IS NOT NULL)")
