@@ -99,8 +99,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     caps = F.broadcast(targets.select("source", "max_repeats"))
     chosen = whole.unionByName(last).join(caps, "source").withColumn("uses", F.least("uses", "max_repeats").cast("int")).filter("uses > 0").select("doc_id", "source", "tokens", "uses")
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
-    everything = used.agg(F.sum("tokens").alias("all_tokens"))
-    shares = targets.join(used, "source", "left").join(F.broadcast(everything)).select(
-        "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_uses")], F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("real_share")
+    everything = used.agg(F.sum("tokens").alias("all_tokens")).scalar()
+    shares = targets.join(used, "source", "left").select(
+        "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_uses")], F.round(F.coalesce(F.col("tokens") / everything, F.lit(0.0)), 6).alias("real_share")
     )
     return chosen, shares
