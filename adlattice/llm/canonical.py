@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.llm.strings import deletions, fold, osa
+from adlattice.session import cut
 
 SENTINELS = ("", "N/A", "Unknown Location")
 MAX_REFERENCE = 10_000
@@ -239,5 +240,6 @@ def mapping(values: DataFrame, locations: DataFrame, classes: DataFrame) -> Data
 def found(jobs: DataFrame, locations: DataFrame, classes: DataFrame) -> DataFrame:
     """``(internal_id, field, ref_id)`` of every case. Only distinct values are ranked."""
     rows = cases(jobs, locations, classes)
-    ranked = mapping(rows.select("field", "value").distinct(), locations, classes)
+    # the distinct values are used several times, so they are kept
+    ranked = mapping(cut(rows.select("field", "value").distinct()), locations, classes)
     return rows.join(ranked, ["field", "value"]).select("internal_id", "field", "ref_id")
