@@ -163,18 +163,15 @@ def _joined(part: int, rows: list) -> tuple:
     base, keys, at = 0, [], []
     for r in rows:
         local = np.frombuffer(r.at, np.uint16).astype(np.int64)
-        keys.append(np.frombuffer(r.keys, np.uint8).reshape(-1, 5))
+        keys.append(np.frombuffer(r.keys, np.uint32))
         at.append(where[local + base])
         base += len(r.sets) // 8
-    five = np.concatenate(keys)
-    eight = np.zeros((len(five), 8), np.uint8)
-    eight[:, :5] = five
-    key, own = eight.view(np.uint64).ravel(), np.concatenate(at)
+    key, own = np.concatenate(keys), np.concatenate(at)
     order = np.lexsort((own, key))
     keep = np.ones(len(order), bool)
     keep[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
     order = order[keep]
-    return part, 0, 0, 0, five[order].tobytes(), own[order].astype(np.uint16).tobytes(), unique.tobytes(), sketch[first].tobytes(), False
+    return part, 0, 0, 0, key[order].tobytes(), own[order].astype(np.uint16).tobytes(), unique.tobytes(), sketch[first].tobytes(), False
 
 
 def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 12, plan: kr.Plan | None = None) -> DataFrame:

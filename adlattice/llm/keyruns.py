@@ -1,7 +1,8 @@
 """Sorted runs of similarity keys, packed by key range, and the windows of equal keys in them.
 
 A run holds, for a batch of texts, every band key with the set it belongs to. Rows are packed: one row
-per key range and task, with the keys (5 bytes each) and the sets they point to (a local index into a
+per key range and task, with the keys (their lower 32 bits, as the
+range stands for the upper ones) and the sets they point to (a local index into a
 list of set numbers and bit sketches). Equal texts have one set number, so copies collapse before and
 after the exchange however many there are.
 """
@@ -46,7 +47,7 @@ def pack(keys: np.ndarray, node: np.ndarray, sets: np.ndarray, sketch: np.ndarra
     flat = keys.ravel()
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), keys.shape[1])
     part = ((flat >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((flat, part))
+    order = np.lexsort((flat & np.uint64(0xFFFFFFFF), part))
     flat, owner, part = flat[order], owner[order], part[order]
     bounds = np.searchsorted(part, np.arange(parts + 1))
     rows = []
@@ -55,8 +56,7 @@ def pack(keys: np.ndarray, node: np.ndarray, sets: np.ndarray, sketch: np.ndarra
         if lo == hi:
             continue
         used, local = np.unique(owner[lo:hi], return_inverse=True)
-        low = (flat[lo:hi] & np.uint64(0xFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :5]
-        rows.append((p, 0, 0, 0, low.tobytes(), local.astype(np.uint16).tobytes(), sets[used].tobytes(), sketch[used].tobytes(), new))
+        rows.append((p, 0, 0, 0, flat[lo:hi].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), sets[used].tobytes(), sketch[used].tobytes(), new))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
 
 
@@ -106,10 +106,7 @@ def window_pairs(blobs: list[tuple[bytes, bytes, bytes, bytes, bool]], plan: Pla
     """
     keys, owner, sets, sketch, new, base = [], [], [], [], [], 0
     for k, at, s, sk, n in blobs:
-        five = np.frombuffer(k, np.uint8).reshape(-1, 5)
-        eight = np.zeros((len(five), 8), np.uint8)
-        eight[:, :5] = five
-        keys.append(eight.view(np.uint64).ravel())
+        keys.append(np.frombuffer(k, np.uint32))
         owner.append(np.frombuffer(at, np.uint16).astype(np.int64) + base)
         sets.append(np.frombuffer(s, np.int64))
         sketch.append(np.frombuffer(sk, np.uint8).reshape(len(sets[-1]), -1))
