@@ -3,7 +3,8 @@
 Method: multi-key sorted-neighbourhood runs. The index keeps sorted runs packed by key range in a shared
 folder. Absorbing a batch sorts its keys, writes them as a run, merges it with the kept runs range by
 range and compares only the windows around new records (all entries of the same key, of whatever run);
-the history's texts are not read again except for the few sets that need an exact check. Keys are the
+the history's texts are not read again except for the few sets that need an exact check. Records without
+an earlier relative among the links are compared exactly with the whole component of their links. Keys are the
 board-and-id key and the bands of the SuperMinHash signature of the advert. Runs are compacted
 periodically into one per key range.
 
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 from adlattice.llm import keyruns as kr
 from adlattice.llm import residue
+from adlattice.llm.components import connected_components
+from adlattice.llm.near import closure
 from adlattice.session import cut, shared_dir
 
+# A record has often only one similar earlier advert, so the bands must find nearly every pair at the threshold.
+PLAN = kr.Plan(bands=42, rows=3, sketch_bits=2)
 RECORD = ("rec", "ord", "board", "ext", "name", "description")
 
 
@@ -67,7 +72,7 @@ class HistoryIndex:
     """Persisted runs under ``path``: ``keys/`` (packed similarity keys), ``ids/`` (id keys with their first order) and ``records/`` (set numbers)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, model: residue.Model | None = None, plan: kr.Plan | None = None, ranges: int | None = None, max_runs: int = 8):
-        self.spark, self.model, self.plan = spark, model, plan or kr.Plan()
+        self.spark, self.model, self.plan = spark, model, plan or PLAN
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
         self.ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         self.max_runs, self.runs, self.made = max_runs, [], 0
@@ -108,11 +113,21 @@ class HistoryIndex:
         nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = cut(kr.exact_sets(kr.needed_texts(records_sets.select("rec", "sh"), nodes, texts), self.plan).dropDuplicates(["sh"]))
         pairs = kr.verified(candidates, sets, self.plan)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        neighbours = both.join(first.select(F.col("sh").alias("b"), "first"), "b").select(F.col("a").alias("sh"), "first").unionByName(first)
-        earliest = neighbours.groupBy("sh").agg(F.min("first").alias("first"))
         mine = records_sets.filter("new").select("rec", "sh", "ord")
-        by_text = mine.join(earliest, "sh").filter("first < ord").select("rec")
+
+        def timed(pairs: DataFrame) -> DataFrame:
+            """``(rec, known)`` of the batch: whether a set linked by ``pairs``, or a copy, came earlier."""
+            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            neighbours = both.join(first.select(F.col("sh").alias("b"), "first"), "b").select(F.col("a").alias("sh"), "first").unionByName(first)
+            return mine.join(neighbours.groupBy("sh").agg(F.min("first").alias("first")), "sh").select("rec", "sh", (F.col("first") < F.col("ord")).alias("known"))
+
+        pairs = cut(pairs)
+        direct = timed(pairs)
+        # a record linked only to later ones may have an earlier relative that the bands missed
+        components = connected_components(pairs)
+        unsettled = components.join(direct.filter("NOT known").select(F.col("sh").alias("node")), "node", "left_semi").select("component").distinct()
+        relatives = closure(components.join(unsettled, "component", "left_semi"), sets, self.plan).distinct()
+        by_text = direct.unionByName(timed(relatives)).filter("known").select("rec")
         return by_text.unionByName(self._by_id(records)).distinct()
 
     def _by_id(self, records: DataFrame) -> DataFrame:

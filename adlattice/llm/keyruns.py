@@ -27,18 +27,21 @@ RUN = "part int, rec bigint, sh bigint, ord bigint, keys binary, at binary, sets
 @dataclass(frozen=True)
 class Plan:
     """Shingle length, similarity and banding. 56 bands of 6 places find a pair of similarity .58 with
-    probability .89, of .65 with .99 and of .7 with .999; grouping recovers most of the rest."""
+    probability .89, of .65 with .99 and of .7 with .999; grouping recovers most of the rest. Few rows a
+    band find nearly every pair at the threshold; their windows are longer, and ``sketch_bits`` of each
+    place (instead of one) keep the pairs to verify few."""
 
     k: int = 3
     threshold: float = 0.5
     places: int = 128
     bands: int = 56
     rows: int = 6
+    sketch_bits: int = 1
 
     @property
     def equal_bits(self) -> int:
         """Sketches of a pair at the threshold agree in this many places but for about two in a thousand."""
-        p = 0.5 + self.threshold / 2
+        p = self.threshold + (1 - self.threshold) / 2**self.sketch_bits
         return int(self.places * p - 3.0 * (self.places * p * (1 - p)) ** 0.5)
 
 
@@ -90,19 +93,18 @@ def texts_to_run(rows: DataFrame, model: residue.Model, plan: Plan, parts: int)
                     size = np.diff(offsets)[pick]
                     sub = np.concatenate([values[offsets[x] : offsets[x + 1]] for x in pick])
                     sig = ts.superminhash(sub, np.concatenate(([0], np.cumsum(size))), plan.places)
-                    yield pack(ts.band_keys(sig, plan.bands, plan.rows), sh[pick], sh[pick], ts.bit_sketch(sig), new, parts)
+                    yield pack(ts.band_keys(sig, plan.bands, plan.rows), sh[pick], sh[pick], ts.bit_sketch(sig, plan.sketch_bits), new, parts)
 
     return rows.select("rec", "ord", "name", "description", "new").mapInPandas(work, RUN)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-BLOCK = 512
+BLOCK = 1 << 18
 
 
 def window_pairs(blobs: list[tuple[bytes, bytes, bytes, bytes, bool]], plan: Plan, only_new: bool) -> Iterator[pd.DataFrame]:
     """Links ``(a, b)`` between different sets of equal key whose sketches agree; with ``only_new`` one side is new.
 
-    Windows of any size are compared in blocks, none is cut.
+    Windows of any size are compared in blocks of pairs, none is cut.
     """
     keys, owner, sets, sketch, new, base = [], [], [], [], [], 0
     for k, at, s, sk, n in blobs:
@@ -123,32 +125,34 @@ def window_pairs(blobs: list[tuple[bytes, bytes, bytes, bytes, bool]], plan: Pla
     first[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1])
     fresh = np.logical_or.reduceat(new_[own], np.flatnonzero(first))
     key, own = key[first], own[first]
-    s = s[first]
+    if only_new:
+        # new entries come first in their window, so that only pairs with one of them are made
+        order = np.lexsort((~fresh, key))
+        key, own, fresh = key[order], own[order], fresh[order]
+    s = sets_[own]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
+    # every entry (every new one) meets those after it in its window; pairs are numbered throughout
+    ahead = np.repeat(start + size, size) - np.arange(len(key)) - 1
+    lead = np.flatnonzero((ahead > 0) & fresh) if only_new else np.flatnonzero(ahead > 0)
+    ends = np.cumsum(ahead[lead])
+    # one row of words for each bit of the places; a place differs if any of its bits does
+    width = sketch_.shape[1] // plan.sketch_bits
+    planes = np.ascontiguousarray(sketch_).view(np.uint64 if width % 8 == 0 else np.uint8).reshape(len(sketch_), plan.sketch_bits, -1)
 
     def check(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        if only_new:
-            keep = fresh[x] | fresh[y]
-            x, y = x[keep], y[keep]
-        equal = plan.places - _ONES[sketch_[own[x]] ^ sketch_[own[y]]].sum(axis=1, dtype=np.int64)
+        equal = plan.places - np.bitwise_count(np.bitwise_or.reduce(planes[own[x]] ^ planes[own[y]], axis=1)).sum(axis=1, dtype=np.int64)
         keep = equal >= plan.equal_bits
         a, b = s[x[keep]], s[y[keep]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    for n in np.unique(size[size > 1]):
-        at = start[size == n]
-        if n <= 64:
-            i, j = np.triu_indices(n, 1)
-            for part in np.array_split(at, max(1, len(at) * len(i) // 500_000)):
-                yield check((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
-            continue
-        for begin in at:
-            for i in range(0, n, BLOCK):
-                for j in range(i, n, BLOCK):
-                    x, y = np.meshgrid(np.arange(i, min(n, i + BLOCK)), np.arange(j, min(n, j + BLOCK)), indexing="ij")
-                    keep = x < y
-                    yield check(begin + x[keep], begin + y[keep])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):
+        hi = min(lo + BLOCK, int(ends[-1]))
+        e = np.arange(np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left") + 1)
+        begin = ends[e] - ahead[lead[e]]
+        x = np.repeat(e, np.minimum(ends[e], hi) - np.maximum(begin, lo))
+        y = lead[x] + 1 + np.arange(lo, hi) - (ends[x] - ahead[lead[x]])
+        yield check(lead[x], y)
 
 
 LINK = "link boolean, a bigint, b bigint, ord bigint, new boolean"

@@ -176,17 +176,19 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per document and band, from ``rows`` places of the signature drawn anew for each band."""
+    """One 64-bit key per document and band, from ``rows`` places of the signature: places of their own if there
+    are enough, else drawn anew for each band."""
     rng = np.random.default_rng(1)
+    apart = rng.permutation(sig.shape[1])[: bands * rows].reshape(bands, rows) if bands * rows <= sig.shape[1] else None
     keys = np.empty((len(sig), bands), np.uint64)
     for b in range(bands):
         key = np.full(len(sig), b + 1, np.uint64)
-        for i, place in enumerate(np.sort(rng.permutation(sig.shape[1])[:rows])):
+        for i, place in enumerate(np.sort(rng.permutation(sig.shape[1])[:rows] if apart is None else apart[b])):
             key += sig[:, place] * _MULTIPLIERS[i]
         keys[:, b] = mix(key)
     return keys
 
 
-def bit_sketch(sig: np.ndarray) -> np.ndarray:
-    """One bit of each place, packed: equal bits tell sets of any similarity s apart as s + (1 - s) / 2."""
-    return np.packbits((sig & _U(1)).astype(np.uint8), axis=1)
+def bit_sketch(sig: np.ndarray, bits: int = 1) -> np.ndarray:
+    """``bits`` bits of each place, packed: sets of similarity s agree in a share s + (1 - s) / 2^bits of the places."""
+    return np.concatenate([np.packbits(((sig >> _U(i)) & _U(1)).astype(np.uint8), axis=1) for i in range(bits)], axis=1)

@@ -173,6 +173,24 @@ def test_compacted_runs_answer_alike(spark, jobs):
         assert {r[0] for r in index.absorb(records, texts).collect()} == {5}
 
 
+def test_history_reaches_a_missed_link_through_a_later_relative(spark, jobs, monkeypatch):
+    records = history.raw_records(spark.createDataFrame([raw_row(5, 2, "10", "Glassdoor", edited(12, 7)), raw_row(6, 2, "77", "Glassdoor", edited(12, 3))], RAW))
+    old = history.job_records(jobs)
+    split = history.kr.split_links
+
+    def without_link(both):
+        links, rows = split(both)
+        sh = {r.rec: r.sh for r in rows.collect()}
+        low, high = sorted((sh[5], sh[-13]))
+        return links.filter(f"NOT (a = {low} AND b = {high})"), rows
+
+    monkeypatch.setattr(history.kr, "split_links", without_link)
+    index = history.HistoryIndex(spark, model=residue.fit(jobs), ranges=3)
+    index.load(old)
+    texts = old.select("rec", "description").unionByName(records.select("rec", "description"))
+    assert {r[0] for r in index.absorb(records, texts).collect()} == {5, 6}
+
+
 LOCATIONS = [(1, "Hong Kong", "Wan Chai"), (2, "Hong Kong", "Chai Wan"), (3, "Hong Kong", "Tai Po"), (4, "Macau", "Taipa"), (5, "Taiwan", "Taipei"), (6, "Hong Kong", "Tseung Kwan O"), (7, "Vietnam", "Hanoi"), (8, "Hong Kong", "Kwun Tong")]
 CLASSES = [(1, "Sales"), (2, "Science & Research"), (3, "Information Technology"), (4, "Food & Beverage"), (5, "Retail"), (6, "Administration & Office Support")]
 PLACES = {

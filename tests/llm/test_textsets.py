@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from adlattice.llm import history
 from adlattice.llm import keyruns as kr
 from adlattice.llm import textsets as ts
 from adlattice.llm.components import connected_components
@@ -139,3 +140,23 @@ def test_one_edit_means_a_shared_deletion_form(a, b):
     assert osa(a, b, 9) == osa(b, a, 9) and 0 <= jaro_winkler(a, b) <= 1
     table = neighbourhood([b])
     assert bool(near(a, table)) == (osa(a, b) <= 1)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.55, 0.6])
+def test_bands_of_the_history_find_nearly_all_pairs_at_the_threshold(similarity):
+    rng = np.random.default_rng(11)
+    shared, pairs = round(similarity * 220), 600
+    sets = []
+    for _ in range(pairs):
+        pool = ts.mix(rng.integers(1, 2**62, 220).astype(np.uint64))
+        own = np.array_split(pool[shared:], 2)
+        sets += [np.sort(np.concatenate([pool[:shared], x])) for x in own]
+    plan = history.HistoryIndex(None, path="none", ranges=1).plan
+    sig = ts.superminhash(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), plan.places)
+    number = np.arange(1, len(sets) + 1, dtype=np.int64)
+    frame = kr.pack(ts.band_keys(sig, plan.bands, plan.rows), None, number, ts.bit_sketch(sig, plan.sketch_bits), True, 1)
+    found = set()
+    for blobs in window_rows([frame]).values():
+        for f in kr.window_pairs(blobs, plan, True):
+            found |= set(zip(f["a"].tolist(), f["b"].tolist(), strict=True))
+    assert np.mean([(i, i + 1) in found for i in range(1, len(sets), 2)]) >= 0.99
