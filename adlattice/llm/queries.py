@@ -22,7 +22,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 def p4_validation(s: SparkSession, d: str) -> DataFrame:
     """Precision and recall on each board of a model that has not seen the board."""
-    return s.createDataFrame(residue.validation(table(s, d, "jobs")), "host string, rows bigint, cases bigint, precision double, recall double")
+    return residue.validation(table(s, d, "jobs"))
 
 
 def p6_found(s: SparkSession, d: str) -> DataFrame:

@@ -70,6 +70,14 @@ def test_residue_holds_on_an_unseen_board(jobs):
     assert flag.mean() >= 0.9
 
 
+def test_validation_scores_every_row_of_a_board(jobs):
+    got = {r.host: r for r in residue.validation(jobs, sample=30).collect()}
+    assert {h: r.rows for h, r in got.items()} == {"jobsdb": 80, "indeed": 20}
+    assert {h: r.cases for h, r in got.items()} == {"jobsdb": 20, "indeed": 20}
+    assert all(r.ruled <= r.rows and 0 <= r.own_recall <= 1 and 0 <= r.own_precision <= 1 for r in got.values())
+    assert residue.validation(jobs.filter(F.lit(False))).count() == 0
+
+
 def test_a_notice_after_a_very_long_text_is_seen():
     rows = jobs_rows()
     model = residue.train([r[3] for r in rows if ts.is_advert(r[3])], ["t"] * sum(ts.is_advert(r[3]) for r in rows))
