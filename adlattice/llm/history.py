@@ -10,7 +10,7 @@ periodically into one per key range.
 
 Defined results: a record is a repeat if an earlier one (history, or earlier in arrival order) has the
 same board and the same id of that board, or an advert of similarity at the threshold or more. NULL or
-blank boards or ids have no id key; cut-off JSON still gives its id if that is readable; records without
+blank boards or ids have no id key; cut-off JSON still gives its id if that is readable, and its name and description as far as they go; records without
 advert (NULL, blank, 'N/A', error marks, residue) are compared by id only. Empty batches give nothing;
 extra columns are ignored.
 """
@@ -54,7 +54,20 @@ def job_records(jobs: DataFrame) -> DataFrame:
     return jobs.select((-F.col("internal_id") - 1).alias("rec"), F.lit(-1).cast("bigint").alias("ord"), board_key(F.col("source")).alias("board"), external_key(F.col("id")).alias("ext"), "name", "description")
 
 
-ID_TEXT, NAME_TEXT, BODY_TEXT = (rf'"{f}"\s*:\s*"((?:[^"\\]|\\.)*)"' for f in ("id", "name", "description"))
+ID_TEXT = r'"id"\s*:\s*"((?:[^"\\]|\\.)*)"'
+
+
+def readable(data: Column, field: str) -> Column:
+    """The text of a field as far as a cut-off record holds it; NULL if it does not begin.
+
+    Escaped backslashes and quotes are set aside while the end is sought; half an escape at the end is dropped.
+    """
+    t = F.regexp_extract(data, rf'(?s)"{field}"\s*:\s*"(.*)$', 1)
+    t = F.substring_index(F.replace(F.replace(t, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02")), '"', 1)
+    t = F.regexp_replace(t, r"\\(?:u[0-9a-fA-F]{0,3})?$", "")
+    t = F.replace(F.replace(t, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    told = F.from_json(F.concat(F.lit('{"t":"'), t, F.lit('"}')), "t string", {"allowUnquotedControlChars": "true"})["t"]
+    return F.nullif(told, F.lit(""))
 
 
 def raw_records(raw: DataFrame) -> DataFrame:
@@ -62,10 +75,12 @@ def raw_records(raw: DataFrame) -> DataFrame:
     data = F.col("raw_data")
     item = F.from_json(data, "id string, name string, description string")
     inner = F.coalesce(item["id"], F.nullif(F.regexp_extract(data, ID_TEXT, 1), F.lit("")))
+    broken = item["id"].isNull() & item["name"].isNull() & item["description"].isNull()
+    name, description = (F.when(broken, readable(data, f)).otherwise(item[f]).alias(f) for f in ("name", "description"))
     ext = F.coalesce(external_key(F.col("external_id")), external_key(inner))
     # batches are small numbers; ids within a batch keep their order in the lower bits
     order = F.shiftleft(F.col("batch_no").cast("bigint"), 48) + F.col("id")
-    return raw.select(F.col("id").alias("rec"), order.alias("ord"), board_key(F.col("source")).alias("board"), ext.alias("ext"), item["name"].alias("name"), item["description"].alias("description"))
+    return raw.select(F.col("id").alias("rec"), order.alias("ord"), board_key(F.col("source")).alias("board"), ext.alias("ext"), name, description)
 
 
 class HistoryIndex:

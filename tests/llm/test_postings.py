@@ -181,6 +181,16 @@ def test_compacted_runs_answer_alike(spark, jobs):
         assert {r[0] for r in index.absorb(records, texts).collect()} == {5}
 
 
+def test_history_reads_the_start_of_a_cut_off_description(spark, jobs):
+    whole = raw_row(1, 1, "501", "Glassdoor", 'Said "now".\n' + advert(12))[4]
+    cut_off = [whole[: len(whole) * 4 // 5], whole[:-1], '{"id": "503", "description": "a \\\\ b \\"c\\" \\u00e9 \\u00', '{"id": "504", "name": "n']
+    raw = spark.createDataFrame([(i + 1, 1, str(501 + i), "Glassdoor", t, "x") for i, t in enumerate(cut_off)], RAW)
+    got = {r.rec: r.description for r in history.raw_records(raw).collect()}
+    assert got[2] == 'Said "now".\n' + advert(12) and got[2].startswith(got[1]) and len(got[1]) > 200
+    assert got[3] == 'a \\ b "c" \u00e9 ' and got[4] is None
+    assert {r[0] for r in history.found(jobs, raw).collect()} == {1, 2}
+
+
 def test_history_reaches_a_missed_link_through_a_later_relative(spark, jobs, monkeypatch):
     records = history.raw_records(spark.createDataFrame([raw_row(5, 2, "10", "Glassdoor", edited(12, 7)), raw_row(6, 2, "77", "Glassdoor", edited(12, 3))], RAW))
     old = history.job_records(jobs)
