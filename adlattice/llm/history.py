@@ -70,6 +70,14 @@ def readable(data: Column, field: str) -> Column:
     return F.nullif(told, F.lit(""))
 
 
+LAST_BATCH = (1 << 15) - 1
+
+
+def batch_column() -> Column:
+    """The number of the batch; records without one come after all numbered batches."""
+    return F.coalesce(F.col("batch_no").cast("bigint"), F.lit(LAST_BATCH))
+
+
 def raw_records(raw: DataFrame) -> DataFrame:
     """Crawl records in order of arrival: batch, then id. A missing external id is taken from the record itself."""
     data = F.col("raw_data")
@@ -79,7 +87,7 @@ def raw_records(raw: DataFrame) -> DataFrame:
     name, description = (F.when(broken, readable(data, f)).otherwise(item[f]).alias(f) for f in ("name", "description"))
     ext = F.coalesce(external_key(F.col("external_id")), external_key(inner))
     # batches are small numbers; ids within a batch keep their order in the lower bits
-    order = F.shiftleft(F.col("batch_no").cast("bigint"), 48) + F.col("id")
+    order = F.shiftleft(batch_column(), 48) + F.col("id")
     return raw.select(F.col("id").alias("rec"), order.alias("ord"), board_key(F.col("source")).alias("board"), ext.alias("ext"), name, description)
 
 
@@ -216,11 +224,11 @@ def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 12, plan: kr.
     index.load(history)
     records = raw_records(raw)
     texts = history.select("rec", "description").unionByName(records.select("rec", "description"))
-    numbers = sorted(r[0] for r in raw.select("batch_no").distinct().limit(100_000).collect() if r[0] is not None)
+    numbers = sorted(r[0] for r in raw.select(batch_column()).distinct().collect())
     out = None
     for i in range(0, len(numbers), batches_per_step):
         step = numbers[i : i + batches_per_step]
-        batch = raw_records(raw.filter(F.col("batch_no").between(step[0], step[-1])))
+        batch = raw_records(raw.filter(batch_column().between(step[0], step[-1])))
         new = index.absorb(batch, texts)
         new = cut(new) if len(numbers) > batches_per_step else new
         index._maybe_compact()

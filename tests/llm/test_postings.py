@@ -181,6 +181,13 @@ def test_compacted_runs_answer_alike(spark, jobs):
         assert {r[0] for r in index.absorb(records, texts).collect()} == {5}
 
 
+def test_records_without_a_batch_come_last(spark, jobs):
+    raw = [raw_row(1, None, "600", "Glassdoor", advert(800)), raw_row(2, 3, "600", "Glassdoor", None), raw_row(3, None, "601", "Glassdoor", edited(12, 7)), raw_row(4, None, "602", "Glassdoor", advert(801))]
+    frame = spark.createDataFrame(raw, RAW)
+    assert {r[0] for r in history.found(jobs, frame).collect()} == {1, 3}
+    assert {r[0] for r in history.found(jobs, frame, batches_per_step=1).collect()} == {1, 3}
+
+
 def test_history_reads_the_start_of_a_cut_off_description(spark, jobs):
     whole = raw_row(1, 1, "501", "Glassdoor", 'Said "now".\n' + advert(12))[4]
     cut_off = [whole[: len(whole) * 4 // 5], whole[:-1], '{"id": "503", "description": "a \\\\ b \\"c\\" \\u00e9 \\u00', '{"id": "504", "name": "n']
