@@ -1,24 +1,29 @@
 """Deduplicating new batches against all history (problem 6).
 
-Method: multi-key sorted-neighbourhood runs. The index keeps sorted runs packed by key range in a shared
-folder. Absorbing a batch sorts its keys, writes them as a run, merges it with the kept runs range by
-range and compares only the windows around new records (all entries of the same key, of whatever run);
-the history's texts are not read again except for the few sets that need an exact check. Records without
-an earlier relative among the links are compared exactly with the whole component of their links. Keys are the
-board-and-id key and the bands of the SuperMinHash signature of the advert. Runs are compacted
-periodically into one per key range.
+Method: multi-key sorted-neighbourhood runs. The index keeps sorted runs of keys in a shared folder, one row
+for each key range, bucketed by range, so that the same range of all runs meets in one task without an
+exchange. Absorbing a batch signs its texts only, writes its keys as a new sorted run, and merges that run
+with each kept run range by range; only the windows of equal keys around new records are compared. Candidates are
+verified exactly from the sets kept beside the runs; neither texts nor keys of the history are exchanged or signed again.
+Keys are the board-and-id key and the bands of the SuperMinHash signature of the advert. Runs of like size are
+merged periodically (``FANOUT`` of them to one), and ranges are halved when they have outgrown their size. A manifest names
+the runs, so that an index on disk can be opened again.
 
 Defined results: a record is a repeat if an earlier one (history, or earlier in arrival order) has the
 same board and the same id of that board, or an advert of similarity at the threshold or more. NULL or
-blank boards or ids have no id key; cut-off JSON still gives its id if that is readable, and its name and description as far as they go; records without
-advert (NULL, blank, 'N/A', error marks, residue) are compared by id only. Empty batches give nothing;
-extra columns are ignored.
+blank boards or ids have no id key; cut-off JSON still gives its id if that is readable, and its name and
+description as far as they go; records without advert (NULL, blank, 'N/A', error marks, residue) are compared by id
+only; records without a batch number come after all numbered batches. Empty batches give nothing; extra columns
+are ignored; adding the same batch again makes all of its records with an id or an advert repeats.
 """
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,13 +32,10 @@ from pyspark.sql import functions as F
 
 from adlattice.llm import keyruns as kr
 from adlattice.llm import residue
-from adlattice.llm.components import connected_components
-from adlattice.llm.near import closure
-from adlattice.session import cut, shared_dir
+from adlattice.session import cut, shared_dir, shuffles_dropped
+from adlattice.sources import files
 
-# A record has often only one similar earlier advert, so the bands must find nearly every pair at the threshold.
-PLAN = kr.Plan(bands=42, rows=3, sketch_bits=2)
-RECORD = ("rec", "ord", "board", "ext", "name", "description")
+FANOUT = 4
 
 
 def board_key(c: Column) -> Column:
@@ -91,148 +93,284 @@ def raw_records(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("id").alias("rec"), order.alias("ord"), board_key(F.col("source")).alias("board"), ext.alias("ext"), name, description)
 
 
+STAGE = "kind string, rec bigint, ord bigint, sh bigint, board string, ext string, part int, keys binary, at binary, sets binary, sketch binary, grams binary"
+_COLUMNS = [c.split()[0] for c in STAGE.split(", ")]
+
+
+@dataclass
+class Run:
+    """A sorted run: its folder and its number of distinct sets (copies across tasks counted again)."""
+
+    name: str
+    sets: int
+
+
 class HistoryIndex:
-    """Persisted runs under ``path``: ``keys/`` (packed similarity keys), ``ids/`` (id keys with their first order) and ``records/`` (set numbers)."""
+    """An index under ``path``: a manifest, the model, and for each run ``stage/kind=records`` (every record with board, id
+    and set number), ``stage/kind=sets`` (the shingle hashes of each set) and ``keys`` (packed keys, bucketed by range)."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, model: residue.Model | None = None, plan: kr.Plan | None = None, ranges: int | None = None, max_runs: int = 8):
-        self.spark, self.model, self.plan = spark, model, plan or PLAN
+    def __init__(self, spark: SparkSession, model: residue.Model | None = None, path: str | None = None, plan: kr.Plan | None = None, ranges: int = 1, fanout: int = FANOUT):
+        self.spark, self.plan, self.ranges, self.splits, self.fanout = spark, plan or kr.Plan(), ranges, 0, fanout
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        self.max_runs, self.runs, self.made = max_runs, [], 0
+        self.runs: list[Run] = []
+        self.made = self.version = 0
+        self.tables: dict[tuple[str, int], str] = {}
+        if model is None:
+            raise ValueError("an index needs the model that tells adverts from notices")
+        self.model = model
+        data = io.BytesIO()
+        np.savez(data, weights=model.weights, bias=model.bias)
+        files.write_bytes(spark, f"{self.path}/model", data.getvalue())
+        self._commit()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> HistoryIndex:
+        """The index a manifest describes, as another session left it."""
+        found = [n for n in files.names(spark, f"{path}/manifest") if n.isdigit()]
+        if not found:
+            raise FileNotFoundError(f"no index under {path}")
+        told = json.loads(files.read_bytes(spark, f"{path}/manifest/{found[-1]}"))
+        data = np.load(io.BytesIO(files.read_bytes(spark, f"{path}/model")))
+        index = cls.__new__(cls)
+        index.spark, index.path, index.tables = spark, path, {}
+        index.model = residue.Model(data["weights"], float(data["bias"]))
+        index.plan, index.runs = kr.Plan(**told["plan"]), [Run(**r) for r in told["runs"]]
+        index.ranges, index.splits, index.fanout, index.made, index.version = told["ranges"], told["splits"], told["fanout"], told["made"], told["version"]
+        return index
+
+    def _commit(self) -> None:
+        """Write the next manifest; the one before the last goes."""
+        self.version += 1
+        told = {"plan": asdict(self.plan), "runs": [asdict(r) for r in self.runs], "ranges": self.ranges, "splits": self.splits, "fanout": self.fanout, "made": self.made, "version": self.version}
+        files.write_bytes(self.spark, f"{self.path}/manifest/{self.version:09d}", json.dumps(told).encode())
+        files.remove(self.spark, f"{self.path}/manifest/{self.version - 2:09d}")
+
+    @property
+    def parts(self) -> int:
+        return self.ranges << self.splits
+
+    def _name(self) -> str:
+        self.made += 1
+        return f"run-{self.made:06d}"
+
+    def _staged(self, run: Run, kind: str, columns: list[str]) -> DataFrame:
+        return self.spark.read.schema(STAGE).parquet(f"{self.path}/{run.name}/stage").filter(F.col("kind") == kind).select(*columns)
+
+    def _all(self, runs: list[Run], kind: str, columns: list[str]) -> DataFrame:
+        out = self._staged(runs[0], kind, columns)
+        for r in runs[1:]:
+            out = out.unionByName(self._staged(r, kind, columns))
+        return out
+
+    def _keys(self, run: Run) -> DataFrame:
+        """The packed keys of a run as a bucketed table, declared in this session if need be."""
+        known = self.tables.get((run.name, self.splits))
+        if known is None:
+            known = self._table(run.name)
+            folder = f"{self.path}/{run.name}/keys"
+            self.spark.sql(f"CREATE TABLE {known} ({kr.STORED}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.parts} BUCKETS LOCATION '{folder}'")
+        return self.spark.table(known)
+
+    def _table(self, name: str) -> str:
+        known = self.tables[name, self.splits] = f"history_{uuid.uuid4().hex}"
+        return known
+
+    def _write_keys(self, name: str, blobs: DataFrame, halve: bool = False) -> None:
+        """Merge packed keys to one sorted row a range and store them, a bucket for each range."""
+        plan, labels, splits = self.plan, kr.range_labels(self.parts), self.splits
+        before = {int(x): i for i, x in enumerate(kr.range_labels(self.parts >> 1))} if halve else {}
 
-    def _read(self, kind: str, runs: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{r}/{kind}" for r in runs])
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, list[kr.Blob]] = {}
+            for b in batches:
+                for part, stored, *blob in b.itertuples(index=False):
+                    held.setdefault(part, []).append(kr.load(*blob, plan) if stored else kr.Blob.of(*blob, plan))
+            for part in sorted(held):
+                yield pd.DataFrame([(part, *kr.dump(kr.merged(held.pop(part))))], columns=["part", "keys", "at", "sets", "sketch"])
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for part, _, *blob in b.itertuples(index=False):
+                    rows = [(int(labels[2 * before[part] + bit]), True, *kr.dump(half)) for bit, half in kr.halved(kr.load(*blob, plan), splits - 1)]
+                    yield pd.DataFrame(rows, columns=["part", "stored", "keys", "at", "sets", "sketch"])
 
-    def _write(self, records: DataFrame) -> str:
-        """One sorted run of a batch: text keys packed by range, id keys with the first order in the batch."""
-        name, self.made = f"run-{self.made:05d}", self.made + 1
-        rows = records.filter(residue.advert_column()).select("rec", "ord", "name", "description", F.lit(True).alias("new"))
-        kr.texts_to_run(rows, self.model, self.plan, self.ranges).write.parquet(f"{self.path}/{name}/keys")
-        ids = records.filter("board IS NOT NULL AND ext IS NOT NULL").groupBy(F.xxhash64("board", "ext").alias("key")).agg(F.min("ord").alias("ord"))
-        ids.write.parquet(f"{self.path}/{name}/ids")
-        return name
+        if halve:
+            blobs = blobs.mapInPandas(split, "part int, stored boolean, keys binary, at binary, sets binary, sketch binary")
+        placed = blobs.repartition(self.parts, "part").mapInPandas(merge, kr.STORED)
+        with shuffles_dropped(self.spark):
+            placed.write.bucketBy(self.parts, "part").sortBy("part").option("path", f"{self.path}/{name}/keys").option("compression", "zstd").saveAsTable(self._table(name))
+
+    def _write(self, records: DataFrame) -> Run:
+        """One sorted run of a batch."""
+        name = self._name()
+        shared, plan, labels, splits = self.spark.sparkContext.broadcast(self.model), self.plan, kr.range_labels(self.parts), self.splits
+        advert = F.when(residue.advert_column(), F.col("description")).alias("description")
+
+        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = kr.Reader(shared.value, plan)
+
+            def rows(kind: str, **columns: object) -> pd.DataFrame:
+                out = pd.DataFrame(columns)
+                return out.assign(kind=kind, **{c: 0 for c in ("rec", "ord", "sh", "part") if c not in columns}, **{c: None for c in ("board", "ext", "keys", "at", "sets", "sketch", "grams") if c not in columns})[_COLUMNS]
+
+            for b in batches:
+                for i in range(0, len(b), kr.CHUNK):
+                    p = b.iloc[i : i + kr.CHUNK]
+                    t = reader.read(p["description"].tolist(), p["name"].tolist())
+                    yield rows("records", rec=p["rec"].to_numpy(), ord=p["ord"].to_numpy(), sh=np.where(t.good, t.sh, 0), board=p["board"], ext=p["ext"])
+                    if t.fresh:
+                        yield rows("sets", sh=t.sh[t.fresh], grams=[t.grams(x) for x in t.fresh])
+                        part, keys, at, sets, sketch = zip(*reader.packed(t, labels, splits), strict=True)
+                        yield rows("keys", part=part, keys=keys, at=at, sets=sets, sketch=sketch)
+
+        folder = f"{self.path}/{name}/stage"
+        records.select("rec", "ord", "board", "ext", "name", advert).mapInPandas(sign, STAGE).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
+        run = Run(name, 0)
+        self._write_keys(name, self._staged(run, "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
+        files.remove(self.spark, f"{folder}/kind=keys")
+        run.sets = self._staged(run, "sets", ["sh"]).count()
+        return run
 
     def load(self, records: DataFrame) -> None:
         """Take records into the history without reporting."""
-        self.model = self.model or residue.Model(np.zeros(1 << residue.BITS, np.float32), -1.0)
         self.runs.append(self._write(records))
-        self._maybe_compact()
-
-    def absorb(self, records: DataFrame, texts: DataFrame) -> DataFrame:
-        """Add a batch and return ``(rec)`` of those of its records that repeat an earlier one.
-
-        ``texts (rec, description)`` is the store of all texts so far, this batch's included; only those
-        of candidate sets are used.
-        """
-        self.model = self.model or residue.Model(np.zeros(1 << residue.BITS, np.float32), -1.0)
-        run = self._write(records)
-        old, self.runs = list(self.runs), [*self.runs, run]
-        keys = self._read("keys", [run])
+        self._settle()
+
+    def candidates(self, run: Run, old: list[Run]) -> DataFrame:
+        """``(a, b, earlier)``: sets of the new run with sets of older runs or, not ``earlier``, of itself that share a window."""
+        plan = self.plan
+        key = ["keys", "at", "sets", "sketch"]
+
+        def within(rows: pd.DataFrame) -> pd.DataFrame:
+            found = [f for r in rows[key].itertuples(index=False) for f in kr.pairs_within(kr.load(*r, plan), plan)]
+            return pd.concat([*found, pd.DataFrame({"a": [], "b": []}, dtype="int64")]).drop_duplicates().assign(earlier=False)
+
+        def between(new: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+            mine = [kr.load(*r, plan) for r in new[key].itertuples(index=False)]
+            found = [f for r in kept[key].itertuples(index=False) for x in mine for f in kr.pairs_between(x, kr.load(*r, plan), plan)] if mine else []
+            return pd.concat([*found, pd.DataFrame({"a": [], "b": []}, dtype="int64")]).drop_duplicates().assign(earlier=True)
+
+        out = self._keys(run).groupBy("part").applyInPandas(within, "a bigint, b bigint, earlier boolean")
+        for r in old:
+            out = out.unionByName(self._keys(run).groupBy("part").cogroup(self._keys(r).groupBy("part")).applyInPandas(between, "a bigint, b bigint, earlier boolean"))
+        return out.distinct()
+
+    def absorb(self, records: DataFrame) -> DataFrame:
+        """Add a batch and return ``(rec)`` of those of its records that repeat an earlier one."""
+        run, old = self._write(records), list(self.runs)
+        mine = self._staged(run, "records", ["rec", "ord", "sh", "board", "ext"])
+        texts, ids = mine.filter("sh <> 0").select("rec", "ord", "sh"), mine.filter("board IS NOT NULL AND ext IS NOT NULL")
+        first = texts.groupBy("sh").agg(F.min("ord").alias("first"))
+        named = ids.groupBy("board", "ext").agg(F.min("ord").alias("first"))
+        pairs = cut(self.candidates(run, old))
+        n, most = pairs.count(), run.sets
+        nodes = kr.small(pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct(), 2 * n)
+        sets = self._all([*old, run], "sets", ["sh", "grams"]).join(nodes, "sh", "left_semi").dropDuplicates(["sh"])
+        linked = kr.verified(pairs, sets, self.plan)
+        # when the sets and ids of the batch were first met: -1 stands for the history
+        earliest = [first, linked.select(F.col("a").alias("sh"), F.when(F.col("earlier"), -1).otherwise(F.lit(None)).cast("bigint").alias("first"))]
+        inside = linked.filter("NOT earlier").select(F.explode(F.array(F.struct(F.col("a").alias("sh"), F.col("b").alias("other")), F.struct(F.col("b").alias("sh"), F.col("a").alias("other")))).alias("p")).select("p.*")
+        earliest.append(inside.join(first.withColumnRenamed("sh", "other"), "other").select("sh", "first"))
+        told = [named]
         if old:
-            keys = keys.unionByName(self._read("keys", old).withColumn("new", F.lit(False)))
-        candidates, records_sets = kr.split_links(cut(kr.links_and_records(keys, self.plan, self.ranges, only_new=True)))
-        candidates = cut(candidates)
-        first = records_sets.groupBy("sh").agg(F.min("ord").alias("first"))
-        nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(kr.exact_sets(kr.needed_texts(records_sets.select("rec", "sh"), nodes, texts), self.plan).dropDuplicates(["sh"]))
-        pairs = kr.verified(candidates, sets, self.plan)
-        mine = records_sets.filter("new").select("rec", "sh", "ord")
-
-        def timed(pairs: DataFrame) -> DataFrame:
-            """``(rec, known)`` of the batch: whether a set linked by ``pairs``, or a copy, came earlier."""
-            both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            neighbours = both.join(first.select(F.col("sh").alias("b"), "first"), "b").select(F.col("a").alias("sh"), "first").unionByName(first)
-            return mine.join(neighbours.groupBy("sh").agg(F.min("first").alias("first")), "sh").select("rec", "sh", (F.col("first") < F.col("ord")).alias("known"))
-
-        pairs = cut(pairs)
-        direct = timed(pairs)
-        # a record linked only to later ones may have an earlier relative that the bands missed
-        components = connected_components(pairs)
-        unsettled = components.join(direct.filter("NOT known").select(F.col("sh").alias("node")), "node", "left_semi").select("component").distinct()
-        relatives = closure(components.join(unsettled, "component", "left_semi"), sets, self.plan).distinct()
-        by_text = direct.unionByName(timed(relatives)).filter("known").select("rec")
-        return by_text.unionByName(self._by_id(records)).distinct()
-
-    def _by_id(self, records: DataFrame) -> DataFrame:
-        """Records whose id key has an earlier entry in any run: a merge of sorted key ranges."""
-        mine = records.filter("board IS NOT NULL AND ext IS NOT NULL").select("rec", "ord", F.xxhash64("board", "ext").alias("key"))
-        seen = self._read("ids", self.runs).groupBy("key").agg(F.min("ord").alias("first"))
-        return mine.join(seen, "key").filter("first < ord").select("rec")
-
-    def _maybe_compact(self) -> None:
-        if len(self.runs) > self.max_runs:
-            self.compact()
+            past = self._all(old, "records", ["sh", "board", "ext"])
+            earliest.append(past.join(kr.small(first.select("sh"), most), "sh", "left_semi").select("sh", F.lit(-1).cast("bigint").alias("first")))
+            told.append(past.select("board", "ext").join(kr.small(named.select("board", "ext"), most), ["board", "ext"], "left_semi").select("board", "ext", F.lit(-1).cast("bigint").alias("first")))
+        known = [_before(texts, earliest, ["sh"]), _before(ids, told, ["board", "ext"])]
+        out = cut(known[0].unionByName(known[1]).distinct())
+        self.runs.append(run)
+        self._settle()
+        return out
+
+    def _settle(self) -> None:
+        """Merge runs of like size, halve ranges that have outgrown their size, and commit."""
+        gone: list[str] = []
+        while True:
+            levels: dict[int, list[Run]] = {}
+            for r in self.runs:
+                levels.setdefault(int(np.log(max(1, r.sets) / 256 + 1) / np.log(self.fanout)), []).append(r)
+            full = next((levels[x] for x in sorted(levels) if len(levels[x]) >= self.fanout), None)
+            if full is None:
+                break
+            gone += self._merge(full)
+        while sum(r.sets for r in self.runs) > 2 * kr.RANGE_TEXTS * self.parts:
+            gone += self._halve()
+        self._commit()
+        for name in gone:
+            files.remove(self.spark, f"{self.path}/{name}")
+
+    def _blobs(self, run: Run) -> DataFrame:
+        return self._keys(run).select("part", F.lit(True).alias("stored"), "keys", "at", "sets", "sketch")
+
+    def _moved(self, runs: list[Run], name: str) -> None:
+        """Copy the records and sets of runs into one folder, without an exchange."""
+        for i, kind in enumerate(("records", "sets")):
+            rows = self._all(runs, kind, [F.lit(kind).alias("kind"), "rec", "ord", "sh", "board", "ext", "part", "keys", "at", "sets", "sketch", "grams"])
+            rows.coalesce(self.parts).write.mode("append" if i else "error").partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{name}/stage")
+
+    def _merge(self, runs: list[Run]) -> list[str]:
+        name = self._name()
+        blobs = self._blobs(runs[0])
+        for r in runs[1:]:
+            blobs = blobs.unionByName(self._blobs(r))
+        self._write_keys(name, blobs)
+        self._moved(runs, name)
+        at = self.runs.index(runs[0])
+        self.runs = [r for r in self.runs if r not in runs]
+        self.runs.insert(min(at, len(self.runs)), Run(name, sum(r.sets for r in runs)))
+        return [r.name for r in runs]
+
+    def _halve(self) -> list[str]:
+        """Rewrite the keys of all runs with twice as many ranges."""
+        old = [(r, self._blobs(r)) for r in self.runs]
+        self.splits += 1
+        runs = []
+        for r, blobs in old:
+            name = self._name()
+            self._write_keys(name, blobs, halve=True)
+            self._moved([r], name)
+            runs.append(Run(name, r.sets))
+        self.runs = runs
+        return [r.name for r, _ in old]
 
     def compact(self) -> None:
-        """Merge all runs into one: blobs of a key range are joined, id keys keep their first order."""
-        if len(self.runs) < 2:
-            return
-        name, self.made = f"run-{self.made:05d}", self.made + 1
-        keys = self._read("keys", self.runs)
-
-        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, list] = {}
-            for b in batches:
-                for r in b.itertuples(index=False):
-                    held.setdefault(r.part, []).append(r)
-            for part, rows in held.items():
-                group: list = []
-                size = 0
-                for r in [*rows, None]:
-                    n = 0 if r is None else len(r.sets) // 8
-                    if group and (r is None or size + n > 65_000):
-                        yield pd.DataFrame([_joined(part, group)], columns=[c.split()[0] for c in kr.RUN.split(", ")])
-                        group, size = [], 0
-                    if r is not None:
-                        group.append(r)
-                        size += n
-
-        packed = keys.filter(F.col("keys").isNotNull()).repartition(self.ranges, "part").mapInPandas(merge, kr.RUN)
-        packed.unionByName(keys.filter(F.col("keys").isNull())).write.parquet(f"{self.path}/{name}/keys")
-        self._read("ids", self.runs).groupBy("key").agg(F.min("ord").alias("ord")).write.parquet(f"{self.path}/{name}/ids")
-        self.runs = [name]
-
-
-def _joined(part: int, rows: list) -> tuple:
-    """One sorted blob from several of a key range; a set that several blobs hold is listed once."""
-    sets = np.concatenate([np.frombuffer(r.sets, np.int64) for r in rows])
-    sketch = np.concatenate([np.frombuffer(r.sketch, np.uint8).reshape(len(r.sets) // 8, -1) for r in rows])
-    unique, first, where = np.unique(sets, return_index=True, return_inverse=True)
-    base, keys, at = 0, [], []
-    for r in rows:
-        local = np.frombuffer(r.at, np.uint16).astype(np.int64)
-        keys.append(np.frombuffer(r.keys, np.uint32))
-        at.append(where[local + base])
-        base += len(r.sets) // 8
-    key, own = np.concatenate(keys), np.concatenate(at)
-    order = np.lexsort((own, key))
-    keep = np.ones(len(order), bool)
-    keep[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
-    order = order[keep]
-    return part, 0, 0, 0, key[order].tobytes(), own[order].astype(np.uint16).tobytes(), unique.tobytes(), sketch[first].tobytes(), False
-
-
-def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 12, plan: kr.Plan | None = None) -> DataFrame:
+        """Merge all runs into one."""
+        if len(self.runs) > 1:
+            gone = self._merge(list(self.runs))
+            self._commit()
+            for name in gone:
+                files.remove(self.spark, f"{self.path}/{name}")
+
+    def close(self, remove: bool = False) -> None:
+        """Forget the tables declared in this session; with ``remove`` the index itself goes too."""
+        for t in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.tables = {}
+        if remove:
+            files.remove(self.spark, self.path)
+
+
+def _before(records: DataFrame, firsts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """``(rec)`` of the records whose key was met before them."""
+    met = firsts[0]
+    for f in firsts[1:]:
+        met = met.unionByName(f)
+    return records.join(met.groupBy(*keys).agg(F.min("first").alias("first")), keys).filter("first < ord").select("rec")
+
+
+def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 1, plan: kr.Plan | None = None, fanout: int = FANOUT) -> DataFrame:
     """``(raw_id)`` of the crawl records that bring nothing new.
 
-    ``jobs`` is loaded as the first run; batches are absorbed ``batches_per_step`` at a time (a step may
+    ``jobs`` is loaded as the first run; batches are absorbed in their order, ``batches_per_step`` at a time (a step may
     hold several batches, as arrival order decides among its own records).
     """
     spark = jobs.sparkSession
-    index = HistoryIndex(spark, model=residue.fit(jobs), plan=plan, ranges=kr.parts_for(jobs))
-    history = job_records(jobs)
-    index.load(history)
-    records = raw_records(raw)
-    texts = history.select("rec", "description").unionByName(records.select("rec", "description"))
+    index = HistoryIndex(spark, residue.fit(jobs), plan=plan, ranges=kr.ranges_for(jobs.count()), fanout=fanout)
+    index.load(job_records(jobs))
     numbers = sorted(r[0] for r in raw.select(batch_column()).distinct().collect())
-    out = None
+    out = raw_records(raw.filter(F.lit(False))).select("rec")
     for i in range(0, len(numbers), batches_per_step):
         step = numbers[i : i + batches_per_step]
-        batch = raw_records(raw.filter(batch_column().between(step[0], step[-1])))
-        new = index.absorb(batch, texts)
-        new = cut(new) if len(numbers) > batches_per_step else new
-        index._maybe_compact()
-        out = new if out is None else out.unionByName(new)
-    if out is None:
-        out = records.filter(F.lit(False)).select("rec")
+        out = out.unionByName(index.absorb(raw_records(raw.filter(batch_column().between(step[0], step[-1])))))
+    index.close(remove=True)
     return out.select(F.col("rec").alias("raw_id"))

@@ -1,10 +1,12 @@
 """Sorted runs of similarity keys, packed by key range, and the windows of equal keys in them.
 
 A run holds, for a batch of texts, every band key with the set it belongs to. Rows are packed: one row
-per key range and task, with the keys (their lower 32 bits, as the
-range stands for the upper ones) and the sets they point to (a local index into a
-list of set numbers and bit sketches). Equal texts have one set number, so copies collapse before and
-after the exchange however many there are.
+per key range and task, with the sorted keys (their lower 32 bits, as the range stands for the upper ones)
+and the sets they point to (a local index into a list of set numbers and bit sketches). Equal texts have one
+set number, so copies collapse before and after the exchange however many there are.
+
+Key ranges have labels chosen so that hash partitioning by label puts each range into a task of its own: a task
+holds one range, and a range holds the keys of about ``RANGE_TEXTS`` texts, however many texts there are.
 """
 
 from __future__ import annotations
@@ -21,22 +23,21 @@ from adlattice.llm import residue
 from adlattice.llm import textsets as ts
 
 CHUNK = 1500
-RUN = "part int, rec bigint, sh bigint, ord bigint, keys binary, at binary, sets binary, sketch binary, new boolean"
+RANGE_TEXTS = 32_000
+RUN = "part int, rec bigint, sh bigint, ord bigint, keys binary, at binary, sets binary, sketch binary"
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Shingle length, similarity and banding. 56 bands of 6 places find a pair of similarity .58 with
-    probability .89, of .65 with .99 and of .7 with .999; grouping recovers most of the rest. Few rows a
-    band find nearly every pair at the threshold; their windows are longer, and ``sketch_bits`` of each
-    place (instead of one) keep the pairs to verify few."""
+    """Shingle length, similarity and banding. 42 bands of 3 places find a pair of similarity .5 with probability .997
+    and of .55 or more with 1 to four digits; two bits of each place keep the pairs to verify few."""
 
     k: int = 3
     threshold: float = 0.5
     places: int = 128
-    bands: int = 56
-    rows: int = 6
-    sketch_bits: int = 1
+    bands: int = 42
+    rows: int = 3
+    sketch_bits: int = 2
 
     @property
     def equal_bits(self) -> int:
@@ -45,163 +46,266 @@ class Plan:
         return int(self.places * p - 3.0 * (self.places * p * (1 - p)) ** 0.5)
 
 
-def pack(keys: np.ndarray, node: np.ndarray, sets: np.ndarray, sketch: np.ndarray, new: bool, parts: int) -> pd.DataFrame:
-    """Rows of a run from the key matrix of distinct sets: sorted keys by key range."""
+def murmur3(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of an int column."""
+    with np.errstate(over="ignore"):
+        k = values.astype(np.uint32) * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = np.uint32(seed) ^ k
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def range_labels(n: int) -> np.ndarray:
+    """A label for each of ``n`` ranges; partitioned by hash into n, label i is alone in partition i."""
+    reach = 32 * n
+    while True:
+        where = np.mod(murmur3(np.arange(reach, dtype=np.uint32)).astype(np.int64), n)
+        got, first = np.unique(where, return_index=True)
+        if len(got) == n:
+            return first.astype(np.int32)
+        reach *= 2
+
+
+def ranges_for(rows: int) -> int:
+    """Key ranges for so many rows."""
+    return max(1, -(-rows // RANGE_TEXTS))
+
+
+def range_of(keys: np.ndarray, ranges: int, splits: int = 0) -> np.ndarray:
+    """The range of 64-bit keys: one of ``ranges`` by the upper bits, halved ``splits`` times by the first of the lower bits."""
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return (part << splits) | ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - splits)).astype(np.int64) if splits else part
+
+
+def pack(keys: np.ndarray, sets: np.ndarray, sketch: np.ndarray, labels: np.ndarray, splits: int = 0) -> list[tuple]:
+    """``(label, keys, at, sets, sketch)`` per range from the key matrix of distinct sets: sorted keys by range."""
+    parts = len(labels)
     flat = keys.ravel()
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), keys.shape[1])
-    part = ((flat >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    part = range_of(flat, parts >> splits, splits)
     order = np.lexsort((flat & np.uint64(0xFFFFFFFF), part))
     flat, owner, part = flat[order], owner[order], part[order]
     bounds = np.searchsorted(part, np.arange(parts + 1))
     rows = []
     for p in range(parts):
         lo, hi = bounds[p], bounds[p + 1]
-        if lo == hi:
-            continue
-        used, local = np.unique(owner[lo:hi], return_inverse=True)
-        rows.append((p, 0, 0, 0, flat[lo:hi].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), sets[used].tobytes(), sketch[used].tobytes(), new))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RUN.split(", ")])
-
-
-def texts_to_run(rows: DataFrame, model: residue.Model, plan: Plan, parts: int) -> DataFrame:
-    """From ``rec, ord, name, description, new``: one row ``(rec, sh, ord)`` per advert and the packed keys.
+        if lo < hi:
+            used, local = np.unique(owner[lo:hi], return_inverse=True)
+            rows.append((int(labels[p]), flat[lo:hi].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), sets[used].tobytes(), sketch[used].tobytes()))
+    return rows
+
+
+@dataclass
+class Texts:
+    """A batch of texts: which have an advert, the number of each set, the shingles, and the new sets with their signatures."""
+
+    good: np.ndarray
+    sh: np.ndarray
+    values: np.ndarray
+    offsets: np.ndarray
+    fresh: list[int]
+    signature: np.ndarray
+
+    def grams(self, x: int) -> bytes:
+        """The sorted 32-bit hashes of the shingles of a text."""
+        return np.sort(self.values[self.offsets[x] : self.offsets[x + 1]].astype(np.uint32)).tobytes()
+
+
+class Reader:
+    """Reads batches of texts in one task; a set it has met before is not signed again."""
+
+    def __init__(self, model: residue.Model, plan: Plan, remember: int = 500_000):
+        self.model, self.plan, self.remember = model, plan, remember
+        self.vocabulary, self.met = ts.Vocabulary(), set()
+
+    def read(self, texts: list[str | None], titles: list[str | None]) -> Texts:
+        told = [t if isinstance(t, str) else "" for t in texts]
+        flag, _, seg = residue.flags(self.model, told, titles, self.vocabulary)
+        doc, h, _ = seg.tokens
+        values, offsets = ts.shingle_sets(doc, h, len(told), self.plan.k)
+        sh = ts.set_hashes(values, offsets)
+        good = ~flag & (sh != 0)
+        if len(self.met) > self.remember:
+            self.met.clear()
+        fresh = [x for x in np.flatnonzero(good).tolist() if sh[x] not in self.met and not self.met.add(sh[x])]
+        sig = np.empty((0, self.plan.places), np.uint64)
+        if fresh:
+            sub = np.concatenate([values[offsets[x] : offsets[x + 1]] for x in fresh])
+            sig = ts.superminhash(sub, np.concatenate(([0], np.cumsum(np.diff(offsets)[fresh]))), self.plan.places)
+        return Texts(good, sh, values, offsets, fresh, sig)
+
+    def packed(self, t: Texts, labels: np.ndarray, splits: int = 0) -> list[tuple]:
+        if not t.fresh:
+            return []
+        return pack(ts.band_keys(t.signature, self.plan.bands, self.plan.rows), t.sh[t.fresh], ts.bit_sketch(t.signature, self.plan.sketch_bits), labels, splits)
+
+
+def texts_to_run(rows: DataFrame, model: residue.Model, plan: Plan, labels: np.ndarray) -> DataFrame:
+    """From ``rec, ord, name, description``: one row ``(rec, sh, ord)`` per advert and the packed keys.
 
     Rows without an advert (NULL, blank, 'N/A', error marks, residue) give nothing.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = ts.Vocabulary()
-        done: dict[bool, set[int]] = {True: set(), False: set()}
+        reader = Reader(shared.value, plan)
         for b in batches:
             for i in range(0, len(b), CHUNK):
                 p = b.iloc[i : i + CHUNK]
-                flag, _, seg = residue.flags(shared.value, p["description"].tolist(), p["name"].tolist(), vocabulary)
-                doc, h, _ = seg.tokens
-                values, offsets = ts.shingle_sets(doc, h, len(p), plan.k)
-                sh = ts.set_hashes(values, offsets)
-                good = ~flag & (sh != 0)
-                yield pd.DataFrame({"part": np.abs(sh[good]) % parts, "rec": p["rec"].to_numpy()[good], "sh": sh[good], "ord": p["ord"].to_numpy()[good], "keys": None, "at": None, "sets": None, "sketch": None, "new": p["new"].to_numpy()[good]})
-                fresh = p["new"].to_numpy().astype(bool)
-                for new in (True, False):
-                    seen = done[new]
-                    pick = [x for x in np.flatnonzero(good & (fresh == new)) if sh[x] not in seen and not seen.add(sh[x])]
-                    if not pick:
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    size = np.diff(offsets)[pick]
-                    sub = np.concatenate([values[offsets[x] : offsets[x + 1]] for x in pick])
-                    sig = ts.superminhash(sub, np.concatenate(([0], np.cumsum(size))), plan.places)
-                    yield pack(ts.band_keys(sig, plan.bands, plan.rows), sh[pick], sh[pick], ts.bit_sketch(sig, plan.sketch_bits), new, parts)
-
-    return rows.select("rec", "ord", "name", "description", "new").mapInPandas(work, RUN)
+                t = reader.read(p["description"].tolist(), p["name"].tolist())
+                sh = t.sh[t.good]
+                yield pd.DataFrame({"part": labels[np.abs(sh) % len(labels)], "rec": p["rec"].to_numpy()[t.good], "sh": sh, "ord": p["ord"].to_numpy()[t.good], "keys": None, "at": None, "sets": None, "sketch": None})
+                yield pd.DataFrame([(x[0], 0, 0, 0, *x[1:]) for x in reader.packed(t, labels)], columns=[c.split()[0] for c in RUN.split(", ")])
+
+    return rows.select("rec", "ord", "name", "description").mapInPandas(work, RUN)
 
 
 BLOCK = 1 << 18
 
 
-def window_pairs(blobs: list[tuple[bytes, bytes, bytes, bytes, bool]], plan: Plan, only_new: bool) -> Iterator[pd.DataFrame]:
-    """Links ``(a, b)`` between different sets of equal key whose sketches agree; with ``only_new`` one side is new.
+@dataclass
+class Blob:
+    """Unpacked keys of a range: sorted keys, the set each belongs to, set numbers, and sketches as one row of words per bit."""
 
-    Windows of any size are compared in blocks of pairs, none is cut.
-    """
-    keys, owner, sets, sketch, new, base = [], [], [], [], [], 0
-    for k, at, s, sk, n in blobs:
-        keys.append(np.frombuffer(k, np.uint32))
-        owner.append(np.frombuffer(at, np.uint16).astype(np.int64) + base)
-        sets.append(np.frombuffer(s, np.int64))
-        sketch.append(np.frombuffer(sk, np.uint8).reshape(len(sets[-1]), -1))
-        new.append(np.full(len(sets[-1]), bool(n)))
-        base += len(sets[-1])
-    if not keys:
-        return
-    key, own, sets_, sketch_, new_ = np.concatenate(keys), np.concatenate(owner), np.concatenate(sets), np.concatenate(sketch), np.concatenate(new)
-    order = np.lexsort((sets_[own], key))
+    key: np.ndarray
+    own: np.ndarray
+    sets: np.ndarray
+    planes: np.ndarray
+
+    @classmethod
+    def of(cls, keys: bytes, at: bytes, sets: bytes, sketch: bytes, plan: Plan) -> Blob:
+        number = np.frombuffer(sets, np.int64)
+        raw = np.frombuffer(sketch, np.uint8).reshape(len(number), -1)
+        width = raw.shape[1] // plan.sketch_bits
+        return cls(np.frombuffer(keys, np.uint32), np.frombuffer(at, np.uint16).astype(np.int64), number, raw.view(np.uint64 if width % 8 == 0 else np.uint8).reshape(len(number), plan.sketch_bits, -1))
+
+
+def _planed(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers plane by plane: sorted or small numbers then compress well."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+STORED = "part int, keys binary, at binary, sets binary, sketch binary"
+
+
+def dump(blob: Blob) -> tuple[bytes, bytes, bytes, bytes]:
+    """The stored form of a blob, with 32-bit indexes."""
+    return _planed(blob.key), _planed(blob.own), blob.sets.tobytes(), blob.planes.tobytes()
+
+
+def load(keys: bytes, at: bytes, sets: bytes, sketch: bytes, plan: Plan) -> Blob:
+    empty = Blob.of(b"", b"", sets, sketch, plan)
+    return Blob(_unplaned(keys), _unplaned(at).astype(np.int64), empty.sets, empty.planes)
+
+
+def halved(blob: Blob, splits: int) -> list[tuple[int, Blob]]:
+    """The halves of a range, when it has been halved ``splits`` times before: by the next bit of the keys, which are sorted."""
+    middle = int(np.searchsorted(blob.key >> np.uint32(31 - splits) & np.uint32(1), 1))
+    out = []
+    for bit, part in ((0, slice(0, middle)), (1, slice(middle, None))):
+        used, own = np.unique(blob.own[part], return_inverse=True)
+        if len(own):
+            out.append((bit, Blob(blob.key[part], own, blob.sets[used], blob.planes[used])))
+    return out
+
+
+def merged(blobs: list[Blob]) -> Blob:
+    """One sorted blob; a set of a key that several blobs hold is listed once for the key."""
+    base = np.cumsum([0, *(len(b.sets) for b in blobs)])
+    unique, first, where = np.unique(np.concatenate([b.sets for b in blobs]), return_index=True, return_inverse=True)
+    key = np.concatenate([b.key for b in blobs])
+    own = np.concatenate([where[b.own + n] for b, n in zip(blobs, base[:-1], strict=True)])
+    order = np.lexsort((own, key))
     key, own = key[order], own[order]
-    s = sets_[own]
-    # copies of one set in a window become one entry, new if any copy is
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1])
-    fresh = np.logical_or.reduceat(new_[own], np.flatnonzero(first))
-    key, own = key[first], own[first]
-    if only_new:
-        # new entries come first in their window, so that only pairs with one of them are made
-        order = np.lexsort((~fresh, key))
-        key, own, fresh = key[order], own[order], fresh[order]
-    s = sets_[own]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(start, len(key)))
-    # every entry (every new one) meets those after it in its window; pairs are numbered throughout
-    ahead = np.repeat(start + size, size) - np.arange(len(key)) - 1
-    lead = np.flatnonzero((ahead > 0) & fresh) if only_new else np.flatnonzero(ahead > 0)
-    ends = np.cumsum(ahead[lead])
-    # one row of words for each bit of the places; a place differs if any of its bits does
-    width = sketch_.shape[1] // plan.sketch_bits
-    planes = np.ascontiguousarray(sketch_).view(np.uint64 if width % 8 == 0 else np.uint8).reshape(len(sketch_), plan.sketch_bits, -1)
-
-    def check(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        equal = plan.places - np.bitwise_count(np.bitwise_or.reduce(planes[own[x]] ^ planes[own[y]], axis=1)).sum(axis=1, dtype=np.int64)
-        keep = equal >= plan.equal_bits
-        a, b = s[x[keep]], s[y[keep]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    return Blob(key[keep], own[keep], unique, np.concatenate([b.planes for b in blobs])[first])
+
+
+def _checked(a: Blob, x: np.ndarray, b: Blob, y: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Set numbers of the entry pairs whose sketches agree; a place differs if any of its bits does."""
+    p, q = a.own[x], b.own[y]
+    equal = plan.places - np.bitwise_count(np.bitwise_or.reduce(a.planes[p] ^ b.planes[q], axis=1)).sum(axis=1, dtype=np.int64)
+    p, q = a.sets[p], b.sets[q]
+    keep = (equal >= plan.equal_bits) & (p != q)
+    return p[keep], q[keep]
+
 
+def _blocks(lead: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers the pairs ``lead[i]`` with ``0 .. count[i] - 1`` throughout and yields them in blocks of ``BLOCK``."""
+    ends = np.cumsum(count)
     for lo in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):
         hi = min(lo + BLOCK, int(ends[-1]))
         e = np.arange(np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left") + 1)
-        begin = ends[e] - ahead[lead[e]]
+        begin = ends[e] - count[e]
         x = np.repeat(e, np.minimum(ends[e], hi) - np.maximum(begin, lo))
-        y = lead[x] + 1 + np.arange(lo, hi) - (ends[x] - ahead[lead[x]])
-        yield check(lead[x], y)
+        yield lead[x], np.arange(lo, hi) - (ends[x] - count[x])
+
+
+def pairs_within(blob: Blob, plan: Plan) -> Iterator[pd.DataFrame]:
+    """Links ``(a, b)``, ``a < b``, between different sets of equal key whose sketches agree.
+
+    Windows of any size are compared in blocks of pairs, none is cut.
+    """
+    n = len(blob.key)
+    if not n:
+        return
+    start = np.flatnonzero(np.concatenate(([True], blob.key[1:] != blob.key[:-1])))
+    ahead = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n))) - np.arange(n) - 1
+    lead = np.flatnonzero(ahead)
+    for x, step in _blocks(lead, ahead[lead]):
+        a, b = _checked(blob, x, blob, x + 1 + step, plan)
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
 
+def pairs_between(new: Blob, old: Blob, plan: Plan) -> Iterator[pd.DataFrame]:
+    """Links ``(a, b)`` from the sets of ``new`` to those of ``old``: a merge of two sorted runs, only windows around new keys."""
+    lo, hi = np.searchsorted(old.key, new.key, "left"), np.searchsorted(old.key, new.key, "right")
+    lead = np.flatnonzero(hi > lo)
+    for x, step in _blocks(lead, (hi - lo)[lead]):
+        a, b = _checked(new, x, old, lo[x] + step, plan)
+        yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-LINK = "link boolean, a bigint, b bigint, ord bigint, new boolean"
 
+LINK = "link boolean, a bigint, b bigint, ord bigint"
 
-def links_and_records(run: DataFrame, plan: Plan, parts: int, only_new: bool = False) -> DataFrame:
-    """Candidate links ``(a, b)`` of all key ranges, and the record rows ``(rec, sh, ord, new)`` beside them.
 
-    Both go through one exchange by part, so the packed keys are neither computed nor stored twice. No
-    64-bit column holds NULL, as pandas would turn it into a float.
+def links_and_records(run: DataFrame, plan: Plan, parts: int) -> DataFrame:
+    """Candidate links ``(a, b)`` of all key ranges, and the record rows ``(rec, sh, ord)`` beside them.
+
+    Both go through one exchange by range, so the packed keys are neither computed nor stored twice; a task has the
+    blobs of one range. No 64-bit column holds NULL, as pandas would turn it into a float.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blobs: dict[int, list] = {}
+        blobs: list[Blob] = []
         for b in batches:
             plain = b["keys"].isna()
             if plain.any():
-                yield b.loc[plain, ["rec", "sh", "ord", "new"]].rename(columns={"rec": "a", "sh": "b"}).assign(link=False)
-            for r in b.loc[~plain, ["part", "keys", "at", "sets", "sketch", "new"]].itertuples(index=False):
-                blobs.setdefault(r[0], []).append(tuple(r[1:]))
-        for part in sorted(blobs):
-            for found in window_pairs(blobs.pop(part), plan, only_new):
+                yield b.loc[plain, ["rec", "sh", "ord"]].rename(columns={"rec": "a", "sh": "b"}).assign(link=False)
+            blobs += [Blob.of(*r, plan) for r in b.loc[~plain, ["keys", "at", "sets", "sketch"]].itertuples(index=False)]
+        if blobs:
+            for found in pairs_within(merged(blobs), plan):
                 if len(found):
-                    yield found.assign(link=True, ord=0, new=False)
+                    yield found.assign(link=True, ord=0)
 
     return run.repartition(parts, "part").mapInPandas(work, LINK)
 
 
 def split_links(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(links, records)`` of the cut result of :func:`links_and_records`."""
-    records = both.filter(~F.col("link")).select(F.col("a").alias("rec"), F.col("b").alias("sh"), "ord", "new")
+    records = both.filter(~F.col("link")).select(F.col("a").alias("rec"), F.col("b").alias("sh"), "ord")
     return both.filter("link").select("a", "b").distinct(), records.distinct()
 
 
-ROWS_PER_PART = 40_000
-
-
-def parts_for(df: DataFrame, rows: int | None = None) -> int:
-    """Key ranges: as many as shuffle partitions, and enough that a range holds the keys of about 40 000 texts."""
-    rows = df.count() if rows is None else rows
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // ROWS_PER_PART))
-
-
-def jaccard_sorted(a: np.ndarray, b: np.ndarray) -> float:
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
-    return both / max(1, len(a) + len(b) - both)
-
-
 SETS = "sh bigint, grams binary"
 
 
@@ -210,29 +314,44 @@ def exact_sets(texts: DataFrame, plan: Plan) -> DataFrame:
     some hundred runs meet by chance in less than one of 10 000 comparisons, and then in one run)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = ts.Vocabulary()
+        reader = Reader(residue.blank_model(), plan)
         for b in batches:
             for i in range(0, len(b), CHUNK):
                 p = b.iloc[i : i + CHUNK]
-                seg = residue.segments([residue.prepare(t) for t in p["description"]], [None] * len(p), vocabulary)
+                seg = residue.segments([residue.prepare(t) for t in p["description"]], [None] * len(p), reader.vocabulary)
                 doc, h, _ = seg.tokens
-                values, offsets = ts.shingle_sets(doc, h, len(p), plan.k)
-                yield pd.DataFrame({"sh": p["sh"].to_numpy(), "grams": [np.sort(values[offsets[x] : offsets[x + 1]].astype(np.uint32)).tobytes() for x in range(len(p))]})
+                t = Texts(None, None, *ts.shingle_sets(doc, h, len(p), plan.k), [], None)
+                yield pd.DataFrame({"sh": p["sh"].to_numpy(), "grams": [t.grams(x) for x in range(len(p))]})
 
     return texts.select("sh", "description").mapInPandas(work, SETS)
 
 
+def similar(a: list[bytes], b: list[bytes], threshold: float) -> np.ndarray:
+    """Which pairs of sorted sets reach the similarity; all rows are compared in one merge of row-numbered hashes."""
+
+    def numbered(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(s) // 4 for s in sets], np.int64)
+        return (np.repeat(np.arange(len(sets), dtype=np.uint64), size) << np.uint64(32)) | np.frombuffer(b"".join(sets), np.uint32), size
+
+    (x, n), (y, m) = numbered(a), numbered(b)
+    if not len(x) or not len(y):
+        return np.zeros(len(a), bool)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = np.bincount((x[y[at] == x] >> np.uint64(32)).astype(np.int64), minlength=len(a))
+    return both >= threshold * np.maximum(1, n + m - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach the threshold, exactly."""
+    """The rows of ``pairs`` (with columns a and b) whose sets reach the threshold, exactly."""
     left = pairs.join(sets.select(F.col("sh").alias("a"), F.col("grams").alias("ga")), "a")
     both = left.join(sets.select(F.col("sh").alias("b"), F.col("grams").alias("gb")), "b")
+    kept = pairs.columns
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [jaccard_sorted(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= plan.threshold for x, y in zip(b["ga"], b["gb"], strict=True)]
-            yield b.loc[ok, ["a", "b"]]
+            yield b.loc[similar(b["ga"].tolist(), b["gb"].tolist(), plan.threshold), kept]
 
-    return both.select("a", "b", "ga", "gb").mapInPandas(work, "a bigint, b bigint")
+    return both.select(*kept, "ga", "gb").mapInPandas(work, ", ".join(f"{n} {t}" for n, t in pairs.dtypes))
 
 
 def needed_texts(records: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,9 +360,12 @@ def needed_texts(records: DataFrame, nodes: DataFrame, texts: DataFrame) -> Data
     The list of needed records is broadcast only after its size is checked; beyond that the join shuffles.
     """
     one = records.join(nodes.select(F.col("node").alias("sh")).distinct(), "sh", "left_semi").groupBy("sh").agg(F.min("rec").alias("rec"))
-    if nodes.count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
-    return texts.join(one, "rec").select("sh", "description")
+    return texts.join(small(one, nodes.count()), "rec").select("sh", "description")
 
 
 BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a table of a few numbers a row for broadcast if it is known to have few enough rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

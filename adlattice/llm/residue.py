@@ -1,11 +1,16 @@
 """Template residue and error-page text (problem 4).
 
 Method: a regularised linear classifier on hashed n-grams, length and title features, trained on weak
-labels from response statuses and phrases and validated on a board it has not seen. It scores segments
-(lines and sentences), because a notice may stand in place of a part of the advert; a row is a case if
-one of its segments scores above zero.
+labels from response statuses and phrases and validated on boards and notices it has not seen. It scores
+segments (lines, sentences and bracket notations), because a notice may stand in place of a part of the
+advert; a row is a case if one of its segments scores above zero. The classifier alone decides: labels are
+used in training only.
 
-Training uses at most ``SAMPLE`` rows, drawn by hash over the whole table; scoring covers every row and
+Weak labels come from three places: the reason phrases and explanations of the HTTP status codes and usual
+wordings of notices (:mod:`adlattice.llm.notices`), general cues in the segments of a sample of rows, and
+names of template fields counted in that sample.
+
+Training uses at most about ``SAMPLE`` rows, drawn by hash over the whole table; scoring covers every row and
 every character. Defined results: NULL, blank, 'N/A' and 'Error: <Type>' are no cases; texts of any
 length are read whole; repeated rows get equal answers; extra columns are ignored; an empty table gives
 an empty result.
@@ -22,45 +27,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlattice.llm import notices
 from adlattice.llm import textsets as ts
 
-SAMPLE = 8_000
-MARGIN = (-2.0, 1.5)
-SHORT_TEXT = 400
+SAMPLE = 10_000
 BITS = 18
+SEED_WEIGHT = 0.9  # of a built-in example; a segment of the sample weighs 1
 _U = np.uint64
 
-# Phrases whose presence labels a segment as a notice or filler of the site.
-PHRASES = [
-    r"\b[45]\d\d\b\W{1,3}(?:the page|bad gateway|not found|forbidden|internal server|service unavailable|gateway)", r"\bthe page you (?:asked|were looking) for\b", r"it may have been moved or taken down",
-    r"bad gateway", r"upstream (?:server|connect error)", r"connection to .{0,60}timed out", r"reload the page to retry", r"(?:fehler|erreur|error|錯誤代碼) ?\(?[45]\d\d", r"service (?:temporarily )?unavailable",
-    r"we are doing maintenance", r"try again in \d+ minutes", r"too many requests", r"wait \d+ minutes and try again", r"access denied\s*$", r"you do not have permission to open", r"checking that you are a human",
-    r"this can take a few seconds", r"your session has expired", r"log in again to go on", r"something went wrong on our side", r"our engineers have been told", r"error establishing a connection", r"traceback: ",
-    r"keyerror '", r"advert has been removed or is no longer open", r"seite wurde nicht gefunden", r"página no disponible", r"vuelva al inicio o use el buscador", r"le service est indisponible", r"veuillez revenir plus tard",
-    r"頁面不存在或已被移除", r"enable javascript", r"(?:activer|aktivieren sie|active|啟用) ?javascript", r"turn on scripts", r"scripts turned off", r"cookies and scripts switched on", r"scripts may be blocked",
-    r"loading job details", r"browser is not supported", r"scripts and local storage are needed", r"sign in to see who you already know", r"new here\?? join now", r"^forgot password", r"^join now$", r"^new here$",
-    r"sample description goes here", r"replace before publishing", r"text folgt", r"more text to follow", r"^\W*dummy\W*$", r"used for checking the form", r"job description text job description text", r"此處填寫",
-    r"enter a description of at least", r"asdf asdf", r"x{4,} x{4,}", r"test test test", r"^\W*(?:to be confirmed|tbc|tba|description to follow|coming soon)\W*$",
-]
-PHRASE = re.compile("|".join(PHRASES))
-# One word of every phrase, to skip the pattern on most segments.
-_HINTS = frozenset(
-    "page gateway found forbidden internal unavailable moved upstream timed reload fehler erreur error service maintenance again requests wait denied permission human seconds session log wrong engineers establishing traceback keyerror advert seite página "
-    "vuelva revenir javascript scripts cookies loading browser sign join forgot new sample publishing folgt follow dummy form description characters asdf test confirmed tbc tba soon".split()
-)
-# Sentences that talk about such things are labelled as text.
-TALK = re.compile(r"such as|called|in a \x01?\w* ?\S* ?\x01? ?style|explains?|you will (?:bring|replace|write|configure)|handled by|together with|hours: |kept? (?:them )?documented|is required for this post|before each catalogue")
-FILLER_WORDS = frozenset("lorem ipsum dolor amet ipsera dolorem fugiat commodis amentor laborus proidenta magnum sintus noscera mollitus duisera volupta irural estium aliquor cillumen ullamar nullar tempusa vidicum".split())
-# Usual names of the fields of a template, beside those the sample shows.
-FIELDS = frozenset(
-    "company|company name|employer|employer name|firm|team|manager|line manager|branch|department|city|location|address|office address|salary|benefit|benefits|duties|task|tasks|industry|product|count|headcount|years|start_date|start date|title|job title|jobtitle|position|role|name|"
-    "first name|firstname|last name|date|phone|email|contact.email|ref_no|reference|skill|skill_1|nombre|empresa|puesto|abteilung|firma|stadt|gehalt|poste|entreprise|ville|salaire|職位|公司|部門|地點|薪金".split("|")
-)
-# A notation that a sentence speaks of is not a placeholder.
-_BEFORE, _AFTER = re.compile(r"(?:such as|called|named|like)\s*$"), re.compile(r"\s*(?:style|syntax|format|language|notation)")
-_FIELD = re.compile(r"insert|here|your|name|company|employer|title|manager|address|salary|city|date|skill|_|^[a-z]{0,3}\d|職位")
-# Notations that are never used for anything else; what stands inside them tells field names.
-_SURE = frozenset("bdefghilmnopqrstuvwx")
+# Notations of template languages; the others also occur in ordinary texts.
+_SURE = frozenset("abcdefghipqrst")
+_TEMPLATE = frozenset(ts.OPEN[ord(c) - 97] for c in _SURE)
+_MARK = re.compile(rf"([{ts.OPEN}])([^{ts.CLOSE}]*){ts.CLOSE}")
+_BREAK = re.compile(r"\n|[.!?。！？](?=\s|$)")
+_SAYS = re.compile(r"[^\W]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -78,21 +59,27 @@ def _length_bucket(n: np.ndarray) -> np.ndarray:
 
 
 def segments(texts: list[str], titles: list[str | None], vocabulary: ts.Vocabulary) -> Segments:
-    """Hashed word 1- to 3-grams within each segment, its length, and whether the row lacks a title."""
+    """Hashed word 1- to 3-grams within each segment, its length, and whether the row lacks a title.
+
+    A bracket notation is a segment of its own; its features are its kind, the words inside and those beside it.
+    """
     doc, _, h, kind = vocabulary.batch(texts)
     brk = kind == 1
-    seg_all = np.cumsum(brk) + doc  # a new document starts a new segment too
+    cut = np.cumsum(brk | (kind == 2))  # an opening sign starts a segment, the token after a closing one too
+    after = np.zeros(len(kind), np.int64)
+    after[1:] = np.cumsum(kind[:-1] == 4)
+    seg_all = cut + after + doc
     word = ~brk
     d, hh, seg, kd = doc[word], h[word], seg_all[word], kind[word]
-    if not len(d):
-        return Segments(np.empty(0, np.int64), np.empty((4, 0), np.int32), np.empty(0, np.int64), (doc[kind == 0], h[kind == 0], kind[kind == 0]))
     real = (kd == 0) | (kd == 3)
     tokens = (d[real], hh[real], kd[real])
+    if not len(d):
+        return Segments(np.empty(0, np.int64), np.empty((4, 0), np.int32), np.empty(0, np.int64), tokens)
     hm = np.where(kd == 3, _U(0xD1617), hh)  # numbers are alike for the classifier
-    starts_mask = np.ones(len(seg), bool)
-    starts_mask[1:] = seg[1:] != seg[:-1]
-    starts = np.flatnonzero(starts_mask)
-    number = np.cumsum(starts_mask) - 1
+    new = np.ones(len(seg), bool)
+    new[1:] = seg[1:] != seg[:-1]
+    starts = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
     shift = _U(64 - BITS)
     size = np.diff(np.append(starts, len(seg)))
     pos = np.arange(len(seg)) - starts[number]
@@ -106,8 +93,15 @@ def segments(texts: list[str], titles: list[str | None], vocabulary: ts.Vocabula
     no_title = np.array([t is None or t in ("", "N/A", "Unknown Title") for t in titles], np.int64)
     side = _length_bucket(size) * 2 + no_title[d[starts]]
     cells[3, starts] = (ts.mix(side.astype(np.uint64) + _U(0x7E57)) >> shift).astype(np.int64)
-    mark = kd == 2
-    cells[3, mark] = (ts.mix(np.where(np.arange(1, len(hm) + 1)[mark] < len(hm), hm[np.minimum(np.flatnonzero(mark) + 1, len(hm) - 1)], _U(0)) + _U(0x3A5C)) >> shift).astype(np.int64)
+    # the closing sign of a notation carries the words beside it
+    close = np.flatnonzero(kd == 4)
+    if len(close):
+        opens = starts[number[close]]
+        for row, at, salt in ((0, opens - 1, 0x1EF7), (1, close + 1, 0x219E), (2, opens - 2, 0x1EF8)):
+            inside = (at >= 0) & (at < len(hm))
+            at = np.clip(at, 0, len(hm) - 1)
+            inside &= d[at] == d[close]
+            cells[row, close] = np.where(inside, (ts.mix(hm[at] + _U(salt)) >> shift).astype(np.int64), -1)
     return Segments(d[starts], cells, starts, tokens)
 
 
@@ -117,7 +111,6 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    fields: frozenset[str] = frozenset()
 
     def scores(self, s: Segments) -> np.ndarray:
         """Mean cell weight of a segment scaled by the root of its length, plus the bias."""
@@ -133,63 +126,90 @@ class Model:
         return sums / np.sqrt(n) + self.bias
 
 
+def blank_model() -> Model:
+    """A model that accepts nothing."""
+    return Model(np.zeros(1 << BITS, np.float32), -1.0)
+
+
 def prepare(text: str) -> str:
     return ts.plain(ts.masked(text))
 
 
-def field_names(texts: list[str]) -> frozenset[str]:
-    """What stands in the sure notations of the sample, counted at least twice."""
-    seen: dict[str, int] = {}
-    for t in texts:
-        if ts._MAY_HOLD.search(t):
-            for m in ts.PLACEHOLDER.finditer(t):
-                if m.lastgroup in _SURE:
-                    k = m[m.lastgroup].strip().casefold()
-                    seen[k] = seen.get(k, 0) + 1
-    return frozenset(k for k, n in seen.items() if n >= 2)
+def pieces(text: str) -> Iterator[tuple[str | None, str, str, str]]:
+    """The segments of a prepared text: ``(sign of the notation or None, words, text before, text after)``."""
+    at = 0
+    for m in [*_MARK.finditer(text), None]:
+        end = m.start() if m else len(text)
+        for x in _BREAK.split(text[at:end]):
+            if _SAYS.search(x):
+                yield None, x, "", ""
+        if m:
+            yield m[1], m[2].strip(), text[max(0, end - 40) : end], text[m.end() : m.end() + 40]
+            at = m.end()
 
 
-_MARK = re.compile(r"\x01([a-x])([^\x01]*)\x01")
-_SPLIT = re.compile(r"\n|[.!?。！？](?=\s|$)")
+def field_names(ready: list[str]) -> frozenset[str]:
+    """What stands in the notations of template languages, counted at least twice."""
+    seen: dict[str, int] = {}
+    for t in ready:
+        for m in _MARK.finditer(t):
+            if m[1] in _TEMPLATE:
+                k = m[2].strip()
+                seen[k] = seen.get(k, 0) + 1
+    return frozenset(k for k, n in seen.items() if n >= 2)
 
 
-def weak_label(segment: str, fields: frozenset[str]) -> int:
+def weak_label(sign: str | None, words: str, before: str, after: str, fields: frozenset[str]) -> int:
     """1 notice, filler or placeholder; 0 advert text; -1 no opinion."""
-    words = re.findall(r"[^\W\d_]+", segment)
-    marks = list(_MARK.finditer(segment))
-    for m in marks:
-        g, inner = m[1], m[2].strip()
-        known = inner in FIELDS or inner in fields or re.sub(r"^insert ", "", inner) in fields | FIELDS
-        if g in _SURE or known or (g in "ac" and not (_BEFORE.search(segment[: m.start()]) or _AFTER.match(segment[m.end() :]))) or (g not in "ac" and _FIELD.search(inner)):
+    if sign is not None:
+        if notices.SPOKEN_OF_BEFORE.search(before) or notices.SPOKEN_OF_AFTER.match(after):
+            return 0
+        if sign in _TEMPLATE or not words or words in fields or notices.is_field(words):
             return 1
-    told = re.sub(r"\x01[a-x]?", " ", segment) if marks else segment
-    if (_HINTS.intersection(words) or "xxxx" in told or not told.isascii()) and PHRASE.search(told):
-        return 0 if TALK.search(told) else 1
-    if marks:
-        return -1 if any(m[2].strip().isdigit() for m in marks) else 0
-    if len(words) >= 4 and sum(map(FILLER_WORDS.__contains__, words)) >= 0.4 * len(words):
-        return 1
-    return 0
+        return -1 if words.isdigit() else 0
+    told = _WORD.findall(words)
+    if notices.has_cue(words, told):
+        return -1 if notices.TALK.search(words) else 1
+    return 1 if notices.is_filler(words, told) else 0
 
 
-def train(texts: list[str], titles: list[str | None], epochs: int = 12, l2: float = 1e-4, rate: float = 0.5, seed: int = 7) -> Model:
-    """L2-regularised logistic regression by AdaGrad over the labelled segments of the texts."""
+@dataclass
+class Labelled:
+    """Segments with their weak labels and weights."""
+
+    seg: Segments
+    label: np.ndarray
+    weight: np.ndarray
+
+
+def labelled(texts: list[str], titles: list[str | None]) -> Labelled:
+    """The segments of the texts and of the built-in wordings, labelled."""
     ready = [prepare(t) for t in texts]
-    fields = field_names(texts)
-    vocab = ts.Vocabulary()
-    s = segments(ready, titles, vocab)
-    labels = []
-    for t in ready:
-        labels += [weak_label(x, fields) for x in _SPLIT.split(t) if re.search(rf"[^\W]|{ts.MASK}", x)]
-    y = np.array(labels, np.int64)
-    if len(y) != len(s.starts):
+    fields = field_names(ready)
+    labels = [weak_label(*p, fields) for t in ready for p in pieces(t)]
+    seeds = [(prepare(t), y) for t, y in notices.seeds()]
+    for t, y in seeds:
+        labels += [y for _ in pieces(t)]
+    s = segments(ready + [t for t, _ in seeds], [*titles, *["t" for _ in seeds]], ts.Vocabulary())
+    label = np.array(labels, np.int64)
+    if len(label) != len(s.starts):
         raise AssertionError("segments and labels are out of step")
-    model = Model(np.zeros(1 << BITS, np.float32), -1.0, fields)
-    if not (y == 1).any():
-        return model
+    return Labelled(s, label, np.where(s.doc >= len(ready), SEED_WEIGHT, 1.0))
+
+
+def train(texts: list[str], titles: list[str | None], epochs: int = 14, l2: float = 1e-4, rate: float = 0.5, seed: int = 7) -> Model:
+    """L2-regularised logistic regression by AdaGrad over the labelled segments of the texts."""
+    known = labelled(texts, titles)
+    s, y = known.seg, known.label
+    model = blank_model()
     rng = np.random.default_rng(seed)
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    neg = rng.permutation(neg)[: max(60 * len(pos), 4000)]
+    # every notation and every segment beside a cue is kept, plain text is thinned to a multiple of the cases
+    plain = (s.cells[0, s.starts] >= 0) & (known.weight == 1)
+    marked = np.zeros(len(y), bool)
+    opened = {int(_U(ts.xxhash.xxh64_intdigest(c)) >> _U(64 - BITS)) for c in ts.OPEN}
+    marked[neg] = np.isin(s.cells[0, s.starts[neg]], list(opened))
+    neg = np.concatenate([neg[marked[neg] | ~plain[neg]], rng.permutation(neg[~marked[neg] & plain[neg]])[: max(60 * len(pos), 4000)]])
     size = np.diff(np.append(s.starts, s.cells.shape[1]))
     chosen = np.concatenate([pos, neg])
     at = np.repeat(s.starts[chosen] - np.concatenate(([0], np.cumsum(size[chosen])[:-1])), size[chosen]) + np.arange(size[chosen].sum())
@@ -200,13 +220,15 @@ def train(texts: list[str], titles: list[str | None], epochs: int = 12, l2: floa
     val = (1 / np.sqrt(counts))[row]
     starts = np.concatenate(([0], np.cumsum(counts)))
     target = (y[chosen] == 1).astype(np.float64)
-    weight = np.where(target == 1, max(1.0, 0.25 * len(neg) / max(1, len(pos))), 1.0)
+    weight = np.where(target == 1, max(1.0, 0.25 * len(neg) / max(1, len(pos))), 1.0) * known.weight[chosen]
+    weight[len(pos) :][marked[neg]] *= 4
     w, g2, b = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), -1.0
     for _ in range(epochs):
         order = rng.permutation(len(chosen))
         for part in np.array_split(order, max(1, len(order) // 512)):
-            take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
-            local = np.repeat(np.arange(len(part)), np.diff(starts)[part])
+            n = counts[part]
+            take = np.repeat(starts[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            local = np.repeat(np.arange(len(part)), n)
             z = np.bincount(local, w[cell[take]] * val[take], minlength=len(part)) + b
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[part]) * weight[part] / len(part)
             touched, inverse = np.unique(cell[take], return_inverse=True)
@@ -214,7 +236,8 @@ def train(texts: list[str], titles: list[str | None], epochs: int = 12, l2: floa
             g2[touched] += grad * grad
             w[touched] -= rate * grad / np.sqrt(g2[touched])
             b -= 0.1 * err.sum()
-    return Model(w.astype(np.float32), b, fields)
+    model.weights, model.bias = w.astype(np.float32), b
+    return model
 
 
 def advert_column(text: str = "description"):
@@ -241,31 +264,14 @@ def fit(jobs: DataFrame, sample: int = SAMPLE) -> Model:
     return train(rows["description"].tolist(), rows["name"].tolist())
 
 
-def scored(model: Model, ready: list[str], titles: list[str | None], vocabulary: ts.Vocabulary) -> tuple[np.ndarray, np.ndarray, Segments]:
-    """``(score, ruled, segments)`` per prepared text; where ``ruled``, the labelling rules settle the verdict."""
+def flags(model: Model, texts: list[str], titles: list[str | None], vocabulary: ts.Vocabulary) -> tuple[np.ndarray, np.ndarray, Segments]:
+    """``(flag, score, segments)`` per text; the score is that of the highest segment, the flag whether it is above zero."""
+    ready = [prepare(t) for t in texts]
     s = segments(ready, titles, vocabulary)
     score = np.full(len(ready), -np.inf)
     if len(s.doc):
         np.maximum.at(score, s.doc, model.scores(s))
-    marked = np.array([ts.MASK in t or len(t) < SHORT_TEXT for t in ready], bool)
-    return score, marked | ((score > MARGIN[0]) & (score < MARGIN[1])), s
-
-
-def is_labelled(text: str, fields: frozenset[str]) -> bool:
-    """Whether the labelling rules see a case in a prepared text."""
-    return any(weak_label(x, fields) == 1 for x in _SPLIT.split(text))
-
-
-def flags(model: Model, texts: list[str], titles: list[str | None], vocabulary: ts.Vocabulary) -> tuple[np.ndarray, np.ndarray, Segments]:
-    """``(flag, score, segments)`` per text. The classifier decides; scores within ``MARGIN`` of its
-    boundary, short texts and texts with a bracket notation are settled by the labelling rules as an
-    exact check."""
-    ready = [prepare(t) for t in texts]
-    score, ruled, s = scored(model, ready, titles, vocabulary)
-    flag = score > 0
-    for i in np.flatnonzero(ruled):
-        flag[i] = is_labelled(ready[i], model.fields)
-    return flag, score, s
+    return score > 0, score, s
 
 
 CHUNK = 2000
@@ -288,20 +294,18 @@ def found(jobs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInPandas(score, "internal_id bigint")
 
 
-COUNTS = ("rows", "cases", "ruled", "flagged", "agreed", "own", "own_agreed")
+COUNTS = ("rows", "cases", "flagged", "agreed")
 BOARDS = 16
 
 
 def validation(jobs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per board: agreement with the weak labels of a model trained on the other boards only.
 
-    Only training uses the sample; every row of the board with an advert is scored, and the counts are
-    summed in Spark. ``precision`` and ``recall`` are those of the settled verdict, which on the ``ruled``
-    rows comes from the labelling rules themselves; ``own_precision`` and ``own_recall`` are those of the
-    classifier alone on the same rows. There is one model for each board; ``BOARDS`` of them share a pass.
+    Only training uses the sample, field names included; every row of the board with an advert is scored, and the counts
+    are summed in Spark. A row is a case of the labels if one of its segments is; names of fields are those of the other
+    boards on both sides. There is one model for each board; ``BOARDS`` of them share a pass.
     """
     rows = training_rows(jobs, sample)
-    fields = field_names(rows["description"].tolist())
     every = jobs.filter(advert_column()).select("name", "description", host_column(jobs).alias("host")).filter("host IS NOT NULL")
     hosts = sorted(r[0] for r in every.select("host").distinct().collect())
     counts = every.sparkSession.createDataFrame([], "host string, " + ", ".join(f"{c} bigint" for c in COUNTS))
@@ -309,24 +313,20 @@ def validation(jobs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         models = {}
         for host in hosts[i : i + BOARDS]:
             seen = rows[rows["host"] != host]
-            models[host] = train(seen["description"].tolist(), seen["name"].tolist()) if len(seen) else Model(np.zeros(1 << BITS, np.float32), -1.0)
+            texts = seen["description"].tolist()
+            models[host] = train(texts, seen["name"].tolist()), field_names([prepare(t) for t in texts])
         shared = every.sparkSession.sparkContext.broadcast(models)
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             vocabulary = ts.Vocabulary()
             for b in batches:
                 for host, part in b.groupby("host"):
-                    model = shared.value[host]
+                    model, fields = shared.value[host]
                     for j in range(0, len(part), CHUNK):
                         p = part.iloc[j : j + CHUNK]
-                        ready = [prepare(t) for t in p["description"]]
-                        score, ruled, _ = scored(model, ready, p["name"].tolist(), vocabulary)
-                        want = np.array([is_labelled(t, fields) for t in ready], bool)
-                        own = score > 0
-                        got = own.copy()
-                        for x in np.flatnonzero(ruled):
-                            got[x] = want[x] if model.fields == fields else is_labelled(ready[x], model.fields)
-                        yield pd.DataFrame([(host, len(p), want.sum(), ruled.sum(), got.sum(), (got & want).sum(), own.sum(), (own & want).sum())], columns=["host", *COUNTS])
+                        got, *_ = flags(model, p["description"].tolist(), p["name"].tolist(), vocabulary)
+                        want = np.array([any(weak_label(*x, fields) == 1 for x in pieces(prepare(t))) for t in p["description"]], bool)
+                        yield pd.DataFrame([(host, len(p), want.sum(), got.sum(), (got & want).sum())], columns=["host", *COUNTS])
 
         counts = counts.unionByName(every.filter(F.col("host").isin(list(models))).mapInPandas(count, counts.schema))
     summed = counts.groupBy("host").agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -334,4 +334,4 @@ def validation(jobs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def share(part: str, whole: str, name: str):
         return (F.col(part) / F.greatest(F.lit(1), F.col(whole))).alias(name)
 
-    return summed.select("host", "rows", "cases", share("agreed", "flagged", "precision"), share("agreed", "cases", "recall"), "ruled", share("own_agreed", "own", "own_precision"), share("own_agreed", "cases", "own_recall")).orderBy("host")
+    return summed.select("host", "rows", "cases", "flagged", share("agreed", "flagged", "precision"), share("agreed", "cases", "recall")).orderBy("host")

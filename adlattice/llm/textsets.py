@@ -14,8 +14,10 @@ import numpy as np
 import xxhash
 
 _CJK = "぀-ヿ㐀-鿿가-힯豈-﫿"
-BREAK, MASK = "\n", "\x01"
-TOKEN = re.compile(rf"[{_CJK}]|[^\W{_CJK}]+|\n|\x01|[.!?。！？](?=\s|$)")
+BREAK = "\n"
+# A bracket notation is written as an opening sign of its kind, the words inside and a closing sign.
+OPEN, CLOSE = "".join(map(chr, range(0xE000, 0xE020))), "\ue07f"
+TOKEN = re.compile(rf"[{_CJK}]|[^\W{_CJK}]+|\n|[{OPEN}{CLOSE}]|[.!?。！？](?=\s|$)")
 BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|br|div|html|head|body|title|h[1-6]|noscript|tr|td|table)\b[^>]*>", re.I)
 ANY_TAG = re.compile(r"</?[a-z!][^<>]*>", re.I)
 ERROR_MARK = re.compile(r"Error: \w+\s*")
@@ -23,14 +25,17 @@ SENTINELS = ("", "N/A")
 _U = np.uint64
 GOLDEN = _U(0x9E3779B97F4A7C15)
 
-# Placeholder notations. Each becomes a mask token followed by the words inside.
+# Bracket notations, by kind: a to i and p to t are the syntaxes of template languages and mail merges, j to o and u to x
+# occur in ordinary texts too. None has a bound on its length but the end of the line (tags may span none).
 PLACEHOLDER = re.compile(
-    r"\{%(?P<b>[^{}%]{1,60})%\}|\{\{(?P<a>[^{}]{1,60})\}\}|\$\{(?P<c>[^{}]{1,60})\}|%%(?P<d>[^%\n]{1,60})%%|\[\[(?P<e>[^\[\]]{1,60})\]\]|<<(?P<f>[^<>]{1,60})>>"
-    r"|@@(?P<g>[^@\n]{1,60})@@|(?<!\w)#(?P<h>[^\W\d][\w ]{0,40})#(?!\w)|(?<![^\W_])__(?P<i>[^\W_][\w ]{0,40}?)__(?![^\W_])|\[(?P<j>[^\[\]\n]{1,60})\]|(?<![{$])\{(?P<k>[^{}\n\"':;]{1,40})\}(?!\})"
-    r"|&lt;(?P<l>[^&<>\n]{1,40})&gt;|【(?P<m>[^【】\n]{1,40})】|\((?P<n>[^()\n]{1,60}) to be [a-z]+\)|(?P<o>_{5,})|<%=?(?P<p>[^%<>\n]{1,60})%>|\*\|(?P<q>[^*|\n]{1,40})\|\*"
-    r"|<\?=?(?P<r>[^<>?\n]{1,60}(?:->[^<>?\n]{1,40})?)\?>|«(?P<s>[^«»\n]{1,40})»|<(?P<t>[A-Za-z]+_\w+|[A-Z]{3,}(?: [A-Z]+)*)>|\*\*(?P<u>(?:add|insert|enter|write|describe|fill in)\b[^*\n]{2,80})\*\*|\((?P<v>(?:enter|insert|add|fill in|your)\b[^()\n]{2,60})\)|\$(?P<x>[A-Za-z_]{2,40})\$|\b(?P<w>X{2,4})(?= (?:years|months|people|hours|days|staff))"
+    r"\{%(?P<b>[^{}%\n]+)%\}|\{\{(?P<a>[^{}\n]+)\}\}|\$\{(?P<c>[^{}\n]+)\}|%%(?P<d>[^%\n]+)%%|\[\[(?P<e>[^\[\]\n]+)\]\]|<<(?P<f>[^<>\n]+)>>"
+    r"|@@(?P<g>[^@\n]+)@@|(?<!\w)#(?P<h>[^\W\d][\w ]*)#(?!\w)|(?<![^\W_])__(?P<i>[^\W_][\w ]*?)__(?![^\W_])|\[(?P<j>[^\[\]\n]+)\]|(?<![{$])\{(?P<k>[^{}\n\"':;]+)\}(?!\})"
+    r"|&lt;(?P<l>[^&<>\n]+)&gt;|【(?P<m>[^【】\n]+)】|\((?P<n>[^()\n]+) to be [a-z]+\)|(?P<o>_{5,})|<%=?(?P<p>[^%<>\n]+)%>|\*\|(?P<q>[^*|\n]+)\|\*"
+    r"|<\?=?(?P<r>[^<>?\n]+(?:->[^<>?\n]+)?)\?>|«(?P<s>[^«»\n]+)»|<(?P<t>[A-Za-z]+_\w+|[A-Z]{3,}(?: [A-Z]+)*)>|\*\*(?P<u>(?:add|insert|enter|write|describe|fill in)\b[^*\n]{2,})\*\*|\((?P<v>(?:enter|insert|add|fill in|your)\b[^()\n]{2,})\)|\$(?P<x>[A-Za-z_]{2,})\$|\b(?P<w>X{2,4})(?= (?:years|months|people|hours|days|staff))"
 )
 _MAY_HOLD = re.compile(r"[{\[%#@【_«]|&lt;|<<|<\?|<[A-Z]|\*\*?\b|\$[A-Za-z_]+\$|\*\||to be |\((?:enter|insert|add|fill|your)|XX")
+_ENDS = re.compile(r"[\n.!?。！？]")
+_SIGNS = re.compile(f"[{OPEN}{CLOSE}]")
 
 
 def is_advert(text: str | None) -> bool:
@@ -49,11 +54,16 @@ def plain(text: str) -> str:
     return text.casefold()
 
 
+def _marked(m: re.Match) -> str:
+    inner = "" if m.lastgroup == "o" else _ENDS.sub(" ", m[m.lastgroup]).strip()
+    return f" {OPEN[ord(m.lastgroup) - 97]}{inner} {CLOSE} "
+
+
 def masked(text: str) -> str:
-    """Placeholders as mask and inner words."""
-    if _MAY_HOLD.search(text):
-        return PLACEHOLDER.sub(lambda m: f" {MASK}{m.lastgroup} {(m[m.lastgroup] or '').strip() if m.lastgroup != 'o' else ''} {MASK} ", text)
-    return text
+    """Bracket notations as opening sign, inner words and closing sign; such signs in the text itself go."""
+    if not text.isascii():
+        text = _SIGNS.sub(" ", text)
+    return PLACEHOLDER.sub(_marked, text) if _MAY_HOLD.search(text) else text
 
 
 class Vocabulary(dict):
@@ -72,11 +82,11 @@ class Vocabulary(dict):
     def __missing__(self, token: str) -> int:
         i = self[token] = len(self.h)
         self.h.append(xxhash.xxh64_intdigest(token))
-        self.kind.append(1 if token in "\n.!?。！？" else 2 if token == MASK else 3 if token.isdigit() else 0)
+        self.kind.append(1 if token in "\n.!?。！？" else 2 if token in OPEN else 4 if token == CLOSE else 3 if token.isdigit() else 0)
         return i
 
     def batch(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(doc number, token id, hash, kind)`` of every token of every text."""
+        """``(doc number, token id, hash, kind)`` of every token: kind 0 word, 1 end of a segment, 2 and 4 signs of a notation, 3 number."""
         if len(self.h) > self.limit:
             self._reset()
         ids: list[int] = []
