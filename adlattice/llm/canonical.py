@@ -61,7 +61,7 @@ WORD_FORMS = {
     "publishing": "publ", "medical": "med", "purchasing": "purch", "resources": "res",
 }
 _IGNORED = frozenset(("and", "of", "the"))
-_WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]+|[^\W_぀-ヿ㐀-鿿가-힯豈-﫿]+")
+_WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]+|[^\W_぀-ヿ㐀-鿿가-힯豈-﫿]+")
 
 
 def words(text: str) -> list[str]:

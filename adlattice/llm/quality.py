@@ -2,10 +2,12 @@
 
 Word, symbol, line-end and common-word statistics with repetition statistics (shares of repeated lines
 and paragraphs, character share of the most frequent word n-grams). Combined rules sort every line into
-running sentences or not: a line counts as prose by its share of common words of five languages (for
-Chinese, of common characters), by its length and its sentence ends, and not by its layout or letter
-case; short lines are judged together as the paragraph they were broken from. A document is no prose if
-less than half of its characters belong to running sentences.
+running sentences or not. The evidence of a sentence holds in any language: letters outweigh signs and digits,
+there is an end of a sentence within reach, a share of the words is short or common (in Chinese and Japanese: of
+the characters grammatical), words can be spoken, and they vary. Layout and letter case do not matter; lines without
+an end are judged together with those that follow. Repetition counts against prose: a line seen before adds nothing,
+and words that keep coming back (few different ones in a window of 40) are heaped keywords, not sentences. A document
+is no prose if less than half of its characters belong to running sentences.
 
 Defined results: NULL and blank texts have no statistics row values (0) and are no cases; texts are read
 whole; repeated rows get equal rows; extra columns are ignored; an empty table gives an empty result.
@@ -14,6 +16,7 @@ whole; repeated rows get equal rows; extra columns are ignored; an empty table g
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,17 +31,22 @@ COMMON = {
     "es": "el la los las de del que y a en un una es por con no se su para al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro nuestra nuestro mi tres aunque después había fue era ha he mejor buen",
 }
 WORDS = frozenset(w for v in COMMON.values() for w in v.split())
-# Characters that carry the grammar of Chinese sentences.
+# Characters that carry the grammar of Chinese sentences; hiragana does so in Japanese.
 HAN_COMMON = frozenset("的了在是我你他她它們们這这那與与和不也但就都會会有要可以及並并已經经其中為为對对於于如果因此所從从到沒没很更最再能被把讓让將将個个請请由而或雖虽然還还只時时後后前先使說说")
-_HAN = re.compile(r"[㐀-鿿豈-﫿]")
-_WORD = re.compile(r"[^\W\d_㐀-鿿豈-﫿]+")
+_HAN = re.compile(r"[㐀-鿿豈-﫿]")
+_WORD = re.compile(r"[^\W\d_㐀-鿿豈-﫿]+")
 _SYMBOL = re.compile(r"[^\w\s]|_")
-_END = re.compile(r"(?:[.!?…]|\.\.\.)[\"'”’»)\]]*(?=\s|$)|[。！？]")
+_END = re.compile(r"(?:[.!?…؟।۔։]|\.\.\.)[\"'”’»)\]]*(?=\s|$)|[。！？]")
 _BETWEEN = re.compile(r"\s[>|/·•»›]\s")
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _MARK = re.compile(r"^\s*(?:[-–—*•·✓>#+o]|\d{1,3}[.)]|[a-z][.)])\s+")
 _GRID = re.compile(r"\|.*\||\t.*\t|;[^; ]+;|,[^, ]+,[^, ]+,|\.{5,}|\s{4,}\S+\s{4,}|[{}<>=\\]{2,}|\w=\S|\b\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
+# Scripts written without blanks between words, and scripts whose vowel signs are no letters of their own.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+_SIGNED = re.compile(r"[\u0900-\u0dff]")
+_UNSPOKEN = re.compile(r"\b[b-df-hj-np-tv-xz]{3,}\b|[b-df-hj-np-tv-xz]{5,}")
 PUNCT_END = re.compile(r"[.!?…。！？;:\"”»)]\s*$")
+WINDOW, VARIETY = 40, 0.6
 
 
 Line = tuple[int, int, int, int, int, int]
@@ -48,25 +56,52 @@ _common, _han_common = WORDS.__contains__, HAN_COMMON.__contains__
 def _features(low: str) -> tuple[Line, list[str], list[str]]:
     """Words, common words, Han characters, common Han characters, solid characters and letters of a
     case-folded line; and its words and Han characters."""
+    if not low.isascii() and _SIGNED.search(low):
+        low = "".join(c for c in low if unicodedata.category(c)[0] != "M")
     words = _WORD.findall(low)
     han = [] if low.isascii() else _HAN.findall(low)
     solid = len("".join(low.split()))
     return (len(words), sum(map(_common, words)), len(han), sum(map(_han_common, han)), solid, sum(map(len, words)) + len(han)), words, han
 
 
-def _is_sentence(f: Line, line: str, ends: bool) -> bool:
-    words, common, han, han_common, solid, letters = f
+def variety(tokens: list) -> float:
+    """Mean share of different tokens in windows of 40: about .85 in prose of any length, .2 in heaped keywords."""
+    if len(tokens) <= WINDOW:
+        return len(set(tokens)) / len(tokens) if tokens else 1.0
+    starts = range(0, len(tokens) - WINDOW + 1, WINDOW)
+    return sum(len(set(tokens[i : i + WINDOW])) for i in starts) / (WINDOW * len(starts))
+
+
+def _grammar(words: list[str], common: int, short: int) -> float:
+    """Share of words that carry grammar: common ones or, where those are not known, short ones in a text that can be spoken."""
+    known = common / len(words)
+    if known >= 0.2:
+        return known
+    spoken = 1 - len(_UNSPOKEN.findall(" ".join(words))) / len(words)
+    return sum(len(w) <= short or w in WORDS for w in words) / len(words) if spoken >= 0.85 else known
+
+
+def _is_sentence(f: Line, line: str, ends: bool, words: list[str], han: list[str], short: int = 4) -> bool:
+    """Whether a line is running text; words of up to ``short`` letters count as short."""
+    n, common, n_han, han_common, solid, letters = f
     if solid == 0:
         return False
     if letters < 0.7 * solid or letters < 0.9 * solid and _GRID.search(line):
         return False
-    if 6 * len(_BETWEEN.findall(line)) >= words + han:
+    if 6 * len(_BETWEEN.findall(line)) >= n + n_han:
         return False  # a path or menu
-    if han > 2 * words:
-        return han >= 10 and han_common >= 0.08 * han and (ends or "，" in line or han >= 18)
+    if n_han > 2 * n:
+        kana = sum("ぁ" <= c <= "ゟ" for w in words for c in w)
+        if n_han < 10 or han_common + kana < 0.08 * n_han or not (ends or "，" in line or "、" in line or n_han >= 18):
+            return False
+        return n_han < 24 or variety([*zip(han, han[1:], strict=False)]) >= VARIETY
+    if n >= 12 and variety(words) < VARIETY:
+        return False  # heaped keywords
+    if not line.isascii() and len(_UNSPACED.findall(line)) >= max(12, solid // 2):
+        return True
     if ends:
-        return words >= 4 and common >= 0.2 * words
-    return words >= 7 and common >= 0.24 * words
+        return n >= 4 and _grammar(words, common, short) >= 0.2
+    return n >= 7 and common >= 0.24 * n
 
 
 def prose_share(text: str) -> tuple[float, list[str], list[str], int]:
@@ -74,18 +109,19 @@ def prose_share(text: str) -> tuple[float, list[str], list[str], int]:
     total = prose = common = 0
     all_words: list[str] = []
     all_han: list[str] = []
-    held: list[tuple[str, Line]] = []
+    held: list[tuple[str, Line, list[str], list[str]]] = []
+    seen: set[str] = set()
 
     def close() -> int:
-        """Short lines together: prose if they make whole sentences of common words."""
+        """Lines without an end of their own together: prose if they make whole sentences."""
         if not held:
             return 0
-        whole = " ".join(x for x, _ in held)
-        f = tuple(map(sum, zip(*(y for _, y in held), strict=True)))
+        whole = " ".join(x[0] for x in held)
+        f = tuple(map(sum, zip(*(x[1] for x in held), strict=True)))
         n_ends = len(_END.findall(whole))
-        marked = sum(bool(_MARK.match(x)) for x, _ in held) > 0.5 * len(held)
-        ok = n_ends > 0 and f[0] + f[2] <= 60 * n_ends and not marked and n_ends >= len(held) / 12 and _is_sentence(f, whole, True)
-        return f[4] if ok else 0
+        marked = sum(bool(_MARK.match(x[0])) for x in held) > 0.5 * len(held)
+        ok = n_ends > 0 and f[0] + f[2] <= 60 * n_ends and not marked and n_ends >= len(held) / 12
+        return f[4] if ok and _is_sentence(f, whole, True, [w for x in held for w in x[2]], [h for x in held for h in x[3]], 3) else 0
 
     if "<" in text:
         text = _TAG.sub(" ", text)
@@ -99,15 +135,21 @@ def prose_share(text: str) -> tuple[float, list[str], list[str], int]:
         common += f[1] + f[3]
         all_words += words
         all_han += han
+        if f[0] + f[2] >= 4:
+            if line in seen:
+                continue  # what was said before is not said again
+            seen.add(line)
         body = _MARK.sub("", line)
         ends = bool(_END.search(body))
-        if f[0] + f[2] >= (7 if f[0] >= f[2] else 12) or ends and f[0] >= 4:
+        whole = f[0] + f[2] >= (7 if f[0] >= f[2] else 12) or ends and f[0] >= 4
+        if whole and _is_sentence(f, body, ends, words, han):
+            prose += close() + f[4]
+            held = []
+        elif whole and (ends or _MARK.match(line)):
             prose += close()
             held = []
-            if _is_sentence(f, body, ends):
-                prose += f[4]
         else:
-            held.append((line, f))
+            held.append((line, f, words, han))
     prose += close()
     return prose / total if total else 0.0, all_words, all_han, common
 
@@ -141,9 +183,8 @@ def statistics(text: str | None) -> tuple:
     mean = (sum(map(len, words)) + len(han)) / n if n else 0.0
     tokens = words or han
     top2, top4 = _top_ngram(tokens, 2), _top_ngram(tokens, 4)
-    # heaped keywords repeat few words without grammar, which the common words show
-    heaped = top2 > 0.25 and common < 0.12 * max(1, n)
-    return n, mean, symbols / max(1, solid), sum(bool(PUNCT_END.search(x)) for x in lines) / len(lines), common / max(1, n), _repeated(lines), _repeated(re.split(r"\n\s*\n", text)), top2, top4, share, share >= 0.5 and not heaped
+    ends = sum(bool(PUNCT_END.search(x)) for x in lines) / len(lines)
+    return n, mean, symbols / max(1, solid), ends, common / max(1, n), _repeated(lines), _repeated(re.split(r"\n\s*\n", text)), top2, top4, share, share >= 0.5
 
 
 def measure(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,7 +148,7 @@ def pieces(text: str) -> Iterator[tuple[str | None, str, str, str]]:
             at = m.end()
 
 
-def field_names(ready: list[str]) -> frozenset[str]:
+def field_names(ready: Iterable[str]) -> frozenset[str]:
     """What stands in the notations of template languages, counted at least twice."""
     seen: dict[str, int] = {}
     for t in ready:
@@ -174,70 +174,82 @@ def weak_label(sign: str | None, words: str, before: str, after: str, fields: fr
 
 
 @dataclass
-class Labelled:
-    """Segments with their weak labels and weights."""
+class Examples:
+    """Labelled segments as sparse rows: their cells one after another, cells of each, labels and weights."""
 
-    seg: Segments
+    cell: np.ndarray
+    count: np.ndarray
     label: np.ndarray
     weight: np.ndarray
 
+    @classmethod
+    def joined(cls, parts: list[Examples]) -> Examples:
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("cell", "count", "label", "weight")))
 
-def labelled(texts: list[str], titles: list[str | None]) -> Labelled:
-    """The segments of the texts and of the built-in wordings, labelled."""
-    ready = [prepare(t) for t in texts]
-    fields = field_names(ready)
-    labels = [weak_label(*p, fields) for t in ready for p in pieces(t)]
-    seeds = [(prepare(t), y) for t, y in notices.seeds()]
-    for t, y in seeds:
-        labels += [y for _ in pieces(t)]
-    s = segments(ready + [t for t, _ in seeds], [*titles, *["t" for _ in seeds]], ts.Vocabulary())
-    label = np.array(labels, np.int64)
-    if len(label) != len(s.starts):
+
+_OPENED = np.array([ts.xxhash.xxh64_intdigest(c) >> (64 - BITS) for c in ts.OPEN], np.int32)
+PLAIN = 3  # segments of plain text kept for each text of the sample, besides all notations and cases
+
+
+def examples(ready: list[str], titles: list[str | None], labels: list[int], vocabulary: ts.Vocabulary, rng: np.random.Generator, weight: float, keep_all: bool) -> Examples:
+    """The labelled segments of prepared texts; of plain advert text a random part is kept unless ``keep_all``."""
+    s = segments(ready, titles, vocabulary)
+    y = np.array(labels, np.int64)
+    if len(y) != len(s.starts):
         raise AssertionError("segments and labels are out of step")
-    return Labelled(s, label, np.where(s.doc >= len(ready), SEED_WEIGHT, 1.0))
+    marked = np.isin(s.cells[0, s.starts], _OPENED)
+    plain = np.flatnonzero((y == 0) & ~marked)
+    if not keep_all:
+        plain = rng.permutation(plain)[: PLAIN * len(ready)]
+    chosen = np.sort(np.concatenate([np.flatnonzero((y == 1) | (y == 0) & marked), plain]))
+    size = np.diff(np.append(s.starts, s.cells.shape[1]))[chosen]
+    at = np.repeat(s.starts[chosen] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
+    cell = s.cells[:, at].T.ravel()
+    row = np.repeat(np.repeat(np.arange(len(chosen)), size), 4)[cell >= 0]
+    return Examples(cell[cell >= 0], np.bincount(row, minlength=len(chosen)), y[chosen], weight * np.where(marked[chosen] & (y[chosen] == 0), 4.0, 1.0))
+
+
+STEP = 1000
+
+
+def labelled(texts: list[str], titles: list[str | None], rng: np.random.Generator) -> Examples:
+    """Examples from the texts, a few at a time, and from the built-in wordings."""
+    fields = field_names(prepare(t) for t in texts)
+    vocabulary = ts.Vocabulary()
+    parts = []
+    for i in range(0, len(texts), STEP):
+        ready = [prepare(t) for t in texts[i : i + STEP]]
+        parts.append(examples(ready, titles[i : i + STEP], [weak_label(*p, fields) for t in ready for p in pieces(t)], vocabulary, rng, 1.0, False))
+    seeds = [(prepare(t), y) for t, y in notices.seeds()]
+    parts.append(examples([t for t, _ in seeds], ["t"] * len(seeds), [y for t, y in seeds for _ in pieces(t)], vocabulary, rng, SEED_WEIGHT, True))
+    return Examples.joined(parts)
 
 
 def train(texts: list[str], titles: list[str | None], epochs: int = 14, l2: float = 1e-4, rate: float = 0.5, seed: int = 7) -> Model:
     """L2-regularised logistic regression by AdaGrad over the labelled segments of the texts."""
-    known = labelled(texts, titles)
-    s, y = known.seg, known.label
-    model = blank_model()
     rng = np.random.default_rng(seed)
-    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    # every notation and every segment beside a cue is kept, plain text is thinned to a multiple of the cases
-    plain = (s.cells[0, s.starts] >= 0) & (known.weight == 1)
-    marked = np.zeros(len(y), bool)
-    opened = {int(_U(ts.xxhash.xxh64_intdigest(c)) >> _U(64 - BITS)) for c in ts.OPEN}
-    marked[neg] = np.isin(s.cells[0, s.starts[neg]], list(opened))
-    neg = np.concatenate([neg[marked[neg] | ~plain[neg]], rng.permutation(neg[~marked[neg] & plain[neg]])[: max(60 * len(pos), 4000)]])
-    size = np.diff(np.append(s.starts, s.cells.shape[1]))
-    chosen = np.concatenate([pos, neg])
-    at = np.repeat(s.starts[chosen] - np.concatenate(([0], np.cumsum(size[chosen])[:-1])), size[chosen]) + np.arange(size[chosen].sum())
-    cell = s.cells[:, at].T.ravel()
-    row = np.repeat(np.repeat(np.arange(len(chosen)), size[chosen]), 4)
-    row, cell = row[cell >= 0], cell[cell >= 0]
-    counts = np.bincount(row, minlength=len(chosen))
-    val = (1 / np.sqrt(counts))[row]
+    x = labelled(texts, titles, rng)
+    counts, cell = x.count, x.cell
+    val = (1 / np.sqrt(counts)).astype(np.float32)
     starts = np.concatenate(([0], np.cumsum(counts)))
-    target = (y[chosen] == 1).astype(np.float64)
-    weight = np.where(target == 1, max(1.0, 0.25 * len(neg) / max(1, len(pos))), 1.0) * known.weight[chosen]
-    weight[len(pos) :][marked[neg]] *= 4
+    target = x.label.astype(np.float64)
+    cases = int(target.sum())
+    weight = np.where(target == 1, max(1.0, 0.25 * (len(target) - cases) / max(1, cases)), 1.0) * x.weight
     w, g2, b = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6), -1.0
     for _ in range(epochs):
-        order = rng.permutation(len(chosen))
+        order = rng.permutation(len(target))
         for part in np.array_split(order, max(1, len(order) // 512)):
             n = counts[part]
             take = np.repeat(starts[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             local = np.repeat(np.arange(len(part)), n)
-            z = np.bincount(local, w[cell[take]] * val[take], minlength=len(part)) + b
+            z = np.bincount(local, w[cell[take]], minlength=len(part)) * val[part] + b
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[part]) * weight[part] / len(part)
             touched, inverse = np.unique(cell[take], return_inverse=True)
-            grad = np.bincount(inverse, err[local] * val[take]) + l2 * w[touched]
+            grad = np.bincount(inverse, (err * val[part])[local]) + l2 * w[touched]
             g2[touched] += grad * grad
             w[touched] -= rate * grad / np.sqrt(g2[touched])
             b -= 0.1 * err.sum()
-    model.weights, model.bias = w.astype(np.float32), b
-    return model
+    return Model(w.astype(np.float32), b)
 
 
 def advert_column(text: str = "description"):
@@ -314,7 +326,7 @@ def validation(jobs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for host in hosts[i : i + BOARDS]:
             seen = rows[rows["host"] != host]
             texts = seen["description"].tolist()
-            models[host] = train(texts, seen["name"].tolist()), field_names([prepare(t) for t in texts])
+            models[host] = train(texts, seen["name"].tolist()), field_names(prepare(t) for t in texts)
         shared = every.sparkSession.sparkContext.broadcast(models)
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

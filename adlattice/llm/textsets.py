@@ -13,7 +13,7 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 
-_CJK = "぀-ヿ㐀-鿿가-힯豈-﫿"
+_CJK = "぀-ヿ㐀-鿿가-힯豈-﫿"
 BREAK = "\n"
 # A bracket notation is written as an opening sign of its kind, the words inside and a closing sign.
 OPEN, CLOSE = "".join(map(chr, range(0xE000, 0xE020))), "\ue07f"

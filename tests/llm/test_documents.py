@@ -13,6 +13,15 @@ PROSE = {
     "wrapped": "He is a flexible worker who can\nwrite press releases, although his\nFrench is still weak. We met him at\nthe office and liked what we saw.",
     "upper": "BETWEEN 2016 AND NOW THE BRANCH HAS HIRED 208 PEOPLE. IF THE PAY IS NOT STATED, ASK ABOUT IT.",
     "zh": "我在護理工作了四十年，希望可以管理預算，並與同事一起學習。",
+    "it": "La nostra azienda cerca una persona attenta che sappia parlare con i clienti. Il lavoro comincia in marzo e dura due anni.",
+    "pt": "A empresa procura uma pessoa calma que goste de trabalhar com números. O contrato começa em abril.",
+    "nl": "Wij zoeken iemand die graag met mensen werkt en goed kan luisteren.",
+    "ru": "Мы ищем человека, который любит работать с людьми и умеет слушать. Работа начинается в мае и длится один год.",
+    "ja": "私たちは人と話すことが好きな方を探しています。仕事は五月に始まり、一年間続きます。",
+    "ko": "우리는 사람들과 함께 일하기를 좋아하는 분을 찾고 있습니다. 일은 오월에 시작하여 일 년 동안 계속됩니다.",
+    "fi": "Etsimme henkilöä, joka pitää työskentelystä ihmisten kanssa ja osaa kuunnella.",
+    "hi": "हम ऐसे व्यक्ति की तलाश में हैं जो लोगों के साथ काम करना पसंद करता हो। काम मई में शुरू होता है।",
+    "wrapped it": "La nostra azienda cerca una persona attenta\nche sappia parlare con i clienti e che non\nabbia paura di fare domande. Il lavoro\ncomincia in marzo.",
     "de": "Ein kurzes Schreiben ist besser als eine lange Liste von Kursen, die niemand liest.",
 }
 JUNK = {
@@ -21,6 +30,8 @@ JUNK = {
     "log": "2025-12-27 02:25 DEBUG parser card=88900 rows=63 retry\n2025-04-22 13:42 INFO parser card=14594 rows=72 retry",
     "list": "1. la contabilidad\n2. el almacén\n3. curiosa / treinta\n4. la cocina\n5. ocho",
     "heap": "staff apply apply vacancy apply salary salary staff apply vacancy salary hiring vacancy staff hiring salary",
+    "heap of common words": "jobs part time jobs full time hiring staff part time full time full time staff full time staff part time full time full time hiring",
+    "one line over and over": "The same line stands here again and again in this text.\n" * 400,
     "code": 'def f(x):\n    return {"a": x, "b": [1, 2]}\nfor i in range(3): print(f(i))',
     "random": "vwnmsp yvela clexpphl qbadrbvp ctfyuvlc wiufdmz onzpd kq nzufsb ywp yzirmyg fpgtomoo flq",
 }
@@ -34,7 +45,11 @@ def test_prose_is_no_case(name):
 @pytest.mark.parametrize("name", JUNK)
 def test_other_text_is_a_case(name):
     assert quality.statistics(JUNK[name])[-1] is False
-    assert quality.statistics(PROSE["en"] + "\n\n" + JUNK[name] * 5)[-1] is False
+    assert quality.statistics(PROSE["en"] + "\n\n" + (JUNK[name] + "\n") * 5)[-1] is False
+
+
+def test_tags_of_any_length_are_no_text():
+    assert quality.statistics("<" + "x" * 900 + ">" + PROSE["en"])[-2:] == (1.0, True)
 
 
 def test_statistics_of_a_known_text():

@@ -8,7 +8,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from adlattice.llm import history
 from adlattice.llm import keyruns as kr
 from adlattice.llm import textsets as ts
 from adlattice.llm.components import connected_components
@@ -79,37 +78,68 @@ def test_blocks_of_elements_give_the_same_signature(monkeypatch):
     assert (ts.superminhash(v, offsets, 64) == whole).all()
 
 
-def window_rows(frames):
-    cols = ["keys", "at", "sets", "sketch", "new"]
+def blobs_of(rows, plan):
     by_part = defaultdict(list)
-    for f in frames:
-        for r in f.itertuples(index=False):
-            by_part[r.part].append(tuple(getattr(r, c) for c in cols))
+    for part, *blob in rows:
+        by_part[part].append(kr.Blob.of(*blob, plan))
     return by_part
 
 
-def test_windows_find_all_equal_keys_in_blocks_and_only_around_new_ones():
-    plan = kr.Plan(bands=2, rows=1)
+def linked(frames):
+    return {p for f in frames for p in zip(f["a"].tolist(), f["b"].tolist(), strict=True)}
+
+
+def test_windows_find_all_equal_keys_in_blocks_and_only_around_new_ones(monkeypatch):
+    monkeypatch.setattr(kr, "BLOCK", 1000)
+    plan, labels = kr.Plan(bands=2, rows=1, sketch_bits=1), kr.range_labels(4)
     rng = np.random.default_rng(3)
     sets = np.arange(1, 701, dtype=np.int64)
     keys = ts.mix(rng.integers(0, 3, (700, 2)).astype(np.uint64) + np.array([[0, 10]], np.uint64))
     sketch = np.zeros((700, 16), np.uint8)
-    old, new = kr.pack(keys[:600], None, sets[:600], sketch[:600], False, 4), kr.pack(keys[600:], None, sets[600:], sketch[600:], True, 4)
-    for only_new in (False, True):
-        got = set()
-        for blobs in window_rows([old, new]).values():
-            for f in kr.window_pairs(blobs, plan, only_new):
-                got |= set(zip(f["a"], f["b"], strict=True))
-        want = {(int(sets[i]), int(sets[j])) for i in range(700) for j in range(i + 1, 700) if (keys[i] == keys[j]).any() and (not only_new or j >= 600)}
-        assert got == want
+    old = kr.pack(keys[:300], sets[:300], sketch[:300], labels) + kr.pack(keys[300:600], sets[300:600], sketch[300:600], labels)
+    new = blobs_of(kr.pack(keys[600:], sets[600:], sketch[600:], labels), plan)
+    within = linked(f for b in blobs_of(old, plan).values() for f in kr.pairs_within(kr.merged(b), plan))
+    equal = [(i, j) for i in range(700) for j in range(i + 1, 700) if (keys[i] == keys[j]).any()]
+    assert within == {(i + 1, j + 1) for i, j in equal if j < 600}
+    stored = {p: kr.load(*kr.dump(kr.merged(b)), plan) for p, b in blobs_of(old, plan).items()}
+    between = linked(f for p, bs in new.items() for b in bs if p in stored for f in kr.pairs_between(b, stored[p], plan))
+    assert between == {(j + 1, i + 1) for i, j in equal if i < 600 <= j}
 
 
 def test_copies_of_a_set_make_one_entry():
-    plan = kr.Plan(bands=3, rows=1)
+    plan, labels = kr.Plan(bands=3, rows=1, sketch_bits=1), kr.range_labels(1)
     keys = np.full((1, 3), 9, np.uint64) << np.uint64(33)
-    one = [kr.pack(keys, None, np.array([5]), np.zeros((1, 16), np.uint8), False, 1) for _ in range(50)]
-    rows = window_rows(one)[0]
-    assert all(not len(f) for f in kr.window_pairs(rows, plan, False))
+    one = [r for _ in range(50) for r in kr.pack(keys, np.array([5]), np.zeros((1, 16), np.uint8), labels)]
+    (blobs,) = blobs_of(one, plan).values()
+    whole = kr.merged(blobs)
+    assert len(whole.key) == 1 and len(whole.sets) == 1 and not linked(kr.pairs_within(whole, plan))
+
+
+def test_halved_ranges_are_those_of_twice_as_many():
+    plan, rng = kr.Plan(bands=6, rows=2), np.random.default_rng(4)
+    keys = rng.integers(0, 2**63, (200, 6)).astype(np.uint64) * np.uint64(2)
+    sets, sketch = np.arange(200), rng.integers(0, 255, (200, 32)).astype(np.uint8)
+    whole = {p: kr.merged(b) for p, b in blobs_of(kr.pack(keys, sets, sketch, np.arange(3)), plan).items()}
+    want = {p: kr.merged(b) for p, b in blobs_of(kr.pack(keys, sets, sketch, np.arange(12), splits=2), plan).items()}
+    once = {2 * p + bit: h for p, b in whole.items() for bit, h in kr.halved(b, 0)}
+    twice = {2 * p + bit: h for p, b in once.items() for bit, h in kr.halved(b, 1)}
+    assert set(twice) == set(want)
+    for p, b in want.items():
+        assert (b.key == twice[p].key).all() and (b.sets[b.own] == twice[p].sets[twice[p].own]).all() and (b.planes[b.own] == twice[p].planes[twice[p].own]).all()
+
+
+def test_labels_put_each_range_into_a_partition_of_its_own(spark):
+    for n in (1, 5, 48):
+        labels = kr.range_labels(n).tolist()
+        rows = spark.createDataFrame([(x,) for x in labels], "part int").selectExpr("part", f"pmod(hash(part), {n}) AS p").collect()
+        assert [r.p for r in sorted(rows, key=lambda r: labels.index(r.part))] == list(range(n))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 30)), st.sets(st.integers(0, 30))), max_size=8))
+def test_exact_similarity_equals_brute_force(pairs):
+    data = [[np.sort(np.array(sorted(x), np.uint32)).tobytes() for x in side] for side in zip(*pairs, strict=True)] if pairs else [[], []]
+    assert kr.similar(*data, 0.5).tolist() == [bool(x & y) and len(x & y) >= 0.5 * len(x | y) for x, y in pairs]
 
 
 def test_components(spark):
@@ -143,7 +173,7 @@ def test_one_edit_means_a_shared_deletion_form(a, b):
 
 
 @pytest.mark.parametrize("similarity", [0.5, 0.55, 0.6])
-def test_bands_of_the_history_find_nearly_all_pairs_at_the_threshold(similarity):
+def test_bands_find_nearly_all_pairs_at_the_threshold(similarity):
     rng = np.random.default_rng(11)
     shared, pairs = round(similarity * 220), 600
     sets = []
@@ -151,12 +181,9 @@ def test_bands_of_the_history_find_nearly_all_pairs_at_the_threshold(similarity)
         pool = ts.mix(rng.integers(1, 2**62, 220).astype(np.uint64))
         own = np.array_split(pool[shared:], 2)
         sets += [np.sort(np.concatenate([pool[:shared], x])) for x in own]
-    plan = history.HistoryIndex(None, path="none", ranges=1).plan
+    plan = kr.Plan()
     sig = ts.superminhash(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), plan.places)
     number = np.arange(1, len(sets) + 1, dtype=np.int64)
-    frame = kr.pack(ts.band_keys(sig, plan.bands, plan.rows), None, number, ts.bit_sketch(sig, plan.sketch_bits), True, 1)
-    found = set()
-    for blobs in window_rows([frame]).values():
-        for f in kr.window_pairs(blobs, plan, True):
-            found |= set(zip(f["a"].tolist(), f["b"].tolist(), strict=True))
+    rows = kr.pack(ts.band_keys(sig, plan.bands, plan.rows), number, ts.bit_sketch(sig, plan.sketch_bits), kr.range_labels(3))
+    found = linked(f for b in blobs_of(rows, plan).values() for f in kr.pairs_within(kr.merged(b), plan))
     assert np.mean([(i, i + 1) in found for i in range(1, len(sets), 2)]) >= 0.99
