@@ -50,6 +50,10 @@ def p8_summary(s: SparkSession, d: str) -> DataFrame:
     return packing.summary(p8_containers(s, d))
 
 
+def p8_tiers(s: SparkSession, d: str) -> DataFrame:
+    return packing.by_tier(p8_containers(s, d))
+
+
 def p9_mix(s: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[0]
 
@@ -68,6 +72,6 @@ def p10_statistics(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p4_found, p4_validation, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p9_mix, p9_shares, p10_found, p10_statistics)
+    for f in (p1_found, p2_found, p4_found, p4_validation, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p8_tiers, p9_mix, p9_shares, p10_found, p10_statistics)
 }
 SQL: dict[str, str] = {}

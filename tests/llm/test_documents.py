@@ -70,16 +70,32 @@ def test_quality_frame(spark):
 def test_plans_use_all_pieces_and_keep_the_capacity(counts):
     plan = packing.plan(dict(counts), 64)
     used = {}
-    for pattern, times in plan:
-        assert sum(s * k for s, k in pattern) <= 64 and times > 0
-        for s, k in pattern:
-            used[s] = used.get(s, 0) + k * times
+    for p in plan:
+        assert sum(s * k for s, k in p.pieces) + p.gap == 64 and p.gap >= 0 and p.times > 0
+        # a window is of the tier of its longest piece
+        assert packing.tier(max(s for s, _ in p.pieces), 64) == p.tier
+        for s, k in p.pieces:
+            used[s] = used.get(s, 0) + k * p.times
     assert used == counts
-    total, n = sum(s * k for s, k in counts.items()), sum(t for _, t in plan)
+    assert [p.tier for p in plan] == sorted(p.tier for p in plan)
+    total, n = sum(s * k for s, k in counts.items()), sum(p.times for p in plan)
     # never worse than first fit decreasing is known to be
     assert n <= 11 / 9 * -(-total // 64) + 4 + sum(k for s, k in counts.items() if s > 32) / 2
 
 
+def test_a_plan_of_many_sizes_is_quick():
+    import time
+
+    began = time.time()
+    plan = packing.plan({s: 1 + s % 5 for s in range(1, 131_073)}, 131_072)
+    assert time.time() - began < 5 and sum(s * k * p.times for p in plan for s, k in p.pieces) == sum(s * (1 + s % 5) for s in range(1, 131_073))
+
+
+def test_gaps_of_long_windows_are_filled_from_shorter_tiers():
+    (p,) = packing.plan({60: 1, 30: 1, 8: 1, 2: 1}, 100)
+    assert p.tier == 0 and p.pieces == [(60, 1), (30, 1), (8, 1), (2, 1)] and p.gap == 0
+
+
 def test_packing_places_every_token_once(spark):
     rows = [(i, "word " * (1 + i * 7 % 90), "s", "t", "x") for i in range(200)] + [(900, "long " * 1000, "s", "t", "x"), (901, None, "s", "t", "x"), (902, "", "s", "t", "x")]
     rows += [(1000 + i, "same size", "s", "t", "x") for i in range(300)]
@@ -96,7 +112,19 @@ def test_packing_places_every_token_once(spark):
         assert {r.doc_id for r in cutup} == {r[0] for r in rows if r[1]}
         ends = mine.groupBy("doc_id").agg(F.max(F.col("start_token") + F.col("n_tokens")).alias("e"), F.sum("n_tokens").alias("t"))
         assert ends.filter("e <> t").count() == 0
+    tiers = {(r.run_name, r.window_tier): r for r in packing.by_tier(boxes).collect()}
+    assert sum(r.containers for r in tiers.values()) == boxes.count() and all(0 <= r.unused_share < 1 for r in tiers.values())
+    assert packed.filter("tier < window_tier").count() == 0
     assert packing.pack(docs.filter(F.lit(False)), limits).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(docs, limits.limit(0))
+
+
+def test_hot_sizes_are_ranked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_BLOCK", 50)
+    docs = spark.createDataFrame([(i, "same size", "s", "t", "x") for i in range(300)], DOC)
+    limits = spark.createDataFrame([("small", 64)], "run_name string, capacity_tokens int")
+    assert packing.containers(packing.pack(docs, limits), limits).agg(F.sum("pieces")).first()[0] == 300
 
 
 def test_apportionment_is_sainte_lague():
@@ -106,6 +134,28 @@ def test_apportionment_is_sainte_lague():
     assert all(abs(q[0] - q[1]) <= 1 for q in quota.values())
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.001, 1), st.integers(1, 3), st.integers(1, 60)), min_size=1, max_size=6), st.integers(0, 200))
+def test_seats_equal_those_of_the_auction(given_sources, blocks):
+    sources = [mixing.Source(f"s{i}", w, r, t) for i, (w, r, t) in enumerate(given_sources)]
+    won = dict.fromkeys((s.name for s in sources), 0)
+    for _ in range(blocks):
+        open_ = [(-s.share / (2 * won[s.name] + 1), s.name) for s in sources if won[s.name] < s.tokens * s.repeats]
+        if open_:
+            won[min(open_)[1]] += 1
+    assert mixing.seats(sources, blocks, 1) == won
+    shards = mixing.apportion(sources, blocks, 1, 4)
+    sums = [sum(q[i] for q in shards.values()) for i in range(4)]
+    assert max(sums) - min(sums) <= 1
+
+
+def test_very_many_blocks_are_dealt_at_once():
+    sources = [mixing.Source(f"s{i}", 1 / (i + 1), 2, 10**16) for i in range(50)]
+    won = mixing.seats(sources, 10**10, 2048)
+    total = sum(s.share for s in sources)
+    assert sum(won.values()) == 10**10 and all(abs(won[s.name] - 10**10 * s.share / total) < 2 for s in sources)
+
+
 def test_mixing_meets_the_targets(spark):
     rows = [(i, "word " * (5 + i % 13), "big", "t", "x") for i in range(900)] + [(2000 + i, "word " * 9, "small", "t", "x") for i in range(60)] + [(3000, None, "big", "t", "x"), (3001, "w", None, "t", "x"), (3002, "w", "other", "t", "x")]
     docs = spark.createDataFrame(rows, DOC)
@@ -115,6 +165,12 @@ def test_mixing_meets_the_targets(spark):
     assert got["absent"]["real_share"] == 0
     assert abs(got["big"]["real_share"] - 0.7 / 0.95) < 0.01 and abs(got["small"]["real_share"] - 0.25 / 0.95) < 0.01
     assert got["small"]["most_uses"] <= 4 and chosen.filter("uses > 1 AND source = 'big'").count() == 0
+    # every use has its shard, and the shards hold equal shares of each source
+    rows = chosen.collect()
+    assert all(len(r.shards) == r.uses and max(r.shards) < mixing.SHARDS for r in rows)
+    for name in ("big", "small"):
+        held = [sum(r.tokens * r.shards.count(i) for r in rows if r.source == name) for i in range(mixing.SHARDS)]
+        assert max(held) - min(held) <= 2 * mixing.BLOCK_TOKENS
     again, _ = mixing.mix(docs, targets)
-    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in chosen.collect()}
+    assert sorted(map(str, again.collect())) == sorted(map(str, chosen.collect()))
     assert mixing.mix(docs.filter(F.lit(False)), targets)[0].count() == 0
