@@ -27,7 +27,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from adlattice.llm import keyruns as kr
@@ -99,10 +99,11 @@ _COLUMNS = [c.split()[0] for c in STAGE.split(", ")]
 
 @dataclass
 class Run:
-    """A sorted run: its folder and its number of distinct sets (copies across tasks counted again)."""
+    """A sorted run: its folder, its number of distinct sets (copies across tasks counted again) and of records."""
 
     name: str
     sets: int
+    records: int
 
 
 class HistoryIndex:
@@ -115,6 +116,7 @@ class HistoryIndex:
         self.runs: list[Run] = []
         self.made = self.version = 0
         self.tables: dict[tuple[str, int], str] = {}
+        self.shared = None
         if model is None:
             raise ValueError("an index needs the model that tells adverts from notices")
         self.model = model
@@ -132,7 +134,7 @@ class HistoryIndex:
         told = json.loads(files.read_bytes(spark, f"{path}/manifest/{found[-1]}"))
         data = np.load(io.BytesIO(files.read_bytes(spark, f"{path}/model")))
         index = cls.__new__(cls)
-        index.spark, index.path, index.tables = spark, path, {}
+        index.spark, index.path, index.tables, index.shared = spark, path, {}, None
         index.model = residue.Model(data["weights"], float(data["bias"]))
         index.plan, index.runs = kr.Plan(**told["plan"]), [Run(**r) for r in told["runs"]]
         index.ranges, index.splits, index.fanout, index.made, index.version = told["ranges"], told["splits"], told["fanout"], told["made"], told["version"]
@@ -153,14 +155,12 @@ class HistoryIndex:
         self.made += 1
         return f"run-{self.made:06d}"
 
-    def _staged(self, run: Run, kind: str, columns: list[str]) -> DataFrame:
-        return self.spark.read.schema(STAGE).parquet(f"{self.path}/{run.name}/stage").filter(F.col("kind") == kind).select(*columns)
-
-    def _all(self, runs: list[Run], kind: str, columns: list[str]) -> DataFrame:
-        out = self._staged(runs[0], kind, columns)
-        for r in runs[1:]:
-            out = out.unionByName(self._staged(r, kind, columns))
-        return out
+    def _staged(self, runs: list[Run], kind: str, columns: list) -> DataFrame:
+        """Rows of one kind of all the runs, by one scan."""
+        folders = [f"{self.path}/{r.name}/stage" for r in runs]
+        folders = [f"{f}/kind={kind}" for f in folders if f"kind={kind}" in files.names(self.spark, f)]
+        schema = STAGE.removeprefix("kind string, ")
+        return (self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)).select(*columns)
 
     def _keys(self, run: Run) -> DataFrame:
         """The packed keys of a run as a bucketed table, declared in this session if need be."""
@@ -203,7 +203,9 @@ class HistoryIndex:
     def _write(self, records: DataFrame) -> Run:
         """One sorted run of a batch."""
         name = self._name()
-        shared, plan, labels, splits = self.spark.sparkContext.broadcast(self.model), self.plan, kr.range_labels(self.parts), self.splits
+        if self.shared is None:
+            self.shared = self.spark.sparkContext.broadcast(self.model)
+        shared, plan, labels, splits = self.shared, self.plan, kr.range_labels(self.parts), self.splits
         advert = F.when(residue.advert_column(), F.col("description")).alias("description")
 
         def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,11 +226,13 @@ class HistoryIndex:
                         yield rows("keys", part=part, keys=keys, at=at, sets=sets, sketch=sketch)
 
         folder = f"{self.path}/{name}/stage"
-        records.select("rec", "ord", "board", "ext", "name", advert).mapInPandas(sign, STAGE).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
-        run = Run(name, 0)
-        self._write_keys(name, self._staged(run, "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
+        seen = Observation()
+        signed = records.select("rec", "ord", "board", "ext", "name", advert).mapInPandas(sign, STAGE)
+        counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("sets", "records")]
+        signed.observe(seen, *counts).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
+        run = Run(name, int(seen.get["sets"]), int(seen.get["records"]))
+        self._write_keys(name, self._staged([run], "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
         files.remove(self.spark, f"{folder}/kind=keys")
-        run.sets = self._staged(run, "sets", ["sh"]).count()
         return run
 
     def load(self, records: DataFrame) -> None:
@@ -237,18 +241,21 @@ class HistoryIndex:
         self._settle()
 
     def candidates(self, run: Run, old: list[Run]) -> DataFrame:
-        """``(a, b, earlier)``: sets of the new run with sets of older runs or, not ``earlier``, of itself that share a window."""
+        """``(a, b, earlier)``: a set ``a`` of the new run and a set ``b`` of an older run or, not ``earlier``, of the new run
+        itself that share a window; a set the history has too is linked with itself."""
         plan = self.plan
         key = ["keys", "at", "sets", "sketch"]
 
+        def links(found: list[pd.DataFrame], earlier: bool) -> pd.DataFrame:
+            return pd.concat([*found, pd.DataFrame({"a": [], "b": []}, dtype="int64")]).drop_duplicates().assign(earlier=earlier)
+
         def within(rows: pd.DataFrame) -> pd.DataFrame:
             found = [f for r in rows[key].itertuples(index=False) for f in kr.pairs_within(kr.load(*r, plan), plan)]
-            return pd.concat([*found, pd.DataFrame({"a": [], "b": []}, dtype="int64")]).drop_duplicates().assign(earlier=False)
+            return links([*found, *(f.rename(columns={"a": "b", "b": "a"}) for f in found)], False)
 
         def between(new: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
             mine = [kr.load(*r, plan) for r in new[key].itertuples(index=False)]
-            found = [f for r in kept[key].itertuples(index=False) for x in mine for f in kr.pairs_between(x, kr.load(*r, plan), plan)] if mine else []
-            return pd.concat([*found, pd.DataFrame({"a": [], "b": []}, dtype="int64")]).drop_duplicates().assign(earlier=True)
+            return links([f for r in kept[key].itertuples(index=False) for x in mine for f in kr.pairs_between(x, kr.load(*r, plan), plan)] if mine else [], True)
 
         out = self._keys(run).groupBy("part").applyInPandas(within, "a bigint, b bigint, earlier boolean")
         for r in old:
@@ -258,26 +265,28 @@ class HistoryIndex:
     def absorb(self, records: DataFrame) -> DataFrame:
         """Add a batch and return ``(rec)`` of those of its records that repeat an earlier one."""
         run, old = self._write(records), list(self.runs)
-        mine = self._staged(run, "records", ["rec", "ord", "sh", "board", "ext"])
-        texts, ids = mine.filter("sh <> 0").select("rec", "ord", "sh"), mine.filter("board IS NOT NULL AND ext IS NOT NULL")
-        first = texts.groupBy("sh").agg(F.min("ord").alias("first"))
-        named = ids.groupBy("board", "ext").agg(F.min("ord").alias("first"))
-        pairs = cut(self.candidates(run, old))
-        n, most = pairs.count(), run.sets
-        nodes = kr.small(pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct(), 2 * n)
-        sets = self._all([*old, run], "sets", ["sh", "grams"]).join(nodes, "sh", "left_semi").dropDuplicates(["sh"])
-        linked = kr.verified(pairs, sets, self.plan)
-        # when the sets and ids of the batch were first met: -1 stands for the history
-        earliest = [first, linked.select(F.col("a").alias("sh"), F.when(F.col("earlier"), -1).otherwise(F.lit(None)).cast("bigint").alias("first"))]
-        inside = linked.filter("NOT earlier").select(F.explode(F.array(F.struct(F.col("a").alias("sh"), F.col("b").alias("other")), F.struct(F.col("b").alias("sh"), F.col("a").alias("other")))).alias("p")).select("p.*")
-        earliest.append(inside.join(first.withColumnRenamed("sh", "other"), "other").select("sh", "first"))
-        told = [named]
+        mine = self._staged([run], "records", ["rec", "ord", "sh", "board", "ext"])
+        found, folder = Observation(), f"{self.path}/{run.name}/links"
+        self.candidates(run, old).observe(found, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+        links = self.spark.read.schema("a bigint, b bigint, earlier boolean").parquet(folder)
+        # the sets at both ends are compared exactly; those of the history are only scanned for the few that are asked for
+        ends = self._staged([*old, run], "sets", ["sh", "grams"]).join(kr.small(links, int(found.get["n"])), F.col("sh") == F.col("b")).select("a", "b", "earlier", F.col("grams").alias("gb"))
+        own = self._staged([run], "sets", [F.col("sh").alias("a"), F.col("grams").alias("ga")]).dropDuplicates(["a"])
+        linked = kr.compared(ends.join(own, "a"), ["a", "b", "earlier"], self.plan)
+        # when each set and id was met, the history before everything else
+        texts = mine.filter("sh <> 0").select("rec", "ord", F.col("sh").alias("b"))
+        met = linked.filter("earlier").select(F.col("a").alias("b"), F.lit(-1).cast("bigint").alias("ord"))
+        first = linked.filter("NOT earlier").select("a", "b").unionByName(texts.select(F.col("b").alias("a"), "b")).join(texts.select("b", "ord"), "b").select(F.col("a").alias("b"), "ord").unionByName(met)
+        by_text = texts.join(first.groupBy("b").agg(F.min("ord").alias("first")), "b").filter("first < ord").select("rec")
+        ids = mine.filter("board IS NOT NULL AND ext IS NOT NULL").select("rec", "ord", "board", "ext")
+        told = ids.groupBy("board", "ext").agg(F.min("ord").alias("first"))
+        seen = told
         if old:
-            past = self._all(old, "records", ["sh", "board", "ext"])
-            earliest.append(past.join(kr.small(first.select("sh"), most), "sh", "left_semi").select("sh", F.lit(-1).cast("bigint").alias("first")))
-            told.append(past.select("board", "ext").join(kr.small(named.select("board", "ext"), most), ["board", "ext"], "left_semi").select("board", "ext", F.lit(-1).cast("bigint").alias("first")))
-        known = [_before(texts, earliest, ["sh"]), _before(ids, told, ["board", "ext"])]
-        out = cut(known[0].unionByName(known[1]).distinct())
+            past = self._staged(old, "records", ["board", "ext"])
+            seen = told.unionByName(past.join(kr.small(told.select("board", "ext"), run.records), ["board", "ext"], "left_semi").select("board", "ext", F.lit(-1).cast("bigint").alias("first"))).groupBy("board", "ext").agg(F.min("first").alias("first"))
+        by_id = ids.join(seen, ["board", "ext"]).filter("first < ord").select("rec")
+        out = cut(by_text.unionByName(by_id).distinct())
+        files.remove(self.spark, folder)
         self.runs.append(run)
         self._settle()
         return out
@@ -304,9 +313,8 @@ class HistoryIndex:
 
     def _moved(self, runs: list[Run], name: str) -> None:
         """Copy the records and sets of runs into one folder, without an exchange."""
-        for i, kind in enumerate(("records", "sets")):
-            rows = self._all(runs, kind, [F.lit(kind).alias("kind"), "rec", "ord", "sh", "board", "ext", "part", "keys", "at", "sets", "sketch", "grams"])
-            rows.coalesce(self.parts).write.mode("append" if i else "error").partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{name}/stage")
+        records, sets = (self._staged(runs, kind, [F.lit(kind).alias("kind"), *_COLUMNS[1:]]) for kind in ("records", "sets"))
+        records.unionByName(sets).coalesce(self.parts).write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{name}/stage")
 
     def _merge(self, runs: list[Run]) -> list[str]:
         name = self._name()
@@ -317,7 +325,7 @@ class HistoryIndex:
         self._moved(runs, name)
         at = self.runs.index(runs[0])
         self.runs = [r for r in self.runs if r not in runs]
-        self.runs.insert(min(at, len(self.runs)), Run(name, sum(r.sets for r in runs)))
+        self.runs.insert(min(at, len(self.runs)), Run(name, sum(r.sets for r in runs), sum(r.records for r in runs)))
         return [r.name for r in runs]
 
     def _halve(self) -> list[str]:
@@ -329,7 +337,7 @@ class HistoryIndex:
             name = self._name()
             self._write_keys(name, blobs, halve=True)
             self._moved([r], name)
-            runs.append(Run(name, r.sets))
+            runs.append(Run(name, r.sets, r.records))
         self.runs = runs
         return [r.name for r, _ in old]
 
@@ -350,14 +358,6 @@ class HistoryIndex:
             files.remove(self.spark, self.path)
 
 
-def _before(records: DataFrame, firsts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """``(rec)`` of the records whose key was met before them."""
-    met = firsts[0]
-    for f in firsts[1:]:
-        met = met.unionByName(f)
-    return records.join(met.groupBy(*keys).agg(F.min("first").alias("first")), keys).filter("first < ord").select("rec")
-
-
 def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 1, plan: kr.Plan | None = None, fanout: int = FANOUT) -> DataFrame:
     """``(raw_id)`` of the crawl records that bring nothing new.
 

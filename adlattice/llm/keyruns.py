@@ -39,11 +39,11 @@ class Plan:
     rows: int = 3
     sketch_bits: int = 2
 
-    @property
-    def equal_bits(self) -> int:
-        """Sketches of a pair at the threshold agree in this many places but for about two in a thousand."""
+    def equal_bits(self, places: int) -> int:
+        """So many of the places agree in the sketches of a pair at the threshold, but for about one pair in a thousand or,
+        of half the places, in ten thousand."""
         p = self.threshold + (1 - self.threshold) / 2**self.sketch_bits
-        return int(self.places * p - 3.0 * (self.places * p * (1 - p)) ** 0.5)
+        return int(places * p - (3.0 if places >= self.places else 3.7) * (places * p * (1 - p)) ** 0.5)
 
 
 def murmur3(values: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -169,7 +169,7 @@ BLOCK = 1 << 18
 
 @dataclass
 class Blob:
-    """Unpacked keys of a range: sorted keys, the set each belongs to, set numbers, and sketches as one row of words per bit."""
+    """Unpacked keys of a range: sorted keys, the set each belongs to, set numbers, and sketches as words by bit, place and set."""
 
     key: np.ndarray
     own: np.ndarray
@@ -181,7 +181,8 @@ class Blob:
         number = np.frombuffer(sets, np.int64)
         raw = np.frombuffer(sketch, np.uint8).reshape(len(number), -1)
         width = raw.shape[1] // plan.sketch_bits
-        return cls(np.frombuffer(keys, np.uint32), np.frombuffer(at, np.uint16).astype(np.int64), number, raw.view(np.uint64 if width % 8 == 0 else np.uint8).reshape(len(number), plan.sketch_bits, -1))
+        planes = raw.view(np.uint64 if width % 8 == 0 else np.uint8).reshape(len(number), plan.sketch_bits, -1)
+        return cls(np.frombuffer(keys, np.uint32), np.frombuffer(at, np.uint16).astype(np.int64), number, np.ascontiguousarray(planes.transpose(1, 2, 0)))
 
 
 def _planed(x: np.ndarray) -> bytes:
@@ -198,7 +199,7 @@ STORED = "part int, keys binary, at binary, sets binary, sketch binary"
 
 def dump(blob: Blob) -> tuple[bytes, bytes, bytes, bytes]:
     """The stored form of a blob, with 32-bit indexes."""
-    return _planed(blob.key), _planed(blob.own), blob.sets.tobytes(), blob.planes.tobytes()
+    return _planed(blob.key), _planed(blob.own), blob.sets.tobytes(), np.ascontiguousarray(blob.planes.transpose(2, 0, 1)).tobytes()
 
 
 def load(keys: bytes, at: bytes, sets: bytes, sketch: bytes, plan: Plan) -> Blob:
@@ -213,7 +214,7 @@ def halved(blob: Blob, splits: int) -> list[tuple[int, Blob]]:
     for bit, part in ((0, slice(0, middle)), (1, slice(middle, None))):
         used, own = np.unique(blob.own[part], return_inverse=True)
         if len(own):
-            out.append((bit, Blob(blob.key[part], own, blob.sets[used], blob.planes[used])))
+            out.append((bit, Blob(blob.key[part], own, blob.sets[used], blob.planes[:, :, used])))
     return out
 
 
@@ -227,16 +228,26 @@ def merged(blobs: list[Blob]) -> Blob:
     key, own = key[order], own[order]
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-    return Blob(key[keep], own[keep], unique, np.concatenate([b.planes for b in blobs])[first])
+    return Blob(key[keep], own[keep], unique, np.concatenate([b.planes for b in blobs], axis=2)[:, :, first])
 
 
 def _checked(a: Blob, x: np.ndarray, b: Blob, y: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Set numbers of the entry pairs whose sketches agree; a place differs if any of its bits does."""
+    """Set numbers of the entry pairs whose sketches agree; a place differs if any of its bits does.
+
+    Half of the places are looked at first, and the rest where these do not tell the pair apart.
+    """
     p, q = a.own[x], b.own[y]
-    equal = plan.places - np.bitwise_count(np.bitwise_or.reduce(a.planes[p] ^ b.planes[q], axis=1)).sum(axis=1, dtype=np.int64)
-    p, q = a.sets[p], b.sets[q]
-    keep = (equal >= plan.equal_bits) & (p != q)
-    return p[keep], q[keep]
+    equal = np.zeros(len(p), np.int64)
+    words, per = a.planes.shape[1], a.planes.dtype.itemsize * 8
+    for lo, hi in ((0, (words + 1) // 2), ((words + 1) // 2, words)):
+        for w in range(lo, hi):
+            differ = a.planes[0, w][p] ^ b.planes[0, w][q]
+            for bit in range(1, plan.sketch_bits):
+                differ |= a.planes[bit, w][p] ^ b.planes[bit, w][q]
+            equal += per - np.bitwise_count(differ)
+        keep = equal >= plan.equal_bits(hi * per)
+        p, q, equal = p[keep], q[keep], equal[keep]
+    return a.sets[p], b.sets[q]
 
 
 def _blocks(lead: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -267,7 +278,8 @@ def pairs_within(blob: Blob, plan: Plan) -> Iterator[pd.DataFrame]:
 
 
 def pairs_between(new: Blob, old: Blob, plan: Plan) -> Iterator[pd.DataFrame]:
-    """Links ``(a, b)`` from the sets of ``new`` to those of ``old``: a merge of two sorted runs, only windows around new keys."""
+    """Links ``(a, b)`` from the sets of ``new`` to those of ``old``, a set in both included: a merge of two sorted runs, only
+    windows around new keys are compared."""
     lo, hi = np.searchsorted(old.key, new.key, "left"), np.searchsorted(old.key, new.key, "right")
     lead = np.flatnonzero(hi > lo)
     for x, step in _blocks(lead, (hi - lo)[lead]):
@@ -341,17 +353,21 @@ def similar(a: list[bytes], b: list[bytes], threshold: float) -> np.ndarray:
     return both >= threshold * np.maximum(1, n + m - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The rows of ``pairs`` (with columns a and b) whose sets reach the threshold, exactly."""
-    left = pairs.join(sets.select(F.col("sh").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("sh").alias("b"), F.col("grams").alias("gb")), "b")
-    kept = pairs.columns
+def compared(both: DataFrame, kept: list[str], plan: Plan) -> DataFrame:
+    """Columns ``kept`` of the rows whose sets ``ga`` and ``gb`` reach the threshold, exactly."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.loc[similar(b["ga"].tolist(), b["gb"].tolist(), plan.threshold), kept]
 
-    return both.select(*kept, "ga", "gb").mapInPandas(work, ", ".join(f"{n} {t}" for n, t in pairs.dtypes))
+    kinds = dict(both.dtypes)
+    return both.select(*kept, "ga", "gb").mapInPandas(work, ", ".join(f"{c} {kinds[c]}" for c in kept))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets reach the threshold, exactly."""
+    left = pairs.join(sets.select(F.col("sh").alias("a"), F.col("grams").alias("ga")), "a")
+    return compared(left.join(sets.select(F.col("sh").alias("b"), F.col("grams").alias("gb")), "b"), ["a", "b"], plan)
 
 
 def needed_texts(records: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:

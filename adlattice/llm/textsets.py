@@ -33,7 +33,15 @@ PLACEHOLDER = re.compile(
     r"|&lt;(?P<l>[^&<>\n]+)&gt;|【(?P<m>[^【】\n]+)】|\((?P<n>[^()\n]+) to be [a-z]+\)|(?P<o>_{5,})|<%=?(?P<p>[^%<>\n]+)%>|\*\|(?P<q>[^*|\n]+)\|\*"
     r"|<\?=?(?P<r>[^<>?\n]+(?:->[^<>?\n]+)?)\?>|«(?P<s>[^«»\n]+)»|<(?P<t>[A-Za-z]+_\w+|[A-Z]{3,}(?: [A-Z]+)*)>|\*\*(?P<u>(?:add|insert|enter|write|describe|fill in)\b[^*\n]{2,})\*\*|\((?P<v>(?:enter|insert|add|fill in|your)\b[^()\n]{2,})\)|\$(?P<x>[A-Za-z_]{2,})\$|\b(?P<w>X{2,4})(?= (?:years|months|people|hours|days|staff))"
 )
-_MAY_HOLD = re.compile(r"[{\[%#@【_«]|&lt;|<<|<\?|<[A-Z]|\*\*?\b|\$[A-Za-z_]+\$|\*\||to be |\((?:enter|insert|add|fill|your)|XX")
+_ANGLE = re.compile(r"<[A-Z<?%]")
+# Every notation holds one of these; plain search for them is quicker than the pattern.
+_TOKENS = ("{", "[", "%", "#", "@", "_", "$", "*", "«", "【", "&lt;", "XX", " to be ", "(enter", "(insert", "(add", "(fill", "(your")
+
+
+def _may_hold(text: str) -> bool:
+    return any(x in text for x in _TOKENS) or "<" in text and _ANGLE.search(text) is not None
+
+
 _ENDS = re.compile(r"[\n.!?。！？]")
 _SIGNS = re.compile(f"[{OPEN}{CLOSE}]")
 
@@ -63,7 +71,7 @@ def masked(text: str) -> str:
     """Bracket notations as opening sign, inner words and closing sign; such signs in the text itself go."""
     if not text.isascii():
         text = _SIGNS.sub(" ", text)
-    return PLACEHOLDER.sub(_marked, text) if _MAY_HOLD.search(text) else text
+    return PLACEHOLDER.sub(_marked, text) if _may_hold(text) else text
 
 
 class Vocabulary(dict):
@@ -166,22 +174,28 @@ def superminhash(values: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
     # blocks bound the memory of long texts; minima of blocks combine
     for lo in range(0, len(values), ELEMENTS):
         doc, v = all_docs[lo : lo + ELEMENTS], values[lo : lo + ELEMENTS]
-        perm = np.empty((len(v), m), np.int8)
-        perm[:] = np.arange(m, dtype=np.int8)
+        swaps: list[np.ndarray] = []
         for j in range(m):
             if not len(v):
                 break
             bits = mix(v + _STEPS[j])
-            r = (bits >> _U(11)).astype(np.float64) * (1.0 / (1 << 53))
-            k = j + (((bits & _U(0xFFFFFFFF)) * _U(m - j)) >> _U(32)).astype(np.int64)
-            rows = np.arange(len(v))
-            place = perm[rows, k]
-            perm[rows, k] = perm[:, j]
-            np.minimum.at(out, doc * m + place, r + j)
+            k = (((bits & _U(0xFFFFFFFF)) * _U(m - j)) >> _U(32)).astype(np.int16)
+            k += j
+            # the shuffle is replayed backwards instead of kept: index k holds what the last swap with it put there
+            place = k.copy()
+            for i in range(j - 1, -1, -1):
+                place[swaps[i] == place] = i
+            at = doc * m + place
+            # places filled in earlier steps hold less than j
+            free = np.flatnonzero(out[at] >= j)
+            r = (bits[free] >> _U(11)).astype(np.float64) * (1.0 / (1 << 53))
+            np.minimum.at(out, at[free], r + j)
             if j + 1 < m:
                 live = (out.reshape(n, m).max(axis=1) >= j + 1)[doc]
+                swaps.append(k)
                 if not live.all():
-                    v, doc, perm = v[live], doc[live], perm[live]
+                    v, doc = v[live], doc[live]
+                    swaps = [x[live] for x in swaps]
     return mix(np.where(np.isinf(out), 0.0, out).view(np.uint64)).reshape(n, m)
 
 

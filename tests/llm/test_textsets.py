@@ -125,7 +125,7 @@ def test_halved_ranges_are_those_of_twice_as_many():
     twice = {2 * p + bit: h for p, b in once.items() for bit, h in kr.halved(b, 1)}
     assert set(twice) == set(want)
     for p, b in want.items():
-        assert (b.key == twice[p].key).all() and (b.sets[b.own] == twice[p].sets[twice[p].own]).all() and (b.planes[b.own] == twice[p].planes[twice[p].own]).all()
+        assert (b.key == twice[p].key).all() and (b.sets[b.own] == twice[p].sets[twice[p].own]).all() and (b.planes[:, :, b.own] == twice[p].planes[:, :, twice[p].own]).all()
 
 
 def test_labels_put_each_range_into_a_partition_of_its_own(spark):
