@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -65,3 +66,10 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Between the steps of a long job: let the context cleaner remove shuffle files, broadcasts and checkpoints that nothing
+    refers to any more, instead of waiting until the driver's heap has filled up with plans of past steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
