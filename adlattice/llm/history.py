@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from adlattice.llm import keyruns as kr
 from adlattice.llm import residue
-from adlattice.session import cut, shared_dir, shuffles_dropped
+from adlattice.session import cut, release, shared_dir, shuffles_dropped
 from adlattice.sources import files
 
 FANOUT = 4
@@ -99,23 +99,29 @@ _COLUMNS = [c.split()[0] for c in STAGE.split(", ")]
 
 @dataclass
 class Run:
-    """A sorted run: its folder, its number of distinct sets (copies across tasks counted again) and of records."""
+    """A sorted run: its number, its distinct sets (copies across tasks counted again), its records and the files of its keys."""
 
-    name: str
+    number: int
     sets: int
     records: int
+    files: list[str]
+
+    @property
+    def name(self) -> str:
+        return f"run-{self.number:06d}"
 
 
 class HistoryIndex:
-    """An index under ``path``: a manifest, the model, and for each run ``stage/kind=records`` (every record with board, id
-    and set number), ``stage/kind=sets`` (the shingle hashes of each set) and ``keys`` (packed keys, bucketed by range)."""
+    """An index under ``path``: a manifest, the model, the packed keys of all runs, bucketed by range, and for each run
+    ``stage/kind=records`` (every record with board, id and set number) and ``stage/kind=sets`` (the shingle hashes of each set)."""
 
     def __init__(self, spark: SparkSession, model: residue.Model | None = None, path: str | None = None, plan: kr.Plan | None = None, ranges: int = 1, fanout: int = FANOUT):
         self.spark, self.plan, self.ranges, self.splits, self.fanout = spark, plan or kr.Plan(), ranges, 0, fanout
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
         self.runs: list[Run] = []
         self.made = self.version = 0
-        self.tables: dict[tuple[str, int], str] = {}
+        self.table: str | None = None
+        self.tables: list[str] = []
         self.shared = None
         if model is None:
             raise ValueError("an index needs the model that tells adverts from notices")
@@ -134,7 +140,7 @@ class HistoryIndex:
         told = json.loads(files.read_bytes(spark, f"{path}/manifest/{found[-1]}"))
         data = np.load(io.BytesIO(files.read_bytes(spark, f"{path}/model")))
         index = cls.__new__(cls)
-        index.spark, index.path, index.tables, index.shared = spark, path, {}, None
+        index.spark, index.path, index.table, index.tables, index.shared = spark, path, None, [], None
         index.model = residue.Model(data["weights"], float(data["bias"]))
         index.plan, index.runs = kr.Plan(**told["plan"]), [Run(**r) for r in told["runs"]]
         index.ranges, index.splits, index.fanout, index.made, index.version = told["ranges"], told["splits"], told["fanout"], told["made"], told["version"]
@@ -151,9 +157,13 @@ class HistoryIndex:
     def parts(self) -> int:
         return self.ranges << self.splits
 
-    def _name(self) -> str:
+    def _next(self) -> int:
         self.made += 1
-        return f"run-{self.made:06d}"
+        return self.made
+
+    @property
+    def _folder(self) -> str:
+        return f"{self.path}/keys-{self.splits}"
 
     def _staged(self, runs: list[Run], kind: str, columns: list) -> DataFrame:
         """Rows of one kind of all the runs, by one scan."""
@@ -162,21 +172,15 @@ class HistoryIndex:
         schema = STAGE.removeprefix("kind string, ")
         return (self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)).select(*columns)
 
-    def _keys(self, run: Run) -> DataFrame:
-        """The packed keys of a run as a bucketed table, declared in this session if need be."""
-        known = self.tables.get((run.name, self.splits))
-        if known is None:
-            known = self._table(run.name)
-            folder = f"{self.path}/{run.name}/keys"
-            self.spark.sql(f"CREATE TABLE {known} ({kr.STORED}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.parts} BUCKETS LOCATION '{folder}'")
-        return self.spark.table(known)
-
-    def _table(self, name: str) -> str:
-        known = self.tables[name, self.splits] = f"history_{uuid.uuid4().hex}"
-        return known
-
-    def _write_keys(self, name: str, blobs: DataFrame, halve: bool = False) -> None:
-        """Merge packed keys to one sorted row a range and store them, a bucket for each range."""
+    def _keys(self, condition: str) -> DataFrame:
+        """Packed keys of some runs, from the bucketed table that holds those of all runs."""
+        if self.table is None:
+            self.table = f"history_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.table} (run int, {kr.STORED}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.parts} BUCKETS LOCATION '{self._folder}'")
+        return self.spark.table(self.table).filter(condition)
+
+    def _write_keys(self, number: int, blobs: DataFrame, halve: bool = False) -> list[str]:
+        """Merge packed keys to one sorted row a range and store them, a bucket for each range; the names of the files."""
         plan, labels, splits = self.plan, kr.range_labels(self.parts), self.splits
         before = {int(x): i for i, x in enumerate(kr.range_labels(self.parts >> 1))} if halve else {}
 
@@ -186,7 +190,7 @@ class HistoryIndex:
                 for part, stored, *blob in b.itertuples(index=False):
                     held.setdefault(part, []).append(kr.load(*blob, plan) if stored else kr.Blob.of(*blob, plan))
             for part in sorted(held):
-                yield pd.DataFrame([(part, *kr.dump(kr.merged(held.pop(part))))], columns=["part", "keys", "at", "sets", "sketch"])
+                yield pd.DataFrame([(number, part, *kr.dump(kr.merged(held.pop(part))))], columns=["run", "part", "keys", "at", "sets", "sketch"])
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -196,13 +200,17 @@ class HistoryIndex:
 
         if halve:
             blobs = blobs.mapInPandas(split, "part int, stored boolean, keys binary, at binary, sets binary, sketch binary")
-        placed = blobs.repartition(self.parts, "part").mapInPandas(merge, kr.STORED)
+        placed = blobs.repartition(self.parts, "part").mapInPandas(merge, f"run int, {kr.STORED}")
+        there = set(files.names(self.spark, self._folder))
+        self._keys("true")
         with shuffles_dropped(self.spark):
-            placed.write.bucketBy(self.parts, "part").sortBy("part").option("path", f"{self.path}/{name}/keys").option("compression", "zstd").saveAsTable(self._table(name))
+            placed.write.mode("append").format("parquet").bucketBy(self.parts, "part").sortBy("part").option("compression", "zstd").saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
+        return [n for n in files.names(self.spark, self._folder) if n not in there and n.endswith(".parquet")]
 
     def _write(self, records: DataFrame) -> Run:
         """One sorted run of a batch."""
-        name = self._name()
+        run = Run(self._next(), 0, 0, [])
         if self.shared is None:
             self.shared = self.spark.sparkContext.broadcast(self.model)
         shared, plan, labels, splits = self.shared, self.plan, kr.range_labels(self.parts), self.splits
@@ -225,13 +233,13 @@ class HistoryIndex:
                         part, keys, at, sets, sketch = zip(*reader.packed(t, labels, splits), strict=True)
                         yield rows("keys", part=part, keys=keys, at=at, sets=sets, sketch=sketch)
 
-        folder = f"{self.path}/{name}/stage"
+        folder = f"{self.path}/{run.name}/stage"
         seen = Observation()
         signed = records.select("rec", "ord", "board", "ext", "name", advert).mapInPandas(sign, STAGE)
         counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("sets", "records")]
         signed.observe(seen, *counts).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
-        run = Run(name, int(seen.get["sets"]), int(seen.get["records"]))
-        self._write_keys(name, self._staged([run], "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
+        run.sets, run.records = int(seen.get["sets"]), int(seen.get["records"])
+        run.files = self._write_keys(run.number, self._staged([run], "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
         files.remove(self.spark, f"{folder}/kind=keys")
         return run
 
@@ -257,9 +265,11 @@ class HistoryIndex:
             mine = [kr.load(*r, plan) for r in new[key].itertuples(index=False)]
             return links([f for r in kept[key].itertuples(index=False) for x in mine for f in kr.pairs_between(x, kr.load(*r, plan), plan)] if mine else [], True)
 
-        out = self._keys(run).groupBy("part").applyInPandas(within, "a bigint, b bigint, earlier boolean")
-        for r in old:
-            out = out.unionByName(self._keys(run).groupBy("part").cogroup(self._keys(r).groupBy("part")).applyInPandas(between, "a bigint, b bigint, earlier boolean"))
+        new = self._keys(f"run = {run.number}").groupBy("part")
+        out = new.applyInPandas(within, "a bigint, b bigint, earlier boolean")
+        if old:
+            kept = self._keys(f"run IN ({', '.join(str(r.number) for r in old)})").groupBy("part")
+            out = out.unionByName(new.cogroup(kept).applyInPandas(between, "a bigint, b bigint, earlier boolean"))
         return out.distinct()
 
     def absorb(self, records: DataFrame) -> DataFrame:
@@ -292,7 +302,7 @@ class HistoryIndex:
         return out
 
     def _settle(self) -> None:
-        """Merge runs of like size, halve ranges that have outgrown their size, and commit."""
+        """Merge runs of like size, halve ranges that have outgrown their size, commit, and remove what no run needs."""
         gone: list[str] = []
         while True:
             levels: dict[int, list[Run]] = {}
@@ -304,12 +314,20 @@ class HistoryIndex:
             gone += self._merge(full)
         while sum(r.sets for r in self.runs) > 2 * kr.RANGE_TEXTS * self.parts:
             gone += self._halve()
+        self._finish(gone)
+
+    def _finish(self, gone: list[str]) -> None:
         self._commit()
-        for name in gone:
-            files.remove(self.spark, f"{self.path}/{name}")
+        for path in gone:
+            files.remove(self.spark, path)
+        if gone:
+            self.spark.catalog.refreshTable(self.table)
 
-    def _blobs(self, run: Run) -> DataFrame:
-        return self._keys(run).select("part", F.lit(True).alias("stored"), "keys", "at", "sets", "sketch")
+    def _paths(self, runs: list[Run]) -> list[str]:
+        return [f"{self.path}/{r.name}" for r in runs] + [f"{self._folder}/{n}" for r in runs for n in r.files]
+
+    def _blobs(self, runs: list[Run]) -> DataFrame:
+        return self._keys(f"run IN ({', '.join(str(r.number) for r in runs)})").select("part", F.lit(True).alias("stored"), "keys", "at", "sets", "sketch")
 
     def _moved(self, runs: list[Run], name: str) -> None:
         """Copy the records and sets of runs into one folder, without an exchange."""
@@ -317,43 +335,35 @@ class HistoryIndex:
         records.unionByName(sets).coalesce(self.parts).write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{name}/stage")
 
     def _merge(self, runs: list[Run]) -> list[str]:
-        name = self._name()
-        blobs = self._blobs(runs[0])
-        for r in runs[1:]:
-            blobs = blobs.unionByName(self._blobs(r))
-        self._write_keys(name, blobs)
-        self._moved(runs, name)
-        at = self.runs.index(runs[0])
-        self.runs = [r for r in self.runs if r not in runs]
-        self.runs.insert(min(at, len(self.runs)), Run(name, sum(r.sets for r in runs), sum(r.records for r in runs)))
-        return [r.name for r in runs]
+        new = Run(self._next(), sum(r.sets for r in runs), sum(r.records for r in runs), [])
+        new.files = self._write_keys(new.number, self._blobs(runs))
+        self._moved(runs, new.name)
+        self.runs = [*(r for r in self.runs if r not in runs), new]
+        return self._paths(runs)
 
     def _halve(self) -> list[str]:
-        """Rewrite the keys of all runs with twice as many ranges."""
-        old = [(r, self._blobs(r)) for r in self.runs]
+        """Rewrite the keys of all runs with twice as many ranges; their other parts stay."""
+        old, gone = [(r, self._blobs([r])) for r in self.runs], [self._folder]
+        self._forget()
         self.splits += 1
-        runs = []
         for r, blobs in old:
-            name = self._name()
-            self._write_keys(name, blobs, halve=True)
-            self._moved([r], name)
-            runs.append(Run(name, r.sets, r.records))
-        self.runs = runs
-        return [r.name for r, _ in old]
+            r.files = self._write_keys(r.number, blobs, halve=True)
+        return gone
 
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
-            gone = self._merge(list(self.runs))
-            self._commit()
-            for name in gone:
-                files.remove(self.spark, f"{self.path}/{name}")
+            self._finish(self._merge(list(self.runs)))
+
+    def _forget(self) -> None:
+        self.tables, self.table = [*self.tables, *([self.table] if self.table else [])], None
 
     def close(self, remove: bool = False) -> None:
         """Forget the tables declared in this session; with ``remove`` the index itself goes too."""
-        for t in self.tables.values():
+        self._forget()
+        for t in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-        self.tables = {}
+        self.tables = []
         if remove:
             files.remove(self.spark, self.path)
 
@@ -370,6 +380,7 @@ def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 1, plan: kr.P
     numbers = sorted(r[0] for r in raw.select(batch_column()).distinct().collect())
     out = raw_records(raw.filter(F.lit(False))).select("rec")
     for i in range(0, len(numbers), batches_per_step):
+        release(spark)
         step = numbers[i : i + batches_per_step]
         out = out.unionByName(index.absorb(raw_records(raw.filter(batch_column().between(step[0], step[-1])))))
     index.close(remove=True)
