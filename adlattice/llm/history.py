@@ -204,7 +204,7 @@ class HistoryIndex:
         there = set(files.names(self.spark, self._folder))
         self._keys("true")
         with shuffles_dropped(self.spark):
-            placed.write.mode("append").format("parquet").bucketBy(self.parts, "part").sortBy("part").option("compression", "zstd").saveAsTable(self.table)
+            placed.write.mode("append").format("parquet").bucketBy(self.parts, "part").sortBy("part").saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
         return [n for n in files.names(self.spark, self._folder) if n not in there and n.endswith(".parquet")]
 
@@ -261,16 +261,16 @@ class HistoryIndex:
             found = [f for r in rows[key].itertuples(index=False) for f in kr.pairs_within(kr.load(*r, plan), plan)]
             return links([*found, *(f.rename(columns={"a": "b", "b": "a"}) for f in found)], False)
 
-        def between(new: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        def around(new: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
             mine = [kr.load(*r, plan) for r in new[key].itertuples(index=False)]
-            return links([f for r in kept[key].itertuples(index=False) for x in mine for f in kr.pairs_between(x, kr.load(*r, plan), plan)] if mine else [], True)
+            found = [f for r in kept[key].itertuples(index=False) for x in mine for f in kr.pairs_between(x, kr.load(*r, plan), plan)] if mine else []
+            return pd.concat([within(new), links(found, True)])
 
         new = self._keys(f"run = {run.number}").groupBy("part")
-        out = new.applyInPandas(within, "a bigint, b bigint, earlier boolean")
-        if old:
-            kept = self._keys(f"run IN ({', '.join(str(r.number) for r in old)})").groupBy("part")
-            out = out.unionByName(new.cogroup(kept).applyInPandas(between, "a bigint, b bigint, earlier boolean"))
-        return out.distinct()
+        if not old:
+            return new.applyInPandas(within, "a bigint, b bigint, earlier boolean").distinct()
+        kept = self._keys(f"run IN ({', '.join(str(r.number) for r in old)})").groupBy("part")
+        return new.cogroup(kept).applyInPandas(around, "a bigint, b bigint, earlier boolean").distinct()
 
     def absorb(self, records: DataFrame) -> DataFrame:
         """Add a batch and return ``(rec)`` of those of its records that repeat an earlier one."""
@@ -372,16 +372,20 @@ def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 1, plan: kr.P
     """``(raw_id)`` of the crawl records that bring nothing new.
 
     ``jobs`` is loaded as the first run; batches are absorbed in their order, ``batches_per_step`` at a time (a step may
-    hold several batches, as arrival order decides among its own records).
+    hold several batches, as arrival order decides among its own records). The records are read once and laid down by batch,
+    as batches arrive one by one, so that a step does not read those of others.
     """
     spark = jobs.sparkSession
     index = HistoryIndex(spark, residue.fit(jobs), plan=plan, ranges=kr.ranges_for(jobs.count()), fanout=fanout)
     index.load(job_records(jobs))
-    numbers = sorted(r[0] for r in raw.select(batch_column()).distinct().collect())
-    out = raw_records(raw.filter(F.lit(False))).select("rec")
+    arrived = f"{index.path}/arrived"
+    records = raw_records(raw).withColumn("batch", F.shiftright("ord", 48))
+    records.write.partitionBy("batch").option("compression", "zstd").parquet(arrived)
+    numbers = sorted(int(n.removeprefix("batch=")) for n in files.names(spark, arrived) if n.startswith("batch="))
+    out = spark.createDataFrame([], "rec bigint")
     for i in range(0, len(numbers), batches_per_step):
         release(spark)
-        step = numbers[i : i + batches_per_step]
-        out = out.unionByName(index.absorb(raw_records(raw.filter(batch_column().between(step[0], step[-1])))))
+        folders = [f"{arrived}/batch={n}" for n in numbers[i : i + batches_per_step]]
+        out = out.unionByName(index.absorb(spark.read.schema(records.drop("batch").schema).parquet(*folders)))
     index.close(remove=True)
     return out.select(F.col("rec").alias("raw_id"))

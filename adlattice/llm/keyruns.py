@@ -180,31 +180,22 @@ class Blob:
     def of(cls, keys: bytes, at: bytes, sets: bytes, sketch: bytes, plan: Plan) -> Blob:
         number = np.frombuffer(sets, np.int64)
         raw = np.frombuffer(sketch, np.uint8).reshape(len(number), -1)
-        width = raw.shape[1] // plan.sketch_bits
-        planes = raw.view(np.uint64 if width % 8 == 0 else np.uint8).reshape(len(number), plan.sketch_bits, -1)
+        planes = raw.view(np.uint64 if plan.places % 64 == 0 else np.uint8).reshape(len(number), plan.sketch_bits, -1)
         return cls(np.frombuffer(keys, np.uint32), np.frombuffer(at, np.uint16).astype(np.int64), number, np.ascontiguousarray(planes.transpose(1, 2, 0)))
 
 
-def _planed(x: np.ndarray) -> bytes:
-    """The bytes of 32-bit numbers plane by plane: sorted or small numbers then compress well."""
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-
-
 STORED = "part int, keys binary, at binary, sets binary, sketch binary"
 
 
 def dump(blob: Blob) -> tuple[bytes, bytes, bytes, bytes]:
-    """The stored form of a blob, with 32-bit indexes."""
-    return _planed(blob.key), _planed(blob.own), blob.sets.tobytes(), np.ascontiguousarray(blob.planes.transpose(2, 0, 1)).tobytes()
+    """The stored form of a blob, which is read again without a copy."""
+    return blob.key.tobytes(), blob.own.astype(np.uint32).tobytes(), blob.sets.tobytes(), np.ascontiguousarray(blob.planes).tobytes()
 
 
 def load(keys: bytes, at: bytes, sets: bytes, sketch: bytes, plan: Plan) -> Blob:
-    empty = Blob.of(b"", b"", sets, sketch, plan)
-    return Blob(_unplaned(keys), _unplaned(at).astype(np.int64), empty.sets, empty.planes)
+    number = np.frombuffer(sets, np.int64)
+    word = np.uint64 if plan.places % 64 == 0 else np.uint8
+    return Blob(np.frombuffer(keys, np.uint32), np.frombuffer(at, np.uint32), number, np.frombuffer(sketch, word).reshape(plan.sketch_bits, -1, len(number)))
 
 
 def halved(blob: Blob, splits: int) -> list[tuple[int, Blob]]:

@@ -188,7 +188,8 @@ class Examples:
 
 
 _OPENED = np.array([ts.xxhash.xxh64_intdigest(c) >> (64 - BITS) for c in ts.OPEN], np.int32)
-PLAIN = 3  # segments of plain text kept for each text of the sample, besides all notations and cases
+PLAIN = 3  # segments of plain text kept for each text of the sample, besides all cases, notations and short segments
+SHORT = 4
 
 
 def examples(ready: list[str], titles: list[str | None], labels: list[int], vocabulary: ts.Vocabulary, rng: np.random.Generator, weight: float, keep_all: bool) -> Examples:
@@ -198,11 +199,13 @@ def examples(ready: list[str], titles: list[str | None], labels: list[int], voca
     if len(y) != len(s.starts):
         raise AssertionError("segments and labels are out of step")
     marked = np.isin(s.cells[0, s.starts], _OPENED)
-    plain = np.flatnonzero((y == 0) & ~marked)
+    size = np.diff(np.append(s.starts, s.cells.shape[1]))
+    sure = (y == 1) | (y == 0) & (marked | (size <= SHORT))
+    plain = np.flatnonzero((y == 0) & ~sure)
     if not keep_all:
         plain = rng.permutation(plain)[: PLAIN * len(ready)]
-    chosen = np.sort(np.concatenate([np.flatnonzero((y == 1) | (y == 0) & marked), plain]))
-    size = np.diff(np.append(s.starts, s.cells.shape[1]))[chosen]
+    chosen = np.sort(np.concatenate([np.flatnonzero(sure), plain]))
+    size = size[chosen]
     at = np.repeat(s.starts[chosen] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
     cell = s.cells[:, at].T.ravel()
     row = np.repeat(np.repeat(np.arange(len(chosen)), size), 4)[cell >= 0]

@@ -18,6 +18,7 @@ BREAK = "\n"
 # A bracket notation is written as an opening sign of its kind, the words inside and a closing sign.
 OPEN, CLOSE = "".join(map(chr, range(0xE000, 0xE020))), "\ue07f"
 TOKEN = re.compile(rf"[{_CJK}]|[^\W{_CJK}]+|\n|[{OPEN}{CLOSE}]|[.!?。！？](?=\s|$)")
+_PLAIN_TOKEN = re.compile(r"\w+|\n|[.!?](?=\s|$)", re.ASCII)  # the same for texts without other letters
 BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|br|div|html|head|body|title|h[1-6]|noscript|tr|td|table)\b[^>]*>", re.I)
 ANY_TAG = re.compile(r"</?[a-z!][^<>]*>", re.I)
 ERROR_MARK = re.compile(r"Error: \w+\s*")
@@ -101,7 +102,7 @@ class Vocabulary(dict):
         counts: list[int] = []
         look = self.__getitem__
         for t in texts:
-            found = list(map(look, TOKEN.findall(t)))
+            found = list(map(look, (_PLAIN_TOKEN if t.isascii() else TOKEN).findall(t)))
             counts.append(len(found))
             ids += found
         at = np.array(ids, dtype=np.int64)
@@ -120,11 +121,18 @@ _STEPS = np.arange(1, 129, dtype=np.uint64) * GOLDEN
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) * GOLDEN) | _U(1)
 
 
+VALUE_BITS = 48
+MAX_TEXTS = 1 << (64 - VALUE_BITS)
+
+
 def shingle_sets(doc: np.ndarray, h: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of runs of k words per document, as ``(values, offsets)``.
+    """Sorted distinct hashes (48 bits) of runs of k words per document, as ``(values, offsets)``.
 
-    A text of fewer than k words has its one short run, so that equal short texts are equal.
+    A text of fewer than k words has its one short run, so that equal short texts are equal. The number of the document
+    rides on the upper bits, so that one plain sort orders all sets.
     """
+    if n_docs > MAX_TEXTS:
+        raise ValueError(f"at most {MAX_TEXTS} texts at a time")
     if not len(h):
         return np.empty(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     size = np.bincount(doc, minlength=n_docs)
@@ -137,13 +145,13 @@ def shingle_sets(doc: np.ndarray, h: np.ndarray, n_docs: int, k: int) -> tuple[n
         part[~inner] = 0
         run[: len(h) - j] += part
     keep = (left >= k) | ((size[doc] < k) & (left == size[doc]))
-    d, v = doc[keep], mix(run[keep])
-    order = np.lexsort((v, d))
-    d, v = d[order], v[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
-    d, v = d[new], v[new]
-    return v, np.concatenate(([0], np.cumsum(np.bincount(d, minlength=n_docs))))
+    both = (doc[keep].astype(np.uint64) << _U(VALUE_BITS)) | (mix(run[keep]) >> _U(64 - VALUE_BITS))
+    both.sort()
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    d = (both >> _U(VALUE_BITS)).astype(np.int64)
+    return both & _U((1 << VALUE_BITS) - 1), np.concatenate(([0], np.cumsum(np.bincount(d, minlength=n_docs))))
 
 
 def set_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
