@@ -32,6 +32,17 @@ def long_relative(c: Column, now: Column) -> Column:
     return F.coalesce(out.otherwise(written), now).cast("date")
 
 
+def iso_instant(c: Column, fallback: Column) -> Column:
+    """A written ISO date or time as a wall time, the fallback where it is written otherwise; NULL stays NULL."""
+    told = F.when(c.rlike(r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d{1,6})?)?)?$"), c.try_cast("timestamp_ntz"))
+    return F.when(c.isNotNull(), F.coalesce(told, fallback))
+
+
+def posting_date(attribute: Column, text: Column, now: Column) -> Column:
+    """The ISO attribute of a card's date if it has one, else its text by :func:`long_relative`."""
+    return F.coalesce(F.when(attribute.rlike(r"^\d{4}-\d\d-\d\d"), F.substring(attribute, 1, 10).try_cast("date")), long_relative(text, now))
+
+
 def local_date(c: Column, hours: int = 8) -> Column:
     """The calendar day at a fixed distance from UTC (Hong Kong time by default) as ``yyyy-MM-dd``."""
     return F.date_format(c + F.make_dt_interval(hours=F.lit(hours)), "yyyy-MM-dd")

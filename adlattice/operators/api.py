@@ -42,11 +42,40 @@ def showing(page: int, limit: int, total: int) -> tuple[int, int]:
 
 
 def file_name(texts: list[str], day: str) -> str:
-    """Export file name from the search terms and an ISO day."""
+    """Export file name from the search terms and an ISO day or instant, of which the day is taken."""
+    day = str(day).split("T")[0]
     parts = "_".join("".join(c if c.isalnum() else "-" for c in t) for t in texts)
     return f"job_search{'_' + parts if parts else ''}_{day}.csv"
 
 
+# The labels of an export.
+EXPORT = {"id": "ID", "name": "Job Title", "company_name": "Company", "location": "Location", "work_type": "Work Type", "salary_description": "Salary", "date_posted": "Date Posted", "source": "Source", "job_class": "Category", "description": "Description"}
+
+
+def export(rows: DataFrame) -> DataFrame:
+    """Rows as an export shows them: ten labels, 'N/A' for a missing category, blank for other missing values."""
+    return rows.select(*[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("N/A")).alias(n) if c == "job_class" else F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in EXPORT.items()])
+
+
+def reordered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns in the given order with blanks for missing texts."""
+    return df.select(*columns).na.fill("")
+
+
+# The columns a record is stored with; the row key comes with it when it is read.
+STORED = ("id", "description", "company_name", "name", "location", "work_type", "salary_description", "date_posted", "date_scraped", "source", "other", "remark", "job_class", "job_subclass")
+
+
+def to_stored(records: DataFrame) -> DataFrame:
+    """A record as it is stored: no row key and none of the ids that ingest leaves empty."""
+    return records.select(*STORED)
+
+
+def to_record(rows: DataFrame) -> DataFrame:
+    """A stored row as a record with its key, as JSON with every field."""
+    return rows.select("internal_id", F.to_json(F.struct("internal_id", *STORED), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def camel_case(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in CAMEL.items() if k in df.columns})
 

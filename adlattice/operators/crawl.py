@@ -1,21 +1,28 @@
-"""Listing and detail runs over stored pages, and the registry that picks them by platform."""
+"""Cards, stubs and details of stored pages."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlattice.functions import html
+from adlattice.functions import dates, html
 from adlattice.operators import ingest
 from adlattice.operators.worklist import valid_detail
+from adlattice.sources.tables import feed_columns
 
-# Names of search parameters with the value each stands for.
-SORT_MODES = {"date": "ListedDate", "relevance": "KeywordRelevance"}
+# Names of search parameters with the value each stands for, and the defaults.
+SORT_MODES = {"listed_date": "ListedDate", "relevance": "KeywordRelevance"}
+JOB_TYPES = {"full_time": "full-time", "part_time": "part-time", "contract": "contract-temp", "casual": "casual-vacation"}
+CATEGORIES = {"software": "information-communication-technology", "finance": "accounting-finance"}
 PAGE_SIZE = 25
 
 
+def search_filters(category: Column, sort: Column, job_type: Column) -> list[Column]:
+    """``category_path, job_type_path, sortmode`` of a request; unknown categories and orders give the default, unknown types none."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in JOB_TYPES.items() for x in kv]), job_type)
+    return [lookup(category, CATEGORIES, CATEGORIES["software"]).alias("category_path"), kind.alias("job_type_path"), lookup(sort, SORT_MODES, SORT_MODES["listed_date"]).alias("sortmode")]
+
+
 def lookup(c: Column, values: dict[str, str], default: str) -> Column:
     """A search parameter by name; unknown names and NULL give the default."""
     table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
@@ -37,6 +44,12 @@ def listing_cards(pages: DataFrame, limit: int | None = None) -> DataFrame:
     return found.filter(F.col("id").isNotNull())
 
 
+def dated_cards(pages: DataFrame, now: Column) -> DataFrame:
+    """Cards with the instant they were posted; those whose date is missing or cannot be read go."""
+    cards = listing_cards(pages).filter("date_posted <> 'N/A'")
+    return cards.withColumn("posted_at", dates.short_relative(F.col("date_posted"), now)).filter("posted_at IS NOT NULL")
+
+
 def listing_run(pages: DataFrame, stored: DataFrame) -> DataFrame:
     """Cards whose id is not stored."""
     return ingest.unseen(listing_cards(pages), stored)
@@ -46,7 +59,8 @@ def id_stubs(pages: DataFrame, stored: DataFrame, today: str, source: str = "Lin
     """Rows that hold only an id, the board and the day, for boards whose listing shows ids alone."""
     ids = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r'data-occludable-job-id="(\d+)"'), F.lit(1))).alias("id")).distinct()
     empty = ("name", "company_name", "location", "salary_description", "job_class")
-    return ingest.unseen(ids, stored).select("id", *[F.lit("N/A").alias(c) for c in empty], F.lit("").alias("description"), F.lit(source).alias("source"), F.lit(today).alias("date_scraped"))
+    days = [F.lit(today).alias(c) for c in ("date_posted", "date_scraped")]
+    return ingest.unseen(ids, stored).select("id", *[F.lit("N/A").alias(c) for c in empty], F.lit("").alias("description"), F.lit(source).alias("source"), *days)
 
 
 def detail_fields(pages: DataFrame) -> DataFrame:
@@ -63,20 +77,29 @@ def essential(df: DataFrame) -> DataFrame:
 
 
 def failed_ids(results: DataFrame, worker: str = "worker") -> DataFrame:
-    """Ids of each worker that gave no valid text, in order."""
+    """``(worker, id)`` for each id that gave no valid text; a worker may have any number of them."""
     bad = ~F.coalesce(valid_detail(F.col("description")) & ~F.col("description").startswith("Error: "), F.lit(False))
-    return results.filter(bad).groupBy(worker).agg(F.sort_array(F.collect_list("id")).alias("failed_ids"))
+    return results.filter(bad).select(worker, "id")
 
 
-def recent(df: DataFrame, column: str, now: Column, hours: int, limit: int | None = None, key: str = "id") -> DataFrame:
-    """Rows of the last hours, at most ``limit`` of the newest."""
-    df = df.filter(F.col(column) >= now - F.make_dt_interval(hours=F.lit(hours)))
-    return df.orderBy(F.desc(column), F.desc(key)).limit(limit) if limit else df
+def raw_to_clean(raw: DataFrame) -> DataFrame:
+    """Crawl records not yet handled as clean rows: fields mapped, tags stripped, blanks collapsed; ``processed`` says whether
+    the record could be read."""
+    f = feed_columns(F.col("raw_data"))
+    clean = {n: html.collapse(html.strip_tags(F.coalesce(f[p], F.lit("")))) for p, n in (("name", "name"), ("location", "location"), ("salary", "salary_description"), ("description", "description"))}
+    rows = raw.filter("processed_at IS NULL")
+    return rows.select(F.col("id").alias("raw_id"), F.coalesce("external_id", f["id"]).alias("id"), "source", *[c.alias(n) for n, c in clean.items()], F.get_json_object("raw_data", "$").isNotNull().alias("processed"))
 
 
-REGISTRY: dict[tuple[str, str], Callable[..., DataFrame]] = {("jobsdb", "pages"): listing_run, ("linkedin", "pages"): id_stubs}
+def feed_postings(feed: DataFrame, now: Column) -> DataFrame:
+    """Postings of a stored crawl result (columns of :func:`adlattice.sources.tables.feed_columns` and ``date_scraped``):
+    defaults where a field is missing, ISO dates with ``now`` as fallback; rows without id or title go."""
+    told = lambda c, default: F.coalesce(F.col(c), F.lit(default)).alias(c)
+    rows = feed.select("id", told("name", "Unknown Title"), F.lit("").alias("description"), told("company", "Unknown Company").alias("company_name"), told("location", "Unknown Location"), told("salary", "N/A").alias("salary_description"), told("job_class", "N/A"), dates.iso_instant(F.col("date_scraped"), now).alias("date_scraped"))
+    return rows.filter((F.col("id") != "") & (F.col("name") != ""))
 
 
-def dispatch(platform: str, kind: str) -> Callable[..., DataFrame]:
-    """The run of a platform by its name; unknown ones raise KeyError."""
-    return REGISTRY[platform.strip().lower().replace(" ", "_").replace("-", "_"), kind]
+def recent(df: DataFrame, column: str, now: Column, hours: int, limit: int | None = None, key: str = "id") -> DataFrame:
+    """Rows of the last hours, at most ``limit`` of the newest."""
+    df = df.filter(F.col(column) >= now - F.make_dt_interval(hours=F.lit(hours)))
+    return df.orderBy(F.desc(column), F.desc(key)).limit(limit) if limit else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.operators.worklist import valid_detail
@@ -50,10 +50,34 @@ def apply_details(stored: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Insert where no stored row has the key; of repeats in the batch the lowest ``order`` wins."""
+    """Insert where no stored row has the key; of repeats in the batch the lowest ``order`` wins, by a mergeable aggregate."""
     fresh = new.join(stored.select(*keys).distinct(), keys, "left_anti")
-    first = Window.partitionBy(*keys).orderBy(order)
-    return fresh.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    others = [c for c in new.columns if c not in keys]
+    return fresh.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_row")).select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in new.columns])
+
+
+def expired(runs: DataFrame, keys: list[str], run: str) -> DataFrame:
+    """Keys that were present in some run but not in the last one, with the last run that had them."""
+    last = runs.agg(F.max(run)).scalar()
+    return runs.groupBy(*keys).agg(F.max(run).alias("last_seen")).filter(F.col("last_seen") < last)
+
+
+def older_than(df: DataFrame, column: str, now: Column, days: int) -> DataFrame:
+    """Rows older than so many days."""
+    return df.filter(F.col(column) < now - F.make_dt_interval(days=F.lit(days)))
+
+
+def latest_import(df: DataFrame, key: str, posted: str, order: str) -> DataFrame:
+    """One row for each key: the one posted last, of equals the one imported last; rows without a date come first."""
+    rank = F.struct(F.col(posted).isNotNull(), F.col(posted), F.col(order))
+    others = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
+def external_id(external: Column, raw: Column) -> Column:
+    """A record's own number: the column, or where that is missing the one inside the record, even if it is cut off."""
+    inner = F.nullif(F.regexp_extract(raw, r'"id"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
+    return F.coalesce(external, inner)
 
 
 def run_counters(results: DataFrame, worker: str = "worker") -> DataFrame:

@@ -194,3 +194,17 @@ def found(jobs: DataFrame, periods: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["internal_id", "currency", "year_min", "year_max"])
 
     return rows.mapInPandas(convert, "internal_id bigint, currency string, year_min bigint, year_max bigint")
+
+
+def pay_or_review(jobs: DataFrame, periods: DataFrame) -> DataFrame:
+    """``(internal_id, currency, year_min, year_max, review)`` of each row with a note: no range and a flag where the note holds
+    a number but states no pay."""
+    noted = jobs.filter(F.col("salary_description").rlike(r"\p{Nd}")).select("internal_id")
+    return noted.join(found(jobs, periods), "internal_id", "left").withColumn("review", F.col("currency").isNull())
+
+
+def place_or_review(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``(internal_id, place, review)``: the "Country - City" a location names letter by letter but for case and outer blanks, or
+    no place and a flag. ``places (city, name)`` is a fixed list, hence the broadcast."""
+    forms = places.select(F.explode(F.array(F.lower("name"), F.lower("city"))).alias("k"), F.col("name").alias("place")).groupBy("k").agg(F.max("place").alias("place"))
+    return rows.withColumn("k", F.lower(F.trim("location"))).join(F.broadcast(forms), "k", "left").select("internal_id", "place", F.col("place").isNull().alias("review"))

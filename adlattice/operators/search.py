@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlattice.operators import terms as t
+from adlattice.operators.matching import found_skills
 
 
 def visible() -> Column:
@@ -48,6 +49,11 @@ def page(df: DataFrame, page: int = 1, limit: int = 20, key: str = "internal_id"
     return df.orderBy(F.desc(key)).offset((page - 1) * limit).limit(limit)
 
 
+def pages(df: DataFrame, count: int, limit: int = 20, key: str = "internal_id") -> DataFrame:
+    """The first pages together, as an export fetches them: one top-k instead of one sort a page."""
+    return page(df, 1, count * limit, key)
+
+
 def page_meta(df: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
     total = F.count(F.lit(1))
     return df.agg(total.alias("total")).select(
@@ -71,3 +77,24 @@ def python_search(df: DataFrame, text: str | None = None, location: str | None =
         df = df.filter(F.col("company_name").ilike(f"%{company}%"))
     df = facets(df, job_class, source)
     return df.orderBy(F.desc_nulls_first("date_scraped"), F.desc("internal_id")).limit(limit)
+
+
+def facet_search(df: DataFrame, text: str | None = None, location: str | None = None, company: str | None = None, job_class: str | None = None, work_types: list[str] | None = None, posted_since: str | None = None, skills: list[str] | None = None, pay: DataFrame | None = None, pay_from: int | None = None, currency: str | None = None) -> DataFrame:
+    """Rows that meet every facet given. ``skills``: any of them in the text as a whole word. ``pay`` holds yearly ranges
+    ``(internal_id, currency, year_min, year_max)``; with ``pay_from`` a range must reach it."""
+    if text:
+        df = df.filter(F.col("name").ilike(f"%{text}%") | F.col("description").ilike(f"%{text}%"))
+    for column, value in (("location", location), ("company_name", company)):
+        if value:
+            df = df.filter(F.col(column).ilike(f"%{value}%"))
+    df = facets(df, job_class)
+    if work_types:
+        df = df.filter(F.col("work_type").isin(work_types))
+    if posted_since:
+        df = df.filter(F.col("date_posted") >= posted_since)
+    if skills:
+        df = df.filter(F.arrays_overlap(found_skills(F.col("description")), F.array(*[F.lit(x) for x in skills])))
+    if pay is not None and pay_from is not None:
+        reach = (F.col("year_max") >= pay_from) | (F.col("year_max") == -1)
+        df = df.join(pay.filter(reach if currency is None else reach & (F.col("currency") == currency)).select("internal_id").distinct(), "internal_id", "left_semi")
+    return df

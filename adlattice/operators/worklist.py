@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILTERS = ("new", "N/A", "all")
+METHODS = ("selenium", "scrapy")
 
 
 def pending(kind: str = "new") -> Column:
@@ -68,11 +69,23 @@ def crawl_units(classes: DataFrame, start_page: int, end_page: int) -> DataFrame
 
 
 def find_platform(platforms: DataFrame, wanted: int | str) -> DataFrame:
-    """By id, or by name without regard to case; no row means unknown."""
+    """By id, or by name without regard to case; no row means unknown (see :func:`known_platform`)."""
     by_id = F.col("id") == int(wanted) if str(wanted).strip().isdigit() else F.lit(False)
     return platforms.filter(by_id | (F.lower("name") == str(wanted).strip().lower()))
 
 
+def known_platform(platforms: DataFrame, wanted: int | str) -> tuple[int, str]:
+    """``(id, name)`` of a platform; an unknown one raises LookupError."""
+    row = find_platform(platforms, wanted).select("id", "name").first()
+    if row is None:
+        raise LookupError(f"unknown platform {wanted}")
+    return row["id"], row["name"]
+
+
+def method_name_of(name: str) -> str:
+    return name.strip().lower().replace(" ", "_").replace("-", "_")
+
+
 def method_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[ -]", "_")
 
@@ -88,6 +101,7 @@ class RunConfig:
     workers: int = 1
     save: bool = False
     detail_filter: str = "new"
+    method: str = "selenium"
     run_type: int = field(init=False, default=1)
 
     def __post_init__(self) -> None:
@@ -102,6 +116,8 @@ class RunConfig:
             self.run_type, self.quantity = 1, 1
         if self.detail_filter not in FILTERS:
             self.detail_filter = "new"
+        if self.method not in METHODS:
+            self.method = METHODS[0]
 
     @classmethod
     def from_args(cls, args: list[str]) -> RunConfig:
@@ -119,6 +135,6 @@ class RunConfig:
                     continue
             elif name == "save":
                 kept[name] = str(value).lower() == "true"
-            elif name in ("source_platform", "detail_filter"):
+            elif name in ("source_platform", "detail_filter", "method"):
                 kept[name] = str(value)
         return cls(**kept)  # type: ignore[arg-type]

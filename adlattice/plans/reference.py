@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adlattice.functions import dates, html
@@ -41,12 +41,18 @@ def exact_sql(term: str) -> str:
     return f"contains({joined}, '{term}')"
 
 
-PAGE = "internal_id, id, name, company_name, source"
-PAGE_COLS = PAGE.split(", ")
+PAGE_COLS = ["internal_id", "id", "name", "company_name", "source"]
+PAGE = ", ".join(PAGE_COLS) + ", row_number() OVER (ORDER BY internal_id DESC) AS rank"
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """The order of a short result as a column, where order is what is asked for."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def paged(df: DataFrame, no: int = 1, limit: int = 20) -> DataFrame:
-    return search.page(df.select(*PAGE_COLS), no, limit)
+    page = search.page(df.select(*PAGE_COLS), no, limit)
+    return ranked(page, F.desc("internal_id")).withColumn("rank", F.col("rank") + (no - 1) * limit)
 
 
 # --- listing, paging, keyword and term search -------------------------------------------------------
@@ -77,9 +83,9 @@ def keyword_or_page(s: SparkSession, d: str) -> DataFrame:
     return paged(search.keyword_search(jobs(s, d), "python/officer"))
 
 
-@query(f"SELECT internal_id, id FROM jobs WHERE description <> 'N/A' AND job_class = 'Sales' AND ({like('sql')} OR {like('clerk')})")
+@query(f"SELECT internal_id, id FROM jobs WHERE description <> 'N/A' AND job_class = 'Retail' AND ({like('stock')} OR {like('clerk')})")
 def keyword_or_filtered(s: SparkSession, d: str) -> DataFrame:
-    return search.keyword_search(jobs(s, d), "sql/clerk", job_class="Sales", strict_compat=False).select("internal_id", "id")
+    return search.keyword_search(jobs(s, d), "stock/clerk", job_class="Retail", strict_compat=False).select("internal_id", "id")
 
 
 def term_query(name: str, given: list[terms.SearchTerm], where: str) -> None:
@@ -97,7 +103,7 @@ term_query("term_exact", [T("Night Shift", exact=True)], exact_sql("Night Shift"
 term_query("term_exclude", [T("the/a", exclude=True), T("urgent", exclude=True)], f"NOT {like('the/a')} AND NOT {like('urgent')}")
 term_query("term_exact_exclude", [T("Contract", True, True)], f"NOT {exact_sql('Contract')}")
 term_query("exact_null_text", [T("null", exact=True)], exact_sql("null"))
-term_query("term_like_metacharacters", [T("100_remote%")], like("100_remote%"))
+term_query("term_like_metacharacters", [T("a_vert%office")], like("a_vert%office"))
 
 
 @query(f"SELECT {PAGE} FROM jobs WHERE description <> 'N/A' AND source = 'JobsDB' AND ({like('officer')} OR {like('clerk')}) AND {exact_sql('You')} AND NOT {like('warehouse')} AND NOT {exact_sql('Ltd.')} ORDER BY internal_id DESC LIMIT 20")
@@ -112,14 +118,14 @@ def exclude_by_antijoin(s: SparkSession, d: str) -> DataFrame:
     return all_rows.select("internal_id", "id").join(all_rows.filter(terms.matches("urgent")).select("internal_id"), "internal_id", "left_anti")
 
 
-@query("SELECT internal_id, date_scraped FROM jobs WHERE (name ILIKE '%analyst%' OR description ILIKE '%analyst%') AND source = 'JobsDB' ORDER BY date_scraped DESC NULLS FIRST, internal_id DESC LIMIT 100")
+@query("SELECT internal_id, date_scraped, row_number() OVER (ORDER BY date_scraped DESC NULLS FIRST, internal_id DESC) AS rank FROM jobs WHERE (name ILIKE '%analyst%' OR description ILIKE '%analyst%') AND source = 'JobsDB' ORDER BY date_scraped DESC NULLS FIRST, internal_id DESC LIMIT 100")
 def py_search(s: SparkSession, d: str) -> DataFrame:
-    return search.python_search(jobs(s, d), text="analyst", source="JobsDB").select("internal_id", "date_scraped")
+    return ranked(search.python_search(jobs(s, d), text="analyst", source="JobsDB").select("internal_id", "date_scraped"), F.desc_nulls_first("date_scraped"), F.desc("internal_id"))
 
 
-@query("SELECT internal_id, date_scraped FROM jobs WHERE location ILIKE '%tai po%' AND company_name ILIKE '%trading%' ORDER BY date_scraped DESC NULLS FIRST, internal_id DESC LIMIT 100")
+@query("SELECT internal_id, date_scraped FROM jobs WHERE location ILIKE '%hong kong%' AND company_name ILIKE '%trading%' ORDER BY date_scraped DESC NULLS FIRST, internal_id DESC LIMIT 100")
 def py_search_location_company(s: SparkSession, d: str) -> DataFrame:
-    return search.python_search(jobs(s, d), location="tai po", company="trading").select("internal_id", "date_scraped")
+    return search.python_search(jobs(s, d), location="hong kong", company="trading").select("internal_id", "date_scraped")
 
 
 @query("SELECT internal_id, id, name, coalesce(company_name, '') AS company_name FROM jobs WHERE internal_id = 27")
@@ -132,14 +138,19 @@ def id_projection(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).select(F.col("id").cast("string").alias("id"))
 
 
-@query("SELECT name FROM job_class")
+@query("SELECT name, row_number() OVER (ORDER BY name NULLS LAST) AS rank FROM job_class")
 def dim_job_classes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "job_class").select("name").orderBy(F.asc_nulls_last("name"))
+    return ranked(table(s, d, "job_class").select("name"), F.asc_nulls_last("name")).orderBy("rank")
 
 
-@query("SELECT name FROM source_platform")
+@query("SELECT name, row_number() OVER (ORDER BY name NULLS LAST) AS rank FROM source_platform")
 def dim_sources(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "source_platform").select("name").orderBy(F.asc_nulls_last("name"))
+    return ranked(table(s, d, "source_platform").select("name"), F.asc_nulls_last("name")).orderBy("rank")
+
+
+@query("SELECT id, name FROM job_class")
+def dim_class_rows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "job_class").select("id", "name")
 
 
 @query("SELECT DISTINCT job_class AS name FROM jobs WHERE job_class <> ''")
@@ -168,9 +179,9 @@ worklist_query("worklist_na", "N/A", "(description IS NULL OR description IN (''
 worklist_query("worklist_all", "all", "lower(job_class) = 'retail'", job_class="RETAIL")
 
 
-@query("SELECT internal_id, id FROM jobs WHERE description IS NULL OR description = '' ORDER BY internal_id DESC LIMIT 100")
+@query("SELECT internal_id, id, row_number() OVER (ORDER BY internal_id DESC) AS rank FROM jobs WHERE description IS NULL OR description = '' ORDER BY internal_id DESC LIMIT 100")
 def worklist_top(s: SparkSession, d: str) -> DataFrame:
-    return worklist.worklist(jobs(s, d), "new")
+    return ranked(worklist.worklist(jobs(s, d), "new"), F.desc("internal_id"))
 
 
 NEW = "(SELECT internal_id FROM jobs WHERE description IS NULL OR description = '')"
@@ -222,13 +233,21 @@ def append_batch(s: SparkSession, d: str) -> DataFrame:
 
 
 CHANGES = "(SELECT id, min(internal_id) AS internal_id FROM jobs GROUP BY id)"
-FIRST_RAW = "(SELECT external_id AS id, max(source) AS fresh FROM jobs_raw WHERE external_id IS NOT NULL GROUP BY 1)"
+FIRST_RAW = "(SELECT external_id AS id, max(TRY_CAST(raw_data AS JSON)->>'$.description') AS fresh, max(TRY_CAST(raw_data AS JSON)->>'$.name') AS title FROM jobs_raw WHERE external_id IS NOT NULL GROUP BY 1)"
 
 
-@query(f"SELECT j.internal_id, j.id, coalesce(c.fresh, j.source) AS source FROM jobs j LEFT JOIN (SELECT f.internal_id, r.fresh FROM {CHANGES} f JOIN {FIRST_RAW} r ON f.id = r.id) c ON c.internal_id = j.internal_id")
-def update_description(s: SparkSession, d: str) -> DataFrame:
-    changes = table(s, d, "jobs_raw").filter("external_id IS NOT NULL").groupBy(F.col("external_id").alias("id")).agg(F.max("source").alias("source"))
-    return ingest.update_by_external_id(jobs(s, d).select("internal_id", "id", "source"), changes, ["source"])
+def keyed_update(name: str, column: str, fresh: str, path: str) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        told = feed_columns(F.col("raw_data"))[path]
+        changes = table(s, d, "jobs_raw").filter("external_id IS NOT NULL").groupBy(F.col("external_id").alias("id")).agg(F.max(told).alias(column))
+        return ingest.update_by_external_id(jobs(s, d).select("internal_id", "id", column), changes, [column])
+
+    run.__name__ = name
+    query(f"SELECT j.internal_id, j.id, coalesce(c.fresh, j.{column}) AS {column} FROM jobs j LEFT JOIN (SELECT f.internal_id, r.{fresh} AS fresh FROM {CHANGES} f JOIN {FIRST_RAW} r ON f.id = r.id) c ON c.internal_id = j.internal_id")(run)
+
+
+keyed_update("update_description", "description", "fresh", "description")
+keyed_update("update_title", "name", "title", "name")
 
 
 @query("SELECT internal_id, CASE WHEN internal_id % 5 = 0 THEN 'checked' ELSE remark END AS remark, CASE WHEN internal_id % 5 = 0 THEN coalesce(location, 'Unknown Location') ELSE location END AS location FROM jobs")
@@ -244,10 +263,11 @@ def delete_by_id(s: SparkSession, d: str) -> DataFrame:
     return ingest.delete_rows(jobs(s, d).select("internal_id", "id"), gone)
 
 
-@query("SELECT internal_id, CASE WHEN internal_id % 3 = 0 THEN CASE WHEN remark IS NOT NULL AND remark NOT IN ('', 'N/A') THEN remark ELSE 'N/A' END ELSE description END AS description FROM jobs")
+@query(f"SELECT j.internal_id, CASE WHEN j.description IS NULL OR j.description IN ('', 'N/A') THEN CASE WHEN r.fresh IS NOT NULL AND r.fresh NOT IN ('', 'N/A') THEN r.fresh ELSE 'N/A' END ELSE j.description END AS description FROM jobs j LEFT JOIN {FIRST_RAW} r ON r.id = j.id")
 def enrich_apply(s: SparkSession, d: str) -> DataFrame:
     rows = jobs(s, d)
-    details = rows.filter("internal_id % 3 = 0").select("internal_id", F.col("remark").alias("description"))
+    told = table(s, d, "jobs_raw").filter("external_id IS NOT NULL").groupBy(F.col("external_id").alias("id")).agg(F.max(feed_columns(F.col("raw_data"))["description"]).alias("description"))
+    details = rows.filter(worklist.pending("N/A")).select("internal_id", "id").join(told, "id", "left").select("internal_id", "description")
     return ingest.apply_details(rows.select("internal_id", "description"), details)
 
 
@@ -264,9 +284,10 @@ def run_summary(s: SparkSession, d: str) -> DataFrame:
     return ingest.run_total(worker_counters(s, d))
 
 
-@query("SELECT id AS source_id, 'N/A' AS name, '' AS description, name AS source, '2025-12-01' AS date_scraped FROM source_platform")
+@query("SELECT DISTINCT external_id AS id, 'N/A' AS name, '' AS description, 'N/A' AS company_name, 'LinkedIn' AS source, '2025-12-01' AS date_posted, '2025-12-01' AS date_scraped FROM jobs_raw WHERE regexp_full_match(external_id, '\\d+') AND external_id NOT IN (SELECT id FROM jobs WHERE id IS NOT NULL)")
 def stub_rows(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "source_platform").select(F.col("id").alias("source_id"), F.lit("N/A").alias("name"), F.lit("").alias("description"), F.col("name").alias("source"), F.lit("2025-12-01").alias("date_scraped"))
+    listed = table(s, d, "jobs_raw").select(F.concat(F.lit('<ul><li class="x" data-occludable-job-id="'), "external_id", F.lit('"></li></ul>')).alias("html"))
+    return crawl.id_stubs(listed, jobs(s, d).select("id"), "2025-12-01").select("id", "name", "description", "company_name", "source", "date_posted", "date_scraped")
 
 
 # --- HTML, text and dates ---------------------------------------------------------------------------
@@ -324,15 +345,21 @@ def clean_text(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).select("internal_id", html.collapse(F.col("company_name")).alias("company_name"))
 
 
-FENCE = "'```html\n' || remark || '```'"
+FENCE = "CASE WHEN work_type IS NULL THEN remark WHEN work_type = 'Full time' THEN '```html\n<div class=\"x\">' || remark || '</div>```' ELSE 'Here it is: ```\n' || remark || '\n``` done' END"
 
 
-@query(f"SELECT internal_id, CASE WHEN trim(coalesce(t, '')) = '' THEN '<p>No description available</p>' ELSE '<div class=\"job-description\">' || trim(t) || '</div>' END AS html FROM (SELECT internal_id, remark AS t FROM jobs)")
+@query(f"SELECT internal_id, CASE WHEN trim(coalesce(t, '')) = '' THEN '<p>No description available</p>' WHEN starts_with(b, '<div') THEN b ELSE '<div class=\"job-description\">' || b || '</div>' END AS html FROM (SELECT internal_id, t, regexp_replace(coalesce(nullif(regexp_extract(t, '(?s)```html(.*?)```', 1), ''), nullif(regexp_extract(t, '(?s)```(.*?)```', 1), ''), t), '^\\s+|\\s+$', '', 'g') AS b FROM (SELECT internal_id, {FENCE} AS t FROM jobs))")
 def llm_postprocess(s: SparkSession, d: str) -> DataFrame:
-    fenced = F.when(F.col("remark").isNotNull(), F.concat(F.lit("```html\n"), "remark", F.lit("```")))
+    kind, text = F.col("work_type"), F.col("remark")
+    fenced = F.when(kind.isNull(), text).when(kind == "Full time", F.concat(F.lit('```html\n<div class="x">'), text, F.lit("</div>```"))).otherwise(F.concat(F.lit("Here it is: ```\n"), text, F.lit("\n``` done")))
     return jobs(s, d).select("internal_id", html.unfence(fenced).alias("html"))
 
 
+@query("SELECT internal_id, CASE WHEN trim(coalesce(remark, '')) = '' THEN '<p>No description available</p>' ELSE '<p>' || remark || '</p>' END AS html FROM jobs")
+def formatter_failed(s: SparkSession, d: str) -> DataFrame:
+    return jobs(s, d).select("internal_id", html.formatted(F.col("remark"), lambda c: F.lit(None).cast("string")).alias("html"))
+
+
 NOW = "2025-12-01 00:00:00"
 
 
@@ -388,14 +415,12 @@ def display_fallback(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).select("internal_id", falsy("name", "Unnamed Position"), falsy("company_name", "Unknown Company"), falsy("location", "N/A"), falsy("description", "No description available"))
 
 
-EXPORT = {"name": "Job Title", "company_name": "Company", "location": "Location", "job_class": "Category", "source": "Source", "date_posted": "Posted"}
+EXPORT = api.EXPORT
 
 
-@query("SELECT internal_id AS \"ID\", coalesce(name, '') AS \"Job Title\", coalesce(company_name, '') AS \"Company\", coalesce(location, '') AS \"Location\", coalesce(nullif(job_class, ''), 'N/A') AS \"Category\", coalesce(source, '') AS \"Source\", coalesce(date_posted, '') AS \"Posted\" FROM jobs WHERE description <> 'N/A'")
+@query("SELECT " + ", ".join(f"coalesce(nullif({c}, ''), 'N/A') AS \"{n}\"" if c == "job_class" else f"coalesce({c}, '') AS \"{n}\"" for c, n in EXPORT.items()) + " FROM jobs WHERE description <> 'N/A'")
 def export_rows(s: SparkSession, d: str) -> DataFrame:
-    rows = search.listing(jobs(s, d))
-    cols = [(falsy(c, "N/A") if c == "job_class" else F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in EXPORT.items()]
-    return rows.select(F.col("internal_id").alias("ID"), *cols)
+    return api.export(search.listing(jobs(s, d)))
 
 
 def width_sql(c: str) -> str:
@@ -413,11 +438,15 @@ def column_width(s: SparkSession, d: str) -> DataFrame:
 
 
 def skills_sql(c: str) -> str:
-    names = ", ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), '{k}') THEN '{matching.ALIASES.get(k, k)}' END" for k in matching.SKILLS)
-    return f"list_sort(list_distinct([{names}]))"
+    names = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce({c}, '')), '{matching.skill_pattern(k)}') THEN '{matching.ALIASES.get(k, k)}' END" for k in (*matching.SKILLS, *matching.ALIASES))
+    return f"list_sort(list_filter(list_distinct([{names}]), lambda x: x IS NOT NULL))"
 
 
-SCORED = f"SELECT a.id, a.job_id, a.user_id, a.resume_id, {skills_sql('j.description')} AS wanted, {skills_sql('r.text')} AS have FROM applications a JOIN jobs j ON j.internal_id = a.job_id JOIN documents r ON r.doc_id = a.resume_id"
+def years_sql(c: str) -> str:
+    return f"coalesce(TRY_CAST(regexp_extract(lower(coalesce({c}, '')), '(\\d{{1,2}})\\+? years?', 1) AS INT), 0)"
+
+
+SCORED = f"SELECT a.id, a.job_id, a.user_id, a.resume_id, {skills_sql('j.description')} AS wanted, {skills_sql('r.text')} AS have, {years_sql('j.description')} AS yw, {years_sql('r.text')} AS yh, j.location, r.text FROM applications a JOIN jobs j ON j.internal_id = a.job_id JOIN documents r ON r.doc_id = a.resume_id"
 JACCARD = "CASE WHEN len(list_distinct(wanted || have)) > 0 THEN round(len(list_intersect(wanted, have)) * CAST(100.0 AS DOUBLE) / len(list_distinct(wanted || have)), 4) ELSE CAST(0 AS DOUBLE) END"
 
 
@@ -435,10 +464,15 @@ def match_coverage(s: SparkSession, d: str) -> DataFrame:
     return scored(s, d).select("id", matching.coverage(F.col("have"), F.col("wanted")).alias("score"))
 
 
-@query(f"SELECT job_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT job_id, id, {JACCARD} AS score, row_number() OVER (PARTITION BY job_id ORDER BY {JACCARD} DESC, id) AS rank FROM ({SCORED})) WHERE rank <= 3")
+@query(f"SELECT resume_id, job_id, id, score, CAST(rank AS INT) AS rank FROM (SELECT resume_id, job_id, id, {JACCARD} AS score, row_number() OVER (PARTITION BY resume_id ORDER BY {JACCARD} DESC, id) AS rank FROM ({SCORED})) WHERE rank <= 3")
 def match_topn(s: SparkSession, d: str) -> DataFrame:
-    rows = scored(s, d).select("job_id", "id", matching.jaccard(F.col("wanted"), F.col("have")).alias("score"))
-    return matching.top_n(rows, "job_id", "score", "id", 3)
+    rows = scored(s, d).select("resume_id", "job_id", "id", matching.jaccard(F.col("wanted"), F.col("have")).alias("score"))
+    return matching.top_n(rows, "resume_id", "score", "id", 3)
+
+
+@query(f"SELECT id, score FROM (SELECT id, {JACCARD} AS score FROM ({SCORED})) WHERE score >= 30")
+def match_above(s: SparkSession, d: str) -> DataFrame:
+    return match_jaccard(s, d).filter("score >= 30")
 
 
 @query(f"SELECT count(*) AS n, CAST(round(avg(score), 2) AS DOUBLE) AS mean_score, count(*) FILTER (WHERE score = 0) AS without FROM (SELECT id, {JACCARD} AS score FROM ({SCORED}))")
@@ -451,19 +485,58 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).select("internal_id", F.size(matching.tokens(F.col("name"))).alias("n_tokens"))
 
 
-@query(f"SELECT skill, count(*) AS n FROM (SELECT unnest(list_filter({skills_sql('description')}, lambda x: x IS NOT NULL)) AS skill FROM jobs) GROUP BY skill")
+BRIDGE = f"(SELECT internal_id, unnest({skills_sql('description')}) AS skill FROM jobs)"
+DICTIONARY = "(SELECT unnest([" + ", ".join(f"'{k}'" for k in matching.SKILLS) + "]) AS skill)"
+
+
+@query(f"SELECT k.skill, count(b.skill) AS n FROM {DICTIONARY} k LEFT JOIN {BRIDGE} b ON b.skill = k.skill GROUP BY 1")
 def skill_usage(s: SparkSession, d: str) -> DataFrame:
-    return matching.job_skills(jobs(s, d)).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    names = s.createDataFrame([(k,) for k in matching.SKILLS], "skill string")
+    return matching.skill_usage(matching.job_skills(jobs(s, d)), names)
 
 
-@query(f"SELECT DISTINCT internal_id, CASE WHEN skill = 'kotlin' THEN 'java' ELSE skill END AS skill FROM (SELECT internal_id, unnest(list_filter({skills_sql('description')}, lambda x: x IS NOT NULL)) AS skill FROM jobs)")
+@query(f"SELECT DISTINCT internal_id, CASE WHEN skill = 'kotlin' THEN 'java' ELSE skill END AS skill FROM {BRIDGE}")
 def skill_merge(s: SparkSession, d: str) -> DataFrame:
     return matching.merge_skill(matching.job_skills(jobs(s, d)), "kotlin", "java")
 
 
-@query("SELECT external_id, source, min(id) AS id FROM jobs_raw r WHERE external_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = r.external_id AND j.source = r.source) GROUP BY 1, 2")
+FREE = "(SELECT DISTINCT lower(trim(job_class, ' ')) AS name FROM jobs WHERE trim(job_class, ' ') <> '')"
+HAVE = "(SELECT lower(trim(name, ' ')) AS name, CAST(min(id) AS BIGINT) AS id FROM job_class GROUP BY 1)"
+
+
+@query(f"SELECT f.name, coalesce(h.id, (SELECT max(id) FROM job_class) + n.r) AS id FROM {FREE} f LEFT JOIN {HAVE} h ON h.name = f.name LEFT JOIN (SELECT name, row_number() OVER (ORDER BY name) AS r FROM {FREE} x WHERE NOT EXISTS (SELECT 1 FROM {HAVE} y WHERE y.name = x.name)) n ON n.name = f.name")
+def find_or_create_names(s: SparkSession, d: str) -> DataFrame:
+    free = jobs(s, d).select(F.col("job_class").alias("name"))
+    return matching.find_or_create(free, table(s, d, "job_class"))[0]
+
+
+SOME = "(SELECT max(internal_id) * 98 // 100 FROM jobs)"
+
+
+@query(f"WITH j AS (SELECT internal_id, {skills_sql('description')} AS wanted FROM jobs WHERE internal_id > {SOME}), r AS (SELECT doc_id, {skills_sql('text')} AS have FROM documents WHERE doc_type = 'resume'), p AS (SELECT internal_id, doc_id, wanted, have FROM j, r WHERE len(list_intersect(wanted, have)) > 0), x AS (SELECT internal_id, doc_id AS resume_id, {JACCARD} AS score FROM p) SELECT internal_id, resume_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY internal_id ORDER BY score DESC, resume_id) AS rank FROM x) WHERE rank <= 3")
+def incremental_match(s: SparkSession, d: str) -> DataFrame:
+    since = F.lit(jobs(s, d).agg(F.max("internal_id")).first()[0] * 98 // 100)
+    new = jobs(s, d).select("internal_id", matching.found_skills(F.col("description")).alias("wanted"))
+    resumes = table(s, d, "documents").filter("doc_type = 'resume'").select(F.col("doc_id").alias("resume_id"), matching.found_skills(F.col("text")).alias("have"))
+    return matching.incremental_matches(new, resumes, since)
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT TITLE_TOKENS AS tokens FROM jobs), n AS (SELECT count(*) AS n FROM d WHERE len(tokens) > 0), t AS (SELECT array_to_string(tokens, ' ') AS k, unnest(tokens) AS token FROM d), tf AS (SELECT k, token, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), "
+    "w AS (SELECT k, tf.token, tf * ln((n.n + 1) / CAST(df AS DOUBLE)) AS w FROM tf JOIN df USING (token), n), l AS (SELECT k, sqrt(sum(w * w)) AS len FROM w GROUP BY 1), u AS (SELECT k, token, w / len AS w FROM w JOIN l USING (k)) "
+    "SELECT a.k AS a, b.k AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.token = b.token AND a.k < b.k GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 6) >= 0.85".replace("TITLE_TOKENS", "list_filter(string_split(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in matching.STOPWORDS) + "))")
+)
+def near_titles(s: SparkSession, d: str) -> DataFrame:
+    titles = jobs(s, d).select(matching.tokens(F.col("name")).alias("tokens")).distinct().filter(F.size("tokens") > 0)
+    return matching.tfidf_pairs(titles.select(F.array_join("tokens", " ").alias("title"), "tokens"), "title")
+
+
+WITH_ID = "(SELECT id, source, coalesce(external_id, nullif(regexp_extract(raw_data, '\"id\"\\s*:\\s*\"((?:[^\"\\\\]|\\\\.)*)\"', 1), '')) AS external_id FROM jobs_raw)"
+
+
+@query(f"SELECT external_id, source, min(id) AS id FROM {WITH_ID} r WHERE external_id IS NOT NULL AND source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.id = r.external_id AND j.source = r.source) GROUP BY 1, 2")
 def dedup_insert(s: SparkSession, d: str) -> DataFrame:
-    raw = table(s, d, "jobs_raw").filter("external_id IS NOT NULL").select("external_id", "source", "id")
+    raw = table(s, d, "jobs_raw").select(ingest.external_id(F.col("external_id"), F.col("raw_data")).alias("external_id"), "source", "id").filter("external_id IS NOT NULL AND source IS NOT NULL")
     stored = jobs(s, d).select(F.col("id").alias("external_id"), "source")
     return ingest.insert_ignore(stored, raw, ["source", "external_id"], "id").select("external_id", "source", "id")
 
@@ -473,10 +546,15 @@ def dedup_title_company(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).groupBy("name", "company_name").agg(F.min("internal_id").alias("internal_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT external_id FROM jobs_raw WHERE batch_no = 1 AND external_id IS NOT NULL AND external_id NOT IN (SELECT external_id FROM jobs_raw WHERE batch_no = 2 AND external_id IS NOT NULL)")
+@query("SELECT external_id, source, max(batch_no) AS last_seen FROM jobs_raw WHERE external_id IS NOT NULL GROUP BY 1, 2 HAVING max(batch_no) < (SELECT max(batch_no) FROM jobs_raw)")
 def expire_jobs(s: SparkSession, d: str) -> DataFrame:
-    raw = table(s, d, "jobs_raw").filter("external_id IS NOT NULL")
-    return raw.filter("batch_no = 1").select("external_id").distinct().join(raw.filter("batch_no = 2").select("external_id"), "external_id", "left_anti")
+    return ingest.expired(table(s, d, "jobs_raw").filter("external_id IS NOT NULL"), ["external_id", "source"], "batch_no")
+
+
+@query("SELECT id FROM jobs_raw WHERE crawled_at < TIMESTAMP '2025-12-12 00:00:00' - INTERVAL 6 DAY")
+def expire_by_age(s: SparkSession, d: str) -> DataFrame:
+    raw = table(s, d, "jobs_raw").select("id", F.col("crawled_at").cast("timestamp_ntz").alias("crawled_at"))
+    return ingest.older_than(raw, "crawled_at", F.to_timestamp_ntz(F.lit("2025-12-12 00:00:00")), 6).select("id")
 
 
 @query("SELECT id FROM jobs_raw WHERE crawled_at >= TIMESTAMP '2025-12-05 00:00:00'")
@@ -484,19 +562,12 @@ def retention(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "jobs_raw").filter(F.col("crawled_at") >= F.lit("2025-12-05 00:00:00").cast("timestamp_ntz")).select("id")
 
 
-@query("SELECT id FROM jobs_raw WHERE processed_at IS NULL AND batch_no > 10")
-def incremental_pending(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "jobs_raw").filter("processed_at IS NULL AND batch_no > 10").select("id")
-
+CLEANED = "trim(regexp_replace(regexp_replace(coalesce(j->>'$.{0}', ''), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
-RAW_CLEAN = "trim(regexp_replace(regexp_replace(coalesce(j->>'$.description', ''), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
-
-@query(f"WITH x AS (SELECT id AS raw_id, TRY_CAST(raw_data AS JSON) AS j FROM jobs_raw) SELECT raw_id, {RAW_CLEAN} AS description, j IS NOT NULL AS processed FROM x")
+@query("WITH x AS (SELECT id AS raw_id, coalesce(external_id, TRY_CAST(raw_data AS JSON)->>'$.id') AS id, source, processed_at, TRY_CAST(raw_data AS JSON) AS j FROM jobs_raw) SELECT raw_id, id, source, " + ", ".join(f"{CLEANED.format(p)} AS {c}" for p, c in (("name", "name"), ("location", "location"), ("salary", "salary_description"), ("description", "description"))) + ", j IS NOT NULL AS processed FROM x WHERE processed_at IS NULL")
 def raw_to_clean(s: SparkSession, d: str) -> DataFrame:
-    whole = F.get_json_object("raw_data", "$").isNotNull()
-    text = feed_columns(F.col("raw_data"))["description"]
-    return table(s, d, "jobs_raw").select(F.col("id").alias("raw_id"), F.trim(F.regexp_replace(html.strip_tags(F.coalesce(text, F.lit(""))), r"\s+", " ")).alias("description"), whole.alias("processed"))
+    return crawl.raw_to_clean(table(s, d, "jobs_raw"))
 
 
 COUNTS = {"jobs": "jobs", "raw": "jobs_raw", "applications": "applications"}
@@ -525,15 +596,17 @@ def jobs_without_applicants(s: SparkSession, d: str) -> DataFrame:
     return jobs(s, d).select("internal_id").join(table(s, d, "applications").select(F.col("job_id").alias("internal_id")), "internal_id", "left_anti")
 
 
-@query("SELECT internal_id FROM jobs WHERE description ILIKE '%python%' AND location ILIKE '%hong kong%' AND work_type = 'Full time' AND job_class = 'Engineering' ORDER BY internal_id DESC LIMIT 50")
+@query(f"SELECT internal_id, row_number() OVER (ORDER BY date_posted DESC NULLS LAST, internal_id DESC) AS rank FROM jobs WHERE (name ILIKE '%e%' OR description ILIKE '%e%') AND location ILIKE '%hong kong%' AND work_type IN ('Full time', 'Full-time', 'full time') AND date_posted >= '2025' AND list_has_any({skills_sql('description')}, ['sql', 'stock control', 'java']) ORDER BY rank LIMIT 50")
 def multi_facet_search(s: SparkSession, d: str) -> DataFrame:
-    rows = jobs(s, d).filter(F.col("description").ilike("%python%") & F.col("location").ilike("%hong kong%") & (F.col("work_type") == "Full time") & (F.col("job_class") == "Engineering"))
-    return rows.select("internal_id").orderBy(F.desc("internal_id")).limit(50)
+    order = [F.desc_nulls_last("date_posted"), F.desc("internal_id")]
+    rows = search.facet_search(jobs(s, d), text="e", location="hong kong", work_types=["Full time", "Full-time", "full time"], posted_since="2025", skills=["sql", "stock control", "java"])
+    return ranked(rows.select("internal_id", "date_posted").orderBy(*order).limit(50), *order).select("internal_id", "rank")
 
 
-@query("SELECT id, name, max(internal_id) AS internal_id FROM (SELECT id, internal_id, arg_max(name, internal_id) OVER (PARTITION BY id) AS name FROM jobs) GROUP BY 1, 2")
+@query("SELECT id, date_posted, internal_id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (date_posted IS NOT NULL) DESC, date_posted DESC, internal_id DESC) AS r FROM jobs) WHERE r = 1")
 def bulk_import_latest(s: SparkSession, d: str) -> DataFrame:
-    return jobs(s, d).groupBy("id").agg(F.max_by("name", "internal_id").alias("name"), F.max("internal_id").alias("internal_id"))
+    rows = jobs(s, d).select("id", "date_posted", "internal_id", "name")
+    return ingest.latest_import(rows, "id", "date_posted", "internal_id")
 
 
 # --- crawl runs, export shapes and remaining request pieces -------------------------------------------
@@ -560,15 +633,15 @@ def hours_old(s: SparkSession, d: str) -> DataFrame:
     return crawl.recent(table(s, d, "jobs_raw").select("id", F.col("crawled_at").cast("timestamp_ntz").alias("crawled_at")), "crawled_at", until, 72, 20)
 
 
-@query("SELECT id, coalesce(CASE lower(trim(name)) WHEN 'jobsdb' THEN 'ListedDate' WHEN 'indeed' THEN 'KeywordRelevance' END, 'ListedDate') AS sort_mode FROM source_platform")
+@query("SELECT internal_id, CASE lower(trim(job_class, ' ')) WHEN 'finance' THEN 'accounting-finance' ELSE 'information-communication-technology' END AS category_path, CASE work_type WHEN 'full_time' THEN 'full-time' WHEN 'contract' THEN 'contract-temp' END AS job_type_path, CASE lower(trim(source, ' ')) WHEN 'relevance' THEN 'KeywordRelevance' ELSE 'ListedDate' END AS sortmode FROM jobs")
 def search_parameter(s: SparkSession, d: str) -> DataFrame:
-    modes = {"jobsdb": crawl.SORT_MODES["date"], "indeed": crawl.SORT_MODES["relevance"]}
-    return table(s, d, "source_platform").select("id", crawl.lookup(F.col("name"), modes, "ListedDate").alias("sort_mode"))
+    kind = F.replace(F.lower("work_type"), F.lit(" "), F.lit("_"))
+    return jobs(s, d).select("internal_id", *crawl.search_filters(F.col("job_class"), F.col("source"), F.when(F.col("work_type").isin("full_time", "contract"), kind)))
 
 
-@query(f"SELECT internal_id % 8 AS worker, array_to_string(list_sort(list(id)), ',') AS failed_ids FROM jobs WHERE NOT coalesce({OK_SQL}, false) GROUP BY 1")
+@query(f"SELECT internal_id % 8 AS worker, id FROM jobs WHERE NOT coalesce({OK_SQL}, false)")
 def failed_ids(s: SparkSession, d: str) -> DataFrame:
-    return crawl.failed_ids(jobs(s, d).withColumn("worker", F.col("internal_id") % 8)).select("worker", F.array_join("failed_ids", ",").alias("failed_ids"))
+    return crawl.failed_ids(jobs(s, d).withColumn("worker", F.col("internal_id") % 8))
 
 
 @query("SELECT job_class, max(p) - min(p) + 1 AS pages_scraped FROM (SELECT name AS job_class, p FROM job_class, range(3, 8) t(p)) GROUP BY 1")
@@ -585,10 +658,10 @@ def found_and_new(s: SparkSession, d: str) -> DataFrame:
     return raw.agg(F.count(F.lit(1)).alias("listed")).select("listed", fresh.scalar().alias("new"))
 
 
-@query("SELECT internal_id, id FROM (SELECT internal_id, id FROM jobs WHERE description <> 'N/A' ORDER BY internal_id DESC LIMIT 60)")
+@query("SELECT internal_id, id, row_number() OVER (ORDER BY internal_id DESC) AS rank FROM (SELECT internal_id, id FROM jobs WHERE description <> 'N/A' ORDER BY internal_id DESC LIMIT 60)")
 def union_of_pages(s: SparkSession, d: str) -> DataFrame:
     rows = search.listing(jobs(s, d)).select("internal_id", "id")
-    return reduce(DataFrame.unionByName, [search.page(rows, n, 20) for n in (1, 2, 3)])
+    return ranked(search.pages(rows, 3, 20), F.desc("internal_id"))
 
 
 @query("SELECT internal_id, r AS rank FROM (SELECT internal_id, row_number() OVER (ORDER BY internal_id DESC) AS r, count(*) OVER () AS n FROM jobs) WHERE r % 50 = 0 OR r = 1 OR r = n")
@@ -599,18 +672,22 @@ def progress_marks(s: SparkSession, d: str) -> DataFrame:
     return worklist.global_rank(ids, "internal_id").filter((rank % 50 == 0) | (rank == 1) | (rank == total)).select("internal_id", "rank")
 
 
-@query("SELECT id, company_name FROM (SELECT coalesce(id, '') AS id, coalesce(nullif(trim(regexp_replace(coalesce(company_name, ''), '\\s+', ' ', 'g')), ''), 'Unknown Company') AS company_name FROM jobs WHERE internal_id % 2 = 0) x WHERE id <> '' AND id NOT IN (SELECT id FROM jobs WHERE internal_id % 2 = 1 AND id IS NOT NULL)")
+@query("SELECT id, company_name FROM (SELECT nullif(trim(coalesce(id, ''), ' '), '') AS id, coalesce(nullif(trim(regexp_replace(coalesce(company_name, ''), '\\s+', ' ', 'g')), ''), 'Unknown Company') AS company_name FROM jobs UNION ALL SELECT 'x' || internal_id, 'Unknown Company' FROM jobs) x WHERE id IS NOT NULL AND id NOT IN (SELECT external_id FROM jobs_raw WHERE external_id IS NOT NULL)")
 def listing_crawl(s: SparkSession, d: str) -> DataFrame:
-    listed = pages(s, d).filter("internal_id % 2 = 0")
-    stored = jobs(s, d).filter("internal_id % 2 = 1").select("id")
-    # the first card of these pages is the posting, the second one a place without id of the board
-    return crawl.listing_run(listed, stored).filter(~F.col("id").startswith("x")).select("id", "company_name")
+    stored = table(s, d, "jobs_raw").select(F.col("external_id").alias("id"))
+    return crawl.listing_run(pages(s, d), stored).select("id", "company_name")
+
 
+COVERAGE = "CASE WHEN len(wanted) > 0 THEN round(len(list_intersect(wanted, have)) * CAST(100.0 AS DOUBLE) / len(wanted), 4) ELSE CAST(0 AS DOUBLE) END"
+EXPERIENCE = "CASE WHEN yw <= yh THEN CAST(100 AS DOUBLE) ELSE round(yh * CAST(100.0 AS DOUBLE) / yw, 4) END"
+PLACE = "lower(trim(coalesce(location, ''), ' '))"
+NEARBY = f"CASE WHEN {PLACE} NOT IN ('', 'n/a') AND contains(lower(coalesce(text, '')), {PLACE}) THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
 
-@query(f"SELECT id, round({JACCARD} * CAST(0.6 AS DOUBLE) + CASE WHEN len(wanted) > 0 THEN round(len(list_intersect(wanted, have)) * CAST(100.0 AS DOUBLE) / len(wanted), 4) ELSE CAST(0 AS DOUBLE) END * CAST(0.25 AS DOUBLE) + CAST(50 AS DOUBLE) * CAST(0.15 AS DOUBLE), 2) AS score FROM ({SCORED})")
+
+@query(f"SELECT id, round({COVERAGE} * CAST(0.6 AS DOUBLE) + {EXPERIENCE} * CAST(0.25 AS DOUBLE) + {NEARBY} * CAST(0.15 AS DOUBLE), 2) AS score FROM ({SCORED})")
 def match_composite(s: SparkSession, d: str) -> DataFrame:
-    skill, cover = matching.jaccard(F.col("wanted"), F.col("have")), matching.coverage(F.col("have"), F.col("wanted"))
-    return scored(s, d).select("id", F.round(matching.composite(skill, cover, F.lit(50.0)), 2).alias("score"))
+    skill, experience = matching.coverage(F.col("have"), F.col("wanted")), matching.experience_score(F.col("years_had"), F.col("years_wanted"))
+    return scored(s, d).select("id", F.round(matching.composite(skill, experience, matching.location_score(F.col("text"), F.col("location"))), 2).alias("score"))
 
 
 @query(f"SELECT resume_id, max(score) AS best FROM (SELECT resume_id, {JACCARD} AS score FROM ({SCORED})) GROUP BY 1 HAVING max(score) < 30")
@@ -641,16 +718,6 @@ def tfidf_match(s: SparkSession, d: str) -> DataFrame:
     return matching.tfidf_scores(jobs(s, d).select("internal_id", matching.tokens(F.col("name")).alias("tokens")), "internal_id", ["clerk", "officer"])
 
 
-@query("SELECT id, user_id FROM applications WHERE status IS NOT NULL AND status <> 'rejected'")
-def approved_rows(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "applications").filter(F.col("status").isNotNull() & (F.col("status") != "rejected")).select("id", "user_id")
-
-
-@query("SELECT id, user_id FROM applications WHERE status IS NULL")
-def pending_rows(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "applications").filter(F.col("status").isNull()).select("id", "user_id")
-
-
 @query("SELECT 'ok' AS status, true AS connected")
 def health_probe(s: SparkSession, d: str) -> DataFrame:
     return api.health(s).select("status", "connected")

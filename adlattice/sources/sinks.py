@@ -20,6 +20,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape="\\")
 
 
-def write_html(df: DataFrame, path: str, column: str = "html") -> None:
-    """Raw pages, one per line."""
-    df.select(F.regexp_replace(column, r"\n", " ").alias("value")).write.mode("overwrite").text(path)
+def write_pages(df: DataFrame, path: str) -> None:
+    """Raw pages as JSON lines: names and line breaks are kept, so that they read back as they were."""
+    df.write.mode("overwrite").json(path)
+
+
+def export_csv(df: DataFrame, folder: str, name: str) -> str:
+    """An export under the name of its search; the path written."""
+    path = f"{folder.rstrip('/')}/{name}"
+    write_csv(df, path)
+    return path

@@ -59,6 +59,14 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-def health(spark: SparkSession) -> DataFrame:
-    """One row that says the engine answers; no credentials are echoed."""
-    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(True).alias("connected"), F.lit(spark.version).alias("engine"))
+def health(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """One row: ``ok``, or ``error`` with the kind of failure if a table of the folder cannot be read; no credentials, no
+    paths. ``checked_at`` is the time of the query."""
+    status, message = "ok", None
+    try:
+        if folder is not None:
+            _ = spark.read.parquet(f"{folder}/jobs.parquet").schema
+    except Exception as error:  # whatever keeps the table from being read is the answer
+        status, message = "error", type(error).__name__
+    row = spark.range(1).select(F.lit(status).alias("status"), F.lit(status == "ok").alias("connected"), F.lit(message).cast("string").alias("message"), F.lit(spark.version).alias("engine"))
+    return row.withColumn("checked_at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

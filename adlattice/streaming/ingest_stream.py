@@ -17,7 +17,8 @@ def read_records(spark: SparkSession, folder: str, files_per_trigger: int = 1) -
 
 def first_seen(records: DataFrame, delay: str = "3 days") -> DataFrame:
     """The first record of each (source, external_id); state is dropped behind the watermark."""
-    at = records.withColumn("seen_at", F.col("crawled_at").cast("timestamp")).withWatermark("seen_at", delay)
+    known = records.withColumn("external_id", ingest.external_id(F.col("external_id"), F.col("raw_data")))
+    at = known.withColumn("seen_at", F.col("crawled_at").cast("timestamp")).withWatermark("seen_at", delay)
     return at.dropDuplicatesWithinWatermark(["source", "external_id"])
 
 
@@ -28,18 +29,25 @@ def crawl_counts(records: DataFrame, delay: str = "3 days", window: str = "1 day
 
 
 def append_new(records: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch appends the records whose key is not stored yet (poll, anti-join, append), then stops."""
+    """Each micro-batch appends the records whose key is not stored yet (poll, anti-join, append), then stops.
+
+    The store is partitioned by board, and a batch reads only the keys of its own boards.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         keys = ["source", "external_id"]
+        known = batch.withColumn("external_id", ingest.external_id(F.col("external_id"), F.col("raw_data")))
         try:
-            stored = spark.read.schema(batch.schema).parquet(store).select(*keys)
+            boards = [r[0] for r in batch.select("source").distinct().collect()]  # the few boards of the batch
+            here = F.col("source").isin([b for b in boards if b is not None])
+            stored = spark.read.schema(batch.schema).parquet(store).filter(here | F.col("source").isNull() if None in boards else here).select(*keys)
         except Exception as error:  # the store does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            stored = batch.select(*keys).limit(0)
-        fresh = ingest.insert_ignore(stored, batch.filter("external_id IS NOT NULL"), keys, "id")
-        fresh.write.mode("append").parquet(store)
+            stored = known.select(*keys).limit(0)
+        # a record without any number has no key to compare, so it is always new
+        fresh = ingest.insert_ignore(stored, known.filter("external_id IS NOT NULL"), keys, "id").unionByName(known.filter("external_id IS NULL"))
+        fresh.write.mode("append").partitionBy("source").parquet(store)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
