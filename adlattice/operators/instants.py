@@ -5,8 +5,9 @@ batches, calendar ranges are checked, and the wall time becomes seconds by integ
 rules are applied by the JVM afterwards: a repeated wall time means its first instant, a skipped one
 moves forward by the gap.
 
-Defined results: NULL, empty, very long or unknown texts, impossible dates and open or numberless
-distances give NULL. A value without zone on a board without clock gives NULL. Repeated rows give
+Defined results: NULL, empty or unknown texts, impossible dates, unknown zone words and open or numberless
+distances give NULL, and ``unread`` reports each of them with its reason; texts of any length are read whole, outer blanks do
+not count. A value without zone on a board without clock gives NULL. Repeated rows give
 repeated results; extra columns of the input are kept, columns named like the outputs are replaced.
 """
 
@@ -25,7 +26,6 @@ ZONES = {"z": 0, "utc": 0, "gmt": 0, "hkt": 480, "sgt": 480, "jst": 540, "bst":
          "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
 MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 UNIT_SECONDS = {"m": 60, "h": 3600, "d": 86400, "w": 7 * 86400, "mo": 30 * 86400}
-MAX_CHARS = 80
 
 _TIME = r"(?P<{0}h>\d{{1,2}}):(?P<{0}mi>\d{{2}})(?::(?P<{0}s>\d{{2}})(?:[.,]\d+)?)?"
 _ZONE = r"(?P<{0}z>z|[+-]\d{{2}}:?\d{{2}}|[+-]\d{{2}}|(?:utc|gmt)(?:[+-]\d{{1,2}}(?::?\d{{2}})?)?|[a-z]{{2,4}})"
@@ -83,9 +83,7 @@ NOTHING: Part = (None, None, None)
 
 def read_instant(text: str | None, day_first: bool | None) -> Part:
     """``(kind, seconds, offset minutes)``: kind 'utc' (an instant), 'wall' (needs the board's clock) or 'back' (a distance)."""
-    if not text or len(text) > MAX_CHARS:
-        return NOTHING
-    m = PATTERN.fullmatch(text.strip().lower())
+    m = PATTERN.fullmatch(text.strip().lower()) if text else None
     if m is None:
         return NOTHING
     branch = next(k for i, k in _BRANCH_AT.items() if m.start(i) >= 0)
@@ -122,6 +120,25 @@ def read_instant(text: str | None, day_first: bool | None) -> Part:
     return "wall", wall, None
 
 
+_OPEN = re.compile(r"\b(?:ago|over|more than)\b|\+")
+
+
+def why_not(text: str | None, day_first: bool | None) -> str | None:
+    """Why a value fixes no instant by itself; None if it does, or if it needs only a clock or the instant it counts from."""
+    told = (text or "").strip().lower()
+    if not told:
+        return "blank"
+    if read_instant(text, day_first)[0] is not None:
+        return None
+    m = PATTERN.fullmatch(told)
+    if m is None:
+        return "open distance" if _OPEN.search(told) else "unknown notation"
+    if m["s_"] and day_first is None:
+        return "no order of day and month"
+    zone = next((m[i] for name, i in PATTERN.groupindex.items() if name.endswith("z") and m[i]), None)
+    return "unknown zone" if zone and _offset(zone) is None else "impossible date or time"
+
+
 _PART = T.StructType([T.StructField("kind", T.StringType()), T.StructField("s", T.LongType())])
 
 
@@ -166,3 +183,18 @@ def found(df: DataFrame, clocks: DataFrame) -> DataFrame:
     base = normalise(df.select("internal_id", "source", "date_posted", "date_scraped"), clocks)
     both = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("epoch_s")) for n, c in (("date_posted", "posted_s"), ("date_scraped", "scraped_s"))])
     return base.select("internal_id", F.inline(both)).filter(F.col("epoch_s").isNotNull())
+
+
+@F.pandas_udf(T.StringType())
+def _why(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for text, first in batches:
+        yield pd.Series([why_not(t, None if f is None or f != f else bool(f)) for t, f in zip(text, first, strict=True)], dtype=object)
+
+
+def unread(df: DataFrame, clocks: DataFrame) -> DataFrame:
+    """``(internal_id, field, value, reason)`` of each value that is not NULL and fixes no instant."""
+    base = normalise(df.select("internal_id", "source", "date_posted", "date_scraped"), clocks)
+    known = base.withColumn("_board", board_key(F.col("source"))).join(F.broadcast(clocks), "_board", "left")
+    both = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), F.col(c).alias("at")) for n, c in (("date_posted", "posted_s"), ("date_scraped", "scraped_s"))])
+    rows = known.select("internal_id", "_day_first", F.inline(both)).filter("value IS NOT NULL AND at IS NULL")
+    return rows.select("internal_id", "field", "value", F.coalesce(_why(F.col("value"), F.col("_day_first")), F.lit("no clock, or nothing to count from")).alias("reason"))

@@ -1,17 +1,19 @@
 """Stated quantities to common units (problem 5).
 
 A small grammar reads a text into tokens (numbers, scale words, units, range and bound words). Units are
-exponent vectors over the base dimensions (money, time) with a scale and an offset to the canonical unit;
-a rate is the product of its units. Pay is canonical in whole money units per year.
+exponent vectors over the base dimensions (money, time, mass, ...) with a scale and an offset to the canonical unit; scale
+words are units without dimension, and what is stated is the product of its units. A statement counts only if its
+dimensions are those asked for: pay is money per time, canonical in whole money units per year, so that hours a week,
+distances, shares or temperatures are no pay.
 
-Defined results: NULL, empty texts and texts without an amount give no row; a text too long for a pay
-note (over 400 characters) is still read whole. Bounds open on one side give -1 there. Repeated rows give
-repeated results, extra columns are ignored.
+Defined results: NULL, empty texts and texts without an amount give no row; texts of any length are read whole; digits of
+any script count. Bounds open on one side give -1 there. Repeated rows give repeated results, extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN = -1
+MAX_PERIODS = 1000
 
 
 @dataclass(frozen=True)
@@ -48,8 +51,29 @@ def per(times_a_year: int | str) -> Unit:
     return Unit((("time", -1),), Decimal(times_a_year))
 
 
-def money(currency: str) -> Unit:
-    return Unit(((currency, 1),))
+MONEY, NUMBER = Unit((("money", 1),)), Unit(())
+PAY = (("money", 1), ("time", -1))
+
+
+def scaled(times: int) -> Unit:
+    """A unit without dimension, as a scale word is."""
+    return Unit((), Decimal(times))
+
+
+# Units of other quantities a note may state, by their words; a number with one of them is no amount of money.
+_HOUR = Decimal(1) / Decimal(8766)
+OTHER = {
+    "hours|hour|hrs|hr|stunden|小時": Unit((("time", 1),), _HOUR), "minutes|minute|mins": Unit((("time", 1),), _HOUR / 60), "days|tage": Unit((("time", 1),), _HOUR * 24), "weeks|wochen": Unit((("time", 1),), _HOUR * 168), "km": Unit((("length", 1),), Decimal(1000)),
+    "metres|meters": Unit((("length", 1),)), "miles": Unit((("length", 1),), Decimal("1609.344")), "kg": Unit((("mass", 1),)), "lbs|lb": Unit((("mass", 1),), Decimal("0.45359237")), "°c": Unit((("temperature", 1),), Decimal(1), Decimal("273.15")),
+    "°f": Unit((("temperature", 1),), Decimal(5) / Decimal(9), Decimal("459.67") * 5 / 9), "%|percent|per cent": Unit((("share", 1),), Decimal("0.01")), "people|persons|staff|staffs": Unit((("people", 1),)),
+}
+_OTHER = {w: u for words, u in OTHER.items() for w in words.split("|")}
+
+
+def quantity(text: str) -> tuple[Decimal, Unit] | None:
+    """A number with the unit of another quantity: its canonical value and unit; None if the text is none."""
+    m = re.fullmatch(rf"\s*(-?{_NUM})\s*({'|'.join(map(re.escape, sorted(_OTHER, key=len, reverse=True)))})\s*", text.lower())
+    return (_OTHER[m[2]].canonical(number(m[1])), _OTHER[m[2]]) if m else None
 
 
 # Currency words, longest first, with their ISO code.
@@ -75,6 +99,7 @@ PERIODS = {
 _CUR = "|".join(re.escape(w) for w, _ in CURRENCIES)
 _PER = "|".join(f"(?P<per_{n}>{'|'.join(ps)})" for n, ps in PERIODS.items())
 _NUM = r"\d{1,3}(?:[\s  '’]\d{3})+(?!\d)(?:[.,]\d{1,2}(?!\d))?|\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d{1,3}(?:\.\d{3})+(?!\d)(?:,\d{1,2}(?!\d))?|\d+(?:[.,]\d+)?"
+_UNIT = "|".join(map(re.escape, sorted(_OTHER, key=len, reverse=True)))
 #: One token of the grammar. Phrases whose numbers are no amounts come first.
 TOKEN = re.compile(
     r"(?P<noise>\d+\s*-?\s*day(?:s)?\s+(?:work|week|in arrears)\b|\d+(?:st|nd|rd|th)\s+month(?:\s+pay)?|\d+\s+days\b|\+\s*(?:bonus|commission|tips|benefits)|plus\s+commission)"
@@ -83,7 +108,7 @@ TOKEN = re.compile(
     r"|(?P<upto>up\s+to|not\s+more\s+than|no\s+more\s+than|at\s+most|max(?:imum)?\.?|最高|bis\s+zu)"
     r"|(?P<from>from|min(?:imum)?\.?|at\s+least|not\s+less\s+than|starting\s+at|最低|ab\b)"
     rf"|(?P<cur>{_CUR})"
-    rf"|(?P<num>{_NUM})(?:\s*(?P<scale>million|mio|mn|k|m|万|萬|千)(?![a-z.]))?"
+    rf"|(?P<num>{_NUM})(?:\s*(?P<scale>million|mio|mn|k|m|万|萬|千)(?![a-z.]))?(?:\s*(?P<unit>{_UNIT})(?![a-z]))?"
     r"|(?P<range>-|–|—|~|〜|～|to\b|bis\b|至)"
     r"|(?P<plus>\+|以上|起)"
 )
@@ -116,8 +141,8 @@ def parse(text: str | None) -> Statement | None:
     """Read a pay note; None if it states no amount."""
     if not text or not any(ch.isdigit() for ch in text):
         return None
-    st, numbers, last_end, joined = Statement(), [], -1, False
-    for m in TOKEN.finditer(text.lower()):
+    st, numbers, joined = Statement(), [], False
+    for m in TOKEN.finditer(unicodedata.normalize("NFKC", text).lower()):
         kind = m.lastgroup
         if m["noise"]:
             continue
@@ -132,46 +157,70 @@ def parse(text: str | None) -> Statement | None:
         elif m["cur"]:
             st.currency = st.currency or dict(CURRENCIES)[m["cur"]]
         elif m["num"]:
+            if m["unit"] and (_OTHER[m["unit"]] * MONEY).dims != MONEY.dims:
+                continue  # a quantity of another kind
             if len(numbers) < 2 and (not numbers or joined):
                 scale = m["scale"]
                 raw = m["num"]
                 value = Decimal(raw.replace(",", ".")) if scale and re.fullmatch(r"\d{1,3}[.,]\d{3}", raw) and not raw.startswith("0") and SCALES[scale] >= 10**4 else (Decimal(raw) if scale and re.fullmatch(r"\d+\.\d+", raw) else number(raw))
                 if raw.startswith("0."):
                     value = Decimal(raw)
-                numbers.append((value, scale))
-            last_end = m.end()
+                numbers.append((value, scale, raw))
         elif kind == "range":
             joined = joined or bool(numbers)
         elif m["plus"] and numbers:
             st.bound = "from"
     if not numbers:
         return None
-    if len(numbers) == 2 and numbers[1][1] and not numbers[0][1] and numbers[0][0] <= numbers[1][0] * SCALES[numbers[1][1]]:
-        scaled = numbers[0][0] * SCALES[numbers[1][1]]
-        if scaled <= numbers[1][0] * SCALES[numbers[1][1]]:
-            numbers[0] = (numbers[0][0], numbers[1][1])
-    values = [v * SCALES[s] if s else v for v, s in numbers]
+    if len(numbers) == 2 and numbers[1][1] and not numbers[0][1]:
+        # the scale word of a range stands once; before a large one a dot is a decimal point
+        (low, _, raw), (high, scale, _) = numbers
+        if SCALES[scale] >= 10**4 and re.fullmatch(r"\d{1,3}[.,]\d{3}", raw):
+            low = Decimal(raw.replace(",", "."))
+        if low <= high:
+            numbers[0] = (low, scale, raw)
+    values = [scaled(SCALES[s]).canonical(v) if s else v for v, s, _ in numbers]
     st.low, st.high = values[0], values[-1]
     return st
 
 
-STATED = re.compile(rf"(?:pay|salary|wages?|amounts?)\s+(?:is|are)\s+\S+\s+in\s+(?P<cur>{_CUR})\b.{{0,20}}?\bper\s+(?P<per>hour|day|week|fortnight|month|year)", re.I | re.S)
-# What the JVM cuts out of the advert so that whole texts never travel to Python.
-STATED_JVM = r"(?is)((?:pay|salary|wages?|amounts?)\s+(?:is|are)\s+\S+\s+in\s+.{2,60}?\bper\s+(?:hour|day|week|fortnight|month|year)\b)"
+# What a sentence that states the terms of pay speaks of.
+_TERMS = r"\b(?:pay|pays|paid|salary|salaries|wages?|earnings|remuneration|amounts?|rates?|figures?|gehalt|gehälter|lohn)\b|薪|工資"
+_SENTENCE_END = r"[.!?;\n<>。；]"
+#: Sentences with one of these words are cut out in the JVM, so that whole texts never travel to Python.
+TERMS_JVM = rf"(?iu){_TERMS}"
+
+
+_CUR_WORD, _PER_WORD = re.compile(_CUR, re.I), re.compile("|".join(p for ps in PERIODS.values() for p in ps), re.I)
+
+
+def terms_of(advert: str | None) -> tuple[str | None, str | None]:
+    """``(currency, period)`` of the first sentence that speaks of pay and names both, without stating an amount."""
+    for sentence in re.split(_SENTENCE_END, advert or ""):
+        if not (_CUR_WORD.search(sentence) and _PER_WORD.search(sentence) and re.search(_TERMS, sentence, re.I)):
+            continue
+        currency = period = None
+        for m in TOKEN.finditer(unicodedata.normalize("NFKC", sentence).lower()):
+            currency = currency or (dict(CURRENCIES)[m["cur"]] if m["cur"] else None)
+            period = period or (next(n for n in PERIODS if m[f"per_{n}"]) if m["period"] else None)
+        if currency and period:
+            return currency, period
+    return None, None
 
 
 def yearly(text: str | None, advert: str | None, per_year: dict[str, int]) -> tuple[str, int, int] | None:
-    """``(currency, year_min, year_max)`` of a pay note, helped by the advert's own statement."""
+    """``(currency, year_min, year_max)`` of a pay note, helped by the advert's own terms; None if it is not money per time."""
     st = parse(text)
     if st is None:
         return None
-    stated = STATED.search(advert) if advert and (st.currency is None or st.period is None) else None
-    period = st.period or ("month" if st.pays else None) or (stated["per"].lower() if stated else None)
-    currency = st.currency or (dict(CURRENCIES)[stated["cur"].lower()] if stated else None) or "HKD"
-    if period is None or period not in per_year:
+    currency, period = st.currency, st.period or ("month" if st.pays else None)
+    if currency is None or period is None:
+        said = terms_of(advert)
+        currency, period = currency or said[0] or "HKD", period or said[1]
+    unit = MONEY if period not in per_year else MONEY * per(st.pays if st.pays and period == "month" else per_year[period])
+    if unit.dims != PAY:
         return None
-    rate = money(currency) * per(st.pays if st.pays and period == "month" else per_year[period])
-    whole = lambda v: int(rate.canonical(v).quantize(Decimal(1), ROUND_HALF_UP))
+    whole = lambda v: int(unit.canonical(v).quantize(Decimal(1), ROUND_HALF_UP))
     low, high = whole(st.low), whole(st.high)
     if st.bound == "upto":
         return currency, OPEN, high
@@ -183,10 +232,14 @@ def found(jobs: DataFrame, periods: DataFrame) -> DataFrame:
 
     ``periods`` is the fixed table of at most a few dozen rows; it becomes a dictionary of the tasks.
     """
-    per_year = {r["period"]: r["per_year"] for r in periods.select("period", "per_year").limit(1000).collect()}
+    known = periods.select("period", "per_year").limit(MAX_PERIODS + 1).collect()
+    if len(known) > MAX_PERIODS:
+        raise ValueError(f"more than {MAX_PERIODS} periods")
+    per_year = {r["period"]: r["per_year"] for r in known}
     note = F.col("salary_description")
-    advert = F.when(note.rlike(r"\d"), F.nullif(F.regexp_extract("description", STATED_JVM, 1), F.lit("")))
-    rows = jobs.filter(note.rlike(r"\d")).select("internal_id", note.alias("note"), advert.alias("advert"))
+    sentences = F.split(F.replace("description", F.lit("&amp;"), F.lit("and")), _SENTENCE_END)
+    advert = F.array_join(F.filter(sentences, lambda x: x.rlike(TERMS_JVM)), "\n")
+    rows = jobs.filter(note.rlike(r"\p{Nd}")).select("internal_id", note.alias("note"), advert.alias("advert"))
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

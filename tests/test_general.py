@@ -33,6 +33,21 @@ def test_no_instant(text):
     assert instants.read_instant(text, True) == (None, None, None)
 
 
+def test_outer_blanks_of_any_length_do_not_count():
+    assert instants.read_instant(" " * 500 + "2025-01-01" + " " * 500, True)[1] == 1735689600
+
+
+@pytest.mark.parametrize("text, reason", [("2025-01-01 10:00 AEST", "unknown zone"), ("2025-02-30", "impossible date or time"), ("30+ days ago", "open distance"), ("soon", "unknown notation"), (" ", "blank"), ("2025-01-01", None), ("3d ago", None)])
+def test_values_without_an_instant_have_a_reason(text, reason):
+    assert instants.why_not(text, True) == reason
+
+
+def test_unread_values_are_reported(spark):
+    rows = [(1, "JobsDB", "soon", "2025-05-02 08:00:00 IST", "a", "z"), (2, None, "2025-01-01", "3d ago", "a", "z"), (3, "JobsDB", None, "2025-01-01", "a", "z")]
+    got = {(r.internal_id, r.field): r.reason for r in instants.unread(spark.createDataFrame(rows, JOBS), clocks(spark)).collect()}
+    assert got == {(1, "date_posted"): "unknown notation", (1, "date_scraped"): "unknown zone", (2, "date_posted"): "no clock, or nothing to count from", (2, "date_scraped"): "no clock, or nothing to count from"}
+
+
 def test_zones_and_distances(spark):
     rows = [
         (1, "JobsDB", "3d ago", "2025-05-02 08:00:00", "a", "z"),
@@ -85,6 +100,10 @@ NOTES = {
     "89 HK dollars/h": ("HKD", 185120, 185120),
     "5-day work, 13th month pay": None,
     "Salary 14 days in arrears": None,
+    "40 hours per week": None,
+    "30% per year": None,
+    "HK$20,000 per month, 44 hours per week": ("HKD", 240000, 240000),
+    "月薪 ２０，０００": ("HKD", 240000, 240000),
     "Negotiable": None,
     "": None,
     None: None,
@@ -103,11 +122,21 @@ def test_the_advert_supplies_what_the_note_lacks():
     assert quantities.yearly("850", None, PER_YEAR) is None
 
 
+def test_the_terms_of_pay_may_be_worded_in_any_way():
+    assert quantities.yearly("850", "All our wages are in euros, every week. Lunch is free.", PER_YEAR) == ("EUR", 44200, 44200)
+    assert quantities.yearly("850", "Lunch costs two pounds per day.", PER_YEAR) is None
+
+
 def test_units_are_exponent_vectors():
-    rate = quantities.money("EUR") * quantities.per(12)
-    assert rate.dims == (("EUR", 1), ("time", -1)) and rate.canonical(quantities.Decimal(2)) == 24
+    rate = quantities.MONEY * quantities.per(12)
+    assert rate.dims == quantities.PAY and rate.canonical(quantities.Decimal(2)) == 24
+    assert (quantities.scaled(1000) * rate).canonical(quantities.Decimal(2)) == 24000
+    hours_a_week = quantities._OTHER["hours"] * quantities.per(52)
+    assert hours_a_week.dims == ()
     with pytest.raises(ValueError):
-        rate * quantities.Unit((("temperature", 1),), quantities.Decimal(1), quantities.Decimal("273.15"))
+        rate * quantities._OTHER["°c"]
+    assert round(quantities.quantity("25 °C")[0], 2) == quantities.Decimal("298.15") and round(quantities.quantity("77 °F")[0], 2) == quantities.Decimal("298.15")
+    assert quantities.quantity("12 lbs")[1].dims == (("mass", 1),) and quantities.quantity("12 apples") is None
 
 
 @settings(max_examples=150, deadline=None)
