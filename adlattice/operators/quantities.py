@@ -89,11 +89,11 @@ SCALES = {"k": 1000, "m": 10**6, "mio": 10**6, "million": 10**6, "mn": 10**6, "
 # Period words by the name of the period table.
 PERIODS = {
     "fortnight": [r"(?:every|each|per)\s+two\s+weeks", r"/\s*2\s*w(?:ee)?ks?", r"(?:per|a|/)\s*fortnight", r"fortnightly", r"bi-?weekly", r"每兩週", r"雙週薪"],
-    "hour": [r"(?:per|an|/|je|pro)\s*(?:hour|hr|h|stunde|std)\b\.?", r"hourly", r"p\.?\s?h\.?(?![a-z])", r"時薪", r"每小時", r"stündlich", r"pro stunde"],
-    "day": [r"(?:per|a|/)\s*(?:day|d)\b", r"daily", r"日薪", r"每日", r"每天", r"täglich", r"pro tag"],
-    "week": [r"(?:per|a|/)\s*(?:week|wk)\b\.?", r"weekly", r"週薪", r"周薪", r"每週", r"每周", r"p\.?w\.?(?![a-z])"],
-    "month": [r"(?:per|a|/|im|pro)\s*(?:month|mth|mo|monat)\b\.?", r"monthly", r"monatlich", r"pcm\b", r"p\.\s?m\.?", r"pm\b", r"月薪", r"每月"],
-    "year": [r"(?:per|a|/|im|pro)\s*(?:year|yr|annum|jahr)\b\.?", r"annually", r"yearly", r"p\.\s?a\.?", r"pa\b", r"年薪", r"每年", r"jährlich"],
+    "hour": [r"(?:per|an|every|each|/|je|pro)\s*(?:hour|hr|h|stunde|std)\b\.?", r"hourly", r"p\.?\s?h\.?(?![a-z])", r"時薪", r"每小時", r"stündlich", r"pro stunde"],
+    "day": [r"(?:per|a|every|each|/)\s*(?:day|d)\b", r"daily", r"日薪", r"每日", r"每天", r"täglich", r"pro tag"],
+    "week": [r"(?:per|a|every|each|/)\s*(?:week|wk)\b\.?", r"weekly", r"週薪", r"周薪", r"每週", r"每周", r"p\.?w\.?(?![a-z])"],
+    "month": [r"(?:per|a|every|each|/|im|pro)\s*(?:month|mth|mo|monat)\b\.?", r"monthly", r"monatlich", r"pcm\b", r"p\.\s?m\.?", r"pm\b", r"月薪", r"每月"],
+    "year": [r"(?:per|a|every|each|/|im|pro)\s*(?:year|yr|annum|jahr)\b\.?", r"annually", r"yearly", r"p\.\s?a\.?", r"pa\b", r"年薪", r"每年", r"jährlich"],
 }
 
 _CUR = "|".join(re.escape(w) for w, _ in CURRENCIES)
@@ -196,7 +196,7 @@ _CUR_WORD, _PER_WORD = re.compile(_CUR, re.I), re.compile("|".join(p for ps in P
 
 def terms_of(advert: str | None) -> tuple[str | None, str | None]:
     """``(currency, period)`` of the first sentence that speaks of pay and names both, without stating an amount."""
-    for sentence in re.split(_SENTENCE_END, advert or ""):
+    for sentence in re.split(_SENTENCE_END, (advert or "").replace("&amp;", "and")):
         if not (_CUR_WORD.search(sentence) and _PER_WORD.search(sentence) and re.search(_TERMS, sentence, re.I)):
             continue
         currency = period = None
