@@ -2,24 +2,31 @@
 
 Method: token-level repair. Each distinct token of the distinct values is joined to the reference
 vocabulary by edit distance (an equi-join on deletion forms, then the exact distance); the repaired
-tokens are combined with soft TF-IDF to rank complete entries. A location must be covered whole (all
-words of a city, in order and side by side); a class may be named by a part of its words.
+tokens are combined with soft TF-IDF, which ranks the complete entries; the order of the words, the distance and the length
+break ties. A location must be covered whole (all words of a city, side by side up to a typo); a class may be named by
+a part of its words.
+
+Other names of entries and short forms of words come as a table ``(kind, entry, form)``: kind 'city' and 'class' give
+other names, 'country' words that tell a country (which alone is no place of the list), 'word' short forms of a word.
 
 Defined results: NULL, '', 'N/A', 'Unknown Location' and exact names are no cases; every other value gets
 an entry or 0. Repeated rows get equal results, very long values are read whole, extra columns are
 ignored, an empty table gives an empty result. The reference lists are fixed tables of at most some
-hundred entries.
+hundred entries; more than ``MAX_REFERENCE`` are refused.
 """
 
 from __future__ import annotations
 
+import csv
 import html
 import math
+import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlattice.llm.strings import deletions, fold, osa
@@ -28,38 +35,18 @@ from adlattice.session import cut
 SENTINELS = ("", "N/A", "Unknown Location")
 MAX_REFERENCE = 10_000
 
-# Other names of the places of the list, by city.
-CITY_NAMES = {
-    "Central": "中環", "Admiralty": "金鐘", "Wan Chai": "灣仔", "Causeway Bay": "銅鑼灣|CWB", "North Point": "北角|N. Point", "Quarry Bay": "鰂魚涌|鰂魚涌", "Chai Wan": "柴灣", "Aberdeen": "香港仔",
-    "Sheung Wan": "上環", "Tsim Sha Tsui": "尖沙咀|TST|T.S.T.|Tsimshatsui", "Hung Hom": "紅磡|Hunghom", "Mong Kok": "旺角|Mongkok", "Sham Shui Po": "深水埗|SSP", "Cheung Sha Wan": "長沙灣|CSW", "Lai Chi Kok": "荔枝角|LCK",
-    "Kwun Tong": "觀塘|K. Tong|Kwuntong", "Kowloon Bay": "九龍灣|Kln Bay", "San Po Kong": "新蒲崗|SPK", "Wong Tai Sin": "黃大仙", "Kwai Chung": "葵涌", "Tsuen Wan": "荃灣", "Tsing Yi": "青衣", "Sha Tin": "沙田|Shatin",
-    "Fo Tan": "火炭|Fotan", "Tai Po": "大埔", "Fanling": "粉嶺", "Sheung Shui": "上水", "Yuen Long": "元朗|Yuenlong", "Tuen Mun": "屯門", "Tseung Kwan O": "將軍澳|TKO|Junk Bay", "Sai Kung": "西貢", "Tung Chung": "東涌",
-    "Taipa": "氹仔", "Shenzhen": "深圳|SZ", "Guangzhou": "廣州|Canton", "Shanghai": "上海", "Beijing": "北京|Peking", "Dongguan": "東莞", "Jurong": "裕廊", "Tampines": "淡濱尼", "Taipei": "台北|臺北|臺北市|台北市",
-    "Kaohsiung": "高雄", "Tokyo": "東京", "Osaka": "大阪", "Bangkok": "曼谷|BKK", "Kuala Lumpur": "吉隆坡|KL|K.L.", "Penang": "檳城|Pulau Pinang", "Manila": "馬尼拉|Metro Manila", "Cebu": "宿霧|宿務|Cebu City", "Jakarta": "雅加達|DKI Jakarta",
-    "Hanoi": "河內|Hà Nội", "Ho Chi Minh City": "胡志明市|HCMC|Saigon|Ho Chi Minh", "London": "倫敦|Greater London", "Manchester": "曼徹斯特|M'chester", "Berlin": "柏林", "Munich": "慕尼黑|München|Muenchen", "Hamburg": "漢堡",
-    "New York": "紐約|NYC|New York City", "Seattle": "西雅圖", "Sydney": "雪梨|悉尼", "Melbourne": "墨爾本|Melb.", "Vancouver": "溫哥華", "Toronto": "多倫多",
-}
-# Country words, which tell equal city names apart and are not places of the list by themselves.
-COUNTRY_WORDS = {
-    "Hong Kong": "hk|h.k.|hong kong|hong kong sar|香港|sar", "Macau": "macao|macau|澳門", "China": "cn|prc|china|中國", "Singapore": "sg|singapore|s'pore|新加坡", "Taiwan": "tw|taiwan|台灣", "Japan": "jp|japan|日本",
-    "Thailand": "th|thailand", "Malaysia": "my|malaysia", "Philippines": "ph|philippines", "Indonesia": "id|indonesia", "Vietnam": "vn|vietnam|viet nam", "United Kingdom": "uk|united kingdom|great britain|england|英國",
-    "Germany": "de|germany|deutschland|德國", "United States": "us|usa|u.s.|united states|美國", "Australia": "au|australia", "Canada": "ca|canada",
-}
-# Other names of the classes, by class.
-CLASS_NAMES = {
-    "Accounting & Audit": "會計及審計", "Administration & Office Support": "行政及文職", "Banking & Finance": "銀行及金融", "Building & Construction": "建築及工程施工", "Customer Service": "客戶服務", "Design & Creative": "設計及創意",
-    "Education & Training": "教育及培訓", "Engineering": "工程", "Food & Beverage": "餐飲|F&B|F & B", "Healthcare & Medical": "醫療及護理", "Hospitality & Tourism": "酒店及旅遊", "Human Resources": "人力資源|HR|H.R.",
-    "Information Technology": "資訊科技|IT|I.T.", "Insurance": "保險", "Legal & Compliance": "法律及合規", "Logistics & Transport": "物流及運輸", "Management": "管理", "Manufacturing": "生產製造", "Marketing & Public Relations": "市場推廣及公關|PR",
-    "Media & Publishing": "傳媒及出版", "Merchandising & Purchasing": "採購及貿易", "Property & Real Estate": "物業及地產", "Public Sector": "公營機構", "Retail": "零售", "Sales": "銷售", "Science & Research": "科學及研究",
-    "Security & Cleaning": "保安及清潔", "Social Services": "社會服務",
-}
-# Short forms of words of the class names.
-WORD_FORMS = {
-    "accounting": "acctg accounts acct", "administration": "admin administrative", "banking": "bank", "finance": "fin financial", "building": "bldg", "construction": "constr const", "customer": "cust", "service": "svc", "creative": "creat",
-    "education": "edu educ", "engineering": "engr eng engrg", "beverage": "bev", "healthcare": "health", "hospitality": "hotel", "information": "info", "technology": "tech", "insurance": "ins", "logistics": "logs", "transport": "transportation trans",
-    "management": "mgmt mgt", "manufacturing": "mfg manufacture", "marketing": "mktg mkt", "merchandising": "mdsg merch", "property": "prop", "estate": "est", "services": "svcs", "research": "r&d", "security": "sec", "social": "soc",
-    "publishing": "publ", "medical": "med", "purchasing": "purch", "resources": "res",
-}
+# How alike a stretch of a value and an entry must be: one edit weighs 1, a second one 2 more.
+ALIKE, ALIKE_ALIAS, ALIKE_WORD = 0.72, 0.87, 0.7
+ALIASES = os.path.join(os.path.dirname(__file__), "aliases.csv")
+
+
+def aliases(spark: SparkSession, path: str = ALIASES) -> DataFrame:
+    """The table of other names that comes with the library, a short list of usual abbreviations and translations."""
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = [(r["kind"], r["entry"], r["form"]) for r in csv.DictReader(f)]
+    return spark.createDataFrame(rows, "kind string, entry string, form string")
+
+
 _IGNORED = frozenset(("and", "of", "the"))
 _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]+|[^\W_぀-ヿ㐀-鿿가-힯豈-﫿]+")
 
@@ -72,105 +59,137 @@ def cased_words(text: str) -> list[str]:
     return [w for w in words(text) if w not in _IGNORED]
 
 
-def entries(locations: DataFrame, classes: DataFrame) -> pd.DataFrame:
-    """All ways to write each entry: ``field, ref_id, form, whole`` (a fixed list; its size is checked)."""
-    places = locations.select("id", "country", "city").limit(MAX_REFERENCE + 1).collect()
-    kinds = classes.select("id", "name").limit(MAX_REFERENCE + 1).collect()
-    if max(len(places), len(kinds)) > MAX_REFERENCE:
+def _limited(df: DataFrame) -> list:
+    rows = df.limit(MAX_REFERENCE + 1).collect()
+    if len(rows) > MAX_REFERENCE:
         raise ValueError("the reference list is too large to be held by every task")
-    out = [("location", r["id"], form, r["country"]) for r in places for form in (r["city"], *filter(None, CITY_NAMES.get(r["city"], "").split("|")))]
-    out += [("job_class", r["id"], form, "") for r in kinds for form in (r["name"], *filter(None, CLASS_NAMES.get(r["name"], "").split("|")))]
-    return pd.DataFrame(out, columns=["field", "ref_id", "form", "country"])
+    return rows
+
+
+def ranker(locations: DataFrame, classes: DataFrame, names: DataFrame) -> Ranker:
+    """The ranker of the lists; their size is checked."""
+    told: dict[str, dict[str, list[str]]] = {}
+    for r in _limited(names.select("kind", "entry", "form")):
+        told.setdefault(r["kind"], {}).setdefault(r["entry"], []).append(r["form"])
+    cities, kinds = told.get("city", {}), told.get("class", {})
+    forms = []
+    for r in _limited(locations.select("id", "country", "city")):
+        forms += [Entry("location", r["id"], cased_words(f), r["country"], i > 0) for i, f in enumerate([r["city"], *cities.get(r["city"], ())])]
+    for r in _limited(classes.select("id", "name")):
+        forms += [Entry("job_class", r["id"], cased_words(f), "", i > 0) for i, f in enumerate([r["name"], *kinds.get(r["name"], ())])]
+    countries = {e.country: [cased_words(c) for c in told.get("country", {}).get(e.country, [e.country])] for e in forms if e.country}
+    return Ranker([e for e in forms if e.words], countries, {s: w for w, shorts in told.get("word", {}).items() for s in shorts})
+
+
+@dataclass(frozen=True)
+class Entry:
+    """One way to write an entry of a list."""
+
+    field: str
+    ref: int
+    words: list[str]
+    country: str
+    alias: bool
+
+    @property
+    def glued(self) -> str:
+        return "".join(self.words)
+
+
+Repairs = dict[str, list[tuple[str, float]]]
 
 
 class Ranker:
     """Soft TF-IDF over repaired tokens; built from the fixed entries."""
 
-    def __init__(self, forms: pd.DataFrame):
-        self.forms = [(f, int(i), cased_words(w), c, w) for f, i, w, c in forms.itertuples(index=False)]
+    def __init__(self, forms: list[Entry], countries: dict[str, list[list[str]]], short: dict[str, str]):
+        self.forms, self.countries, self.short = forms, countries, short
         self.idf: dict[tuple[str, str], float] = {}
         for field in ("location", "job_class"):
-            mine = {(i, tuple(ws)) for f, i, ws, _, _ in self.forms if f == field}
-            n = len({i for i, _ in mine})
+            mine = [e for e in forms if e.field == field]
+            n = len({e.ref for e in mine})
             holders: dict[str, set[int]] = {}
-            for i, ws in mine:
-                for w in ws:
-                    holders.setdefault(w, set()).add(i)
+            for e in mine:
+                for w in e.words:
+                    holders.setdefault(w, set()).add(e.ref)
             self.idf |= {(field, w): math.log(1 + n / len(ids)) for w, ids in holders.items()}
+        held: dict[str, set[int]] = {}
+        for e in forms:
+            if e.country:
+                held.setdefault(e.country, set()).add(e.ref)
+        places = sum(map(len, held.values()))
+        self.country_idf = {c: math.log(1 + places / len(ids)) for c, ids in held.items()}
         self.by_token: dict[tuple[str, str], set[int]] = {}
-        for k, (f, _, ws, _, _) in enumerate(self.forms):
-            for w in {*ws, "".join(ws)}:
-                self.by_token.setdefault((f, w), set()).add(k)
-        self.aliases = {a for names in CITY_NAMES.values() for a in names.split("|")}
-        self.short = {s: w for w, forms_ in WORD_FORMS.items() for s in forms_.split()}
+        for k, e in enumerate(forms):
+            for w in {*e.words, e.glued}:
+                self.by_token.setdefault((e.field, w), set()).add(k)
 
     def vocabulary(self) -> list[tuple[str, str]]:
         """``(field, token)``: words of the entries and their glued forms."""
-        return sorted({(f, w) for f, _, ws, _, _ in self.forms for w in (*ws, "".join(ws))})
+        return sorted({(e.field, w) for e in self.forms for w in (*e.words, e.glued)})
 
-    def _covered(self, field: str, tokens: list[str], repairs: dict[str, list[tuple[str, float]]], ws: list[str]) -> float:
+    def covered(self, e: Entry, tokens: list[str], repairs: Repairs) -> float:
         """IDF-weighted share of an entry's words that the value holds, each at its best similarity."""
-        sims = {}
+        sims: dict[str, float] = {}
         for t in tokens:
             for w, s in repairs.get(t, ()):
                 sims[w] = max(sims.get(w, 0.0), s)
-        total = sum(self.idf[field, w] for w in ws)
-        return sum(self.idf[field, w] * sims.get(w, 0.0) for w in ws) / total if total else 0.0
-
-    def place(self, value: str, tokens: list[str], repairs: dict[str, list[tuple[str, float]]]) -> int:
+        total = sum(self.idf[e.field, w] for w in e.words)
+        return sum(self.idf[e.field, w] * sims.get(w, 0.0) for w in e.words) / total if total else 0.0
+
+    def stretch(self, e: Entry, tokens: list[str]) -> tuple[float, int, int] | None:
+        """The stretch of the value most like the entry: ``(similarity, distance as spaced words, length)``; None if none is enough."""
+        glued, spaced, best = e.glued, " ".join(e.words), None
+        least = 1.0 if ord(glued[0]) > 0x2E80 else ALIKE_ALIAS if e.alias else ALIKE
+        for i in range(len(tokens)):
+            for j in range(i + 1, min(len(tokens), i + len(e.words) + 1) + 1):
+                window = "".join(tokens[i:j])
+                if abs(len(window) - len(glued)) > 2:
+                    continue
+                d = osa(window, glued, 2)
+                alike = 1 - d * (d + 1) / 2 / len(glued)
+                if d <= 2 and alike >= least:
+                    found = (alike, -osa(" ".join(tokens[i:j]), spaced, 4), i - j)
+                    best = max(best, found) if best else found
+        return best
+
+    def place(self, tokens: list[str], repairs: Repairs) -> int:
         keys = {k for t in tokens for w, _ in repairs.get(t, ()) for k in self.by_token.get(("location", w), ())}
         joined = {"".join(tokens[i:j]) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + 5) + 1)}
         keys |= {k for w in joined for k in self.by_token.get(("location", w), ())}
         padded = f" {' '.join(tokens)} "
         best: tuple | None = None
         for k in keys:
-            _, ref, ws, country, form = self.forms[k]
-            glued, spaced = "".join(ws), " ".join(ws)
-            cjk = ord(glued[0]) > 0x2E80
-            hit = None
-            for i in range(len(tokens)):
-                for j in range(i + 1, min(len(tokens), i + len(ws) + 1) + 1):
-                    window = "".join(tokens[i:j])
-                    # short names of places are taken exactly, only full names may hold a typo
-                    if cjk or len(glued) < 4 or (form in self.aliases and len(glued) < 8):
-                        d = 0 if window == glued else 9
-                    else:
-                        most = 2 if len(glued) >= 11 else 1
-                        d = osa(window, glued, most)
-                        if d > most:
-                            continue
-                    if d < 9:
-                        p = osa(" ".join(tokens[i:j]), spaced, 4)
-                        hit = min(hit, (d, p, -(j - i))) if hit else (d, p, -(j - i))
+            e = self.forms[k]
+            hit = self.stretch(e, tokens)
             if hit is None:
                 continue
-            known = any(f" {' '.join(words(c))} " in padded or "".join(words(c)) in tokens for c in COUNTRY_WORDS.get(country, country).split("|"))
-            soft = self._covered("location", tokens, repairs, ws)
-            score = (-hit[0], known, -hit[1], len(glued), soft, -ref)
+            known = any(f" {' '.join(c)} " in padded or "".join(c) in tokens for c in self.countries[e.country])
+            # soft TF-IDF: the entry's words at the similarity of their stretch, and its country where the value names it
+            mass = sum(self.idf["location", w] ** 2 for w in e.words)
+            soft = (mass * hit[0] + known * self.country_idf[e.country] ** 2) / math.sqrt(mass + self.country_idf[e.country] ** 2)
+            score = (round(soft, 6), hit[1], len(e.glued), -e.ref)
             if best is None or score > best[0]:
-                best = (score, ref)
+                best = (score, e.ref)
         return best[1] if best else 0
 
-    def kind(self, value: str, tokens: list[str], repairs: dict[str, list[tuple[str, float]]]) -> int:
-        keys = {k for t in tokens for w, _ in repairs.get(t, ()) for k in self.by_token.get(("job_class", w), ())}
+    def kind(self, tokens: list[str], repairs: Repairs) -> int:
         glued = "".join(tokens)
-        keys |= self.by_token.get(("job_class", glued), set())
+        keys = {k for t in tokens for w, _ in repairs.get(t, ()) for k in self.by_token.get(("job_class", w), ())} | self.by_token.get(("job_class", glued), set())
         best: tuple | None = None
         for k in keys:
-            _, ref, ws, _, form = self.forms[k]
-            whole = "".join(ws)
-            soft = 1.0 if glued == whole else self._covered("job_class", tokens, repairs, ws)
-            if len(whole) <= 3 and glued != whole and whole not in tokens:
-                continue
-            weight = sum(self.idf["job_class", w] for w in ws)
-            score = (round(soft, 3), soft * weight, -osa(" ".join(tokens), " ".join(ws), 60), -ref)
-            if soft >= 0.3 and (best is None or score > best[0]):
-                best = (score, ref)
+            e = self.forms[k]
+            soft = 1.0 if glued == e.glued else self.covered(e, tokens, repairs)
+            weight = sum(self.idf["job_class", w] for w in e.words)
+            score = (round(soft, 3), soft * weight, -osa(" ".join(tokens), " ".join(e.words), 60), -e.ref)
+            # an abbreviation must be there whole, a name may be told in part
+            if soft >= (1.0 if len(e.glued) <= 3 else 0.3) and (best is None or score > best[0]):
+                best = (score, e.ref)
         return best[1] if best else 0
 
-    def rank(self, field: str, value: str, repairs: dict[str, list[tuple[str, float]]]) -> int:
+    def rank(self, field: str, value: str, repairs: Repairs) -> int:
         tokens = cased_words(value)
-        return self.place(value, tokens, repairs) if field == "location" else self.kind(value, tokens, repairs)
+        return self.place(tokens, repairs) if field == "location" else self.kind(tokens, repairs)
 
 
 def cases(jobs: DataFrame, locations: DataFrame, classes: DataFrame) -> DataFrame:
@@ -181,20 +200,22 @@ def cases(jobs: DataFrame, locations: DataFrame, classes: DataFrame) -> DataFram
     return rows.join(F.broadcast(names.select(F.col("name").alias("value"))), "value", "left_anti")
 
 
-def token_repairs(tokens: DataFrame, ranker: Ranker) -> DataFrame:
+def token_repairs(tokens: DataFrame, ranked: Ranker) -> DataFrame:
     """``(field, token, word, sim)``: the vocabulary words within one edit of each distinct token.
 
     Both sides are expanded to their deletion forms, joined on equality, and checked by the exact distance.
     """
     spark = tokens.sparkSession
     # words of one letter are kept exact, else they would meet every short token
-    vocabulary = [(f, w, d) for f, w in ranker.vocabulary() for d in (deletions(w) if len(w) > 1 else {w})]
-    short = [("job_class", s, w, 0.95) for s, w in ranker.short.items()]
+    vocabulary = [(f, w, d) for f, w in ranked.vocabulary() for d in (deletions(w) if len(w) > 1 else {w})]
+    short = [("job_class", s, w, 0.95) for s, w in ranked.short.items()]
+    # a token that is longer than the longest word by two has no word within one edit
+    longest = 1 + max((len(w) for _, w, _ in vocabulary), default=0)
     forms = F.broadcast(spark.createDataFrame(vocabulary, "field string, word string, form string"))
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, t, d) for f, t in zip(b["field"], b["token"], strict=True) if len(t) <= 40 for d in deletions(t)]
+            rows = [(f, t, d) for f, t in zip(b["field"], b["token"], strict=True) if len(t) <= longest for d in deletions(t)]
             yield pd.DataFrame(rows, columns=["field", "token", "form"])
 
     met = tokens.mapInPandas(expand, "field string, token string, form string").join(forms, ["field", "form"]).select("field", "token", "word").distinct()
@@ -204,23 +225,24 @@ def token_repairs(tokens: DataFrame, ranker: Ranker) -> DataFrame:
             d = [osa(t, w, 1) for t, w in zip(b["token"], b["word"], strict=True)]
             n = b.assign(d=d)
             n = n[n["d"] <= 1]
-            yield n.assign(sim=1 - n["d"] / n["word"].str.len().clip(lower=2)).loc[:, ["field", "token", "word", "sim"]]
+            n = n.assign(sim=1 - n["d"] / n["word"].str.len().clip(lower=1))
+            yield n.loc[n["sim"] >= ALIKE_WORD, ["field", "token", "word", "sim"]]
 
     near = met.mapInPandas(check, "field string, token string, word string, sim double")
     known = F.broadcast(spark.createDataFrame(short, "field string, token string, word string, sim double"))
     return near.unionByName(tokens.join(known, ["field", "token"]))
 
 
-def mapping(values: DataFrame, locations: DataFrame, classes: DataFrame) -> DataFrame:
+def mapping(values: DataFrame, locations: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
     """``(field, value, ref_id)`` of distinct values; 0 where none is meant."""
-    ranker = Ranker(entries(locations, classes))
+    ranked = ranker(locations, classes, names)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([(f, v, t) for f, v in zip(b["field"], b["value"], strict=True) for t in set(cased_words(v))], columns=["field", "value", "token"])
 
     exploded = values.mapInPandas(split, "field string, value string, token string")
-    repairs = token_repairs(exploded.select("field", "token").distinct(), ranker)
+    repairs = token_repairs(exploded.select("field", "token").distinct(), ranked)
     found = exploded.join(repairs, ["field", "token"]).groupBy("field", "value").agg(F.collect_list(F.struct("token", "word", "sim")).alias("r"))
     rows = values.join(found, ["field", "value"], "left")
 
@@ -231,15 +253,16 @@ def mapping(values: DataFrame, locations: DataFrame, classes: DataFrame) -> Data
                 repaired: dict[str, list[tuple[str, float]]] = {}
                 for x in r if r is not None else ():
                     repaired.setdefault(x["token"], []).append((x["word"], x["sim"]))
-                out.append((f, v, ranker.rank(f, v, repaired)))
+                out.append((f, v, ranked.rank(f, v, repaired)))
             yield pd.DataFrame(out, columns=["field", "value", "ref_id"])
 
     return rows.select("field", "value", "r").mapInPandas(rank, "field string, value string, ref_id bigint")
 
 
-def found(jobs: DataFrame, locations: DataFrame, classes: DataFrame) -> DataFrame:
+def found(jobs: DataFrame, locations: DataFrame, classes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """``(internal_id, field, ref_id)`` of every case. Only distinct values are ranked."""
+    names = aliases(jobs.sparkSession) if names is None else names
     rows = cases(jobs, locations, classes)
     # the distinct values are used several times, so they are kept
-    ranked = mapping(cut(rows.select("field", "value").distinct()), locations, classes)
-    return rows.join(ranked, ["field", "value"]).select("internal_id", "field", "ref_id")
+    mapped = mapping(cut(rows.select("field", "value").distinct()), locations, classes, names)
+    return rows.join(mapped, ["field", "value"]).select("internal_id", "field", "ref_id")

@@ -2,9 +2,10 @@
 
 Method: names are cut into tokens (legal words dropped, short forms spelled out, typos in common business
 words repaired, nicknames resolved); they are blocked by phonetic codes of their sorted telling tokens
-(the code and its forms with one sound left out), compared with Jaro-Winkler plus the nickname table, and
-accepted pairs are clustered by connected components. A name without business words ("Acme", "The Acme
-Golden Company") joins an employer only if exactly one fits.
+(the code and its forms with one sound left out; also of the tokens as written, as a stray blank may have cut one),
+compared with Jaro-Winkler plus the nickname table, and accepted pairs are clustered by connected components. Trade words
+weigh in the comparison: a full name may lack some of the other's, but not have others. A name without business words
+("Acme", "The Acme Golden Company") joins an employer only if exactly one fits.
 
 Defined results: NULL, blank and sentinel names never count; equal names are one name; names of any
 length are read whole; an empty table gives an empty result; extra columns are ignored. Work is done on
@@ -61,9 +62,11 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Form:
-    """A name as compared: telling tokens glued, given names meant, initial, trade words in order, whether it is a short form."""
+    """A name as compared: sorted telling tokens glued, the same as written, given names meant, initial, trade words in order,
+    whether it is a short form."""
 
     key: str
+    written: str
     given: frozenset[str]
     initial: str
     trade: tuple[str, ...]
@@ -113,8 +116,8 @@ def parse(name: str) -> Form:
         told, given = sorted(given), frozenset()
     initials = rest[0] if len(rest) == 1 and re.search(rf"\b{re.escape(rest[0].upper())}\b", name) and 2 <= len(rest[0]) <= 6 and legal else ""
     if initials:
-        return Form(initials, frozenset(), legal, (), True)
-    return Form("".join(told) or "".join(trade), given, initial, tuple(trade) if told else (), the_company or (bool(told) and not trade and not given and not initial))
+        return Form(initials, initials, frozenset(), legal, (), True)
+    return Form("".join(sorted(told)) or "".join(trade), "".join(told) or "".join(trade), given, initial, tuple(trade) if told else (), the_company or (bool(told) and not trade and not given and not initial))
 
 
 def legal_part(name: str) -> str:
@@ -138,9 +141,17 @@ def block_keys(key: str) -> set[str]:
     return deletions(phonetic(key))
 
 
-def same_key(a: str, b: str) -> bool:
-    """Jaro-Winkler of at least .9 and one edit (two in long keys)."""
-    return a == b or (jaro_winkler(a, b) >= 0.88 and osa(a, b, 2) <= (1 if min(len(a), len(b)) < 12 else 2))
+def _alike(a: str, b: str) -> float:
+    """Jaro-Winkler similarity of keys one edit apart (two in long keys), else 0."""
+    if a == b:
+        return 1.0
+    alike = jaro_winkler(a, b)
+    return alike if alike >= 0.88 and osa(a, b, 2) <= (1 if min(len(a), len(b)) < 12 else 2) else 0.0
+
+
+def key_likeness(a: Form, b: Form) -> float:
+    """The better likeness of the sorted keys and of the keys as written."""
+    return max(_alike(a.key, b.key), _alike(a.written, b.written))
 
 
 def _given_agree(a: Form, b: Form) -> bool:
@@ -154,23 +165,33 @@ def _given_agree(a: Form, b: Form) -> bool:
     return not (a.given or a.initial or b.given or b.initial)
 
 
+TRADE_WEIGHT, SAME = 0.4, 0.85
+
+
+def trade_likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Share of the trade words that both have; 0 if each has one that the other has not."""
+    x, y = set(a), set(b)
+    return (len(x & y) / len(x | y) if x | y else 1.0) if x <= y or y <= x else 0.0
+
+
 def same_employer(a: Form, b: Form) -> bool:
-    """Full names: telling tokens, given names and trade words must agree, in whatever order."""
-    return sorted(a.trade) == sorted(b.trade) and _given_agree(a, b) and same_key(a.key, b.key)
+    """Full names: given names must agree, and telling tokens and trade words, in whatever order, be alike enough together."""
+    alike = key_likeness(a, b)
+    return alike > 0 and _given_agree(a, b) and (1 - TRADE_WEIGHT) * alike + TRADE_WEIGHT * trade_likeness(a.trade, b.trade) >= SAME
 
 
 def fits(short: Form, full: Form) -> bool:
     """A short form fits a firm whose telling part agrees and whose trade words begin with those it keeps."""
     if short.initial:
         return False  # initials go by their own rule
-    return not full.given and not full.initial and full.trade[: len(short.trade)] == short.trade and same_key(short.key, full.key)
+    return not full.given and not full.initial and full.trade[: len(short.trade)] == short.trade and key_likeness(short, full) > 0
 
 
-FORM = "key string, given array<string>, initial string, trade array<string>, short boolean"
+FORM = "key string, written string, given array<string>, initial string, trade array<string>, short boolean"
 
 
-def _form(key, given, initial, trade, short) -> Form:
-    return Form(key, frozenset(given), initial, tuple(trade), bool(short))
+def _form(key, written, given, initial, trade, short) -> Form:
+    return Form(key, written, frozenset(given), initial, tuple(trade), bool(short))
 
 
 def forms(names: DataFrame) -> DataFrame:
@@ -178,14 +199,14 @@ def forms(names: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(n, f.key, sorted(f.given), f.initial, list(f.trade), f.short) for n in b["name"] for f in (parse(n),)]
-            yield pd.DataFrame(rows, columns=["name", "key", "given", "initial", "trade", "short"])
+            rows = [(n, f.key, f.written, sorted(f.given), f.initial, list(f.trade), f.short) for n in b["name"] for f in (parse(n),)]
+            yield pd.DataFrame(rows, columns=["name", "key", "written", "given", "initial", "trade", "short"])
 
     parsed = names.select("name").mapInPandas(work, f"name string, {FORM}").filter("key <> ''")
-    return parsed.withColumn("form", F.xxhash64("key", F.array_join("given", " "), "initial", F.array_join("trade", " "), "short"))
+    return parsed.withColumn("form", F.xxhash64("key", "written", F.array_join("given", " "), "initial", F.array_join("trade", " "), "short"))
 
 
-_FIELDS = ("key", "given", "initial", "trade", "short")
+_FIELDS = ("key", "written", "given", "initial", "trade", "short")
 
 
 def block_pairs(distinct: DataFrame, same_kind: bool) -> DataFrame:
@@ -193,7 +214,7 @@ def block_pairs(distinct: DataFrame, same_kind: bool) -> DataFrame:
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = [(i, k) for i, key in enumerate(b["key"]) for k in block_keys(key)]
+            at = [(i, k) for i, (key, written) in enumerate(zip(b["key"], b["written"], strict=True)) for k in block_keys(key) | block_keys(written)]
             out = b.iloc[[i for i, _ in at]].copy()
             out["block"] = [k for _, k in at]
             yield out
@@ -202,8 +223,9 @@ def block_pairs(distinct: DataFrame, same_kind: bool) -> DataFrame:
     side = lambda p, df: df.select("block", *[F.col(c).alias(f"{p}_{c}") for c in ("form", *_FIELDS)])
     if same_kind:
         full = blocks.filter(~F.col("short"))
-        # full names of an employer keep their trade words, so these complete the block
-        a, b = (side(p, full.withColumn("block", F.concat_ws("|", "block", F.array_join(F.array_sort("trade"), " ")))) for p in "ab")
+        # names of an employer share a trade word, if they have any; each of them completes the block
+        words = F.when(F.size("trade") > 0, F.array_distinct("trade")).otherwise(F.array(F.lit("")))
+        a, b = (side(p, full.withColumn("block", F.explode(F.transform(words, lambda w: F.concat_ws("|", "block", w))))) for p in "ab")
         return a.join(b, "block").filter("a_form < b_form").drop("block").dropDuplicates(["a_form", "b_form"])
     a, b = side("a", blocks.filter("short")), side("b", blocks.filter(~F.col("short") & (F.size("given") == 0) & (F.col("initial") == "")))
     return a.join(b, "block").drop("block").dropDuplicates(["a_form", "b_form"])
@@ -212,7 +234,7 @@ def block_pairs(distinct: DataFrame, same_kind: bool) -> DataFrame:
 def accepted(pairs: DataFrame, test) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [test(_form(*x[:5]), _form(*x[5:])) for x in zip(*[b[f"{p}_{c}"] for p in "ab" for c in _FIELDS], strict=True)]
+            ok = [test(_form(*x[:6]), _form(*x[6:])) for x in zip(*[b[f"{p}_{c}"] for p in "ab" for c in _FIELDS], strict=True)]
             yield b.loc[ok, ["a_form", "b_form"]].rename(columns={"a_form": "a", "b_form": "b"})
 
     return pairs.mapInPandas(work, "a bigint, b bigint")
@@ -223,10 +245,10 @@ def initials_of(parsed: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, k[:1] + "".join(w[:1] for w in t), legal_part(n)) for n, f, k, t in zip(b["name"], b["form"], b["key"], b["trade"], strict=True)]
+            rows = [(f, k[:1] + "".join(w[:1] for w in t), legal_part(n)) for n, f, k, t in zip(b["name"], b["form"], b["written"], b["trade"], strict=True)]
             yield pd.DataFrame(rows, columns=["form", "key", "legal"])
 
-    full = parsed.filter(~F.col("short") & (F.size("given") == 0) & (F.col("initial") == "")).select("name", "form", "key", "trade")
+    full = parsed.filter(~F.col("short") & (F.size("given") == 0) & (F.col("initial") == "")).select("name", "form", "written", "trade")
     return full.mapInPandas(work, "form bigint, key string, legal string")
 
 

@@ -9,7 +9,14 @@ from adlattice.sources.tables import table
 
 
 def p1_found(s: SparkSession, d: str) -> DataFrame:
-    return canonical.found(table(s, d, "jobs"), table(s, d, "location_ref"), table(s, d, "job_class"))
+    return canonical.found(table(s, d, "jobs"), table(s, d, "location_ref"), table(s, d, "job_class"), canonical.aliases(s))
+
+
+def p1_unmatched(s: SparkSession, d: str) -> DataFrame:
+    """The distinct values without an entry, with their number of rows."""
+    rows = canonical.cases(table(s, d, "jobs"), table(s, d, "location_ref"), table(s, d, "job_class"))
+    none = p1_found(s, d).filter("ref_id = 0").select("internal_id", "field")
+    return rows.join(none, ["internal_id", "field"], "left_semi").groupBy("field", "value").count()
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
@@ -72,6 +79,6 @@ def p10_statistics(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p4_found, p4_validation, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p8_tiers, p9_mix, p9_shares, p10_found, p10_statistics)
+    for f in (p1_found, p1_unmatched, p2_found, p4_found, p4_validation, p6_found, p7_found, p7_groups, p8_containers, p8_members, p8_summary, p8_tiers, p9_mix, p9_shares, p10_found, p10_statistics)
 }
 SQL: dict[str, str] = {}

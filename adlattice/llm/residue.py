@@ -63,7 +63,7 @@ def segments(texts: list[str], titles: list[str | None], vocabulary: ts.Vocabula
 
     A bracket notation is a segment of its own; its features are its kind, the words inside and those beside it.
     """
-    doc, _, h, kind = vocabulary.batch(texts)
+    doc, h, kind = vocabulary.batch(texts)
     brk = kind == 1
     cut = np.cumsum(brk | (kind == 2))  # an opening sign starts a segment, the token after a closing one too
     after = np.zeros(len(kind), np.int64)
@@ -187,7 +187,7 @@ class Examples:
         return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("cell", "count", "label", "weight")))
 
 
-_OPENED = np.array([ts.xxhash.xxh64_intdigest(c) >> (64 - BITS) for c in ts.OPEN], np.int32)
+_OPENED = np.array([ts.word_hash(c) >> (64 - BITS) for c in ts.OPEN], np.int32)
 PLAIN = 3  # segments of plain text kept for each text of the sample, besides all cases, notations and short segments
 SHORT = 4
 

@@ -11,14 +11,12 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
-import xxhash
 
 _CJK = "぀-ヿ㐀-鿿가-힯豈-﫿"
 BREAK = "\n"
 # A bracket notation is written as an opening sign of its kind, the words inside and a closing sign.
 OPEN, CLOSE = "".join(map(chr, range(0xE000, 0xE020))), "\ue07f"
 TOKEN = re.compile(rf"[{_CJK}]|[^\W{_CJK}]+|\n|[{OPEN}{CLOSE}]|[.!?。！？](?=\s|$)")
-_PLAIN_TOKEN = re.compile(r"\w+|\n|[.!?](?=\s|$)", re.ASCII)  # the same for texts without other letters
 BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|br|div|html|head|body|title|h[1-6]|noscript|tr|td|table)\b[^>]*>", re.I)
 ANY_TAG = re.compile(r"</?[a-z!][^<>]*>", re.I)
 ERROR_MARK = re.compile(r"Error: \w+\s*")
@@ -60,6 +58,8 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if ";  " in text:
         text = text.replace(";  ", ";\n")
+    if "•" in text:
+        text = text.replace("•", " ")  # the most usual sign that is no letter; without it most texts are ASCII
     return text.casefold()
 
 
@@ -75,6 +75,67 @@ def masked(text: str) -> str:
     return PLACEHOLDER.sub(_marked, text) if _may_hold(text) else text
 
 
+# A word's hash is mixed from the sum of (byte + 1) times powers of a fixed odd number, so that the hashes of all words of a
+# block of bytes come from one running sum.
+_BASE = 0xD6E8FEB86659FD93
+_MASK = (1 << 64) - 1
+_UNBASE = pow(_BASE, -1, 1 << 64)
+PLAIN_BLOCK = 1 << 20
+
+
+def word_hash(word: str) -> int:
+    total, power = 0, 1
+    for c in word.encode():
+        total += (c + 1) * power
+        power = power * _BASE & _MASK
+    return int(mix(np.array([total & _MASK], np.uint64))[0])
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power_rows(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, for blocks of up to ``n`` bytes."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, PLAIN_BLOCK + 1)
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (_BASE, _UNBASE)]
+    return _powers[0], _powers[1]
+
+
+# Classes of the ASCII characters: 1 word, 2 digit, 3 line break, 4 end mark, 5 white space or end of a text.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[c for c in range(128) if chr(c).isalnum() or c == 95]] = 1
+_CLASS[48:58] = 2
+_CLASS[[9, 11, 12, 13, 28, 29, 30, 31, 32, 0]] = 5
+_CLASS[10] = 3
+_CLASS[[33, 46, 63]] = 4
+
+
+def plain_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text number, hash, kind)`` of the tokens of ASCII texts, as :class:`Vocabulary` gives them, by whole arrays."""
+    data = ("\0".join(t.replace("\0", "\1") for t in texts) + "\0").encode()
+    raw = np.frombuffer(data, np.uint8)
+    kinds = _CLASS[raw]
+    word = (kinds == 1) | (kinds == 2)
+    edge = np.diff(word.view(np.int8), prepend=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    after = np.append(kinds[1:], 5)
+    brk = np.flatnonzero((kinds == 3) | (kinds == 4) & ((after == 5) | (after == 3)))
+    up, down = _power_rows(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + _U(1)) * up[: len(raw)], out=total[1:])
+    digits = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(kinds == 2, out=digits[1:])
+    hashes = mix((total[end] - total[begin]) * down[begin])
+    at = np.concatenate((begin, brk))
+    order = np.argsort(at, kind="stable")
+    h = np.concatenate((hashes, np.zeros(len(brk), np.uint64)))[order]
+    kind = np.concatenate((np.where(digits[end] - digits[begin] == end - begin, 3, 0), np.ones(len(brk), np.int64))).astype(np.int8)[order]
+    starts = np.flatnonzero(raw == 0)  # where each text ends
+    return np.searchsorted(starts, at[order]), h, kind
+
+
 class Vocabulary(dict):
     """Token -> id, with per-id hashes. It is a cache: past ``limit`` tokens it starts anew between batches."""
 
@@ -90,24 +151,57 @@ class Vocabulary(dict):
 
     def __missing__(self, token: str) -> int:
         i = self[token] = len(self.h)
-        self.h.append(xxhash.xxh64_intdigest(token))
-        self.kind.append(1 if token in "\n.!?。！？" else 2 if token in OPEN else 4 if token == CLOSE else 3 if token.isdigit() else 0)
+        kind = 1 if token in "\n.!?。！？" else 2 if token in OPEN else 4 if token == CLOSE else 3 if token.isdigit() else 0
+        self.h.append(0 if kind == 1 else word_hash(token))
+        self.kind.append(kind)
         return i
 
-    def batch(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``(doc number, token id, hash, kind)`` of every token: kind 0 word, 1 end of a segment, 2 and 4 signs of a notation, 3 number."""
+    def batch(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(doc number, hash, kind)`` of every token: kind 0 word, 1 end of a segment, 2 and 4 signs of a notation, 3 number.
+
+        ASCII texts go through whole arrays, in blocks of about ``PLAIN_BLOCK`` bytes; others, and single texts beyond that,
+        token by token, with the same result.
+        """
         if len(self.h) > self.limit:
             self._reset()
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         ids: list[int] = []
         counts: list[int] = []
+        other: list[int] = []
+        block: list[str] = []
+        numbers: list[int] = []
+        size = 0
         look = self.__getitem__
-        for t in texts:
-            found = list(map(look, (_PLAIN_TOKEN if t.isascii() else TOKEN).findall(t)))
-            counts.append(len(found))
-            ids += found
-        at = np.array(ids, dtype=np.int64)
-        h, kind = np.array(self.h, dtype=np.uint64), np.array(self.kind, dtype=np.int8)
-        return np.repeat(np.arange(len(counts)), counts), at, h[at], kind[at]
+
+        def flush() -> None:
+            doc, h, kind = plain_tokens(block)
+            parts.append((np.array(numbers)[doc], h, kind))
+
+        for n, t in enumerate(texts):
+            if len(t) < PLAIN_BLOCK and t.isascii():
+                if size + len(t) >= PLAIN_BLOCK:
+                    flush()
+                    block, numbers, size = [], [], 0
+                block.append(t)
+                numbers.append(n)
+                size += len(t) + 1
+            else:
+                found = list(map(look, TOKEN.findall(t)))
+                counts.append(len(found))
+                other.append(n)
+                ids += found
+        if block:
+            flush()
+        if ids:
+            at = np.array(ids, dtype=np.int64)
+            parts.append((np.repeat(np.array(other), counts), np.array(self.h, dtype=np.uint64)[at], np.array(self.kind, dtype=np.int8)[at]))
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8)
+        doc, h, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.argsort(doc, kind="stable")
+            doc, h, kind = doc[order], h[order], kind[order]
+        return doc, h, kind
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -286,6 +286,17 @@ def test_canonical_values(spark):
     assert canonical.found(jobs.filter(F.lit(False)), loc, cls).count() == 0
 
 
+def test_other_names_come_from_the_table_and_soft_tfidf_ranks(spark):
+    loc = spark.createDataFrame([(1, "Freedonia", "Old Harbour"), (2, "Freedonia", "Harbour"), (3, "Sylvania", "Old Mill")], "id int, country string, city string")
+    cls = spark.createDataFrame([(1, "Glass Blowing")], "id int, name string")
+    names = spark.createDataFrame([("city", "Old Mill", "Vieux Moulin"), ("country", "Sylvania", "SYL"), ("word", "blowing", "blwg"), ("class", "Glass Blowing", "GB")], "kind string, entry string, form string")
+    jobs = spark.createDataFrame([(1, "Old Harbour, Freedonia", "Glass Blwg"), (2, "Vieux Moulin", "GB"), (3, "Harbuor", "B Team"), (4, "Mill", "x" * 5000)], "internal_id bigint, location string, job_class string")
+    got = {(r.internal_id, r.field): r.ref_id for r in canonical.found(jobs, loc, cls, names).collect()}
+    assert got == {(1, "location"): 1, (2, "location"): 3, (3, "location"): 2, (4, "location"): 0, (1, "job_class"): 1, (2, "job_class"): 1, (3, "job_class"): 0, (4, "job_class"): 0}
+    with pytest.raises(ValueError):
+        canonical.ranker(spark.range(canonical.MAX_REFERENCE + 1).selectExpr("id", "'c' AS country", "'d' AS city"), cls, names)
+
+
 EMPLOYERS = [
     ["Clartlurt Textile Trading Ltd.", "  Clartlurt  Textile Trading Ltd. ", "Clar tlurt Textile Trading Ltd.", "Clartlurt", "Clartlurt-Textile-Trading Ltd.", "Clartlurtt Textile Trdg", "Textile Trading, Clartlurt", "CTT Ltd."],
     ["Themlith Medical Group Company Limited", "Themlith Med. Grp Company Limited", "THEMLITH MEDICAL GROUP COMPANY LIMITED"],
@@ -293,6 +304,11 @@ EMPLOYERS = [
     ["Robert Koamplimp Executive Search", "Bob Koamplimp Executive Search", "Koamplimp, Robert Executive Search", "R. Koamplimp Executive Search"],
     ["Susanna Koamplimp Executive Search"],
     ["Feindnox Harbour Staffing Services Limited", "The Feindnox Harbour Company"],
+    ["Alpha Brenner Trading Ltd", "Brenner Alpha Trading Ltd"],
+    ["Smith Jones Partners", "Jones & Smith Partners"],
+    ["Wei Zhang Bakery", "Zhang Wei Bakery"],
+    ["Ormvelt Home Furniture Trading Ltd", "Ormvelt Furniture Trading Co."],
+    ["Ormvelt Home Dental Clinic Ltd"],
 ]
 
 

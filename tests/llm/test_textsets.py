@@ -26,7 +26,7 @@ def brute_sets(texts, k):
 
 def fast_sets(texts, k):
     voc = ts.Vocabulary()
-    doc, _, h, kind = voc.batch([ts.plain(t) for t in texts])
+    doc, h, kind = voc.batch([ts.plain(t) for t in texts])
     keep = kind == 0
     return ts.shingle_sets(doc[keep], h[keep], len(texts), k)
 
@@ -45,6 +45,22 @@ def test_shingle_sets_equal_brute_force(docs):
             assert (sh[i] == sh[j]) == (brute[i] == brute[j])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1_ .!?\n\t\0,-é中•\x1c"), max_size=25), max_size=6), st.sampled_from([8, 40, 1 << 20]))
+def test_tokens_by_arrays_are_those_of_the_pattern(texts, block):
+    before, ts.PLAIN_BLOCK = ts.PLAIN_BLOCK, block
+    try:
+        doc, h, kind = ts.Vocabulary().batch(texts)
+    finally:
+        ts.PLAIN_BLOCK = before
+    want = []
+    for n, t in enumerate(texts):
+        for x in ts.TOKEN.findall(t):
+            k = 1 if x in "\n.!?" else 3 if x.isdigit() else 0
+            want.append((n, 0 if k == 1 else ts.word_hash(x), k))
+    assert list(zip(doc.tolist(), h.tolist(), kind.tolist(), strict=True)) == want
+
+
 def test_markup_entities_and_case_are_ignored():
     values, offsets = fast_sets(["<p>Cats &amp; Dogs, run.</p>", "cats dogs RUN", "cats dogs", ""], 3)
     sh = ts.set_hashes(values, offsets)
