@@ -146,6 +146,8 @@ class Ranker:
                 window = "".join(tokens[i:j])
                 if abs(len(window) - len(glued)) > 2:
                     continue
+                if window != glued and ("location", window) in self.by_token:
+                    continue  # a word of the vocabulary means itself and is not repaired
                 d = osa(window, glued, 2)
                 alike = 1 - d * (d + 1) / 2 / len(glued)
                 if d <= 2 and alike >= least:

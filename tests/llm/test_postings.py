@@ -268,7 +268,7 @@ def test_history_reads_the_start_of_a_cut_off_description(spark, jobs):
 LOCATIONS = [(1, "Hong Kong", "Wan Chai"), (2, "Hong Kong", "Chai Wan"), (3, "Hong Kong", "Tai Po"), (4, "Macau", "Taipa"), (5, "Taiwan", "Taipei"), (6, "Hong Kong", "Tseung Kwan O"), (7, "Vietnam", "Hanoi"), (8, "Hong Kong", "Kwun Tong")]
 CLASSES = [(1, "Sales"), (2, "Science & Research"), (3, "Information Technology"), (4, "Food & Beverage"), (5, "Retail"), (6, "Administration & Office Support")]
 PLACES = {
-    "Wan Cahi, H.K.": 1, "28/F, Mill Tower, Chai Wan": 2, "灣仔 (Hong Kong)": 1, "TaiPo": 3, "Tai Pe, HK": 3, "Tapei, TW": 5, "TKO area": 6, "Hà Nội, VN": 7, "Hong Kong": 0, "Remote": 0, "????": 0, "Casablanca, Morocco": 0, "wan chai": 1, " Tai Po ": 3,
+    "Wan Cahi, H.K.": 1, "28/F, Mill Tower, Chai Wan": 2, "灣仔 (Hong Kong)": 1, "TaiPo": 3, "Taipa": 4, "near Taipa station": 4, "Tai Pe, HK": 3, "Tapei, TW": 5, "TKO area": 6, "Hà Nội, VN": 7, "Hong Kong": 0, "Remote": 0, "????": 0, "Casablanca, Morocco": 0, "wan chai": 1, " Tai Po ": 3,
     "x " * 3000 + "Taipei": 5,
 }
 KINDS = {"Sale": 1, "Research": 2, "Sceince & Research": 2, "I.T.": 3, "F & B": 4, "Food &amp; Beverage": 4, "零售": 5, "Admin": 6, "Data Engineer (Information Technology)": 3, "Beekeeping": 0, "Full time": 0}
