@@ -2,8 +2,8 @@
 
 Method: token-level repair. Each distinct token of the distinct values is joined to the reference
 vocabulary by edit distance (an equi-join on deletion forms, then the exact distance); the repaired
-tokens are combined with soft TF-IDF, which ranks the complete entries; the order of the words, the distance and the length
-break ties. A location must be covered whole (all words of a city, side by side up to a typo); a class may be named by
+tokens are combined with soft TF-IDF, which ranks the complete entries; the order of the words breaks
+ties. A location must be covered whole (all words of a city, side by side up to a typo); a class may be named by
 a part of its words.
 
 Other names of entries and short forms of words come as a table ``(kind, entry, form)``: kind 'city' and 'class' give
@@ -170,7 +170,7 @@ class Ranker:
             # soft TF-IDF: the entry's words at the similarity of their stretch, and its country where the value names it
             mass = sum(self.idf["location", w] ** 2 for w in e.words)
             soft = (mass * hit[0] + known * self.country_idf[e.country] ** 2) / math.sqrt(mass + self.country_idf[e.country] ** 2)
-            score = (round(soft, 6), hit[1], len(e.glued), -e.ref)
+            score = (round(soft, 6), hit[1], -e.ref)
             if best is None or score > best[0]:
                 best = (score, e.ref)
         return best[1] if best else 0

@@ -95,6 +95,8 @@ def raw_records(raw: DataFrame) -> DataFrame:
 
 STAGE = "kind string, rec bigint, ord bigint, sh bigint, board string, ext string, part int, keys binary, at binary, sets binary, sketch binary, grams binary"
 _COLUMNS = [c.split()[0] for c in STAGE.split(", ")]
+LINKS = "a bigint, b bigint, earlier boolean"
+RECORDS = "rec bigint, ord bigint, sh bigint, board string, ext string"
 
 
 @dataclass
@@ -113,7 +115,8 @@ class Run:
 
 class HistoryIndex:
     """An index under ``path``: a manifest, the model, the packed keys of all runs, bucketed by range, and for each run
-    ``stage/kind=records`` (every record with board, id and set number) and ``stage/kind=sets`` (the shingle hashes of each set)."""
+    ``stage/kind=records`` (every record with board, id and set number) and ``stage/kind=sets`` (the shingle hashes of each
+    set); ``met`` holds what each batch had in common with those before it."""
 
     def __init__(self, spark: SparkSession, model: residue.Model | None = None, path: str | None = None, plan: kr.Plan | None = None, ranges: int = 1, fanout: int = FANOUT):
         self.spark, self.plan, self.ranges, self.splits, self.fanout = spark, plan or kr.Plan(), ranges, 0, fanout
@@ -268,38 +271,52 @@ class HistoryIndex:
 
         new = self._keys(f"run = {run.number}").groupBy("part")
         if not old:
-            return new.applyInPandas(within, "a bigint, b bigint, earlier boolean").distinct()
+            return new.applyInPandas(within, LINKS).distinct()
         kept = self._keys(f"run IN ({', '.join(str(r.number) for r in old)})").groupBy("part")
-        return new.cogroup(kept).applyInPandas(around, "a bigint, b bigint, earlier boolean").distinct()
+        return new.cogroup(kept).applyInPandas(around, LINKS).distinct()
 
-    def absorb(self, records: DataFrame) -> DataFrame:
-        """Add a batch and return ``(rec)`` of those of its records that repeat an earlier one."""
+    def absorb(self, records: DataFrame) -> int:
+        """Add a batch: sign it, merge it with the kept runs, and write down what it has in common with them and in itself.
+
+        Gives the number of the batch, by which :meth:`repeats` answers. Beside the index stand ``met/links`` (verified links
+        of its sets with sets of the history or, not ``earlier``, of the batch), ``met/ids`` (its id keys that the history has)
+        and ``met/records``; the history is not read again for an answer.
+        """
         run, old = self._write(records), list(self.runs)
         mine = self._staged([run], "records", ["rec", "ord", "sh", "board", "ext"])
         found, folder = Observation(), f"{self.path}/{run.name}/links"
         self.candidates(run, old).observe(found, F.count(F.lit(1)).alias("n")).write.parquet(folder)
-        links = self.spark.read.schema("a bigint, b bigint, earlier boolean").parquet(folder)
+        links = self.spark.read.schema(LINKS).parquet(folder)
         # the sets at both ends are compared exactly; those of the history are only scanned for the few that are asked for
         ends = self._staged([*old, run], "sets", ["sh", "grams"]).join(kr.small(links, int(found.get["n"])), F.col("sh") == F.col("b")).select("a", "b", "earlier", F.col("grams").alias("gb"))
         own = self._staged([run], "sets", [F.col("sh").alias("a"), F.col("grams").alias("ga")]).dropDuplicates(["a"])
-        linked = kr.compared(ends.join(own, "a"), ["a", "b", "earlier"], self.plan)
-        # when each set and id was met, the history before everything else
-        texts = mine.filter("sh <> 0").select("rec", "ord", F.col("sh").alias("b"))
-        met = linked.filter("earlier").select(F.col("a").alias("b"), F.lit(-1).cast("bigint").alias("ord"))
-        first = linked.filter("NOT earlier").select("a", "b").unionByName(texts.select(F.col("b").alias("a"), "b")).join(texts.select("b", "ord"), "b").select(F.col("a").alias("b"), "ord").unionByName(met)
-        by_text = texts.join(first.groupBy("b").agg(F.min("ord").alias("first")), "b").filter("first < ord").select("rec")
-        ids = mine.filter("board IS NOT NULL AND ext IS NOT NULL").select("rec", "ord", "board", "ext")
-        told = ids.groupBy("board", "ext").agg(F.min("ord").alias("first"))
-        seen = told
-        if old:
-            past = self._staged(old, "records", ["board", "ext"])
-            seen = told.unionByName(past.join(kr.small(told.select("board", "ext"), run.records), ["board", "ext"], "left_semi").select("board", "ext", F.lit(-1).cast("bigint").alias("first"))).groupBy("board", "ext").agg(F.min("first").alias("first"))
-        by_id = ids.join(seen, ["board", "ext"]).filter("first < ord").select("rec")
-        out = cut(by_text.unionByName(by_id).distinct())
+        kr.compared(ends.join(own, "a"), ["a", "b", "earlier"], self.plan).write.parquet(self._met("links", run.number))
+        mine.write.parquet(self._met("records", run.number))
+        ids = mine.filter("board IS NOT NULL AND ext IS NOT NULL").select("board", "ext")
+        past = self._staged(old, "records", ["board", "ext"]) if old else ids.limit(0)
+        past.join(kr.small(ids, run.records), ["board", "ext"], "left_semi").write.parquet(self._met("ids", run.number))
         files.remove(self.spark, folder)
         self.runs.append(run)
         self._settle()
-        return out
+        return run.number
+
+    def _met(self, kind: str, number: int | None = None) -> str:
+        return f"{self.path}/met/{kind}" + (f"/batch={number}" if number is not None else "")
+
+    def repeats(self, *numbers: int) -> DataFrame:
+        """``(rec)`` of the records of the batches that repeat an earlier one; of all absorbed batches without numbers."""
+        chosen = F.col("batch").isin(list(numbers)) if numbers else F.lit(True)
+        links, records, ids = (self.spark.read.schema(f"{x}, batch int").parquet(self._met(k)).filter(chosen) for k, x in (("links", LINKS), ("records", RECORDS), ("ids", "board string, ext string")))
+        # when each set and id of a batch was met first: -1 stands for the history
+        history = F.lit(-1).cast("bigint").alias("ord")
+        texts = records.filter("sh <> 0").select("batch", "rec", "ord", F.col("sh").alias("b"))
+        inside = links.filter("NOT earlier").select("batch", "a", "b").unionByName(texts.select("batch", F.col("b").alias("a"), "b"))
+        first = inside.join(texts.groupBy("batch", "b").agg(F.min("ord").alias("ord")), ["batch", "b"]).select("batch", F.col("a").alias("b"), "ord").unionByName(links.filter("earlier").select("batch", F.col("a").alias("b"), history))
+        by_text = texts.join(first.groupBy("batch", "b").agg(F.min("ord").alias("first")), ["batch", "b"]).filter("first < ord").select("rec")
+        keyed = records.filter("board IS NOT NULL AND ext IS NOT NULL").select("batch", "rec", "ord", "board", "ext")
+        seen = keyed.select("batch", "board", "ext", "ord").unionByName(ids.select("batch", "board", "ext", history)).groupBy("batch", "board", "ext").agg(F.min("ord").alias("first"))
+        by_id = keyed.join(seen, ["batch", "board", "ext"]).filter("first < ord").select("rec")
+        return cut(by_text.unionByName(by_id).distinct())
 
     def _settle(self) -> None:
         """Merge runs of like size, halve ranges that have outgrown their size, commit, and remove what no run needs."""
@@ -382,10 +399,10 @@ def found(jobs: DataFrame, raw: DataFrame, batches_per_step: int = 1, plan: kr.P
     records = raw_records(raw).withColumn("batch", F.shiftright("ord", 48))
     records.write.partitionBy("batch").option("compression", "zstd").parquet(arrived)
     numbers = sorted(int(n.removeprefix("batch=")) for n in files.names(spark, arrived) if n.startswith("batch="))
-    out = spark.createDataFrame([], "rec bigint")
     for i in range(0, len(numbers), batches_per_step):
         release(spark)
         folders = [f"{arrived}/batch={n}" for n in numbers[i : i + batches_per_step]]
-        out = out.unionByName(index.absorb(spark.read.schema(records.drop("batch").schema).parquet(*folders)))
+        index.absorb(spark.read.schema(records.drop("batch").schema).parquet(*folders))
+    out = index.repeats() if numbers else spark.createDataFrame([], "rec bigint")
     index.close(remove=True)
     return out.select(F.col("rec").alias("raw_id"))

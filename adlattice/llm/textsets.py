@@ -80,7 +80,7 @@ def masked(text: str) -> str:
 _BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
-PLAIN_BLOCK = 1 << 20
+PLAIN_BLOCK = 1 << 18
 
 
 def word_hash(word: str) -> int:

@@ -196,6 +196,10 @@ def history_index(spark, jobs, **given):
     return history.HistoryIndex(spark, residue.fit(jobs), **given)
 
 
+def absorbed(index, records):
+    return {r[0] for r in index.repeats(index.absorb(records)).collect()}
+
+
 def test_merged_and_halved_runs_answer_alike(spark, jobs, monkeypatch):
     records = history.raw_records(spark.createDataFrame([raw_row(5, 2, "10", "Glassdoor", edited(12, 7)), raw_row(6, 2, "77", "Glassdoor", advert(950))], RAW))
     old = history.job_records(jobs)
@@ -208,10 +212,10 @@ def test_merged_and_halved_runs_answer_alike(spark, jobs, monkeypatch):
             assert len(index.runs) == 1
         if how == "halved":
             monkeypatch.setattr(history.kr, "RANGE_TEXTS", 6)
-        assert {r[0] for r in index.absorb(records).collect()} == {5}
+        assert absorbed(index, records) == {5}
         assert index.parts == (6 if how == "halved" else 3)
         # a second delivery of the same batch brings nothing new
-        assert {r[0] for r in index.absorb(records).collect()} == {5, 6}
+        assert absorbed(index, records) == {5, 6}
         monkeypatch.undo()
         index.close(remove=True)
 
@@ -220,12 +224,13 @@ def test_an_index_can_be_opened_again(spark, jobs):
     index = history_index(spark, jobs, ranges=2)
     index.load(history.job_records(jobs))
     first = history.raw_records(spark.createDataFrame([raw_row(5, 1, "10", "Glassdoor", advert(950))], RAW))
-    assert index.absorb(first).count() == 0
+    assert absorbed(index, first) == set()
     index.close()
     again = history.HistoryIndex.open(spark, index.path)
     assert [r.name for r in again.runs] == [r.name for r in index.runs] and again.plan == index.plan
     second = history.raw_records(spark.createDataFrame([raw_row(6, 2, "99", "Indeed", edited(950, 4)), raw_row(7, 2, "98", "Indeed", edited(12, 7)), raw_row(8, 2, "97", "Indeed", advert(951))], RAW))
-    assert {r[0] for r in again.absorb(second).collect()} == {6, 7}
+    assert absorbed(again, second) == {6, 7}
+    assert {r[0] for r in again.repeats().collect()} == {6, 7}
     again.close(remove=True)
     with pytest.raises(FileNotFoundError):
         history.HistoryIndex.open(spark, index.path)
@@ -287,12 +292,13 @@ def test_canonical_values(spark):
 
 
 def test_other_names_come_from_the_table_and_soft_tfidf_ranks(spark):
-    loc = spark.createDataFrame([(1, "Freedonia", "Old Harbour"), (2, "Freedonia", "Harbour"), (3, "Sylvania", "Old Mill")], "id int, country string, city string")
+    loc = spark.createDataFrame([(1, "Freedonia", "Harbour"), (2, "Freedonia", "Old Harbour"), (3, "Sylvania", "Old Mill")], "id int, country string, city string")
     cls = spark.createDataFrame([(1, "Glass Blowing")], "id int, name string")
     names = spark.createDataFrame([("city", "Old Mill", "Vieux Moulin"), ("country", "Sylvania", "SYL"), ("word", "blowing", "blwg"), ("class", "Glass Blowing", "GB")], "kind string, entry string, form string")
     jobs = spark.createDataFrame([(1, "Old Harbour, Freedonia", "Glass Blwg"), (2, "Vieux Moulin", "GB"), (3, "Harbuor", "B Team"), (4, "Mill", "x" * 5000)], "internal_id bigint, location string, job_class string")
     got = {(r.internal_id, r.field): r.ref_id for r in canonical.found(jobs, loc, cls, names).collect()}
-    assert got == {(1, "location"): 1, (2, "location"): 3, (3, "location"): 2, (4, "location"): 0, (1, "job_class"): 1, (2, "job_class"): 1, (3, "job_class"): 0, (4, "job_class"): 0}
+    # without soft TF-IDF "Harbour", which the first value holds too, would come before "Old Harbour"
+    assert got == {(1, "location"): 2, (2, "location"): 3, (3, "location"): 1, (4, "location"): 0, (1, "job_class"): 1, (2, "job_class"): 1, (3, "job_class"): 0, (4, "job_class"): 0}
     with pytest.raises(ValueError):
         canonical.ranker(spark.range(canonical.MAX_REFERENCE + 1).selectExpr("id", "'c' AS country", "'d' AS city"), cls, names)
 
