@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlattice.functions import html
-from adlattice.operators import api, crawl, ingest, search, terms, worklist
+from adlattice.operators import api, boards, crawl, ingest, matching, runs, search, terms, worklist
 from adlattice.sources import sinks, tables
 from adlattice.streaming import ingest_stream
 
@@ -120,9 +120,7 @@ def test_cards_and_details(spark):
     assert [(r.id, r.name, r.description, r.source) for r in stub] == [("2", "N/A", "", "LinkedIn")]
     detail = spark.createDataFrame([(1, '<div data-automation="jobAdDetails">Do <b>it</b></div><span data-automation="job-detail-classifications">Chef (Food)</span>'), (2, "x")], "page_id int, html string")
     assert [(r.description, r.job_class) for r in crawl.detail_fields(detail).orderBy("page_id").collect()] == [("Do it", "Food"), ("N/A", "N/A")]
-    assert crawl.dispatch("JobsDB", "pages") is crawl.listing_run
-    with pytest.raises(KeyError):
-        crawl.dispatch("nowhere", "pages")
+    assert boards.board(" jobs-DB ") is None and isinstance(boards.board("JobsDB"), boards.JobsDb) and boards.board("nowhere") is None
 
 
 def test_fences(spark):
@@ -156,6 +154,115 @@ def test_sources_and_sinks(spark, posts, tmp_path):
     assert tables.whole_text(spark, str(tmp_path / "prompt.txt")).first()["value"] == "a\nb"
 
 
+def test_pages_read_back_as_they_were(spark, tmp_path):
+    page = spark.createDataFrame([(1, "<p>a\n\tb</p>\n")], "page_id bigint, html string")
+    sinks.write_pages(page, str(tmp_path / "pages"))
+    assert spark.read.json(str(tmp_path / "pages")).first()["html"] == "<p>a\n\tb</p>\n"
+    path = sinks.export_csv(api.export(spark.createDataFrame([("7", None, "a", None)], "id string, name string, source string, job_class string").selectExpr("*", *[f"'x' AS {c}" for c in api.EXPORT if c not in ("id", "name", "source", "job_class")])), str(tmp_path), api.file_name(["a b"], "2025-01-01T10:00:00Z"))
+    assert path.endswith("job_search_a-b_2025-01-01.csv")
+    row = spark.read.csv(path, header=True).first().asDict()
+    assert list(row) == list(api.EXPORT.values()) and row["Category"] == "N/A" and row["ID"] == "7"
+
+
+STORED = "internal_id bigint, id string, name string, company_name string, description string, source string, job_class string"
+
+
+def stored_rows(spark, n=10):
+    rows = [(i, f"k{i}", "N/A", "N/A", [None, "", "N/A", "done"][i % 4], "LinkedIn" if i % 2 else "JobsDB", None) for i in range(1, n + 1)]
+    return spark.createDataFrame(rows, STORED)
+
+
+def linked_page(i):
+    return f'<h1 class="topcard__title"> Clerk {i} </h1><a class="topcard__org-name-link">Acme</a><div class="jobs-box__html-content"><p>Line {i}</p><p>two</p></div>'
+
+
+def test_a_detail_run_lays_results_on_the_postings(spark):
+    stored = stored_rows(spark)
+    pages = spark.createDataFrame([(f"k{i}", linked_page(i)) for i in (1, 5)] + [("k9", "<p></p>")], "id string, html string")
+    config = worklist.RunConfig.from_dict({"source_platform": "LinkedIn", "quantity": 10, "workers": 2, "save": "true"})
+    done = runs.detail_run(config, stored, pages)
+    got = {r.internal_id: (r.description, r.name, r.company_name) for r in done.stored.collect()}
+    assert got[1] == ("Line 1\ntwo", "Clerk 1", "Acme") and got[5][0] == "Line 5\ntwo" and got[9] == ("N/A", "N/A", "N/A") and got[3] == ("done", "N/A", "N/A") and got[2] == ("N/A", "N/A", "N/A")
+    assert done.summary.first().asDict() == {"success": True, "jobs_processed": 3, "success_count": 2, "failure_count": 1}
+    # without save the postings stay as they are
+    preview = runs.detail_run(worklist.RunConfig.from_dict({"source_platform": "linkedin", "quantity": 10}), stored, pages)
+    assert sorted(map(tuple, preview.stored.collect()), key=str) == sorted(map(tuple, stored.collect()), key=str)
+    refused = runs.run_from_args(["source_platform=Nowhere, quantity=3"])(stored, pages)
+    assert refused.summary.first()["success"] is False
+    # an empty worklist is a run of nothing
+    none = runs.detail_run(config, stored.filter("description = 'done'"), pages)
+    assert none.summary.first()["jobs_processed"] == 0
+
+
+def test_a_worker_run_marks_failed_rows(spark):
+    stored = stored_rows(spark)
+    pages = spark.createDataFrame([("k1", "one"), ("k5", ""), ("k9", None)], "id string, html string")
+
+    def fetch(key, page):
+        if page is None:
+            raise TimeoutError(key)
+        return {"description": page}
+
+    config = worklist.RunConfig.from_dict({"source_platform": "LinkedIn", "quantity": 10, "workers": 3, "save": True})
+    done = runs.worker_run(config, stored, pages, fetch)
+    got = {r.internal_id: r.description for r in done.stored.collect()}
+    assert (got[1], got[5], got[9]) == ("one", "N/A", "Error: TimeoutError")
+    assert done.summary.first()["failure_count"] == 2
+
+
+def test_a_listing_run_appends_new_postings_and_sums_pages(spark):
+    pages = spark.createDataFrame([(1, CARD), (2, CARD.replace("42", "k2")), (3, CARD.replace("42", "43"))], "page int, html string")
+    config = worklist.RunConfig.from_dict({"source_platform": "JobsDB", "start_page": 1, "end_page": 3, "save": True})
+    done = runs.listing_run(config, stored_rows(spark), pages, "2025-01-01")
+    assert {r.id for r in done.stored.filter("internal_id IS NULL").collect()} == {"42", "43"}
+    assert [(r.page, r.jobs_found, r.total_jobs) for r in done.counters.orderBy("page").collect()] == [(1, 1, 1), (3, 1, 2)]
+    assert done.summary.first()["pages_scraped"] == 3
+
+
+def test_platforms_and_contract():
+    with pytest.raises(TypeError):
+        boards.Board()  # the contract has to be filled in
+    assert worklist.RunConfig.from_dict({"method": "odd"}).method == "selenium" and worklist.RunConfig.from_dict({"method": "scrapy"}).method == "scrapy"
+
+
+def test_unknown_platforms_are_an_error(spark):
+    platforms = spark.createDataFrame([(1, "JobsDB"), (4, "LinkedIn")], "id int, name string")
+    assert worklist.known_platform(platforms, "linkedin") == (4, "LinkedIn") and worklist.known_platform(platforms, 1) == (1, "JobsDB")
+    with pytest.raises(LookupError):
+        worklist.known_platform(platforms, "all")
+
+
+def test_skills_are_whole_words(spark):
+    rows = spark.createDataFrame([("JavaScript and SQL",), ("java, js",), ("mysqlx",), (None,)], "c string")
+    assert [r[0] for r in rows.select(matching.found_skills(F.col("c"))).collect()] == [["javascript", "sql"], ["java", "javascript"], [], []]
+
+
+def test_pairs_of_similar_titles_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    docs = {f"d{i}": [rng.choice(words) for _ in range(rng.randrange(1, 5))] for i in range(60)}
+    docs |= {"e": [], "f": ["only"]}
+    df = {w: sum(w in t for t in docs.values()) for w in {x for t in docs.values() for x in t}}
+    vec = {k: {w: t.count(w) * math.log((len(docs) + 1) / df[w]) for w in set(t)} for k, t in docs.items()}
+    norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in vec.items()}
+    want = {(a, b) for a in docs for b in docs if a < b and norm[a] * norm[b] and round(sum(x * vec[b].get(w, 0) for w, x in vec[a].items()) / norm[a] / norm[b], 6) >= 0.85}
+    frame = spark.createDataFrame(list(docs.items()), "k string, tokens array<string>")
+    assert {(r.a, r.b) for r in matching.tfidf_pairs(frame, "k").collect()} == want and len(want) > 5
+
+
+def test_formatters_are_pluggable(spark):
+    rows = spark.createDataFrame([("x",), ("",), (None,)], "c string")
+    shout = F.pandas_udf(lambda s: s.str.upper(), "string")
+    assert [r[0] for r in rows.select(html.formatted(F.col("c"), shout)).collect()] == ['<div class="job-description">X</div>', "<p>No description available</p>", "<p>No description available</p>"]
+
+
+def test_imports_keep_the_latest_posting(spark):
+    rows = spark.createDataFrame([("a", "2025-01-02", 1, "x"), ("a", "2025-01-03", 2, "y"), ("a", None, 3, "z"), ("b", None, 4, "u"), ("b", None, 5, "v")], "id string, date_posted string, n int, name string")
+    assert {r.id: r.name for r in ingest.latest_import(rows, "id", "date_posted", "n").collect()} == {"a": "y", "b": "v"}
+
+
 def test_streamed_batches_append_only_new_keys(spark, tmp_path):
     raw = tables.table(spark, "/root/testdata/sf0.001", "jobs_raw")
     source, store = str(tmp_path / "in"), str(tmp_path / "store")
@@ -164,7 +271,8 @@ def test_streamed_batches_append_only_new_keys(spark, tmp_path):
     records = ingest_stream.read_records(spark, source)
     q = ingest_stream.append_new(records, store, str(tmp_path / "cp"))
     assert q.awaitTermination(120)
-    want = raw.filter("batch_no <= 3 AND external_id IS NOT NULL").select("source", "external_id").distinct().count()
+    told = raw.filter("batch_no <= 3").withColumn("external_id", ingest.external_id(F.col("external_id"), F.col("raw_data")))
+    want = told.filter("external_id IS NOT NULL").select("source", "external_id").distinct().count() + told.filter("external_id IS NULL").count()
     assert spark.read.parquet(store).count() == want
     counts = ingest_stream.crawl_counts(records).writeStream.format("memory").queryName("crawl_counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     assert counts.awaitTermination(120)
