@@ -182,7 +182,11 @@ class HistoryIndex:
             self.spark.sql(f"CREATE TABLE {self.table} (run int, {kr.STORED}) USING parquet CLUSTERED BY (part) SORTED BY (part) INTO {self.parts} BUCKETS LOCATION '{self._folder}'")
         return self.spark.table(self.table).filter(condition)
 
-    def _write_keys(self, number: int, blobs: DataFrame, halve: bool = False) -> list[str]:
+    def _tasks(self, sets: int) -> int:
+        """Tasks that write a run: one for the keys of so many texts as a range holds, and never more than ranges."""
+        return max(1, min(self.parts, -(-sets // kr.RANGE_TEXTS)))
+
+    def _write_keys(self, number: int, sets: int, blobs: DataFrame, halve: bool = False) -> list[str]:
         """Merge packed keys to one sorted row a range and store them, a bucket for each range; the names of the files."""
         plan, labels, splits = self.plan, kr.range_labels(self.parts), self.splits
         before = {int(x): i for i, x in enumerate(kr.range_labels(self.parts >> 1))} if halve else {}
@@ -203,7 +207,7 @@ class HistoryIndex:
 
         if halve:
             blobs = blobs.mapInPandas(split, "part int, stored boolean, keys binary, at binary, sets binary, sketch binary")
-        placed = blobs.repartition(self.parts, "part").mapInPandas(merge, f"run int, {kr.STORED}")
+        placed = blobs.repartition(self._tasks(sets), "part").mapInPandas(merge, f"run int, {kr.STORED}")
         there = set(files.names(self.spark, self._folder))
         self._keys("true")
         with shuffles_dropped(self.spark):
@@ -242,7 +246,7 @@ class HistoryIndex:
         counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("sets", "records")]
         signed.observe(seen, *counts).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
         run.sets, run.records = int(seen.get["sets"]), int(seen.get["records"])
-        run.files = self._write_keys(run.number, self._staged([run], "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
+        run.files = self._write_keys(run.number, run.sets, self._staged([run], "keys", ["part", F.lit(False).alias("stored"), "keys", "at", "sets", "sketch"]))
         files.remove(self.spark, f"{folder}/kind=keys")
         return run
 
@@ -288,9 +292,10 @@ class HistoryIndex:
         self.candidates(run, old).observe(found, F.count(F.lit(1)).alias("n")).write.parquet(folder)
         links = self.spark.read.schema(LINKS).parquet(folder)
         # the sets at both ends are compared exactly; those of the history are only scanned for the few that are asked for
-        ends = self._staged([*old, run], "sets", ["sh", "grams"]).join(kr.small(links, int(found.get["n"])), F.col("sh") == F.col("b")).select("a", "b", "earlier", F.col("grams").alias("gb"))
+        n = int(found.get["n"])
+        ends = self._staged([*old, run], "sets", ["sh", "grams"]).join(kr.small(links, n), F.col("sh") == F.col("b")).select("a", "b", "earlier", F.col("grams").alias("gb"))
         own = self._staged([run], "sets", [F.col("sh").alias("a"), F.col("grams").alias("ga")]).dropDuplicates(["a"])
-        kr.compared(ends.join(own, "a"), ["a", "b", "earlier"], self.plan).write.parquet(self._met("links", run.number))
+        kr.compared(ends.join(own, "a").coalesce(1 + n // kr.RANGE_TEXTS), ["a", "b", "earlier"], self.plan).write.parquet(self._met("links", run.number))
         mine.write.parquet(self._met("records", run.number))
         ids = mine.filter("board IS NOT NULL AND ext IS NOT NULL").select("board", "ext")
         past = self._staged(old, "records", ["board", "ext"]) if old else ids.limit(0)
@@ -349,11 +354,11 @@ class HistoryIndex:
     def _moved(self, runs: list[Run], name: str) -> None:
         """Copy the records and sets of runs into one folder, without an exchange."""
         records, sets = (self._staged(runs, kind, [F.lit(kind).alias("kind"), *_COLUMNS[1:]]) for kind in ("records", "sets"))
-        records.unionByName(sets).coalesce(self.parts).write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{name}/stage")
+        records.unionByName(sets).coalesce(self._tasks(sum(r.sets for r in runs))).write.partitionBy("kind").option("compression", "zstd").parquet(f"{self.path}/{name}/stage")
 
     def _merge(self, runs: list[Run]) -> list[str]:
         new = Run(self._next(), sum(r.sets for r in runs), sum(r.records for r in runs), [])
-        new.files = self._write_keys(new.number, self._blobs(runs))
+        new.files = self._write_keys(new.number, new.sets, self._blobs(runs))
         self._moved(runs, new.name)
         self.runs = [*(r for r in self.runs if r not in runs), new]
         return self._paths(runs)
@@ -364,7 +369,7 @@ class HistoryIndex:
         self._forget()
         self.splits += 1
         for r, blobs in old:
-            r.files = self._write_keys(r.number, blobs, halve=True)
+            r.files = self._write_keys(r.number, r.sets, blobs, halve=True)
         return gone
 
     def compact(self) -> None:

@@ -292,7 +292,7 @@ def test_canonical_values(spark):
 
 
 def test_other_names_come_from_the_table_and_soft_tfidf_ranks(spark):
-    loc = spark.createDataFrame([(1, "Freedonia", "Harbour"), (2, "Freedonia", "Old Harbour"), (3, "Sylvania", "Old Mill")], "id int, country string, city string")
+    loc = spark.createDataFrame([(1, "Freedonia", "Harbour"), (2, "Freedonia", "Old Harbour"), (3, "Sylvania", "Old Mill")], "id int, country string, city string").selectExpr("*", "concat(country, ' - ', city) AS name")
     cls = spark.createDataFrame([(1, "Glass Blowing")], "id int, name string")
     names = spark.createDataFrame([("city", "Old Mill", "Vieux Moulin"), ("country", "Sylvania", "SYL"), ("word", "blowing", "blwg"), ("class", "Glass Blowing", "GB")], "kind string, entry string, form string")
     jobs = spark.createDataFrame([(1, "Old Harbour, Freedonia", "Glass Blwg"), (2, "Vieux Moulin", "GB"), (3, "Harbuor", "B Team"), (4, "Mill", "x" * 5000)], "internal_id bigint, location string, job_class string")
