@@ -233,7 +233,7 @@ def append_batch(s: SparkSession, d: str) -> DataFrame:
 
 
 CHANGES = "(SELECT id, min(internal_id) AS internal_id FROM jobs GROUP BY id)"
-FIRST_RAW = "(SELECT external_id AS id, max(TRY_CAST(raw_data AS JSON)->>'$.description') AS fresh, max(TRY_CAST(raw_data AS JSON)->>'$.name') AS title FROM jobs_raw WHERE external_id IS NOT NULL GROUP BY 1)"
+FIRST_RAW = "(SELECT external_id AS id, max(TRY_CAST(raw_data AS JSON)->>'$.description') AS fresh, max(TRY_CAST(raw_data AS JSON)->>'$.name') AS title, max(TRY_CAST(raw_data AS JSON)->>'$.job_class') AS klass, max(coalesce(TRY_CAST(raw_data AS JSON)->>'$.company.name', CASE WHEN json_type(TRY_CAST(raw_data AS JSON)->'$.company') = 'VARCHAR' THEN TRY_CAST(raw_data AS JSON)->>'$.company' END)) AS firm FROM jobs_raw WHERE external_id IS NOT NULL GROUP BY 1)"
 
 
 def keyed_update(name: str, column: str, fresh: str, path: str) -> None:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from adlattice.plans import boards, reference  # noqa: F401  boards adds its queries
+from adlattice.plans import boards, reference, requests  # noqa: F401  boards and requests add their queries
 from tests.oracle import connect, rows_of, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
