@@ -17,7 +17,7 @@ def append_rows(df: DataFrame, path: str) -> int:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header, every text quoted, backslash escapes, no index column."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape="\\")
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape="\\", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_pages(df: DataFrame, path: str) -> None:
