@@ -103,7 +103,7 @@ term_query("term_exact", [T("Night Shift", exact=True)], exact_sql("Night Shift"
 term_query("term_exclude", [T("the/a", exclude=True), T("urgent", exclude=True)], f"NOT {like('the/a')} AND NOT {like('urgent')}")
 term_query("term_exact_exclude", [T("Contract", True, True)], f"NOT {exact_sql('Contract')}")
 term_query("exact_null_text", [T("null", exact=True)], exact_sql("null"))
-term_query("term_like_metacharacters", [T("a_vert%office")], like("a_vert%office"))
+term_query("term_like_metacharacters", [T("c_erk%week")], like("c_erk%week"))
 
 
 @query(f"SELECT {PAGE} FROM jobs WHERE description <> 'N/A' AND source = 'JobsDB' AND ({like('officer')} OR {like('clerk')}) AND {exact_sql('You')} AND NOT {like('warehouse')} AND NOT {exact_sql('Ltd.')} ORDER BY internal_id DESC LIMIT 20")
