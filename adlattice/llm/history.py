@@ -183,8 +183,8 @@ class HistoryIndex:
         return self.spark.table(self.table).filter(condition)
 
     def _tasks(self, sets: int) -> int:
-        """Tasks that write a run: one for the keys of so many texts as a range holds, and never more than ranges."""
-        return max(1, min(self.parts, -(-sets // kr.RANGE_TEXTS)))
+        """Tasks that write a run: one a range, but a single one for no more texts than a range holds anyway."""
+        return self.parts if sets > kr.RANGE_TEXTS else 1
 
     def _write_keys(self, number: int, sets: int, blobs: DataFrame, halve: bool = False) -> list[str]:
         """Merge packed keys to one sorted row a range and store them, a bucket for each range; the names of the files."""
