@@ -161,6 +161,25 @@ def test_a_group_of_copies_may_hold_a_third_of_all_rows(spark):
     assert len(got) == 151 and all(got[i] == (0, 50) for i in [*range(50), 300]) and all(got[100 + i][1] == 0 for i in range(100))
 
 
+def test_texts_without_a_word_stored_again_count(spark):
+    texts = ["***", "***", "- -", "<p></p>", "<p></p>", "\U0001f600", "\U0001f600", "\n", "\n", "\u3000", "  ", "{{ }}", "{{ }}", advert(1), advert(1)]
+    frame = spark.createDataFrame([(i, "t", d) for i, d in enumerate(texts)], "internal_id bigint, name string, description string")
+    want = brute_pairs(list(enumerate(texts)), {11, 12})  # placeholders are cases of p4
+    assert len(want) == 22
+    assert {tuple(r) for r in near.found(frame).collect()} == want
+    assert {r.internal_id: (r.class_id, r.links) for r in near.groups(frame).collect()} == {i: (0, 6) for i in range(7)} | {13: (13, 1), 14: (13, 1)}
+
+
+def test_tags_in_capitals_are_tags(spark):
+    texts = [f"<div><span>{advert(i)}</span></div>" for i in range(20)]
+    rows = list(enumerate(texts + [t.upper() for t in texts[:10]]))
+    frame = spark.createDataFrame([(i, "t", d) for i, d in rows], "internal_id bigint, name string, description string")
+    want = brute_pairs(rows, set())
+    assert {(i, 20 + i) for i in range(10)} <= want
+    assert {tuple(r) for r in near.found(frame).collect()} == want
+    assert all("\ue013" in ts.masked(f"<{x}>") for x in ("CITY", "JOB TITLE", "TITLE", "start_date"))
+
+
 RAW = "id bigint, batch_no int, external_id string, source string, raw_data string, rec string"
 
 
